@@ -99,7 +99,7 @@ def _sql(name: str) -> str:
 def fixed(c, places: int = 2) -> Column:
     """Fixed-point text with round-half-even on the binary value, no grouping."""
     pattern = "0." + "0" * places if places > 0 else "0"
-    return F.format_number(_col(c).cast("double"), pattern)
+    return F.call_function("format_number", _col(c).cast("double"), F.lit(pattern))
 
 
 def escape_special(c, model_name: bool = False) -> Column:

@@ -15,8 +15,9 @@ def nanos_to_seconds(c) -> Column:
 
 
 def elapsed_seconds(start, end) -> Column:
-    """Seconds between two instants, microsecond exact."""
-    return (F.unix_micros(_col(end)) - F.unix_micros(_col(start))).cast("double") / F.lit(1e6)
+    """Seconds between two instants, microsecond exact; works on TIMESTAMP and
+    TIMESTAMP_NTZ without going through the session time zone."""
+    return F.timestamp_diff("MICROSECOND", _col(start), _col(end)).cast("double") / F.lit(1e6)
 
 
 def iso_utc(c) -> Column:

@@ -41,7 +41,8 @@ def _call_partition(generate: Generator, id_col: str) -> Callable[[Iterator[pd.D
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for req in pdf.to_dict("records"):
+            for rec in pdf.to_dict("records"):
+                req = {k: (v.tolist() if hasattr(v, "tolist") else v) for k, v in rec.items()}
                 started = time.perf_counter()
                 try:
                     resp = generate(req) or {}

@@ -176,3 +176,14 @@ TRUTH_SQL = sql_stages(
 _GRID_SQL = ("SELECT * FROM (" + TRUTH_SQL + ") CROSS JOIN (SELECT m, t FROM range(0, "
              f"{len(MODELS)}) r1(m) CROSS JOIN range(0, {len(TEMPERATURES)}) r2(t))")
 GENERATION_SQL = sql_stages(_GRID_SQL, GENERATION_STAGES, GENERATION_COLUMNS)
+
+
+def cached_generation(spark: SparkSession, sf_dir: str, name: str, requests, generate) -> DataFrame:
+    """Run the batch generator once and keep its output as a table (calls are never
+    repeated by a later recomputation)."""
+    from scoreplane.operators.generate import batch_generate
+
+    code = getattr(generate, "__code__", None)
+    fingerprint = repr((code.co_code, code.co_consts)) if code else repr(generate)
+    key = abspath(sf_dir) + "\n" + name + "\n" + fingerprint
+    return materialize(spark, f"generated-{name}", key, lambda: batch_generate(requests(), generate))

@@ -175,3 +175,283 @@ oracle("unpivot_fields",
        "SELECT item_id, field, y_true FROM (" + " UNION ALL ".join(
            f"SELECT item_id, '{f.name}' AS field, CAST({f.gt_col} AS VARCHAR) AS y_true FROM truth" for f in A.FIELDS)
        + ")")
+
+
+# ====================================================================== batch 2
+def _ctes(*parts: str) -> str:
+    return "WITH " + ", ".join(parts) + " "
+
+
+RUNS = "runs AS (SELECT DISTINCT model, temperature FROM gen)"
+GEN = f"truth AS ({A.TRUTH_SQL}), gen AS ({A.GENERATION_SQL})"
+FILE_NAME = ("'evaluation_metrics_' || translate(model, ':/', '__') || '_temp_' || "
+             "replace(CAST(temperature AS VARCHAR), '.', 'p') || '.json'")
+NAME_RE = r"evaluation_metrics_(.+?)_temp_([\d_p]+)\.json"
+
+
+def model_from_name(x: str) -> str:
+    return (f"regexp_replace(translate(nullif(regexp_extract({x}, '{NAME_RE}', 1), ''), '_', ':'), "
+            r"'^(.+?):\d{8}:\d{6}.*$', '\1')")
+
+
+def escape(x: str, model: bool = False) -> str:
+    out = f"CAST({x} AS VARCHAR)"
+    if model:
+        out = f"replace({out}, '_', ':')"
+    for old, new in K.TEXT_ESCAPES:
+        out = f"replace({out}, '{old}', '{new}')"
+    return out
+
+
+oracle("canonical_labels", _ctes(GEN, f"parsed AS ({PARSED_SQL})") + "SELECT DISTINCT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{f.name}' AS field, json_extract_string(cleaned::JSON, '$.\"{f.name}\"') AS raw_value, "
+    f"{canon(chr(34) + 'raw' + chr(34))} AS label FROM (SELECT cleaned, json_extract_string(cleaned::JSON, "
+    f"'$.\"{f.name}\"') AS raw FROM parsed WHERE ok)" for f in A.FIELDS) + ")", base=False)
+oracle("normalized_text", f"SELECT doc_id, {norm('text')} AS text_norm FROM documents", base=False)
+oracle("slugs", "SELECT p_partkey, translate(concat_ws(' ', p_type, p_name), ' çãáé', '_caae') AS slug FROM part",
+       base=False)
+oracle("safe_names", _ctes(GEN, RUNS) +
+       "SELECT model, temperature, translate(model, ':/', '__') AS model_safe, "
+       f"replace(CAST(temperature AS VARCHAR), '.', 'p') AS temp_safe, {FILE_NAME} AS file_name FROM runs", base=False)
+oracle("filename_parse", _ctes(GEN, RUNS, f"names AS (SELECT {FILE_NAME} AS file_name FROM runs UNION ALL "
+                                          f"SELECT replace({FILE_NAME}, '.json', '_20250619_130001.json') FROM runs)") +
+       f"SELECT file_name, {model_from_name('file_name')} AS model_from_name, "
+       f"regexp_replace(translate(nullif(regexp_extract(file_name, '{NAME_RE}', 2), ''), 'p', '.'), "
+       r"'_\d{8}_\d{6}$', '') AS temperature_from_name FROM names", base=False)
+oracle("metadata_fallback", _ctes(GEN, "runs AS (SELECT model, temperature, sum(latency_s) AS total_s FROM gen GROUP BY ALL)") +
+       "SELECT model, temperature, coalesce(CASE WHEN temperature <> 0.5 THEN model END, "
+       f"CASE WHEN temperature <> 1.0 THEN {model_from_name(FILE_NAME)} END, '{K.UNKNOWN_MODEL}') AS model_resolved, "
+       "round(coalesce(nullif(CASE WHEN temperature = 0.0 THEN 0.0 ELSE total_s + 1 END, 0), total_s), 6) AS run_time_s "
+       "FROM runs", base=False)
+oracle("coerce_temperature", _ctes(GEN, RUNS) +
+       "SELECT model, temperature, label, TRY_CAST(label AS DOUBLE) AS temperature_num FROM "
+       f"(SELECT *, CASE WHEN temperature = 1.0 THEN '{K.TEMPERATURE_UNKNOWN}' ELSE CAST(temperature AS VARCHAR) END AS label FROM runs)",
+       base=False)
+oracle("fixed_format", "SELECT model, temperature, field, printf('%.2f', accuracy) AS accuracy_2, "
+       "printf('%.4f', f1_score_weighted) AS f1_4, printf('%.2f', n_items / 8) AS eighths_2 FROM summ")
+oracle("escaped_labels", f"SELECT page_id, {escape('url')} AS escaped, "
+       f"{escape(chr(39) + '~^{}' + chr(92) + '_$' + chr(39) + ' || url', True)} AS escaped_model FROM pages", base=False)
+
+_GENP = _ctes(GEN, f"parsed AS ({PARSED_SQL})")
+oracle("json_candidate", _GENP + f"SELECT model, temperature, property_id, {CAND} AS candidate FROM gen", base=False)
+oracle("json_clean", _GENP + "SELECT model, temperature, property_id, cleaned FROM parsed", base=False)
+oracle("json_strict_parse", _GENP +
+       "SELECT model, temperature, property_id, CASE WHEN raw_answer IS NULL OR raw_answer = '' THEN 'empty' "
+       f"WHEN {CAND} IS NULL THEN 'no_json' WHEN NOT ok THEN 'invalid' ELSE 'ok' END AS outcome, "
+       "CASE WHEN ok THEN CAST(len(json_keys(cleaned::JSON)) AS INTEGER) END AS n_members FROM parsed", base=False)
+oracle("json_fields", "SELECT event_id, json_extract_string(props, '$.k') AS k, "
+       "TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k_num FROM events", base=False)
+oracle("latency_stats", _ctes(GEN) + "SELECT model, temperature, count(latency_s) AS n_timed, "
+       "round(sum(latency_s), 6) AS total_s, round(avg(latency_s), 6) AS mean_s, round(min(latency_s), 6) AS min_s, "
+       "round(max(latency_s), 6) AS max_s FROM gen GROUP BY ALL", base=False)
+oracle("iso_stamps", "SELECT user_id, strftime(min(ts), '%Y-%m-%dT%H:%M:%S.%f+00:00') AS first_iso, "
+       "strftime(max(ts), '%Y%m%d_%H%M%S') AS last_stamp, "
+       "round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 6) AS active_s FROM events GROUP BY user_id", base=False)
+
+BASENAME = "string_split(url, '/')[-1]"
+EXT = f"lower(regexp_extract({BASENAME}, '\\.([^./]+)$', 1))"
+MIME = (f"CASE {EXT} " + " ".join(f"WHEN '{e}' THEN '{m}'" for e, m in K.IMAGE_MIME.items())
+        + f" ELSE '{K.DEFAULT_IMAGE_MIME}' END")
+DATA_URL = f"'data:' || {MIME} || ';base64,' || to_base64(encode(html))"
+
+
+def suspicious(x: str) -> str:
+    starts = " OR ".join(f"starts_with({x}, '{p}')" for p in K.BASE64_MAGIC_PREFIXES)
+    return f"coalesce(length({x}) > {K.BASE64_MIN_LENGTH} AND ({starts}), false)"
+
+
+oracle("base64_data_url", f"SELECT page_id, {MIME} AS mime, {DATA_URL} AS data_url FROM pages", base=False)
+oracle("suspicious_paths",
+       "SELECT page_id, kind, " + suspicious("value") + " AS suspicious FROM ("
+       "SELECT page_id, 'url' AS kind, url AS value FROM pages UNION ALL "
+       f"SELECT page_id, 'data_url', {DATA_URL} FROM pages UNION ALL "
+       "SELECT page_id, 'base64', to_base64(encode(html)) FROM pages)", base=False)
+oracle("path_basename", f"SELECT page_id, {BASENAME} AS basename, {EXT} AS extension, "
+       f"{EXT} IN ({', '.join(repr(e) for e in K.IMAGE_EXTENSIONS)}) AS is_image FROM pages", base=False)
+
+ML_ITEMS = ("days AS (SELECT user_id, CAST(ts AS DATE) AS day, list_distinct(list(lower(trim(event_type)))) AS y_true "
+            "FROM events GROUP BY ALL), "
+            "items AS (SELECT user_id, day, y_true, coalesce(lag(y_true) OVER (PARTITION BY user_id ORDER BY day), "
+            "CAST([] AS VARCHAR[])) AS y_pred FROM days), "
+            f"vocab AS (SELECT unnest({_lit_list(A.MULTILABEL_VOCAB)}) AS label), "
+            "flags AS (SELECT i.user_id, i.day, v.label, CASE WHEN list_contains(i.y_true, v.label) THEN 1 ELSE 0 END AS t, "
+            "CASE WHEN list_contains(i.y_pred, v.label) THEN 1 ELSE 0 END AS p FROM items i CROSS JOIN vocab v), "
+            "perl AS (SELECT label, sum(t * p) AS tp, sum(t) AS st, sum(p) AS sp, count(*) AS n FROM flags GROUP BY label), "
+            "perls AS (SELECT *, CASE WHEN sp > 0 THEN tp / sp ELSE 0.0 END AS precision, "
+            "CASE WHEN st > 0 THEN tp / st ELSE 0.0 END AS recall, "
+            "CASE WHEN sp + st > 0 THEN 2 * tp / (sp + st) ELSE 0.0 END AS f1 FROM perl)")
+
+
+def _hot_sql(col: str) -> str:
+    return " || ".join(f"CASE WHEN list_contains({col}, '{v}') THEN '1' ELSE '0' END" for v in A.MULTILABEL_VOCAB)
+
+
+oracle("multihot", "WITH " + ML_ITEMS + f" SELECT user_id, day, {_hot_sql('y_true')} AS true_hot, "
+       f"{_hot_sql('y_pred')} AS pred_hot FROM items", base=False)
+oracle("multilabel_micro", "WITH " + ML_ITEMS +
+       " SELECT round(sum(tp) / sum(sp), 6) AS precision_micro, round(sum(tp) / sum(st), 6) AS recall_micro, "
+       "round(2 * sum(tp) / (sum(sp) + sum(st)), 6) AS f1_score_micro, (SELECT count(*) FROM items) AS n_items FROM perl",
+       base=False)
+oracle("multilabel_macro", "WITH " + ML_ITEMS +
+       " SELECT round(avg(precision), 6) AS precision_macro, round(avg(recall), 6) AS recall_macro, "
+       "round(avg(f1), 6) AS f1_score_macro FROM perls", base=False)
+VOC = _lit_list(A.MULTILABEL_VOCAB)
+oracle("subset_accuracy", "WITH " + ML_ITEMS +
+       f" SELECT round(avg(CASE WHEN list_sort(list_intersect(y_true, {VOC})) = list_sort(list_intersect(y_pred, {VOC})) "
+       "THEN 1.0 ELSE 0.0 END), 6) AS accuracy_subset, count(*) AS n_items FROM items", base=False)
+oracle("label_2x2", "WITH " + ML_ITEMS +
+       " SELECT label, CAST(n - sp - st + tp AS BIGINT) AS tn, CAST(sp - tp AS BIGINT) AS fp, CAST(st - tp AS BIGINT) AS fn, "
+       "CAST(tp AS BIGINT) AS tp, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 "
+       "FROM perls", base=False)
+oracle("multilabel_by_user_activity", "WITH " + ML_ITEMS +
+       ", band AS (SELECT user_id, CASE WHEN count(*) >= 25 THEN 'high' ELSE 'low' END AS band FROM items GROUP BY user_id), "
+       "bl AS (SELECT b.band, f.label, sum(t * p) AS tp, sum(t) AS st, sum(p) AS sp FROM flags f JOIN band b USING (user_id) "
+       "GROUP BY ALL), "
+       "bls AS (SELECT *, CASE WHEN sp > 0 THEN tp / sp ELSE 0.0 END AS pr, CASE WHEN st > 0 THEN tp / st ELSE 0.0 END AS rc, "
+       "CASE WHEN sp + st > 0 THEN 2 * tp / (sp + st) ELSE 0.0 END AS f1 FROM bl) "
+       "SELECT band, round(CASE WHEN sum(sp) > 0 THEN sum(tp) / sum(sp) ELSE 0.0 END, 6) AS precision_micro, "
+       "round(CASE WHEN sum(st) > 0 THEN sum(tp) / sum(st) ELSE 0.0 END, 6) AS recall_micro, "
+       "round(CASE WHEN sum(sp) + sum(st) > 0 THEN 2 * sum(tp) / (sum(sp) + sum(st)) ELSE 0.0 END, 6) AS f1_score_micro, "
+       "round(avg(pr), 6) AS precision_macro, round(avg(rc), 6) AS recall_macro, round(avg(f1), 6) AS f1_score_macro "
+       "FROM bls GROUP BY band", base=False)
+
+oracle("cosine_pairs",
+       "SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(CASE WHEN len(a.embedding) > 0 AND len(b.embedding) > 0 "
+       "AND sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * "
+       "sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) > 0 "
+       "THEN list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / "
+       "(sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * "
+       "sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))) END, 6) AS cosine "
+       "FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1", base=False)
+
+_VC = [str(i) for i in range(10)]
+oracle("vector_class_metrics", f"""WITH
+prs AS (SELECT CAST(label AS VARCHAR) AS y_true,
+               CAST(list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS VARCHAR) AS y_pred FROM embeddings),
+cnt AS (SELECT y_true, y_pred, count(*) AS n FROM prs GROUP BY ALL),
+voc AS (SELECT unnest(list_sort(list_distinct(list_concat({_lit_list(_VC)}, {PLACEHOLDERS})))) AS label),
+ts AS (SELECT y_true AS label, sum(n) AS st, sum(CASE WHEN y_true = y_pred THEN n ELSE 0 END) AS tp FROM cnt GROUP BY 1),
+ps AS (SELECT y_pred AS label, sum(n) AS sp FROM cnt GROUP BY 1),
+pc AS (SELECT v.label, coalesce(st, 0) AS st, coalesce(sp, 0) AS sp, coalesce(tp, 0) AS tp
+       FROM voc v LEFT JOIN ts USING (label) LEFT JOIN ps USING (label)),
+pcs AS (SELECT *, CASE WHEN sp > 0 THEN tp / sp ELSE 0.0 END AS pr, CASE WHEN st > 0 THEN tp / st ELSE 0.0 END AS rc,
+        CASE WHEN sp + st > 0 THEN 2 * tp / (sp + st) ELSE 0.0 END AS f1 FROM pc)
+SELECT 'argmax10' AS model, 'class' AS field,
+  round((SELECT sum(CASE WHEN y_true = y_pred THEN n ELSE 0 END) / sum(n) FROM cnt), 6) AS accuracy,
+  round(CASE WHEN sum(st) > 0 THEN sum(pr * st) / sum(st) ELSE 0.0 END, 6) AS precision_weighted,
+  round(CASE WHEN sum(st) > 0 THEN sum(rc * st) / sum(st) ELSE 0.0 END, 6) AS recall_weighted,
+  round(CASE WHEN sum(st) > 0 THEN sum(f1 * st) / sum(st) ELSE 0.0 END, 6) AS f1_score_weighted,
+  (SELECT sum(n) FROM cnt)::BIGINT AS n_items
+FROM pcs""", base=False)
+
+_MODELS_SQL = " UNION ALL ".join(f"SELECT '{m}' AS model, {i} AS m" for i, m in enumerate(A.MODELS))
+_TEMPS_SQL = " UNION ALL ".join(f"SELECT CAST({t} AS DOUBLE) AS temperature" for t in A.TEMPERATURES)
+oracle("experiment_grid", _ctes(f"truth AS ({A.TRUTH_SQL})") +
+       f"SELECT g.model, t.temperature, count(*) AS n_items, min(item_id) AS min_item, max(item_id) AS max_item "
+       f"FROM truth CROSS JOIN ({_MODELS_SQL}) g CROSS JOIN ({_TEMPS_SQL}) t GROUP BY ALL", base=False)
+_REQ = " UNION ALL ".join(f"SELECT '{m}' AS model" for m in [*A.MODELS, "delta-vl:70b"])
+oracle("available_models", _ctes(GEN) +
+       f"SELECT model, model IN (SELECT model FROM gen WHERE status_api_call = 'sucesso') AS available FROM ({_REQ})",
+       base=False)
+DIRS = ("dirs AS (SELECT dir_name FROM (SELECT unnest([CASE WHEN c_custkey % 3 = 0 THEN CAST(c_custkey AS VARCHAR) END, "
+        "CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey AS VARCHAR) || '_' || lower(translate(c_name, '#', '_')) END, "
+        "CASE WHEN c_custkey % 5 = 0 THEN CAST(c_custkey AS VARCHAR) || '_b' END, "
+        "CASE WHEN c_custkey % 7 = 0 THEN CAST(c_custkey AS VARCHAR) || '1_x' END]) AS dir_name FROM customer) "
+        "WHERE dir_name IS NOT NULL)")
+oracle("entity_directory_match", "WITH " + DIRS + ", ent AS (SELECT CAST(c_custkey AS VARCHAR) AS entity_id FROM customer), "
+       "m AS (SELECT e.entity_id, d.dir_name, CASE WHEN d.dir_name = e.entity_id THEN 0 ELSE 1 END AS pri FROM ent e "
+       "JOIN dirs d ON d.dir_name = e.entity_id OR starts_with(d.dir_name, e.entity_id || '_')), "
+       "best AS (SELECT entity_id, arg_min(dir_name, (pri, dir_name)) AS dir, min(pri) AS pri FROM m GROUP BY entity_id) "
+       "SELECT e.entity_id, b.dir, CASE b.pri WHEN 0 THEN 'exact' WHEN 1 THEN 'prefix' ELSE 'none' END AS match_kind "
+       "FROM ent e LEFT JOIN best b USING (entity_id)", base=False)
+PROMPTS = ("SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'system') AS system, "
+           "coalesce(string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (WHERE role = 'user'), '') AS prompt, "
+           "CAST(count(*) FILTER (WHERE role = 'user') AS INTEGER) AS n_parts FROM conversations GROUP BY conv_id")
+oracle("request_assembly", PROMPTS, base=False)
+RESP = ("CASE WHEN prompt = '' THEN NULL ELSE 'Result:' || chr(10) || '```json' || chr(10) || '{\"n_chars\": ' || "
+        "CAST(length(prompt) AS VARCHAR) || ', \"n_images\": 0}' || chr(10) || '```' END")
+oracle("batch_generate", f"SELECT conv_id AS request_id, 'alpha-vl:7b' AS model, "
+       f"CASE WHEN prompt = '' THEN 'falha' ELSE 'sucesso' END AS status_api_call, {RESP} AS raw_answer FROM ({PROMPTS})",
+       base=False)
+_GRID2 = (f"SELECT p.*, g.model, t.temperature FROM ({PROMPTS}) p CROSS JOIN (SELECT '{A.MODELS[0]}' AS model UNION ALL "
+          f"SELECT '{A.MODELS[1]}') g CROSS JOIN (SELECT 0.0::DOUBLE AS temperature UNION ALL SELECT 0.5::DOUBLE) t")
+oracle("grid_generation", f"SELECT conv_id AS request_id, model, temperature, CASE WHEN prompt = '' THEN '{K.STATUS_API_ERROR}' "
+       f"ELSE '{K.STATUS_OK}' END AS status_geracao, CASE WHEN prompt <> '' THEN CAST(length(prompt) AS BIGINT) END AS n_chars "
+       f"FROM ({_GRID2})", base=False)
+oracle("usage_totals", "SELECT model, CAST(sum(CASE WHEN prompt <> '' THEN length(prompt) END) AS BIGINT) AS prompt_chars, "
+       f"CAST(sum(length({RESP})) AS BIGINT) AS response_chars, count(*) AS n_calls FROM ({_GRID2}) GROUP BY model",
+       base=False)
+
+oracle("first_n", _ctes(f"truth AS ({A.TRUTH_SQL})") + "SELECT * FROM truth ORDER BY item_id LIMIT 10", base=False)
+oracle("first_valid", _GENP + f"SELECT model, temperature, min(dataset_idx) AS first_valid_idx FROM parsed "
+       f"WHERE status_geracao = '{K.STATUS_OK}' GROUP BY ALL", base=False)
+oracle("preflight_checks", _GENP +
+       ", items AS (SELECT * FROM truth ORDER BY item_id LIMIT 5), "
+       f"rec AS (SELECT dataset_idx, count(*) AS n_rec, count(*) FILTER (WHERE status_geracao = '{K.STATUS_OK}') AS n_ok "
+       "FROM parsed GROUP BY dataset_idx), j AS (SELECT * FROM items i LEFT JOIN rec r ON i.item_id = r.dataset_idx) "
+       "SELECT item_id, 'truth_complete' AS check, coalesce(gt_quality IS NOT NULL AND gt_toxicity IS NOT NULL, false) AS ok FROM j "
+       "UNION ALL SELECT item_id, 'records_found', coalesce(n_rec > 0, false) FROM j "
+       "UNION ALL SELECT item_id, 'all_parsed', coalesce(n_ok = n_rec, false) FROM j", base=False)
+
+REP = ("rep AS (SELECT replace(model, ':', '_') AS Modelo, CAST(temperature AS VARCHAR) AS Temperatura, field AS Categoria, "
+       "translate(field, ' çãáé', '_caae') AS category_key, accuracy AS \"Accuracy\", f1_score_weighted AS \"F1-Score\", "
+       "precision_weighted AS \"Precision\", recall_weighted AS \"Recall\" FROM summ)")
+OVER = ("ovr AS (SELECT replace(s.model, ':', '_') AS Modelo, CAST(s.temperature AS VARCHAR) AS Temperatura, "
+        "avg(accuracy) AS \"Accuracy\", avg(f1_score_weighted) AS \"F1-Score\", avg(precision_weighted) AS \"Precision\", "
+        "avg(recall_weighted) AS \"Recall\", any_value(l.total_s) AS \"Tempo de Execucao Total (s)\" FROM summ s "
+        "JOIN (SELECT model, temperature, sum(latency_s) AS total_s FROM gen GROUP BY ALL) l USING (model, temperature) "
+        "GROUP BY s.model, s.temperature)")
+R4 = ('round("Accuracy", 6) AS "Accuracy", round("F1-Score", 6) AS "F1-Score", round("Precision", 6) AS "Precision", '
+      'round("Recall", 6) AS "Recall"')
+
+
+def with_rep(select: str) -> str:
+    return f"WITH {BASE_CTES}, {REP}, {OVER} {select}"
+
+
+ORACLE["flatten_reports"] = with_rep(f"SELECT Modelo, Temperatura, Categoria, {R4} FROM rep")
+ORACLE["display_category"] = with_rep("SELECT DISTINCT category_key, Categoria FROM rep")
+ORACLE["overall_rows"] = with_rep(f'SELECT Modelo, Temperatura, {R4}, round("Tempo de Execucao Total (s)", 6) '
+                                  'AS "Tempo de Execucao Total (s)" FROM ovr')
+ORACLE["metrics_long"] = with_rep(
+    "SELECT Modelo, Temperatura, Categoria, metric, round(value, 6) AS value FROM (" + " UNION ALL ".join(
+        f"SELECT Modelo, Temperatura, Categoria, '{m}' AS metric, \"{m}\" AS value FROM rep"
+        for m in ["Accuracy", "F1-Score", "Precision", "Recall"]) + ") WHERE value IS NOT NULL")
+_ORD = "Categoria, TRY_CAST(Temperatura AS DOUBLE) NULLS LAST, Temperatura"
+_CELLS = " || ' & ' || ".join([
+    "CASE WHEN rn_g = 1 THEN '\\multirow{' || n_g || '}{*}{\\textbf{' || " + escape("Modelo", True) + " || '}}' ELSE '' END",
+    "CASE WHEN rn_s = 1 THEN '\\multirow{' || n_s || '}{*}{' || " + escape("Categoria") + " || '}' ELSE '' END",
+    "CASE WHEN TRY_CAST(Temperatura AS DOUBLE) IS NOT NULL THEN printf('%.2f', TRY_CAST(Temperatura AS DOUBLE)) ELSE "
+    + escape("Temperatura") + " END",
+    *[f"coalesce(printf('%.2f', \"{m}\"), 'nan')" for m in ["Accuracy", "F1-Score", "Precision", "Recall"]],
+])
+ORACLE["report_rows"] = with_rep(
+    "SELECT Modelo, Categoria, Temperatura, rn_g = 1 AS show_group, n_g AS group_rows, rn_s = 1 AS show_sub, "
+    "n_s AS sub_rows, coalesce(prev <> Modelo, false) AS rule_before, "
+    "'    ' || " + _CELLS + " || ' \\\\' AS row_text FROM ("
+    f"SELECT *, row_number() OVER (PARTITION BY Modelo ORDER BY {_ORD}) AS rn_g, count(*) OVER (PARTITION BY Modelo) AS n_g, "
+    "row_number() OVER (PARTITION BY Modelo, Categoria ORDER BY TRY_CAST(Temperatura AS DOUBLE) NULLS LAST, Temperatura) AS rn_s, "
+    "count(*) OVER (PARTITION BY Modelo, Categoria) AS n_s, "
+    f"lag(Modelo) OVER (ORDER BY Modelo, {_ORD}) AS prev FROM rep)")
+ORACLE["group_sizes"] = with_rep("SELECT Modelo, Categoria, count(*) AS n_rows FROM rep GROUP BY ALL")
+ORACLE["sorted_report"] = with_rep(f"SELECT Modelo, Categoria, Temperatura, {R4} FROM rep")
+ORACLE["best_config"] = with_rep(
+    'SELECT Modelo, Temperatura, round("F1-Score", 6) AS "F1-Score" FROM (SELECT *, row_number() OVER '
+    '(PARTITION BY Modelo ORDER BY "F1-Score" DESC, TRY_CAST(Temperatura AS DOUBLE) ASC) AS rn FROM ovr) WHERE rn = 1')
+ORACLE["topk_models"] = with_rep(
+    'SELECT Modelo, Temperatura, round("Accuracy", 6) AS "Accuracy" FROM ovr ORDER BY "Accuracy" DESC, Modelo, '
+    'Temperatura LIMIT 3')
+ORACLE["unified_runs"] = _ctes(GEN) + (
+    "SELECT model, temperature, count(*) AS n, round(sum(latency_s), 6) AS total_latency_s, "
+    f"CASE WHEN model IN ({', '.join(repr(m) for m in A.VARIANT_B_MODELS)}) THEN count(*) ELSE 0 END AS n_with_usage "
+    "FROM gen GROUP BY model, temperature")
+ORACLE["latest_run"] = with_base(
+    ", macro_c AS (SELECT model, temperature, avg(accuracy) AS accuracy FROM summ GROUP BY ALL), "
+    "acc_x AS (SELECT model, temperature, field, sum(CASE WHEN y_true = y_pred THEN 1 ELSE 0 END) / count(*) AS accuracy "
+    "FROM pairs WHERE NOT is_skipped GROUP BY ALL), "
+    "macro_x AS (SELECT model, temperature, avg(accuracy) AS accuracy FROM acc_x GROUP BY ALL) "
+    "SELECT model, temperature, CASE WHEN temperature = 0.5 THEN 'exclude' ELSE 'compat' END AS mode, "
+    "strftime(epoch_ms((CAST(1750000000 AS BIGINT) + CASE WHEN temperature = 0.5 THEN 3600 ELSE 0 END) * 1000), "
+    "'%Y-%m-%dT%H:%M:%S.%f+00:00') AS timestamp_avaliacao, "
+    "round(CASE WHEN temperature = 0.5 THEN x.accuracy ELSE c.accuracy END, 6) AS accuracy "
+    "FROM macro_c c JOIN macro_x x USING (model, temperature)").replace("WITH \ntruth", "WITH \ntruth")

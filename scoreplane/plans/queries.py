@@ -147,3 +147,489 @@ def status_breakdown(spark, sf):
 @query
 def unpivot_fields(spark, sf):
     return P.unpivot_truth(A.truth(spark, sf), A.FIELDS)
+
+
+# ------------------------------------------------------------ text expressions
+from scoreplane.functions import jsonx as JX  # noqa: E402
+from scoreplane.functions import media as MD  # noqa: E402
+from scoreplane.functions import text as TX  # noqa: E402
+from scoreplane.functions import timefmt as TF  # noqa: E402
+from scoreplane.functions.vectors import argmax  # noqa: E402
+from scoreplane.operators import grid as G  # noqa: E402
+from scoreplane.operators import multilabel as ML  # noqa: E402
+from scoreplane.operators import reports as R  # noqa: E402
+from scoreplane.operators import similarity as SIM  # noqa: E402
+from scoreplane.sources.tables import read_table  # noqa: E402
+
+
+def _runs(spark, sf):
+    return A.generation_records(spark, sf).select(*RUN).distinct()
+
+
+@query
+def canonical_labels(spark, sf):
+    """Distinct raw predicted values per field and their canonical label."""
+    r = E.parsed_records(spark, sf).filter(F.col("parsed").isNotNull())
+    raw = r.select(F.explode(F.array(*[F.struct(F.lit(f.name).alias("field"),
+                                                JX.field_value("parsed", f.name).alias("raw_value"))
+                                       for f in A.FIELDS])).alias("e")).select("e.*")
+    return raw.distinct().select("field", "raw_value", TX.canonical_label("raw_value").alias("label"))
+
+
+@query
+def normalized_text(spark, sf):
+    d = read_table(spark, sf, "documents").select("doc_id", "text")
+    return d.select("doc_id", TX.normalize_text("text").alias("text_norm"))
+
+
+@query
+def slugs(spark, sf):
+    p = read_table(spark, sf, "part").select("p_partkey", "p_name", "p_type")
+    return p.select("p_partkey", TX.slug(F.concat_ws(" ", "p_type", "p_name")).alias("slug"))
+
+
+@query
+def safe_names(spark, sf):
+    r = _runs(spark, sf)
+    return r.select(*RUN, TX.safe_model_name("model").alias("model_safe"),
+                    TX.safe_temperature("temperature").alias("temp_safe"),
+                    TX.evaluation_file_name(F.col("model"), F.col("temperature")).alias("file_name"))
+
+
+def _file_names(spark, sf):
+    r = _runs(spark, sf)
+    plain = TX.evaluation_file_name(F.col("model"), F.col("temperature"))
+    stamped = F.regexp_replace(plain, r"\.json$", "_20250619_130001.json")
+    return r.select(*RUN, F.explode(F.array(plain, stamped)).alias("file_name"))
+
+
+@query
+def filename_parse(spark, sf):
+    f = _file_names(spark, sf)
+    return f.select("file_name", TX.model_from_file_name("file_name").alias("model_from_name"),
+                    F.regexp_replace(TX.temperature_from_file_name("file_name"), r"_\d{8}_\d{6}$", "")
+                    .alias("temperature_from_name"))
+
+
+@query
+def metadata_fallback(spark, sf):
+    """Model: metadata, else file name, else constant; run time: final (unless 0), else total."""
+    rec = A.generation_records(spark, sf)
+    runs = rec.groupBy(*RUN).agg(F.sum("latency_s").alias("total_s"))
+    meta_model = F.when(F.col("temperature") != 0.5, F.col("model"))
+    name_model = F.when(F.col("temperature") != 1.0, TX.model_from_file_name(
+        TX.evaluation_file_name(F.col("model"), F.col("temperature"))))
+    final_s = F.when(F.col("temperature") == 0.0, F.lit(0.0)).otherwise(F.col("total_s") + 1)
+    return runs.select(*RUN, TX.first_present(meta_model, name_model, F.lit(K.UNKNOWN_MODEL)).alias("model_resolved"),
+                       r6(TX.nonzero_or(final_s, F.col("total_s"))).alias("run_time_s"))
+
+
+@query
+def coerce_temperature(spark, sf):
+    r = _runs(spark, sf)
+    label = F.when(F.col("temperature") == 1.0, F.lit(K.TEMPERATURE_UNKNOWN)).otherwise(
+        F.col("temperature").cast("string"))
+    return r.select(*RUN, label.alias("label"), TX.to_number(label).alias("temperature_num"))
+
+
+@query
+def fixed_format(spark, sf):
+    s = E.summary(spark, sf)
+    return s.select(*RUN, "field", TX.fixed("accuracy", 2).alias("accuracy_2"),
+                    TX.fixed("f1_score_weighted", 4).alias("f1_4"),
+                    TX.fixed(F.col("n_items") / 8, 2).alias("eighths_2"))
+
+
+@query
+def escaped_labels(spark, sf):
+    p = read_table(spark, sf, "pages").select("page_id", "url")
+    return p.select("page_id", TX.escape_special("url").alias("escaped"),
+                    TX.escape_special(F.concat(F.lit("~^{}\\_$"), F.col("url")), True).alias("escaped_model"))
+
+
+# ------------------------------------------------------------ JSON in free text
+@query
+def json_candidate(spark, sf):
+    r = A.generation_records(spark, sf)
+    return r.select(*RUN, "property_id", JX.json_candidate("raw_answer").alias("candidate"))
+
+
+@query
+def json_clean(spark, sf):
+    r = A.generation_records(spark, sf)
+    return r.select(*RUN, "property_id", JX.clean_json(JX.json_candidate("raw_answer")).alias("cleaned"))
+
+
+@query
+def json_strict_parse(spark, sf):
+    r = JX.with_extracted_json(A.generation_records(spark, sf), "raw_answer", "parsed", "err")
+    kind = (F.when(F.col("err").isNull(), F.lit("ok"))
+            .when(F.col("err") == K.ERR_EMPTY_RESPONSE, F.lit("empty"))
+            .when(F.col("err") == K.ERR_NO_JSON, F.lit("no_json")).otherwise(F.lit("invalid")))
+    return r.select(*RUN, "property_id", kind.alias("outcome"), F.size("parsed").alias("n_members"))
+
+
+@query
+def json_fields(spark, sf):
+    ev = JX.with_extracted_json(read_table(spark, sf, "events").select("event_id", "props"), "props")
+    return ev.select("event_id", JX.field_value("parsed", "k").alias("k"),
+                     JX.field_value("parsed", "k").try_cast("double").alias("k_num"))
+
+
+# ------------------------------------------------------------ time
+@query
+def latency_stats(spark, sf):
+    s = R.latency_stats(A.generation_records(spark, sf))
+    return s.select(*RUN, "n_timed", r6("total_s").alias("total_s"), r6("mean_s").alias("mean_s"),
+                    r6("min_s").alias("min_s"), r6("max_s").alias("max_s"))
+
+
+@query
+def iso_stamps(spark, sf):
+    ev = read_table(spark, sf, "events").select("user_id", "ts")
+    g = ev.groupBy("user_id").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return g.select("user_id", TF.iso_utc("first_ts").alias("first_iso"), TF.run_stamp("last_ts").alias("last_stamp"),
+                    r6(TF.elapsed_seconds("first_ts", "last_ts")).alias("active_s"))
+
+
+# ------------------------------------------------------------ media / paths
+@query
+def base64_data_url(spark, sf):
+    p = read_table(spark, sf, "pages").select("page_id", "url", "html")
+    return p.select("page_id", MD.mime_type("url").alias("mime"),
+                    MD.data_url(F.encode("html", "UTF-8"), "url").alias("data_url"))
+
+
+@query
+def suspicious_paths(spark, sf):
+    p = read_table(spark, sf, "pages").select("page_id", "url", "html")
+    cands = p.select("page_id", F.explode(F.array(
+        F.struct(F.lit("url").alias("kind"), F.col("url").alias("value")),
+        F.struct(F.lit("data_url").alias("kind"), MD.data_url(F.encode("html", "UTF-8"), "url").alias("value")),
+        F.struct(F.lit("base64").alias("kind"), MD.to_base64(F.encode("html", "UTF-8")).alias("value")),
+    )).alias("c")).select("page_id", "c.kind", "c.value")
+    return cands.select("page_id", "kind", MD.looks_like_base64("value").alias("suspicious"))
+
+
+@query
+def path_basename(spark, sf):
+    p = read_table(spark, sf, "pages").select("page_id", "url")
+    return p.select("page_id", MD.basename("url").alias("basename"), MD.extension("url").alias("extension"),
+                    MD.is_image_name("url").alias("is_image"))
+
+
+# ------------------------------------------------------------ multi-label (events)
+def _multilabel_items(spark, sf):
+    """T4: per (user, day) the set of event types; prediction = the user's previous active day.
+
+    collect_set is bounded by the event-type vocabulary; the lag window holds one
+    row per active day of a user."""
+    from pyspark.sql import Window
+    ev = read_table(spark, sf, "events").select("user_id", F.to_date("ts").alias("day"), "event_type")
+    days = ev.groupBy("user_id", "day").agg(F.collect_set("event_type").alias("y_true"))
+    w = Window.partitionBy("user_id").orderBy("day")
+    return days.select("user_id", "day", "y_true",
+                       F.coalesce(F.lag("y_true").over(w), F.array().cast("array<string>")).alias("y_pred"))
+
+
+def _hot(c):
+    from scoreplane.functions.labelsets import multi_hot
+    v = F.array(*[F.lit(x) for x in A.MULTILABEL_VOCAB])
+    return F.array_join(F.transform(multi_hot(c, v), lambda x: x.cast("string")), "")
+
+
+@query
+def multihot(spark, sf):
+    it = _multilabel_items(spark, sf)
+    return it.select("user_id", "day", _hot("y_true").alias("true_hot"), _hot("y_pred").alias("pred_hot"))
+
+
+@query
+def multilabel_micro(spark, sf):
+    s = ML.score_row(_multilabel_items(spark, sf), A.MULTILABEL_VOCAB)
+    return s.select(*[r6(c).alias(c) for c in ["precision_micro", "recall_micro", "f1_score_micro"]], "n_items")
+
+
+@query
+def multilabel_macro(spark, sf):
+    s = ML.score_row(_multilabel_items(spark, sf), A.MULTILABEL_VOCAB)
+    return s.select(*[r6(c).alias(c) for c in ["precision_macro", "recall_macro", "f1_score_macro"]])
+
+
+@query
+def subset_accuracy(spark, sf):
+    s = ML.subset_accuracy(_multilabel_items(spark, sf), A.MULTILABEL_VOCAB)
+    return s.select(r6("accuracy_subset").alias("accuracy_subset"), "n_items")
+
+
+@query
+def label_2x2(spark, sf):
+    pl = ML.per_label(_multilabel_items(spark, sf), A.MULTILABEL_VOCAB)
+    return pl.select("label", "tn", "fp", "fn", "tp", r6("precision").alias("precision"),
+                     r6("recall").alias("recall"), r6("f1").alias("f1"))
+
+
+@query
+def multilabel_by_user_activity(spark, sf):
+    """Scores per activity band of the user (number of active days), one group per band."""
+    it = _multilabel_items(spark, sf)
+    from pyspark.sql import Window
+    band = F.when(F.count(F.lit(1)).over(Window.partitionBy("user_id")) >= 25, F.lit("high")).otherwise(F.lit("low"))
+    it = it.withColumn("band", band)
+    mm = ML.micro_macro(it, A.MULTILABEL_VOCAB, by=["band"])
+    return mm.select("band", *[r6(c).alias(c) for c in ["precision_micro", "recall_micro", "f1_score_micro",
+                                                         "precision_macro", "recall_macro", "f1_score_macro"]])
+
+
+# ------------------------------------------------------------ vectors
+@query
+def cosine_pairs(spark, sf):
+    v = read_table(spark, sf, "embeddings").select("vec_id", "embedding")
+    c = SIM.cosine_pairs(SIM.neighbour_pairs(v))
+    return c.select("left_id", "right_id", r6("cosine").alias("cosine"))
+
+
+@query
+def vector_class_metrics(spark, sf):
+    """10-class task: truth = label, prediction = argmax of the first 10 dims, scored by
+    the same evaluator as the categorical fields."""
+    v = read_table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
+    prs = v.select(F.lit("argmax10").alias("model"), F.lit("class").alias("field"),
+                   F.col("label").cast("string").alias("y_true"),
+                   argmax("embedding", 10).cast("string").alias("y_pred"))
+    dim = P.field_dimension(spark, [P.FieldSpec("class", "label", [str(i) for i in range(10)])])
+    s = classify.summary(classify.confusion_counts(prs, ["model"]), dim, ["model"])
+    return s.select("model", "field", r6("accuracy").alias("accuracy"),
+                    r6("precision_weighted").alias("precision_weighted"),
+                    r6("recall_weighted").alias("recall_weighted"),
+                    r6("f1_score_weighted").alias("f1_score_weighted"), "n_items")
+
+
+# ------------------------------------------------------------ grid, matching, requests
+REQUESTED_MODELS = [*A.MODELS, "delta-vl:70b", "  "]
+
+
+@query
+def experiment_grid(spark, sf):
+    items = A.truth(spark, sf).select("item_id")
+    g = G.experiment_grid(items, A.MODELS, A.TEMPERATURES)
+    return g.groupBy(*RUN).agg(F.count(F.lit(1)).alias("n_items"), F.min("item_id").alias("min_item"),
+                               F.max("item_id").alias("max_item"))
+
+
+@query
+def available_models(spark, sf):
+    rec = A.generation_records(spark, sf).filter(F.col("status_api_call") == K.CALL_OK)
+    return G.model_availability(spark, REQUESTED_MODELS, rec.select(F.col("model").alias("name")))
+
+
+def _directories(spark, sf):
+    c = read_table(spark, sf, "customer").select("c_custkey", "c_name")
+    cid = F.col("c_custkey").cast("string")
+    tag = F.lower(F.translate("c_name", "#", "_"))
+    return c.select(F.explode(F.array(
+        F.when(F.col("c_custkey") % 3 == 0, cid),
+        F.when(F.col("c_custkey") % 2 == 0, F.concat(cid, F.lit("_"), tag)),
+        F.when(F.col("c_custkey") % 5 == 0, F.concat(cid, F.lit("_b"))),
+        F.when(F.col("c_custkey") % 7 == 0, F.concat(cid, F.lit("1_x"))),
+    )).alias("dir_name")).filter(F.col("dir_name").isNotNull())
+
+
+@query
+def entity_directory_match(spark, sf):
+    ent = read_table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("entity_id"))
+    return G.match_directories(ent, _directories(spark, sf))
+
+
+@query
+def request_assembly(spark, sf):
+    turns = read_table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    return G.assemble_prompts(turns)
+
+
+# ------------------------------------------------------------ generation with a stub model
+def stub_generate(req: dict) -> dict:
+    """Deterministic stand-in for a model endpoint: answers with counts of its prompt."""
+    prompt = req.get("prompt") or ""
+    if not prompt:
+        return {"error": "empty prompt"}
+    images = req.get("images")
+    body = '{"n_chars": %d, "n_images": %d}' % (len(prompt), 0 if images is None else len(images))
+    resp = "Result:\n```json\n" + body + "\n```"
+    return {"response": resp, "latency_s": 0.0,
+            "usage": {"prompt_chars": len(prompt), "response_chars": len(resp)}}
+
+
+def _requests(spark, sf, models=("alpha-vl:7b",), temps=(0.0,)):
+    turns = read_table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    p = G.assemble_prompts(turns)
+    p = p.select(F.col("conv_id").alias("request_id"), "system", "prompt",
+                 F.array().cast("array<string>").alias("images"))
+    return G.experiment_grid(p, list(models), list(temps))
+
+
+@query
+def batch_generate(spark, sf):
+    out = A.cached_generation(spark, sf, "batch", lambda: _requests(spark, sf), stub_generate)
+    return out.select("request_id", "model", "status_api_call", "raw_answer")
+
+
+@query
+def grid_generation(spark, sf):
+    """Grid x requests -> model calls -> strict parse -> status."""
+    from scoreplane.operators.generate import parse_answers
+    out = A.cached_generation(spark, sf, "grid", lambda: _requests(spark, sf, A.MODELS[:2], A.TEMPERATURES[:2]),
+                              stub_generate)
+    p = parse_answers(out)
+    return p.select("request_id", *RUN, "status_geracao",
+                    JX.field_value("parsed", "n_chars").try_cast("long").alias("n_chars"))
+
+
+@query
+def usage_totals(spark, sf):
+    from scoreplane.operators.generate import usage_totals as ut
+    out = A.cached_generation(spark, sf, "grid", lambda: _requests(spark, sf, A.MODELS[:2], A.TEMPERATURES[:2]),
+                              stub_generate)
+    return ut(out, by=["model"])
+
+
+# ------------------------------------------------------------ pre-flight and first-n
+@query
+def first_n(spark, sf):
+    """First 10 items by key (O3): the limit is the feature."""
+    return A.truth(spark, sf).orderBy("item_id").limit(10)
+
+
+@query
+def first_valid(spark, sf):
+    """Per run, the first item whose answer parsed (O4) - an aggregated min, no sort."""
+    r = E.parsed_records(spark, sf).filter(F.col("status_geracao") == K.STATUS_OK)
+    return r.groupBy(*RUN).agg(F.min("dataset_idx").alias("first_valid_idx"))
+
+
+@query
+def preflight_checks(spark, sf):
+    """First 5 items: truth present, a record per run, every run parsed (I4)."""
+    items = A.truth(spark, sf).orderBy("item_id").limit(5)
+    rec = E.parsed_records(spark, sf).groupBy("dataset_idx").agg(
+        F.count(F.lit(1)).alias("n_rec"), F.count_if(F.col("status_geracao") == K.STATUS_OK).alias("n_ok"))
+    j = items.join(rec, items["item_id"] == rec["dataset_idx"], "left")
+    checks = F.array(
+        F.struct(F.lit("truth_complete").alias("check"),
+                 F.coalesce(F.col("gt_quality").isNotNull() & F.col("gt_toxicity").isNotNull(), F.lit(False)).alias("ok")),
+        F.struct(F.lit("records_found").alias("check"), F.coalesce(F.col("n_rec") > 0, F.lit(False)).alias("ok")),
+        F.struct(F.lit("all_parsed").alias("check"), F.coalesce(F.col("n_ok") == F.col("n_rec"), F.lit(False)).alias("ok")),
+    )
+    return j.select("item_id", F.explode(checks).alias("c")).select("item_id", "c.check", "c.ok")
+
+
+# ------------------------------------------------------------ reports
+def _docs(spark, sf):
+    cnt = E.counts(spark, sf)
+    dim = E.dimension(spark)
+    summ = classify.summary(cnt, dim, RUN)
+    pcm = classify.per_class_map(classify.per_class(cnt, dim, RUN), RUN)
+    macro = classify.macro_average(summ, RUN)
+    meta = A.generation_records(spark, sf).groupBy(*RUN).agg(
+        F.sum("latency_s").alias("latencia_total_resposta_modelo_s"))
+    return R.evaluation_documents(summ, pcm, macro, meta)
+
+
+def _field_names(spark):
+    return spark.createDataFrame([(f.name,) for f in A.FIELDS], "field string")
+
+
+def _report(spark, sf):
+    return R.flatten_categories(_docs(spark, sf), _field_names(spark))
+
+
+REPORT_METRICS = ["Accuracy", "F1-Score", "Precision", "Recall"]
+
+
+@query
+def flatten_reports(spark, sf):
+    rep = _report(spark, sf)
+    return rep.select("Modelo", "Temperatura", "Categoria", *[r6(F.col(f"`{m}`")).alias(m) for m in REPORT_METRICS])
+
+
+@query
+def display_category(spark, sf):
+    return _report(spark, sf).select("category_key", "Categoria").distinct()
+
+
+@query
+def overall_rows(spark, sf):
+    o = R.overall_rows(_docs(spark, sf))
+    return o.select("Modelo", "Temperatura", *[r6(F.col(f"`{m}`")).alias(m) for m in REPORT_METRICS],
+                    r6(F.col("`Tempo de Execucao Total (s)`")).alias("Tempo de Execucao Total (s)"))
+
+
+@query
+def metrics_long(spark, sf):
+    rep = _report(spark, sf)
+    lg = R.metrics_long(rep, ["Modelo", "Temperatura", "Categoria"], REPORT_METRICS)
+    return lg.select("Modelo", "Temperatura", "Categoria", "metric", r6("value").alias("value"))
+
+
+@query
+def report_rows(spark, sf):
+    rows = R.report_rows(_report(spark, sf), REPORT_METRICS)
+    return rows.select("Modelo", "Categoria", "Temperatura", "show_group", "group_rows", "show_sub", "sub_rows",
+                       "rule_before", "row_text")
+
+
+@query
+def group_sizes(spark, sf):
+    rep = _report(spark, sf)
+    return rep.groupBy("Modelo", "Categoria").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query
+def sorted_report(spark, sf):
+    rep = R.existing_columns(_report(spark, sf), R.report_columns() + ["Categoria", "Missing"])
+    return R.sorted_report(rep).select("Modelo", "Categoria", "Temperatura",
+                                       *[r6(F.col(f"`{m}`")).alias(m) for m in REPORT_METRICS])
+
+
+@query
+def best_config(spark, sf):
+    o = R.overall_rows(_docs(spark, sf))
+    b = R.best_per_group(o, "Modelo", "F1-Score", ["Temperatura"])
+    return b.select("Modelo", "Temperatura", r6(F.col("`F1-Score`")).alias("F1-Score"))
+
+
+@query
+def topk_models(spark, sf):
+    """Top 3 runs by accuracy (the limit is the feature); ties by model, temperature."""
+    o = R.overall_rows(_docs(spark, sf))
+    return o.orderBy(F.col("Accuracy").desc(), "Modelo", "Temperatura").limit(3).select(
+        "Modelo", "Temperatura", r6("Accuracy").alias("Accuracy"))
+
+
+@query
+def unified_runs(spark, sf):
+    rec = A.generation_records(spark, sf)
+    is_b = F.col("model").isin(A.VARIANT_B_MODELS)
+    a = rec.filter(~is_b).withColumnRenamed("latency_s", "latencia_total_api_s")
+    b = rec.filter(is_b).withColumnRenamed("latency_s", "latencia_api_s").withColumn(
+        "api_usage_metadata", F.create_map(F.lit("images"), F.col("n_images").cast("string")))
+    u = R.unify_generators(a, b)
+    return u.groupBy(*RUN).agg(F.count(F.lit(1)).alias("n"), r6(F.sum("latency_s")).alias("total_latency_s"),
+                               F.count("api_usage_metadata").alias("n_with_usage"))
+
+
+@query
+def latest_run(spark, sf):
+    """Each run evaluated twice (reference mode, then skip-excluding mode); keep the latest."""
+    cnt_c = classify.confusion_counts(E.pairs(spark, sf, compat=True), RUN)
+    cnt_x = classify.confusion_counts(E.pairs(spark, sf, compat=False), RUN)
+    dim = E.dimension(spark)
+    m_c = classify.macro_average(classify.summary(cnt_c, dim, RUN), RUN)
+    m_x = classify.macro_average(classify.summary(cnt_x, dim, RUN), RUN)
+    base = F.lit(1750000000).cast("long")
+    later = F.when(F.col("temperature") == 0.5, F.lit(3600)).otherwise(F.lit(-3600))
+    docs = m_c.select(*RUN, "accuracy", F.lit("compat").alias("mode"), base.alias("stamp")).unionByName(
+        m_x.select(*RUN, "accuracy", F.lit("exclude").alias("mode"), (base + later).alias("stamp")))
+    docs = docs.withColumn("timestamp_avaliacao", TF.iso_utc(F.timestamp_seconds("stamp")))
+    lt = R.latest_per_key(docs, RUN, "stamp")
+    return lt.select(*RUN, "mode", "timestamp_avaliacao", r6("accuracy").alias("accuracy"))
