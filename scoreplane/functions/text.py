@@ -22,8 +22,8 @@ def _col(c) -> Column:
 def normalize_text(c) -> Column:
     """lower, strip, collapse runs of whitespace to one space."""
     collapsed = F.regexp_replace(F.lower(_col(c)), WHITESPACE_CLASS + "+", " ")
-    # strip: a leading / trailing run is now a single space
-    return F.regexp_replace(collapsed, "^ | $", "")
+    # every run is now one ' ', so trimming spaces is a full strip
+    return F.trim(collapsed)
 
 
 def canonical_label(c) -> Column:

@@ -77,23 +77,23 @@ def align_pairs(
     ``compat=True`` keeps items whose index has no truth row, with the skip label
     on both sides (so they count as correct in accuracy, Q4); ``compat=False``
     drops them (count them with :func:`skipped_counts`)."""
-    gt_cols = [f.gt_col for f in fields]
-    t = truth.select(F.col(truth_key).alias("_tkey"), F.lit(True).alias("_matched"), *gt_cols)
-    p = predictions.select(*run_cols, pred_key, "status_geracao", "status_api_call", parsed_col)
+    # canonical truth once per item, canonical prediction once per record - before the join
+    t = truth.select(F.col(truth_key).alias("_tkey"), F.lit(True).alias("_matched"),
+                     *[canonical_label(F.col(f.gt_col)).alias(f"_t{i}") for i, f in enumerate(fields)])
+    failed = failure_mask(parsed_col=parsed_col)
+    fail_label = F.lit(K.FAILURE_LABEL.lower())
+    p = predictions.select(*run_cols, pred_key, failed.alias("is_failure"), *[
+        F.when(failed, fail_label).otherwise(canonical_label(field_value(parsed_col, f.name))).alias(f"_p{i}")
+        for i, f in enumerate(fields)])
     joined = p.join(t, p[pred_key] == t["_tkey"], "left")
 
     skipped = F.col("_matched").isNull()
-    failed = failure_mask(parsed_col=parsed_col)
     skip_label = F.lit(K.SKIPPED_LABEL.lower())
-    fail_label = F.lit(K.FAILURE_LABEL.lower())
-    entries = []
-    for f in fields:
-        y_true = F.when(skipped, skip_label).otherwise(canonical_label(F.col(f.gt_col)))
-        y_pred = (F.when(skipped, skip_label)
-                  .when(failed, fail_label)
-                  .otherwise(canonical_label(field_value(parsed_col, f.name))))
-        entries.append(F.struct(F.lit(f.name).alias("field"), y_true.alias("y_true"), y_pred.alias("y_pred")))
-    out = joined.select(*run_cols, pred_key, failed.alias("is_failure"), skipped.alias("is_skipped"),
+    entries = [F.struct(F.lit(f.name).alias("field"),
+                        F.when(skipped, skip_label).otherwise(F.col(f"_t{i}")).alias("y_true"),
+                        F.when(skipped, skip_label).otherwise(F.col(f"_p{i}")).alias("y_pred"))
+               for i, f in enumerate(fields)]
+    out = joined.select(*run_cols, pred_key, "is_failure", skipped.alias("is_skipped"),
                         F.explode(F.array(*entries)).alias("_e"))
     out = out.select(*run_cols, pred_key, "_e.field", "_e.y_true", "_e.y_pred", "is_failure", "is_skipped")
     if not compat:
