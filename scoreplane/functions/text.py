@@ -19,9 +19,15 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Only runs that need rewriting: a space followed by more whitespace, or any other
+# whitespace character.  A lone space between words (the common case) is no match.
+_WS_BODY = WHITESPACE_CLASS[1:-1]
+_REWRITE_RUNS = f"(?: [{_WS_BODY}]+|[{_WS_BODY}&&[^ ]][{_WS_BODY}]*)"
+
+
 def normalize_text(c) -> Column:
     """lower, strip, collapse runs of whitespace to one space."""
-    collapsed = F.regexp_replace(F.lower(_col(c)), WHITESPACE_CLASS + "+", " ")
+    collapsed = F.regexp_replace(F.lower(_col(c)), _REWRITE_RUNS, " ")
     # every run is now one ' ', so trimming spaces is a full strip
     return F.trim(collapsed)
 

@@ -31,29 +31,34 @@ def confusion_counts(pairs: DataFrame, by: Sequence[str] = RUN) -> DataFrame:
     return pairs.groupBy(*by, "field", "y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
 
 
-def label_sides(counts: DataFrame, by: Sequence[str] = RUN) -> DataFrame:
-    """Per (by, field, label): truth support, predicted support, true positives (A3).
-
-    One pass: every count row is emitted once for its truth label and once for its
-    predicted label, then summed - a single small shuffle instead of two."""
-    hit = F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(F.lit(0))
+def label_table(counts: DataFrame, dim: DataFrame, by: Sequence[str] = RUN) -> DataFrame:
+    """Per (by, field, label): truth support, predicted support, true positives and
+    vocabulary membership, zero-filled for every vocabulary label (A3, J5).
+
+    The counts meet the field dimension in a broadcast hash join (the dimension is
+    bounded by the configuration), then one Generate emits, per count row, its
+    truth-side row, its prediction-side row and a zero row per vocabulary label;
+    one aggregation folds them.  No distinct, no full outer join: the whole
+    derivation after A1 is a single shuffle of a table of at most
+    runs x fields x labels rows."""
+    d = F.broadcast(dim.select("field", "vocab"))
+    c = counts.join(d, "field", "left")
+    hit = F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(F.lit(0)).cast("long")
     zero = F.lit(0).cast("long")
-    sides = counts.select(*by, "field", F.explode(F.array(
-        F.struct(F.col("y_true").alias("label"), F.col("n").alias("t"), hit.cast("long").alias("tp"), zero.alias("p")),
-        F.struct(F.col("y_pred").alias("label"), zero.alias("t"), zero.alias("tp"), F.col("n").alias("p")),
-    )).alias("s"))
-    return sides.groupBy(*by, "field", F.col("s.label").alias("label")).agg(
-        F.sum("s.t").alias("support_true"), F.sum("s.tp").alias("tp"), F.sum("s.p").alias("support_pred"))
 
+    def row(label, t, tp, p):
+        return F.struct(label.alias("label"), t.alias("t"), tp.alias("tp"), p.alias("p"))
 
-def _vocab_grid(counts: DataFrame, dim: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Every vocabulary label for every (by, field) that has data (J5 zero-fill).
-
-    A Generate over the broadcast dimension - no cross join."""
-    present = counts.select(*by, "field").distinct()
-    d = F.broadcast(dim.select("field", "vocab"))
-    return present.join(d, "field").select(*by, "field", F.explode("vocab").alias("label"),
-                                           F.lit(True).alias("in_vocab"))
+    vocab = F.coalesce(F.col("vocab"), F.array().cast("array<string>"))
+    rows = F.concat(
+        F.array(row(F.col("y_true"), F.col("n").cast("long"), hit, zero),
+                row(F.col("y_pred"), zero, zero, F.col("n").cast("long"))),
+        F.transform(vocab, lambda v: row(v, zero, zero, zero)))
+    e = c.select(*by, "field", vocab.alias("vocab"), F.explode(rows).alias("s"))
+    g = e.groupBy(*by, "field", F.col("s.label").alias("label")).agg(
+        F.sum("s.t").alias("support_true"), F.sum("s.tp").alias("tp"), F.sum("s.p").alias("support_pred"),
+        F.max(F.array_contains("vocab", F.col("s.label"))).alias("in_vocab"))
+    return _class_scores(g)
 
 
 def _class_scores(df: DataFrame) -> DataFrame:
@@ -65,38 +70,16 @@ def _class_scores(df: DataFrame) -> DataFrame:
     )
 
 
-def _joined(counts: DataFrame, dim: DataFrame, by: Sequence[str]) -> DataFrame:
-    keys = [*by, "field", "label"]
-    sides = label_sides(counts, by)
-    grid = _vocab_grid(counts, dim, by)
-    j = grid.join(sides, keys, "full")
-    j = j.select(
-        *keys,
-        F.coalesce("in_vocab", F.lit(False)).alias("in_vocab"),
-        F.coalesce("support_true", F.lit(0).cast("long")).alias("support_true"),
-        F.coalesce("support_pred", F.lit(0).cast("long")).alias("support_pred"),
-        F.coalesce("tp", F.lit(0).cast("long")).alias("tp"),
-    )
-    return _class_scores(j)
-
-
 def per_class(counts: DataFrame, dim: DataFrame, by: Sequence[str] = RUN) -> DataFrame:
     """(by, field, label, precision, recall, f1, support_true, support_pred, tp) for every
     vocabulary label, zero-filled (A3, A4, J5, Q8)."""
-    j = _joined(counts, dim, by)
-    return j.filter("in_vocab").drop("in_vocab")
+    return label_table(counts, dim, by).filter("in_vocab").drop("in_vocab")
 
 
-def summary(counts: DataFrame, dim: DataFrame, by: Sequence[str] = RUN) -> DataFrame:
-    """(by, field, accuracy, precision_weighted, recall_weighted, f1_score_weighted,
-    n_items, n_oov_pred) (A2, A5, A7).
-
-    Weighted = truth-support-weighted mean over the vocabulary; accuracy over all
-    pairs; both from the same small joined table in one aggregation."""
-    j = _joined(counts, dim, by)
+def summary_from_labels(lt: DataFrame, by: Sequence[str] = RUN) -> DataFrame:
     w = F.when(F.col("in_vocab"), F.col("support_true")).otherwise(F.lit(0))
     wsum = F.sum(w)
-    agg = j.groupBy(*by, "field").agg(
+    agg = lt.groupBy(*by, "field").agg(
         _ratio(F.sum("tp"), F.sum("support_true")).alias("accuracy"),
         _ratio(F.sum(F.col("precision") * w), wsum).alias("precision_weighted"),
         _ratio(F.sum(F.col("recall") * w), wsum).alias("recall_weighted"),
@@ -108,10 +91,20 @@ def summary(counts: DataFrame, dim: DataFrame, by: Sequence[str] = RUN) -> DataF
         "error", F.when(F.col("n_items") == 0, F.lit("Listas de entrada vazias.")).cast("string"))
 
 
+def summary(counts: DataFrame, dim: DataFrame, by: Sequence[str] = RUN) -> DataFrame:
+    """(by, field, accuracy, precision_weighted, recall_weighted, f1_score_weighted,
+    n_items, n_oov_pred, error) (A2, A5, A7).
+
+    Weighted = truth-support-weighted mean over the vocabulary; accuracy over all
+    pairs; both from the same small label table in one aggregation."""
+    return summary_from_labels(label_table(counts, dim, by), by)
+
+
 def evaluate(pairs: DataFrame, dim: DataFrame, by: Sequence[str] = RUN):
     """Whole evaluator for all runs and fields in one plan: (counts, per_class, summary)."""
     counts = confusion_counts(pairs, by)
-    return counts, per_class(counts, dim, by), summary(counts, dim, by)
+    lt = label_table(counts, dim, by)
+    return counts, lt.filter("in_vocab").drop("in_vocab"), summary_from_labels(lt, by)
 
 
 def macro_average(summ: DataFrame, by: Sequence[str] = RUN) -> DataFrame:
@@ -147,8 +140,9 @@ def confusion_matrix(counts: DataFrame, dim: DataFrame, field: str, labels: Sequ
     (Q18); the pivot gets its value list up front, so no extra job and a fixed schema."""
     c = counts.filter(F.col("field") == field)
     c = c.filter(F.col("y_true").isin(list(labels)) & F.col("y_pred").isin(list(labels)))
-    rows = (_vocab_grid(counts.filter(F.col("field") == field), dim, by)
-            .select(*by, F.col("label").alias("y_true")))
+    d = F.broadcast(dim.filter(F.col("field") == field).select("field", "vocab"))
+    rows = (counts.filter(F.col("field") == field).select(*by, "field").distinct().join(d, "field")
+            .select(*by, F.explode("vocab").alias("y_true")))
     piv = c.groupBy(*by, "y_true").pivot("y_pred", list(labels)).agg(F.sum("n"))
     out = rows.join(piv, [*by, "y_true"], "left")
     return out.select(*by, F.lit(field).alias("field"), "y_true",

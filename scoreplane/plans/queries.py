@@ -620,16 +620,18 @@ def unified_runs(spark, sf):
 
 @query
 def latest_run(spark, sf):
-    """Each run evaluated twice (reference mode, then skip-excluding mode); keep the latest."""
-    cnt_c = classify.confusion_counts(E.pairs(spark, sf, compat=True), RUN)
-    cnt_x = classify.confusion_counts(E.pairs(spark, sf, compat=False), RUN)
-    dim = E.dimension(spark)
-    m_c = classify.macro_average(classify.summary(cnt_c, dim, RUN), RUN)
-    m_x = classify.macro_average(classify.summary(cnt_x, dim, RUN), RUN)
+    """Each run evaluated in two modes (reference: skipped items count; then skipped
+    items excluded) with different evaluation stamps; keep the latest per run.
+    Both modes come from one pass over the pairs: ``mode`` is one more group key."""
+    pairs = E.pairs(spark, sf, compat=True)
+    modes = F.when(F.col("is_skipped"), F.array(F.lit("compat"))).otherwise(F.array(F.lit("compat"), F.lit("exclude")))
+    both = pairs.select("*", F.explode(modes).alias("mode"))
+    by = [*RUN, "mode"]
+    m = classify.macro_average(classify.summary(classify.confusion_counts(both, by), E.dimension(spark), by), by)
     base = F.lit(1750000000).cast("long")
-    later = F.when(F.col("temperature") == 0.5, F.lit(3600)).otherwise(F.lit(-3600))
-    docs = m_c.select(*RUN, "accuracy", F.lit("compat").alias("mode"), base.alias("stamp")).unionByName(
-        m_x.select(*RUN, "accuracy", F.lit("exclude").alias("mode"), (base + later).alias("stamp")))
+    later = F.when((F.col("mode") == "exclude") & (F.col("temperature") == 0.5), F.lit(3600)) \
+        .when(F.col("mode") == "exclude", F.lit(-3600)).otherwise(F.lit(0))
+    docs = m.select(*by, "accuracy", (base + later).alias("stamp"))
     docs = docs.withColumn("timestamp_avaliacao", TF.iso_utc(F.timestamp_seconds("stamp")))
     lt = R.latest_per_key(docs, RUN, "stamp")
     return lt.select(*RUN, "mode", "timestamp_avaliacao", r6("accuracy").alias("accuracy"))
