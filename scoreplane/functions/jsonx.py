@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreplane import constants as K
+from scoreplane.functions.sqltext import ident, lit
 
 FENCED_BLOCK = r"```json\s*(\{[\s\S]*?\})\s*```"
 OUTER_BRACES = r"(?s)\{.*\}"
@@ -104,10 +105,40 @@ def extraction_error(raw, cand, cleaned, parsed) -> Column:
     )
 
 
+def extract_json_sql(raw: str) -> str:
+    """SQL text of :func:`extract_json` over the SQL expression ``raw``."""
+    opts = ", ".join(f"{lit(k)}, {lit(v)}" for k, v in _STRICT_OPTIONS.items())
+    cand = (f"coalesce(nullif(regexp_extract({raw}, {lit(FENCED_BLOCK)}, 1), ''), "
+            f"nullif(regexp_extract({raw}, {lit(OUTER_BRACES)}, 0), ''))")
+    clean = f"regexp_replace(jx_cand, {lit(CONTROL_CHARS)}, '')"
+    wrapped = f"from_json(concat('[', jx_clean, ']'), 'array<map<string,string>>', map({opts}))"
+    one = "CASE WHEN size(jx_w) = 1 THEN element_at(jx_w, 1) END"
+    fold = ("map_from_entries(reverse(aggregate(reverse(map_entries(jx_one)), "
+            "named_struct('k', cast(array() AS array<string>), 'e', cast(array() AS array<struct<key:string,value:string>>)), "
+            "(acc, x) -> CASE WHEN array_contains(acc.k, x.key) THEN acc "
+            "ELSE named_struct('k', array_append(acc.k, x.key), 'e', array_append(acc.e, x)) END).e))")
+    dedupe = (f"CASE WHEN jx_one IS NULL THEN jx_one WHEN size(array_distinct(map_keys(jx_one))) = size(jx_one) "
+              f"THEN jx_one ELSE {fold} END")
+    err = (f"CASE WHEN {raw} IS NULL OR {raw} = '' THEN {lit(K.ERR_EMPTY_RESPONSE)} "
+           f"WHEN jx_cand IS NULL THEN {lit(K.ERR_NO_JSON)} "
+           f"WHEN jx_parsed IS NULL THEN concat({lit(K.ERR_PARSE_PREFIX + '. Str: ' + chr(39))}, "
+           f"substring(jx_clean, 1, 200), {lit('...' + chr(39))}) END")
+    body = "named_struct('parsed', CASE WHEN jx_err IS NULL THEN jx_parsed END, 'error', jx_err)"
+    from scoreplane.functions.sqltext import let as slet
+    inner = slet(err, "jx_err", body)
+    inner = slet(dedupe, "jx_parsed", inner)
+    inner = slet(one, "jx_one", inner)
+    inner = slet(wrapped, "jx_w", inner)
+    inner = slet(clean, "jx_clean", inner)
+    return slet(cand, "jx_cand", inner)
+
+
 def extract_json(raw) -> Column:
     """struct<parsed: map<string,string>, error: string> for a raw answer.
 
     Every intermediate (candidate, cleaned text, parsed map) is bound once."""
+    if isinstance(raw, str):
+        return F.expr(extract_json_sql(ident(raw)))
     raw = _col(raw)
     return let(json_candidate(raw), lambda cand: let(clean_json(cand), lambda cleaned: let(
         strict_parse(cleaned), lambda parsed: let(
@@ -118,7 +149,7 @@ def extract_json(raw) -> Column:
 def with_extracted_json(df: DataFrame, raw_col: str, parsed_col: str = "parsed",
                         error_col: str = "json_parsing_error_msg") -> DataFrame:
     """Adds the parsed object and the error text of a raw answer column."""
-    out = df.withColumn("_jx", extract_json(F.col(raw_col)))
+    out = df.withColumn("_jx", extract_json(raw_col))
     return out.select("*", F.col("_jx.parsed").alias(parsed_col), F.col("_jx.error").alias(error_col)).drop("_jx")
 
 

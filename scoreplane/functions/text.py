@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scoreplane import constants as K
+from scoreplane.functions.sqltext import ident, lit
 
 # Every character Python's ``str.split()`` treats as whitespace.  ``\s`` in Java
 # regexes is ASCII-only and misses \x1c-\x1f, NEL, NBSP and the Unicode spaces.
@@ -25,16 +26,31 @@ _WS_BODY = WHITESPACE_CLASS[1:-1]
 _REWRITE_RUNS = f"(?: [{_WS_BODY}]+|[{_WS_BODY}&&[^ ]][{_WS_BODY}]*)"
 
 
+def normalize_sql(x: str) -> str:
+    """SQL text of :func:`normalize_text` over the SQL expression ``x``."""
+    # every run becomes one ' ', so trimming spaces is a full strip
+    return f"trim(regexp_replace(lower({x}), {lit(_REWRITE_RUNS)}, ' '))"
+
+
+def canonical_sql(x: str) -> str:
+    """SQL text of :func:`canonical_label` over the SQL expression ``x``."""
+    return (f"transform(array({normalize_sql(f'CAST({x} AS STRING)')}), n -> "
+            f"CASE WHEN n IS NULL OR n = '' THEN {lit(K.NA_LABEL)} ELSE n END)[0]")
+
+
 def normalize_text(c) -> Column:
     """lower, strip, collapse runs of whitespace to one space."""
-    collapsed = F.regexp_replace(F.lower(_col(c)), _REWRITE_RUNS, " ")
-    # every run is now one ' ', so trimming spaces is a full strip
+    if isinstance(c, str):
+        return F.expr(normalize_sql(ident(c)))
+    collapsed = F.regexp_replace(F.lower(c), _REWRITE_RUNS, " ")
     return F.trim(collapsed)
 
 
 def canonical_label(c) -> Column:
     """null or blank -> 'na'; otherwise the normalised text."""
-    norm = normalize_text(_col(c).cast("string"))
+    if isinstance(c, str):
+        return F.expr(canonical_sql(ident(c)))
+    norm = normalize_text(c.cast("string"))
     return F.coalesce(F.nullif(norm, F.lit("")), F.lit(K.NA_LABEL))
 
 

@@ -21,11 +21,6 @@ from scoreplane import constants as K
 RUN = ("model", "temperature")
 
 
-def _ratio(num, den) -> Column:
-    """num / den, 0.0 when den is 0 or null (zero_division=0) - never throws under ANSI."""
-    return F.coalesce(F.try_divide(num.cast("double"), den.cast("double")), F.lit(0.0))
-
-
 def confusion_counts(pairs: DataFrame, by: Sequence[str] = RUN) -> DataFrame:
     """(by, field, y_true, y_pred, n) (A1)."""
     return pairs.groupBy(*by, "field", "y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
@@ -43,30 +38,30 @@ def label_table(counts: DataFrame, dim: DataFrame, by: Sequence[str] = RUN) -> D
     runs x fields x labels rows."""
     d = F.broadcast(dim.select("field", "vocab"))
     c = counts.join(d, "field", "left")
-    hit = F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(F.lit(0)).cast("long")
-    zero = F.lit(0).cast("long")
-
-    def row(label, t, tp, p):
-        return F.struct(label.alias("label"), t.alias("t"), tp.alias("tp"), p.alias("p"))
-
-    vocab = F.coalesce(F.col("vocab"), F.array().cast("array<string>"))
-    rows = F.concat(
-        F.array(row(F.col("y_true"), F.col("n").cast("long"), hit, zero),
-                row(F.col("y_pred"), zero, zero, F.col("n").cast("long"))),
-        F.transform(vocab, lambda v: row(v, zero, zero, zero)))
-    e = c.select(*by, "field", vocab.alias("vocab"), F.explode(rows).alias("s"))
+    rows = ("explode(concat(array("
+            "named_struct('label', y_true, 't', CAST(n AS BIGINT), "
+            "'tp', CAST(CASE WHEN y_true = y_pred THEN n ELSE 0 END AS BIGINT), 'p', CAST(0 AS BIGINT)), "
+            "named_struct('label', y_pred, 't', CAST(0 AS BIGINT), 'tp', CAST(0 AS BIGINT), 'p', CAST(n AS BIGINT))), "
+            "transform(coalesce(vocab, CAST(array() AS ARRAY<STRING>)), v -> named_struct('label', v, "
+            "'t', CAST(0 AS BIGINT), 'tp', CAST(0 AS BIGINT), 'p', CAST(0 AS BIGINT))))) AS s")
+    e = c.selectExpr(*[f"`{b}`" for b in by], "field", "coalesce(vocab, CAST(array() AS ARRAY<STRING>)) AS vocab", rows)
     g = e.groupBy(*by, "field", F.col("s.label").alias("label")).agg(
         F.sum("s.t").alias("support_true"), F.sum("s.tp").alias("tp"), F.sum("s.p").alias("support_pred"),
-        F.max(F.array_contains("vocab", F.col("s.label"))).alias("in_vocab"))
+        F.expr("max(array_contains(vocab, s.label))").alias("in_vocab"))
     return _class_scores(g)
 
 
+def ratio_sql(num: str, den: str) -> str:
+    """num / den as double, 0.0 when den is 0 or null (zero_division=0); never throws under ANSI."""
+    return f"coalesce(try_divide(CAST({num} AS DOUBLE), CAST({den} AS DOUBLE)), 0.0D)"
+
+
 def _class_scores(df: DataFrame) -> DataFrame:
-    return df.select(
+    return df.selectExpr(
         "*",
-        _ratio(F.col("tp"), F.col("support_pred")).alias("precision"),
-        _ratio(F.col("tp"), F.col("support_true")).alias("recall"),
-        _ratio(F.col("tp") * 2, F.col("support_pred") + F.col("support_true")).alias("f1"),
+        f"{ratio_sql('tp', 'support_pred')} AS precision",
+        f"{ratio_sql('tp', 'support_true')} AS recall",
+        f"{ratio_sql('tp * 2', 'support_pred + support_true')} AS f1",
     )
 
 
@@ -77,18 +72,16 @@ def per_class(counts: DataFrame, dim: DataFrame, by: Sequence[str] = RUN) -> Dat
 
 
 def summary_from_labels(lt: DataFrame, by: Sequence[str] = RUN) -> DataFrame:
-    w = F.when(F.col("in_vocab"), F.col("support_true")).otherwise(F.lit(0))
-    wsum = F.sum(w)
+    w = "CASE WHEN in_vocab THEN support_true ELSE 0 END"
     agg = lt.groupBy(*by, "field").agg(
-        _ratio(F.sum("tp"), F.sum("support_true")).alias("accuracy"),
-        _ratio(F.sum(F.col("precision") * w), wsum).alias("precision_weighted"),
-        _ratio(F.sum(F.col("recall") * w), wsum).alias("recall_weighted"),
-        _ratio(F.sum(F.col("f1") * w), wsum).alias("f1_score_weighted"),
-        F.sum("support_true").alias("n_items"),
-        F.sum(F.when(~F.col("in_vocab"), F.col("support_pred")).otherwise(F.lit(0))).alias("n_oov_pred"),
+        F.expr(f"{ratio_sql('sum(tp)', 'sum(support_true)')}").alias("accuracy"),
+        F.expr(f"{ratio_sql(f'sum(precision * {w})', f'sum({w})')}").alias("precision_weighted"),
+        F.expr(f"{ratio_sql(f'sum(recall * {w})', f'sum({w})')}").alias("recall_weighted"),
+        F.expr(f"{ratio_sql(f'sum(f1 * {w})', f'sum({w})')}").alias("f1_score_weighted"),
+        F.expr("sum(support_true)").alias("n_items"),
+        F.expr("sum(CASE WHEN NOT in_vocab THEN support_pred ELSE 0 END)").alias("n_oov_pred"),
     )
-    return agg.withColumn(
-        "error", F.when(F.col("n_items") == 0, F.lit("Listas de entrada vazias.")).cast("string"))
+    return agg.selectExpr("*", "CAST(CASE WHEN n_items = 0 THEN 'Listas de entrada vazias.' END AS STRING) AS error")
 
 
 def summary(counts: DataFrame, dim: DataFrame, by: Sequence[str] = RUN) -> DataFrame:

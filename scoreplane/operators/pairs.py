@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 
 from scoreplane import constants as K
 from scoreplane.functions.jsonx import field_value
-from scoreplane.functions.text import canonical_label, normalize_text, slug
+from scoreplane.functions.sqltext import ident, lit
+from scoreplane.functions.text import canonical_label, canonical_sql, normalize_text, slug
 
 
 @dataclass(frozen=True)
@@ -47,15 +48,15 @@ def field_dimension(spark: SparkSession, fields: Sequence[FieldSpec], dataset: s
                       vocab.alias("vocab"))
 
 
-def failure_mask(status_col="status_geracao", api_col="status_api_call", parsed_col="parsed") -> Column:
+def failure_mask_sql(status_col="status_geracao", api_col="status_api_call", parsed_col="parsed") -> str:
     """Directory missing, API failed, or the parsed object is null / empty (F2, Q3)."""
-    parsed = F.col(parsed_col)
-    return (
-        F.coalesce(F.col(status_col) == F.lit(K.STATUS_DIR_MISSING), F.lit(False))
-        | F.coalesce(F.col(api_col) == F.lit(K.CALL_FAILED), F.lit(False))
-        | parsed.isNull()
-        | F.coalesce(F.size(parsed) == 0, F.lit(True))
-    )
+    s, a, p = ident(status_col), ident(api_col), ident(parsed_col)
+    return (f"(coalesce({s} = {lit(K.STATUS_DIR_MISSING)}, false) OR coalesce({a} = {lit(K.CALL_FAILED)}, false) "
+            f"OR {p} IS NULL OR coalesce(size({p}) = 0, true))")
+
+
+def failure_mask(status_col="status_geracao", api_col="status_api_call", parsed_col="parsed") -> Column:
+    return F.expr(failure_mask_sql(status_col, api_col, parsed_col))
 
 
 def align_pairs(
@@ -78,23 +79,25 @@ def align_pairs(
     on both sides (so they count as correct in accuracy, Q4); ``compat=False``
     drops them (count them with :func:`skipped_counts`)."""
     # canonical truth once per item, canonical prediction once per record - before the join
-    t = truth.select(F.col(truth_key).alias("_tkey"), F.lit(True).alias("_matched"),
-                     *[canonical_label(F.col(f.gt_col)).alias(f"_t{i}") for i, f in enumerate(fields)])
-    failed = failure_mask(parsed_col=parsed_col)
-    fail_label = F.lit(K.FAILURE_LABEL.lower())
-    p = predictions.select(*run_cols, pred_key, failed.alias("is_failure"), *[
-        F.when(failed, fail_label).otherwise(canonical_label(field_value(parsed_col, f.name))).alias(f"_p{i}")
-        for i, f in enumerate(fields)])
+    t = truth.selectExpr(f"{ident(truth_key)} AS _tkey", "true AS _matched",
+                         *[f"{canonical_sql(ident(f.gt_col))} AS _t{i}" for i, f in enumerate(fields)])
+    failed = failure_mask_sql(parsed_col=parsed_col)
+    fail_label = lit(K.FAILURE_LABEL.lower())
+    p = predictions.selectExpr(
+        *[ident(c) for c in run_cols], ident(pred_key), f"{failed} AS is_failure",
+        *[f"CASE WHEN {failed} THEN {fail_label} ELSE "
+          f"{canonical_sql(f'try_element_at({ident(parsed_col)}, {lit(f.name)})')} END AS _p{i}"
+          for i, f in enumerate(fields)])
     joined = p.join(t, p[pred_key] == t["_tkey"], "left")
 
-    skipped = F.col("_matched").isNull()
-    skip_label = F.lit(K.SKIPPED_LABEL.lower())
-    entries = [F.struct(F.lit(f.name).alias("field"),
-                        F.when(skipped, skip_label).otherwise(F.col(f"_t{i}")).alias("y_true"),
-                        F.when(skipped, skip_label).otherwise(F.col(f"_p{i}")).alias("y_pred"))
-               for i, f in enumerate(fields)]
-    out = joined.select(*run_cols, pred_key, "is_failure", skipped.alias("is_skipped"),
-                        F.explode(F.array(*entries)).alias("_e"))
+    skip_label = lit(K.SKIPPED_LABEL.lower())
+    entries = ", ".join(
+        f"named_struct('field', {lit(f.name)}, "
+        f"'y_true', CASE WHEN _matched IS NULL THEN {skip_label} ELSE _t{i} END, "
+        f"'y_pred', CASE WHEN _matched IS NULL THEN {skip_label} ELSE _p{i} END)"
+        for i, f in enumerate(fields))
+    out = joined.selectExpr(*[ident(c) for c in run_cols], ident(pred_key), "is_failure",
+                            "_matched IS NULL AS is_skipped", f"explode(array({entries})) AS _e")
     out = out.select(*run_cols, pred_key, "_e.field", "_e.y_true", "_e.y_pred", "is_failure", "is_skipped")
     if not compat:
         out = out.filter(~F.col("is_skipped"))

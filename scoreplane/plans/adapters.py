@@ -120,7 +120,8 @@ MULTILABEL_VOCAB = ["view", "click", "signup", "purchase", "error", "refund"]
 
 # ---------------------------------------------------------------- Spark side
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    from scoreplane.sources.tables import read_table
+    return read_table(spark, sf_dir, name)
 
 
 def apply_stages(df: DataFrame, stages: Sequence[Stage], keep: Sequence[str] | None = None) -> DataFrame:

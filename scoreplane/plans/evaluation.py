@@ -14,8 +14,14 @@ from scoreplane.plans import adapters as A
 RUN = ("model", "temperature")
 
 
+_DIMS: dict[str, DataFrame] = {}
+
+
 def dimension(spark: SparkSession) -> DataFrame:
-    return P.field_dimension(spark, A.FIELDS)
+    key = spark.sparkContext.applicationId
+    if key not in _DIMS:
+        _DIMS[key] = P.field_dimension(spark, A.FIELDS)
+    return _DIMS[key]
 
 
 def parsed_records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,8 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "sco
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
+        # no Python call-site capture per Column call: plan construction is ~5x cheaper
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -16,8 +16,26 @@ from pyspark.sql import DataFrame, SparkSession
 from scoreplane.session import ensure_checkpoint_dir
 
 
+_READS: dict[tuple, DataFrame] = {}
+
+
+def _ctx_key(spark: SparkSession) -> str:
+    return spark.sparkContext.applicationId
+
+
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """``spark.read.parquet`` memoised per application: listing the files and
+    reading the footers is done once per path, not once per query."""
+    key = (_ctx_key(spark), path)
+    df = _READS.get(key)
+    if df is None:
+        df = spark.read.parquet(path)
+        _READS[key] = df
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_parquet(spark, f"{sf_dir}/{name}.parquet")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -33,12 +51,15 @@ def materialize(spark: SparkSession, name: str, key: str, build: Callable[[], Da
     root = ensure_checkpoint_dir(spark).rstrip("/")
     digest = hashlib.sha1(key.encode()).hexdigest()[:16]
     path = f"{root}/scoreplane-tables/{name}-{digest}"
+    memo = _READS.get((_ctx_key(spark), path))
+    if memo is not None:
+        return memo
     if not _exists(spark, path):
         writer = build().write.mode("overwrite")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)
-    return spark.read.parquet(path)
+    return read_parquet(spark, path)
 
 
 def abspath(p: str) -> str:
