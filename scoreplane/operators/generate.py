@@ -96,3 +96,28 @@ def usage_totals(generated: DataFrame, keys: Sequence[str] = ("prompt_chars", "r
     return generated.groupBy(*by).agg(
         *[F.sum(F.try_element_at("usage", F.lit(k)).try_cast("long")).alias(k) for k in keys],
         F.count(F.lit(1)).alias("n_calls"))
+
+
+def run_grid(items: DataFrame, models: Sequence[str], temperatures: Sequence[float], generate: Generator,
+             dirs: DataFrame | None = None, id_col: str = "request_id", entity_col: str = "entity_id") -> DataFrame:
+    """End-to-end grid generation (I2): grid (J2) -> directory match (J6) -> request
+    (P10) -> model call (I1) -> strict parse (E10-E12) -> status (F3).
+
+    ``items`` needs ``id_col``, ``system``, ``prompt`` and ``images``; with ``dirs``
+    the items also need ``entity_col`` and items without a directory are not sent
+    to the model (status ``erro_diretorio_nao_encontrado``).  Persist the result
+    (``sinks.write_generation_items``) before using it twice."""
+    from scoreplane.operators.grid import experiment_grid, match_directories
+
+    grid = experiment_grid(items, models, temperatures)
+    if dirs is not None:
+        m = match_directories(items.select(entity_col).distinct(), dirs, entity_col=entity_col)
+        grid = grid.join(m.select(entity_col, "dir"), entity_col, "left")
+        found = F.col("dir").isNotNull()
+    else:
+        found = F.lit(True)
+    grid = grid.withColumn("_found", found)
+    called = batch_generate(grid.filter("_found"), generate, id_col)
+    keys = [id_col, "model", "temperature"]
+    out = grid.select(*keys, "_found").join(called, keys, "left")
+    return parse_answers(out, dir_found=F.col("_found")).drop("_found")

@@ -106,6 +106,15 @@ def report_columns(with_metrics: bool = True, with_temperature: bool = True, wit
     return cols
 
 
+DISPLAY_NAMES = {"Temperatura": "Temp.", "Tempo de Execucao Total (s)": "Tempo (s)"}
+
+
+def display_names(df: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
+    """Rename columns for display (P9); names that are absent are ignored."""
+    names = DISPLAY_NAMES if names is None else names
+    return df.withColumnsRenamed({k: v for k, v in names.items() if k in df.columns})
+
+
 def numeric_temperature(col: str = "Temperatura") -> Column:
     return F.col(col).try_cast("double")
 

@@ -35,11 +35,14 @@ def embed_texts(df: DataFrame, text_col: str, encoder_factory: Callable[[], Call
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         enc = encoder_factory()
         for s in batches:
-            mask = s.notna() & (s.str.len() > 0)
-            out = pd.Series([None] * len(s), dtype=object)
-            if mask.any():
-                vecs = enc(s[mask].tolist())
-                out[mask.values] = [list(map(float, v)) for v in vecs]
-            yield out
+            mask = (s.notna() & (s.str.len() > 0)).tolist()
+            values = s.tolist()
+            out: list = [None] * len(values)
+            keep = [i for i, ok in enumerate(mask) if ok]
+            if keep:
+                vecs = enc([values[i] for i in keep])
+                for i, v in zip(keep, vecs):
+                    out[i] = [float(x) for x in v]
+            yield pd.Series(out, dtype=object)
 
     return df.withColumn(out_col, encode(normalize_text(text_col)))

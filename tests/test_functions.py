@@ -114,3 +114,32 @@ def test_vectors(spark):
     got = [r[0] for r in df.select(cosine_similarity("a", "b")).collect()]
     assert got[0] == 0.0 and abs(got[1] - 1.0) < 1e-12 and got[2] is None and got[3] is None
     assert [r[0] for r in df.select(argmax("b")).collect()] == [1, 1, 0, 0]
+
+
+def test_embed_texts_with_injected_encoder(spark):
+    import numpy as np
+    from scoreplane.operators.similarity import embed_texts
+
+    def factory():
+        def enc(texts):
+            return np.array([[len(t), t.count("a") + 1.0] for t in texts])
+        return enc
+
+    df = spark.createDataFrame([(1, "  A  b "), (2, ""), (3, None)], "id long, t string")
+    rows = {r["id"]: r["embedding"] for r in embed_texts(df, "t", factory).collect()}
+    assert rows[1] == [3.0, 2.0] and rows[2] is None and rows[3] is None
+
+
+def test_run_grid_end_to_end(spark):
+    from scoreplane.operators.generate import run_grid
+    from scoreplane.plans.queries import stub_generate
+
+    items = spark.createDataFrame([(1, "1", "sys", "hello", []), (2, "2", "sys", "", []), (3, "3", "sys", "x", [])],
+                                  "request_id long, entity_id string, system string, prompt string, images array<string>")
+    dirs = spark.createDataFrame([("1_house",), ("2",)], "dir_name string")
+    out = run_grid(items, ["m:1"], [0.0, 1.0], stub_generate, dirs=dirs)
+    st = {(r["request_id"], r["temperature"]): r["status_geracao"] for r in out.collect()}
+    assert st[(1, 0.0)] == "processado_com_sucesso"
+    assert st[(2, 1.0)] == "erro_api"
+    assert st[(3, 0.0)] == "erro_diretorio_nao_encontrado"
+    assert len(st) == 6
