@@ -88,7 +88,13 @@ def align_pairs(
         *[f"CASE WHEN {failed} THEN {fail_label} ELSE "
           f"{canonical_sql(f'try_element_at({ident(parsed_col)}, {lit(f.name)})')} END AS _p{i}"
           for i, f in enumerate(fields)])
-    joined = p.join(t, p[pred_key] == t["_tkey"], "left")
+    # A null key can never match: those records bypass the join instead of all
+    # hashing into one partition (a third of the records may lack an index).
+    keyed = p.filter(F.col(pred_key).isNotNull())
+    unkeyed = p.filter(F.col(pred_key).isNull()).selectExpr(
+        "*", "CAST(NULL AS BIGINT) AS _tkey", "CAST(NULL AS BOOLEAN) AS _matched",
+        *[f"CAST(NULL AS STRING) AS _t{i}" for i in range(len(fields))])
+    joined = keyed.join(t, keyed[pred_key] == t["_tkey"], "left").unionByName(unkeyed)
 
     skip_label = lit(K.SKIPPED_LABEL.lower())
     entries = ", ".join(

@@ -90,7 +90,7 @@ GENERATION_STAGES: list[Stage] = [
         ("w", "(item_id * 5 + m * 3 + t) % 32"),
     ],
     [
-        ("dataset_idx", "CASE WHEN s = 4 THEN -1 ELSE item_id END"),
+        ("dataset_idx", "CASE WHEN s = 4 THEN -1 WHEN s = 5 THEN NULL ELSE item_id END"),
         ("property_id", "item_id + 1"),
         ("status_api_call", "CASE WHEN s = 2 THEN NULL WHEN s = 0 THEN 'falha' ELSE 'sucesso' END"),
         ("latency_s", "CASE WHEN s = 2 THEN NULL ELSE "

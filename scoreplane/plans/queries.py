@@ -632,6 +632,8 @@ def latest_run(spark, sf):
     later = F.when((F.col("mode") == "exclude") & (F.col("temperature") == 0.5), F.lit(3600)) \
         .when(F.col("mode") == "exclude", F.lit(-3600)).otherwise(F.lit(0))
     docs = m.select(*by, "accuracy", (base + later).alias("stamp"))
-    docs = docs.withColumn("timestamp_avaliacao", TF.iso_utc(F.timestamp_seconds("stamp")))
+    # wall-clock UTC without the session time zone: epoch + interval on TIMESTAMP_NTZ
+    ntz = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, CAST(stamp AS DECIMAL(18, 6)))")
+    docs = docs.withColumn("timestamp_avaliacao", TF.iso_utc(ntz))
     lt = R.latest_per_key(docs, RUN, "stamp")
     return lt.select(*RUN, "mode", "timestamp_avaliacao", r6("accuracy").alias("accuracy"))
