@@ -88,13 +88,16 @@ def align_pairs(
         *[f"CASE WHEN {failed} THEN {fail_label} ELSE "
           f"{canonical_sql(f'try_element_at({ident(parsed_col)}, {lit(f.name)})')} END AS _p{i}"
           for i, f in enumerate(fields)])
-    # A null key can never match: those records bypass the join instead of all
-    # hashing into one partition (a third of the records may lack an index).
-    keyed = p.filter(F.col(pred_key).isNotNull())
-    unkeyed = p.filter(F.col(pred_key).isNull()).selectExpr(
-        "*", "CAST(NULL AS BIGINT) AS _tkey", "CAST(NULL AS BOOLEAN) AS _matched",
-        *[f"CAST(NULL AS STRING) AS _t{i}" for i in range(len(fields))])
-    joined = keyed.join(t, keyed[pred_key] == t["_tkey"], "left").unionByName(unkeyed)
+    # A null key can never match, but null keys would all hash into one partition
+    # (a third of the records may lack an index).  Join on (is_null, key) and give
+    # null-key records a deterministic spread value instead: they still match
+    # nothing, but land in different partitions.  One scan, no hot partition;
+    # a hot non-null key is left to AQE's skew-join split.
+    spread = F.xxhash64(*[F.col(c) for c in run_cols], *[F.col(f"_p{i}") for i in range(len(fields))])
+    p = p.withColumn("_jk", F.struct(F.col(pred_key).isNull().alias("n"),
+                                     F.coalesce(F.col(pred_key), spread).alias("k")))
+    t = t.withColumn("_tk", F.struct(F.lit(False).alias("n"), F.col("_tkey").alias("k")))
+    joined = p.join(t, p["_jk"] == t["_tk"], "left")
 
     skip_label = lit(K.SKIPPED_LABEL.lower())
     entries = ", ".join(
