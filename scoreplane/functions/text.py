@@ -20,16 +20,19 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-# Only runs that need rewriting: a space followed by more whitespace, or any other
-# whitespace character.  A lone space between words (the common case) is no match.
-_WS_BODY = WHITESPACE_CLASS[1:-1]
-_REWRITE_RUNS = f"(?: [{_WS_BODY}]+|[{_WS_BODY}&&[^ ]][{_WS_BODY}]*)"
+# Whitespace other than ' ' that Python's ``str.split()`` splits on.
+_OTHER_WS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+             + "\u2028\u2029\u202f\u205f\u3000")
+_OTHER_WS_SQL = "'" + "".join(f"\\u{ord(c):04x}" for c in _OTHER_WS) + "'"
+_SPACES_SQL = "'" + " " * len(_OTHER_WS) + "'"
 
 
 def normalize_sql(x: str) -> str:
-    """SQL text of :func:`normalize_text` over the SQL expression ``x``."""
-    # every run becomes one ' ', so trimming spaces is a full strip
-    return f"trim(regexp_replace(lower({x}), {lit(_REWRITE_RUNS)}, ' '))"
+    """SQL text of :func:`normalize_text` over the SQL expression ``x``.
+
+    A character map turns every whitespace character into ' ' (cheap, no regex),
+    then only runs of two or more spaces are rewritten; a full strip is a trim."""
+    return f"trim(regexp_replace(translate(lower({x}), {_OTHER_WS_SQL}, {_SPACES_SQL}), '  +', ' '))"
 
 
 def canonical_sql(x: str) -> str:
@@ -42,8 +45,8 @@ def normalize_text(c) -> Column:
     """lower, strip, collapse runs of whitespace to one space."""
     if isinstance(c, str):
         return F.expr(normalize_sql(ident(c)))
-    collapsed = F.regexp_replace(F.lower(c), _REWRITE_RUNS, " ")
-    return F.trim(collapsed)
+    spaced = F.translate(F.lower(c), _OTHER_WS, " " * len(_OTHER_WS))
+    return F.trim(F.regexp_replace(spaced, "  +", " "))
 
 
 def canonical_label(c) -> Column:
