@@ -72,6 +72,8 @@ def per_class(counts: DataFrame, dim: DataFrame, by: Sequence[str] = RUN) -> Dat
 
 
 def summary_from_labels(lt: DataFrame, by: Sequence[str] = RUN) -> DataFrame:
+    """Summary from a label table; a group without pairs carries an ``error`` text
+    instead of raising (F9).  Length mismatches cannot arise once pairs are rows."""
     w = "CASE WHEN in_vocab THEN support_true ELSE 0 END"
     agg = lt.groupBy(*by, "field").agg(
         F.expr(f"{ratio_sql('sum(tp)', 'sum(support_true)')}").alias("accuracy"),

@@ -137,6 +137,7 @@ def skipped_items(spark, sf):
 
 @query
 def status_breakdown(spark, sf):
+    """Status, image and parse counts per run."""
     r = E.parsed_records(spark, sf)
     return r.groupBy(*RUN, "status_geracao").agg(
         F.count(F.lit(1)).alias("n"),
