@@ -147,16 +147,24 @@ def build_generation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_stages(base, GENERATION_STAGES, GENERATION_COLUMNS)
 
 
-def generation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T2/T3 as stored data: written once per session folder, partitioned by run.
+PARSED_COLUMNS = ["parsed", "json_parsing_error_msg", "status_json_parsing", "status_geracao"]
+
 
-    Generation output is a stored table in practice (and model calls must never
-    be recomputed); reading it back also keeps the generator's expressions out
-    of every later plan."""
-    key = abspath(sf_dir) + "\n" + GENERATION_SQL
-    df = materialize(spark, "generation", key, lambda: build_generation_records(spark, sf_dir),
+def generation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2/T3 as stored generation output: written once per session folder,
+    partitioned by run, with the raw answer *and* its parse (map, error, status),
+    as the generation stage stores them (I2 -> K1).
+
+    Generation output is a stored table in practice (model calls must never be
+    recomputed); reading it back also keeps the generator's expressions out of
+    every later plan.  Evaluation reads the stored parse; the JSON queries parse
+    the stored raw text again."""
+    from scoreplane.operators.generate import parse_answers
+
+    key = abspath(sf_dir) + "\nparsed-v1\n" + GENERATION_SQL
+    df = materialize(spark, "generation", key, lambda: parse_answers(build_generation_records(spark, sf_dir)),
                      partition_by=("model", "temperature"))
-    return df.select(*GENERATION_COLUMNS)
+    return df.select(*GENERATION_COLUMNS, *PARSED_COLUMNS)
 
 
 # ---------------------------------------------------------------- DuckDB side

@@ -25,7 +25,13 @@ def dimension(spark: SparkSession) -> DataFrame:
 
 
 def parsed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_answers(A.generation_records(spark, sf_dir))
+    """Generation records with their stored parse (map, error text, statuses)."""
+    return A.generation_records(spark, sf_dir)
+
+
+def reparsed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same records with the raw answers parsed again in this plan."""
+    return parse_answers(A.generation_records(spark, sf_dir).drop(*A.PARSED_COLUMNS))
 
 
 def pairs(spark: SparkSession, sf_dir: str, compat: bool = True) -> DataFrame:

@@ -137,8 +137,8 @@ def skipped_items(spark, sf):
 
 @query
 def status_breakdown(spark, sf):
-    """Status, image and parse counts per run."""
-    r = E.parsed_records(spark, sf)
+    """Status, image and parse counts per run (A8), parsing the raw answers in this plan."""
+    r = E.reparsed_records(spark, sf)
     return r.groupBy(*RUN, "status_geracao").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("n_images").alias("n_images"),
@@ -263,7 +263,8 @@ def json_clean(spark, sf):
 
 @query
 def json_strict_parse(spark, sf):
-    r = JX.with_extracted_json(A.generation_records(spark, sf), "raw_answer", "parsed", "err")
+    raw = A.generation_records(spark, sf).drop(*A.PARSED_COLUMNS)
+    r = JX.with_extracted_json(raw, "raw_answer", "parsed", "err")
     kind = (F.when(F.col("err").isNull(), F.lit("ok"))
             .when(F.col("err") == K.ERR_EMPTY_RESPONSE, F.lit("empty"))
             .when(F.col("err") == K.ERR_NO_JSON, F.lit("no_json")).otherwise(F.lit("invalid")))
