@@ -31,8 +31,9 @@ def test_no_cartesian_or_row_udf(spark, sf_small, name):
 
 def test_flagship_prunes_columns(spark, sf_small):
     plan = _explain(entry.queries()["weighted_metrics"](spark, sf_small))
-    # the generation scan reads only the three columns the evaluation needs
-    assert "ReadSchema: struct<dataset_idx:bigint,status_api_call:string,raw_answer:string>" in plan
+    # the generation scan reads only the stored parse and the columns the mask needs - not the raw text
+    assert ("ReadSchema: struct<dataset_idx:bigint,status_api_call:string,parsed:map<string,string>,"
+            "status_geracao:string>") in plan
     # documents and labels: only the columns the truth fields use
     assert "ReadSchema: struct<doc_id:bigint,lang:string,n_chars:bigint>" in plan
     assert "ReadSchema: struct<doc_id:bigint,quality:int,toxic:int>" in plan
