@@ -18,7 +18,8 @@ _DIMS: dict[str, DataFrame] = {}
 
 
 def dimension(spark: SparkSession) -> DataFrame:
-    key = spark.sparkContext.applicationId
+    from scoreplane.sources.tables import _ctx_key
+    key = _ctx_key(spark)
     if key not in _DIMS:
         _DIMS[key] = P.field_dimension(spark, A.FIELDS)
     return _DIMS[key]

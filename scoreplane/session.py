@@ -38,14 +38,26 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "sco
     return spark
 
 
+def _context_dir(spark: SparkSession):
+    try:
+        return spark.sparkContext.getCheckpointDir()
+    except Exception:  # sessions without a local SparkContext
+        return None
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, setting a scratch one only if unset."""
-    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """Return the shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only when the session names none (local tests) is a scratch folder created."""
+    current = spark.conf.get("spark.checkpoint.dir", None) or _context_dir(spark)
     if not current:
         current = tempfile.mkdtemp(prefix="scoreplane-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(current)
+    try:
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(current)
+    except Exception:
+        pass
     return current
 
 

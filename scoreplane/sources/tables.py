@@ -20,7 +20,10 @@ _READS: dict[tuple, DataFrame] = {}
 
 
 def _ctx_key(spark: SparkSession) -> str:
-    return spark.sparkContext.applicationId
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # sessions without a local SparkContext
+        return f"session-{id(spark)}"
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -39,10 +42,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS"))
+    """Whether a completed write (``_SUCCESS`` marker) is at ``path``, on any Hadoop file system."""
+    try:
+        jvm = spark.sparkContext._jvm
+        hpath = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+        return bool(hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath))
+    except Exception:  # no JVM handle: fall back to a read of the marker
+        try:
+            return spark.read.text(path + "/_SUCCESS").limit(1).count() >= 0
+        except Exception:
+            return False
 
 
 def materialize(spark: SparkSession, name: str, key: str, build: Callable[[], DataFrame],
