@@ -138,3 +138,20 @@ def test_sinks_csv_text(spark):
     assert sorted(lines) == ["A & m", "B & m"]
     sinks.write_summary_csv(df, os.path.join(d, "s"), ["Accuracy"], partition_cols=["Modelo"])
     assert os.path.isdir(os.path.join(d, "s", "Modelo=m"))
+
+
+def test_generation_items_sink_partitioned_by_run(spark, sf_small):
+    from scoreplane.plans import adapters as A
+
+    d = tmpdir()
+    rec = A.generation_records(spark, sf_small)
+    sinks.write_generation_items(rec, os.path.join(d, "items"))
+    sinks.write_run_metadata(rec, os.path.join(d, "meta"))
+    runs = sorted(n for n in os.listdir(os.path.join(d, "items")) if n.startswith("model="))
+    assert len(runs) == 3
+    back = spark.read.parquet(os.path.join(d, "items"))
+    assert back.count() == rec.count()
+    assert back.filter("model = 'alpha-vl:7b' AND temperature = 0.5").count() == \
+        rec.filter("model = 'alpha-vl:7b' AND temperature = 0.5").count()
+    meta = spark.read.json(os.path.join(d, "meta"))
+    assert meta.count() == 9 and meta.agg(F.sum("total_itens_na_saida_run")).first()[0] == rec.count()
