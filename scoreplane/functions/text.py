@@ -121,10 +121,18 @@ def _sql(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def fixed(c, places: int = 2) -> Column:
-    """Fixed-point text with round-half-even on the binary value, no grouping."""
+def fixed(c, places: int = 2, stabilize: bool = True) -> Column:
+    """Fixed-point text with round-half-even on the binary value, no grouping.
+
+    ``stabilize`` first rounds to 9 places: a sum of doubles taken in a different
+    order (another partitioning, another engine) differs in the last bits, and
+    near a decimal tie that flips the printed digit.  Rounding collapses such
+    neighbours onto one double; exact values (0.125, 0.615) print as before."""
     pattern = "0." + "0" * places if places > 0 else "0"
-    return F.call_function("format_number", _col(c).cast("double"), F.lit(pattern))
+    x = _col(c).cast("double")
+    if stabilize:
+        x = F.round(x, 9)
+    return F.call_function("format_number", x, F.lit(pattern))
 
 
 def escape_special(c, model_name: bool = False) -> Column:

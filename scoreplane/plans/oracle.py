@@ -227,8 +227,8 @@ oracle("coerce_temperature", _ctes(GEN, RUNS) +
        "SELECT model, temperature, label, TRY_CAST(label AS DOUBLE) AS temperature_num FROM "
        f"(SELECT *, CASE WHEN temperature = 1.0 THEN '{K.TEMPERATURE_UNKNOWN}' ELSE CAST(temperature AS VARCHAR) END AS label FROM runs)",
        base=False)
-oracle("fixed_format", "SELECT model, temperature, field, printf('%.2f', accuracy) AS accuracy_2, "
-       "printf('%.4f', f1_score_weighted) AS f1_4, printf('%.2f', n_items / 8) AS eighths_2 FROM summ")
+oracle("fixed_format", "SELECT model, temperature, field, printf('%.2f', round(accuracy, 9)) AS accuracy_2, "
+       "printf('%.4f', round(f1_score_weighted, 9)) AS f1_4, printf('%.2f', round(n_items / 8, 9)) AS eighths_2 FROM summ")
 oracle("escaped_labels", f"SELECT page_id, {escape('url')} AS escaped, "
        f"{escape(chr(39) + '~^{}' + chr(92) + '_$' + chr(39) + ' || url', True)} AS escaped_model FROM pages", base=False)
 
@@ -421,9 +421,9 @@ _ORD = "Categoria, TRY_CAST(Temperatura AS DOUBLE) NULLS LAST, Temperatura"
 _CELLS = " || ' & ' || ".join([
     "CASE WHEN rn_g = 1 THEN '\\multirow{' || n_g || '}{*}{\\textbf{' || " + escape("Modelo", True) + " || '}}' ELSE '' END",
     "CASE WHEN rn_s = 1 THEN '\\multirow{' || n_s || '}{*}{' || " + escape("Categoria") + " || '}' ELSE '' END",
-    "CASE WHEN TRY_CAST(Temperatura AS DOUBLE) IS NOT NULL THEN printf('%.2f', TRY_CAST(Temperatura AS DOUBLE)) ELSE "
+    "CASE WHEN TRY_CAST(Temperatura AS DOUBLE) IS NOT NULL THEN printf('%.2f', round(TRY_CAST(Temperatura AS DOUBLE), 9)) ELSE "
     + escape("Temperatura") + " END",
-    *[f"coalesce(printf('%.2f', \"{m}\"), 'nan')" for m in ["Accuracy", "F1-Score", "Precision", "Recall"]],
+    *[f"coalesce(printf('%.2f', round(\"{m}\", 9)), 'nan')" for m in ["Accuracy", "F1-Score", "Precision", "Recall"]],
 ])
 ORACLE["report_rows"] = with_rep(
     "SELECT Modelo, Categoria, Temperatura, rn_g = 1 AS show_group, n_g AS group_rows, rn_s = 1 AS show_sub, "
@@ -455,3 +455,14 @@ ORACLE["latest_run"] = with_base(
     "'%Y-%m-%dT%H:%M:%S.%f+00:00') AS timestamp_avaliacao, "
     "round(CASE WHEN temperature = 0.5 THEN x.accuracy ELSE c.accuracy END, 6) AS accuracy "
     "FROM macro_c c JOIN macro_x x USING (model, temperature)").replace("WITH \ntruth", "WITH \ntruth")
+
+ORACLE["run_summary_rows"] = with_base(
+    "SELECT model, temperature, field AS \"Categoria\", printf('%.4f', round(accuracy, 9)) AS \"Accuracy\", "
+    "printf('%.4f', round(f1_score_weighted, 9)) AS \"F1-Score (Weighted)\", printf('%.4f', round(precision_weighted, 9)) AS "
+    "\"Precision (Weighted)\", printf('%.4f', round(recall_weighted, 9)) AS \"Recall (Weighted)\" FROM summ UNION ALL "
+    f"SELECT model, temperature, '{K.OVERALL_CATEGORY}', printf('%.4f', round(avg(accuracy), 9)), printf('%.4f', round(avg(f1_score_weighted), 9)), "
+    "printf('%.4f', round(avg(precision_weighted), 9)), printf('%.4f', round(avg(recall_weighted), 9)) FROM summ GROUP BY model, temperature")
+ORACLE["report_csv_rows"] = with_rep(
+    "SELECT Modelo, Temperatura, Categoria, printf('%.4f', round(\"Accuracy\", 9)) AS \"Accuracy\", "
+    "printf('%.4f', round(\"F1-Score\", 9)) AS \"F1-Score\", printf('%.4f', round(\"Precision\", 9)) AS \"Precision\", "
+    "printf('%.4f', round(\"Recall\", 9)) AS \"Recall\" FROM rep")

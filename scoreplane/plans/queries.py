@@ -639,3 +639,22 @@ def latest_run(spark, sf):
     docs = docs.withColumn("timestamp_avaliacao", TF.iso_utc(ntz))
     lt = R.latest_per_key(docs, RUN, "stamp")
     return lt.select(*RUN, "mode", "timestamp_avaliacao", r6("accuracy").alias("accuracy"))
+
+
+# ------------------------------------------------------------ sink layouts as rows
+@query
+def run_summary_rows(spark, sf):
+    """Rows of the per-run summary file (K3): categories then the overall row, 4 decimals."""
+    s = classify.summary_with_overall(E.summary(spark, sf), RUN)
+    names = K.RUN_SUMMARY_COLUMNS
+    return s.select(*RUN, F.col("category").alias(names[0]),
+                    TX.fixed("accuracy", 4).alias(names[1]), TX.fixed("f1_score_weighted", 4).alias(names[2]),
+                    TX.fixed("precision_weighted", 4).alias(names[3]), TX.fixed("recall_weighted", 4).alias(names[4]))
+
+
+@query
+def report_csv_rows(spark, sf):
+    """Rows of the by-category report file (K4): fixed column order, 4 decimals."""
+    rep = R.existing_columns(_report(spark, sf), K.REPORT_BY_CATEGORY_COLUMNS)
+    return rep.select(*[TX.fixed(F.col(f"`{c}`"), 4).alias(c) if c in REPORT_METRICS else F.col(f"`{c}`")
+                        for c in rep.columns])
