@@ -90,10 +90,12 @@ def align_pairs(
           for i, f in enumerate(fields)])
     # A null key can never match, but null keys would all hash into one partition
     # (a third of the records may lack an index).  Join on (is_null, key) and give
-    # null-key records a deterministic spread value instead: they still match
-    # nothing, but land in different partitions.  One scan, no hot partition;
-    # a hot non-null key is left to AQE's skew-join split.
-    spread = F.xxhash64(*[F.col(c) for c in run_cols], *[F.col(f"_p{i}") for i in range(len(fields))])
+    # null-key records a per-row spread value instead: they still match nothing,
+    # but land in different partitions.  The value only routes rows that never
+    # match, so it cannot change a result (Spark reruns such stages consistently on
+    # retry).  One scan, no hot partition; a hot non-null key is left to AQE's
+    # skew-join split.
+    spread = F.monotonically_increasing_id()
     p = p.withColumn("_jk", F.struct(F.col(pred_key).isNull().alias("n"),
                                      F.coalesce(F.col(pred_key), spread).alias("k")))
     t = t.withColumn("_tk", F.struct(F.lit(False).alias("n"), F.col("_tkey").alias("k")))
