@@ -19,6 +19,10 @@ from scoreplane.functions.sqltext import ident, lit
 from scoreplane.functions.text import canonical_label, canonical_sql, normalize_text, slug
 
 
+# Columns that identify a generation record, when present (used to spread null keys).
+RECORD_ID_COLUMNS = ("property_id", "request_id", "record_id")
+
+
 @dataclass(frozen=True)
 class FieldSpec:
     """One categorical field: display name (key in the answer), truth column, vocabulary."""
@@ -83,21 +87,22 @@ def align_pairs(
                          *[f"{canonical_sql(ident(f.gt_col))} AS _t{i}" for i, f in enumerate(fields)])
     failed = failure_mask_sql(parsed_col=parsed_col)
     fail_label = lit(K.FAILURE_LABEL.lower())
+    # A null key can never match, but null keys would all hash into one partition
+    # (a third of the records may lack an index).  Join on (is_null, key) and give
+    # null-key records a spread value instead: a hash of the record's identity
+    # (run, record id, answer), computed only for those rows.  They still match
+    # nothing but land in different partitions; the hash is deterministic, so
+    # retries and filter pushdown are unaffected, and only small columns are read.
+    # A hot non-null key is left to AQE's skew-join split.
+    ids = [c for c in RECORD_ID_COLUMNS if c in predictions.columns]
+    hashable = ", ".join([*[ident(c) for c in (*run_cols, *ids)], f"map_entries({ident(parsed_col)})"])
+    key = ident(pred_key)
     p = predictions.selectExpr(
-        *[ident(c) for c in run_cols], ident(pred_key), f"{failed} AS is_failure",
+        *[ident(c) for c in run_cols], key, f"{failed} AS is_failure",
+        f"named_struct('n', {key} IS NULL, 'k', coalesce({key}, xxhash64({hashable}))) AS _jk",
         *[f"CASE WHEN {failed} THEN {fail_label} ELSE "
           f"{canonical_sql(f'try_element_at({ident(parsed_col)}, {lit(f.name)})')} END AS _p{i}"
           for i, f in enumerate(fields)])
-    # A null key can never match, but null keys would all hash into one partition
-    # (a third of the records may lack an index).  Join on (is_null, key) and give
-    # null-key records a per-row spread value instead: they still match nothing,
-    # but land in different partitions.  The value only routes rows that never
-    # match, so it cannot change a result (Spark reruns such stages consistently on
-    # retry).  One scan, no hot partition; a hot non-null key is left to AQE's
-    # skew-join split.
-    spread = F.monotonically_increasing_id()
-    p = p.withColumn("_jk", F.struct(F.col(pred_key).isNull().alias("n"),
-                                     F.coalesce(F.col(pred_key), spread).alias("k")))
     t = t.withColumn("_tk", F.struct(F.lit(False).alias("n"), F.col("_tkey").alias("k")))
     joined = p.join(t, p["_jk"] == t["_tk"], "left")
 

@@ -31,11 +31,19 @@ def test_no_cartesian_or_row_udf(spark, sf_small, name):
 
 def test_flagship_prunes_columns(spark, sf_small):
     plan = _explain(entry.queries()["weighted_metrics"](spark, sf_small))
-    # the generation scan reads only the stored parse and the columns the mask needs - not the raw text
-    assert ("ReadSchema: struct<dataset_idx:bigint,status_api_call:string,parsed:map<string,string>,"
-            "status_geracao:string>") in plan
+    # the generation scan reads only the stored parse, the mask columns and the record id - not the raw text
+    assert ("ReadSchema: struct<property_id:bigint,dataset_idx:bigint,status_api_call:string,"
+            "parsed:map<string,string>,status_geracao:string>") in plan
     # documents and labels: only the columns the truth fields use
     assert "ReadSchema: struct<doc_id:bigint,lang:string,n_chars:bigint>" in plan
     assert "ReadSchema: struct<doc_id:bigint,quality:int,toxic:int>" in plan
     # one join of data-sized inputs (records x truth); the dimension join is a broadcast
     assert plan.count("- SortMergeJoin") == 1
+
+
+def test_run_filter_prunes_partitions(spark, sf_small):
+    from scoreplane.plans import evaluation as E
+
+    plan = _explain(E.pairs(spark, sf_small).filter("model = 'beta-vl:13b' AND temperature = 0.5"))
+    assert "PartitionFilters: [isnotnull(model" in plan and "(model#" in plan
+    assert "(temperature#" in plan

@@ -12,9 +12,9 @@ def _records(spark, n=3000):
     rows = []
     for i in range(n):
         idx = None if i % 3 == 0 else (7 if i % 3 == 1 else i)   # 1/3 null, 1/3 on key 7
-        rows.append(("m", 0.0, idx, "processado_com_sucesso", "sucesso", {"F": "a" if i % 2 else "b"}))
-    return spark.createDataFrame(rows, "model string, temperature double, dataset_idx long, status_geracao string, "
-                                       "status_api_call string, parsed map<string,string>")
+        rows.append(("m", 0.0, i, idx, "processado_com_sucesso", "sucesso", {"F": "a" if i % 2 else "b"}))
+    return spark.createDataFrame(rows, "model string, temperature double, property_id long, dataset_idx long, "
+                                       "status_geracao string, status_api_call string, parsed map<string,string>")
 
 
 def test_null_keys_spread_and_results_whole(spark):
