@@ -25,7 +25,8 @@ def model_availability(spark: SparkSession, requested: Sequence[str], catalogue:
                        name_col: str = "name") -> DataFrame:
     """(model, available) for each requested model (J4): semi join for the kept,
     anti join for the skipped.  The request list is configuration (bounded)."""
-    req = spark.createDataFrame([(m,) for m in requested if m and m.strip()], "model string")
+    req = spark.createDataFrame([(m,) for m in requested if m and m.strip()],
+                                T.StructType([T.StructField("model", T.StringType())]))
     cat = catalogue.select(F.col(name_col).alias("model")).distinct()
     ok = req.join(cat, "model", "left_semi").withColumn("available", F.lit(True))
     missing = req.join(cat, "model", "left_anti").withColumn("available", F.lit(False))
@@ -75,9 +76,9 @@ def images_per_directory(files: DataFrame, path_col: str = "path") -> DataFrame:
     return f.groupBy("dir").agg(F.array_sort(F.collect_list("name")).alias("images"))
 
 
-def image_check(items: DataFrame, images: DataFrame, dir_col: str = "dir") -> Column:
-    """Error text for an empty image list, null otherwise (F8)."""
-    return F.when(F.coalesce(F.size("images"), F.lit(0)) == 0, F.lit("Nenhuma imagem codificada para API."))
+def image_check(images_col: str = "images") -> Column:
+    """Error text for a missing or empty image list, null otherwise (F8); the item is kept."""
+    return F.when(F.coalesce(F.size(images_col), F.lit(0)) == 0, F.lit("Nenhuma imagem codificada para API."))
 
 
 def assemble_prompts(turns: DataFrame, conv_col: str = "conv_id", order_col: str = "turn",

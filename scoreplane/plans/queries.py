@@ -538,7 +538,7 @@ def _docs(spark, sf):
 
 
 def _field_names(spark):
-    return spark.createDataFrame([(f.name,) for f in A.FIELDS], "field string")
+    return E.dimension(spark).select("field")
 
 
 def _report(spark, sf):

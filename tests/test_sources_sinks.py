@@ -155,3 +155,11 @@ def test_generation_items_sink_partitioned_by_run(spark, sf_small):
         rec.filter("model = 'alpha-vl:7b' AND temperature = 0.5").count()
     meta = spark.read.json(os.path.join(d, "meta"))
     assert meta.count() == 9 and meta.agg(F.sum("total_itens_na_saida_run")).first()[0] == rec.count()
+
+
+def test_image_check_keeps_items(spark):
+    from scoreplane.operators.grid import image_check
+
+    df = spark.createDataFrame([(1, ["a.jpg"]), (2, []), (3, None)], "item long, images array<string>")
+    got = {r["item"]: r["err"] for r in df.select("item", image_check().alias("err")).collect()}
+    assert got[1] is None and got[2] and got[3]
