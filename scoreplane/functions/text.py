@@ -92,7 +92,7 @@ def model_from_file_name(c) -> Column:
     """Model part of an evaluation file name, run stamp removed (E5).
 
     Only the temperature gets its 'p' turned back into '.', so
-    'gemini-2.5-pro' keeps its 'p' (Q15)."""
+    'vision-2.5-pro' keeps its 'p' (Q15)."""
     part = F.nullif(F.regexp_extract(_col(c), _FILE_NAME_PATTERN, 1), F.lit(""))
     return F.regexp_replace(F.translate(part, "_", ":"), r"^(.+?):\d{8}:\d{6}.*$", "$1")
 

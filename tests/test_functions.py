@@ -32,14 +32,14 @@ def test_missing_tokens(spark):
 
 def test_slug_and_safe_names(spark):
     assert one(spark, TX.slug, ["Instalação Elétrica", "Size Band"]) == ["Instalacao_Eletrica", "Size_Band"]
-    assert one(spark, TX.safe_model_name, ["gemma3:27b", "org/model:1"]) == ["gemma3_27b", "org_model_1"]
+    assert one(spark, TX.safe_model_name, ["vlm3:27b", "org/model:1"]) == ["vlm3_27b", "org_model_1"]
     assert one(spark, TX.safe_temperature, [0.5, 1.0], "x double") == ["0p5", "1p0"]
 
 
 def test_file_name_parse_keeps_model_p(spark):
-    names = ["evaluation_metrics_gemini-2.5-pro_temp_0p5.json", "evaluation_metrics_gemma3_12b_temp_1p0.json",
+    names = ["evaluation_metrics_vision-2.5-pro_temp_0p5.json", "evaluation_metrics_vlm3_12b_temp_1p0.json",
              "other.json"]
-    assert one(spark, TX.model_from_file_name, names) == ["gemini-2.5-pro", "gemma3:12b", None]
+    assert one(spark, TX.model_from_file_name, names) == ["vision-2.5-pro", "vlm3:12b", None]
     assert one(spark, TX.temperature_from_file_name, names) == ["0.5", "1.0", None]
 
 
@@ -60,7 +60,7 @@ def test_fixed_is_half_even_on_binary_value(spark):
 def test_escape_order(spark):
     got = one(spark, TX.escape_special, ["a & b % $ # _ { } ~ ^ \\"])[0]
     assert got == r"a \& b \% \$ \# \_ \{ \} \textasciitilde{} \^{} \textbackslash\{\}"
-    assert one(spark, lambda c: TX.escape_special(c, True), ["gemma3_27b"]) == ["gemma3:27b"]
+    assert one(spark, lambda c: TX.escape_special(c, True), ["vlm3_27b"]) == ["vlm3:27b"]
 
 
 JSON_CASES = [
