@@ -161,9 +161,15 @@ def generation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     the stored raw text again."""
     from scoreplane.operators.generate import parse_answers
 
-    key = abspath(sf_dir) + "\nparsed-v1\n" + GENERATION_SQL
-    df = materialize(spark, "generation", key, lambda: parse_answers(build_generation_records(spark, sf_dir)),
-                     partition_by=("model", "temperature"))
+    from scoreplane.sources.sinks import spread_by_run
+
+    def build() -> DataFrame:
+        parsed = parse_answers(build_generation_records(spark, sf_dir))
+        files = max(1, spark.sparkContext.defaultParallelism // 2)
+        return spread_by_run(parsed, ("model", "temperature"), ("property_id",), files)
+
+    key = abspath(sf_dir) + "\nparsed-v2\n" + GENERATION_SQL
+    df = materialize(spark, "generation", key, build, partition_by=("model", "temperature"))
     return df.select(*GENERATION_COLUMNS, *PARSED_COLUMNS)
 
 

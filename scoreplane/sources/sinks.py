@@ -11,13 +11,26 @@ from pyspark.sql import functions as F
 from scoreplane.functions.text import fixed
 
 
+def spread_by_run(items: DataFrame, run_cols: Sequence[str], key_cols: Sequence[str],
+                  files_per_run: int) -> DataFrame:
+    """One shuffle on (run, hash(key) mod k) before a partitioned write: each run
+    directory gets about ``files_per_run`` files instead of one per writing task,
+    and a run holding a third of the rows is still written by k tasks."""
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in key_cols]), F.lit(files_per_run))
+    return items.repartition(*[F.col(c) for c in run_cols], salt)
+
+
 def write_generation_items(items: DataFrame, path: str, run_cols: Sequence[str] = ("model", "temperature"),
-                           fmt: str = "parquet") -> None:
+                           fmt: str = "parquet", key_cols: Sequence[str] = ("dataset_idx", "property_id"),
+                           files_per_run: int | None = None) -> None:
     """K1: generation items partitioned by run (one directory per model/temperature).
 
     The run document of the original tool holds every item in one JSON value;
     at scale that is one unbounded record, so items are written as rows and the
     run metadata separately (:func:`write_run_metadata`)."""
+    if files_per_run:
+        keys = [c for c in key_cols if c in items.columns]
+        items = spread_by_run(items, run_cols, keys, files_per_run)
     items.write.mode("overwrite").partitionBy(*run_cols).format(fmt).save(path)
 
 

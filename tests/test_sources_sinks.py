@@ -145,7 +145,7 @@ def test_generation_items_sink_partitioned_by_run(spark, sf_small):
 
     d = tmpdir()
     rec = A.generation_records(spark, sf_small)
-    sinks.write_generation_items(rec, os.path.join(d, "items"))
+    sinks.write_generation_items(rec, os.path.join(d, "items"), files_per_run=2)
     sinks.write_run_metadata(rec, os.path.join(d, "meta"))
     runs = sorted(n for n in os.listdir(os.path.join(d, "items")) if n.startswith("model="))
     assert len(runs) == 3
@@ -163,3 +163,14 @@ def test_image_check_keeps_items(spark):
     df = spark.createDataFrame([(1, ["a.jpg"]), (2, []), (3, None)], "item long, images array<string>")
     got = {r["item"]: r["err"] for r in df.select("item", image_check().alias("err")).collect()}
     assert got[1] is None and got[2] and got[3]
+
+
+def test_files_per_run(spark, sf_small):
+    from scoreplane.plans import adapters as A
+
+    d = tmpdir()
+    sinks.write_generation_items(A.generation_records(spark, sf_small), os.path.join(d, "items"), files_per_run=2)
+    model_dir = next(n for n in os.listdir(os.path.join(d, "items")) if n.startswith("model=alpha-vl"))
+    run_dir = os.path.join(d, "items", model_dir, "temperature=0.5")
+    files = [n for n in os.listdir(run_dir) if n.endswith(".parquet")]
+    assert 1 <= len(files) <= 2
