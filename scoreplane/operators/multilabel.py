@@ -12,25 +12,27 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreplane.functions.labelsets import label_set
+from scoreplane.functions.labelsets import label_set, label_set_sql
+from scoreplane.functions.sqltext import ident, lit
 
 
 def _ratio(num, den) -> Column:
     return F.coalesce(F.try_divide(num.cast("double"), den.cast("double")), F.lit(0.0))
 
 
+def _vocab_sql(vocab: Sequence[str]) -> str:
+    return "array(" + ", ".join(lit(v) for v in vocab) + ")"
+
+
 def label_flags(items: DataFrame, vocab: Sequence[str], true_col: str = "y_true", pred_col: str = "y_pred",
                 by: Sequence[str] = ()) -> DataFrame:
     """(by, label, t, p, tp) per item and vocabulary label; OOV labels are ignored."""
-    v = F.array(*[F.lit(x) for x in vocab])
-    t = label_set(true_col)
-    p = label_set(pred_col)
-    return items.select(*by, t.alias("_t"), p.alias("_p")).select(
-        *by, F.explode(F.transform(v, lambda lab: F.struct(
-            lab.alias("label"),
-            F.array_contains("_t", lab).cast("long").alias("t"),
-            F.array_contains("_p", lab).cast("long").alias("p")))).alias("f")
-    ).select(*by, "f.label", "f.t", "f.p", (F.col("f.t") * F.col("f.p")).alias("tp"))
+    keys = [ident(b) for b in by]
+    sets = items.selectExpr(*keys, f"{label_set_sql(ident(true_col))} AS _t", f"{label_set_sql(ident(pred_col))} AS _p")
+    flags = sets.selectExpr(*keys, f"explode(transform({_vocab_sql(vocab)}, lab -> named_struct('label', lab, "
+                                   "'t', CAST(array_contains(_t, lab) AS BIGINT), "
+                                   "'p', CAST(array_contains(_p, lab) AS BIGINT)))) AS f")
+    return flags.selectExpr(*keys, "f.label AS label", "f.t AS t", "f.p AS p", "f.t * f.p AS tp")
 
 
 def per_label(items: DataFrame, vocab: Sequence[str], by: Sequence[str] = (), **kw) -> DataFrame:
@@ -81,13 +83,12 @@ def score_row(items: DataFrame, vocab: Sequence[str], true_col: str = "y_true",
     """One row with micro, macro and subset scores.  With no items every score is
     1.0 and ``note`` says so (A15).  Two aggregations, no join: the per-item subset
     match rides along on the first vocabulary label."""
-    v = F.array(*[F.lit(x) for x in vocab])
-    t, p = label_set(true_col), label_set(pred_col)
-    eq = F.array_sort(F.array_intersect(t, v)) == F.array_sort(F.array_intersect(p, v))
-    rows = items.select(t.alias("_t"), p.alias("_p"), eq.cast("long").alias("_eq")).select(
-        F.posexplode(F.transform(v, lambda lab: F.struct(
-            F.array_contains("_t", lab).cast("long").alias("t"),
-            F.array_contains("_p", lab).cast("long").alias("p")))).alias("pos", "f"), "_eq")
+    v = _vocab_sql(vocab)
+    t, p = label_set_sql(ident(true_col)), label_set_sql(ident(pred_col))
+    eq = f"array_sort(array_intersect({t}, {v})) = array_sort(array_intersect({p}, {v}))"
+    rows = items.selectExpr(f"{t} AS _t", f"{p} AS _p", f"CAST({eq} AS BIGINT) AS _eq").selectExpr(
+        f"posexplode(transform({v}, lab -> named_struct('t', CAST(array_contains(_t, lab) AS BIGINT), "
+        "'p', CAST(array_contains(_p, lab) AS BIGINT)))) AS (pos, f)", "_eq")
     per = rows.groupBy("pos").agg(
         F.sum(F.col("f.t") * F.col("f.p")).alias("tp"), F.sum("f.t").alias("st"), F.sum("f.p").alias("sp"),
         F.sum(F.when(F.col("pos") == 0, F.col("_eq"))).alias("eq"),
