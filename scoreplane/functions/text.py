@@ -121,6 +121,25 @@ def _sql(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def fixed_sql(x: str, places: int = 2, stabilize: bool = True) -> str:
+    """SQL text of :func:`fixed` over the SQL expression ``x``."""
+    pattern = "0." + "0" * places if places > 0 else "0"
+    v = f"CAST({x} AS DOUBLE)"
+    if stabilize:
+        v = f"round({v}, 9)"
+    return f"format_number({v}, {lit(pattern)})"
+
+
+def escape_sql(x: str, model_name: bool = False) -> str:
+    """SQL text of :func:`escape_special` over the SQL expression ``x``."""
+    out = f"CAST({x} AS STRING)"
+    if model_name:
+        out = f"replace({out}, '_', ':')"
+    for old, new in K.TEXT_ESCAPES:
+        out = f"replace({out}, {lit(old)}, {lit(new)})"
+    return out
+
+
 def fixed(c, places: int = 2, stabilize: bool = True) -> Column:
     """Fixed-point text with round-half-even on the binary value, no grouping.
 
@@ -128,8 +147,10 @@ def fixed(c, places: int = 2, stabilize: bool = True) -> Column:
     order (another partitioning, another engine) differs in the last bits, and
     near a decimal tie that flips the printed digit.  Rounding collapses such
     neighbours onto one double; exact values (0.125, 0.615) print as before."""
+    if isinstance(c, str):
+        return F.expr(fixed_sql(ident(c), places, stabilize))
     pattern = "0." + "0" * places if places > 0 else "0"
-    x = _col(c).cast("double")
+    x = c.cast("double")
     if stabilize:
         x = F.round(x, 9)
     return F.call_function("format_number", x, F.lit(pattern))
@@ -140,7 +161,9 @@ def escape_special(c, model_name: bool = False) -> Column:
 
     The braces emitted for a backslash are escaped again by the later rules, as
     in the original report writer."""
-    out = _col(c).cast("string")
+    if isinstance(c, str):
+        return F.expr(escape_sql(ident(c), model_name))
+    out = c.cast("string")
     if model_name:
         out = F.replace(out, F.lit("_"), F.lit(":"))
     for old, new in K.TEXT_ESCAPES:

@@ -137,22 +137,22 @@ def report_rows(report: DataFrame, metric_cols: Sequence[str], group_col: str =
     cells = []
     rn_g = F.row_number().over(w_g)
     n_g = F.count(F.lit(1)).over(Window.partitionBy(group_col))
-    g_text = F.format_string("\\multirow{%d}{*}{\\textbf{%s}}", n_g, escape_special(F.col(group_col), True))
+    g_text = F.format_string("\\multirow{%d}{*}{\\textbf{%s}}", n_g, escape_special(group_col, True))
     cells.append(F.when(rn_g == 1, g_text).otherwise(F.lit("")))
     out_cols = [F.col(group_col), (rn_g == 1).alias("show_group"), n_g.alias("group_rows")]
     if sub_col:
         w_s = Window.partitionBy(group_col, sub_col).orderBy(*order[2:] or [F.lit(1)])
         rn_s = F.row_number().over(w_s)
         n_s = F.count(F.lit(1)).over(Window.partitionBy(group_col, sub_col))
-        s_text = F.format_string("\\multirow{%d}{*}{%s}", n_s, escape_special(F.col(sub_col)))
+        s_text = F.format_string("\\multirow{%d}{*}{%s}", n_s, escape_special(sub_col))
         cells.append(F.when(rn_s == 1, s_text).otherwise(F.lit("")))
         out_cols += [F.col(sub_col), (rn_s == 1).alias("show_sub"), n_s.alias("sub_rows")]
     if temp_col:
         t = numeric_temperature(temp_col)
-        cells.append(F.when(t.isNotNull(), fixed(t, places)).otherwise(escape_special(F.col(temp_col))))
+        cells.append(F.when(t.isNotNull(), fixed(t, places)).otherwise(escape_special(temp_col)))
         out_cols.append(F.col(temp_col))
     for m in metric_cols:
-        cells.append(F.coalesce(fixed(F.col(f"`{m}`"), places), F.lit("nan")))
+        cells.append(F.coalesce(fixed(m, places), F.lit("nan")))
     # the report has one row per (run, category): a bounded table, so one ordered window is fine
     prev = F.lag(group_col).over(w_all)
     rule = prev.isNotNull() & (prev != F.col(group_col))
