@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from scoreplane.llm.common import stored
 
 BLOCK_WORDS = 256
-CHUNK = 50_000
+CHUNK = 8192
 MAX_EPOCHS = 3
 WEIGHTS = (5, 2, 1)
 SIZE = r"SIZE(REGEXP_EXTRACT_ALL(COALESCE(`{}`, ''), '[^\\x20\\x09-\\x0D]+', 0))"
@@ -89,7 +89,8 @@ def schedule(targets: DataFrame, block_words: int = BLOCK_WORDS, chunk: int = CH
     slots = slots.withColumn("part", F.expr(f"slot DIV {width}L")).withColumn("one", F.lit(1))
     base = _chunked_prefix(slots, "sid", "part", "one")
     ranked = slots.withColumn("in_part", F.row_number().over(Window.partitionBy("sid", "part").orderBy("slot")))
-    ranked = ranked.join(base, ["sid", "part"]).withColumn("rank", F.expr("base + in_part - 1"))
+    # the planner takes exploded ranges for as small as the rows they came from, so neither side may be broadcast
+    ranked = ranked.join(base.hint("merge"), ["sid", "part"]).withColumn("rank", F.expr("base + in_part - 1"))
     return ranked.selectExpr("slot", "sid", "rank", "rank DIV blocks AS epoch", "rank % blocks AS block",
                              f"LEAST({block_words}L, quota - (rank DIV blocks) * source_size - (rank % blocks) * {block_words}L,"
                              f" source_size - (rank % blocks) * {block_words}L) AS words")
@@ -117,7 +118,7 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     rows = sized(docs, doc_id, text, source)
     targets = stored(source_targets(rows), "targets")
     slots = schedule(targets, block_words, chunk)
-    mix = slots.join(pieces(rows, targets, block_words, chunk), ["sid", "block"]).where("a < words").selectExpr(
+    mix = slots.hint("merge").join(pieces(rows, targets, block_words, chunk), ["sid", "block"]).where("a < words").selectExpr(
         "slot", "sid", "uid", "epoch", "block", "a", "LEAST(b, words) AS b")
     return rows, targets, mix
 
