@@ -37,9 +37,17 @@ LANDMARKS = 256
 SPAN, DECAY = 5, 0.5
 ACCEPT = 0.3
 CACHE = 400_000
+NEGATIVES = 6_000  # words of clean documents that the SVM sees: so many frequent, impure and look-alike ones each
+SURPRISE = 5.5  # standard deviations above chance from which a word is a first witness
+PURITY = 0.98  # share of a first witness's rate that lies in toxic documents
+SURE, LATER = 0.5, 0.5  # SVM score from which a word that no clean document has is a later witness; its margin
+BENT = 0.05  # weight of the first witnesses' variants with an inserted character
+REG = 1e-6
+LOWEST, HIGHEST = -1.5, 2.0  # word scores beyond say nothing more about the document
 
 #: Look-alike signs inside words.
 SIGNS = str.maketrans("0134579@$!", "oieastgasi")
+EDGE = "%$&#*!?.,;:|()[]{}\"'-_"
 SENTENCE = re.compile(r"[.!?\n]+")
 SPACED = re.compile(r"(?<!\w)(?:\w[^\w\n]{1,2}){2,}\w(?!\w)")
 ALPHABET = 64
@@ -49,14 +57,16 @@ GAPS = [(i, j) for i in range(1, SPAN - 1) for j in range(i + 1, SPAN)]
 def words(text: str | None) -> list[str]:
     """The words of a text as the kernel reads them, in order."""
     text = (text or "").lower()
-    out = text.split()
+    out = [w.strip(EDGE) for w in text.split()]
     out += [re.sub(r"\W+", "", m) for m in SPACED.findall(text)]
     return out
 
 
 def codes(word: str) -> list[int]:
     """Letters as small numbers between two boundary marks; accents stay apart from plain letters."""
-    word = word.strip("%$&#*!?.,;:|()[]{}\"'-_").translate(SIGNS)
+    if sum(c.isalpha() for c in word) < 2:
+        return []
+    word = word.translate(SIGNS)
     out = [0]
     for c in unicodedata.normalize("NFC", word):
         if "a" <= c <= "z":
@@ -102,17 +112,27 @@ def kernel(left: list[str], right: list[str]) -> np.ndarray:
     return out
 
 
-def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, reg: float, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Linear SVM with squared hinge loss and sample weights, by accelerated gradient steps."""
+def svm(x: np.ndarray, y: np.ndarray, margin: np.ndarray, weight: np.ndarray, reg: float, rounds: int = 40) -> tuple[np.ndarray, float]:
+    """Linear SVM with squared hinge loss, a margin and a weight for each row, by Newton steps on the rows inside."""
     weight = weight / weight.sum()
     z = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    step = 1 / (reg + 2 * np.linalg.norm(z * np.sqrt(weight)[:, None], 2) ** 2)
-    w = last = np.zeros(z.shape[1])
-    for t in range(rounds):
-        v = w + t / (t + 3) * (w - last)
-        slack = np.maximum(0, 1 - y * (z @ v))
-        grad = -2 * z.T @ (weight * y * slack) + reg * np.append(v[:-1], 0)
-        last, w = w, v - step * grad
+    ridge = np.diag(np.append(np.full(x.shape[1], reg), reg * 1e-3))
+    w = np.zeros(z.shape[1])
+
+    def loss(w: np.ndarray) -> float:
+        return float(weight @ np.maximum(0, margin - y * (z @ w)) ** 2 + w @ ridge @ w)
+
+    now = loss(w)
+    for _ in range(rounds):
+        inside = y * (z @ w) < margin
+        za, wa = z[inside], weight[inside]
+        step = np.linalg.solve((za * wa[:, None]).T @ za + ridge, za.T @ (wa * y[inside] * margin[inside])) - w
+        size = 1.0
+        while size > 1e-3 and loss(w + size * step) > now:
+            size /= 2
+        w, last, now = w + size * step, now, loss(w + size * step)
+        if last - now < 1e-7 * last:
+            break
     return w[:-1], float(w[-1])
 
 
@@ -134,7 +154,7 @@ class Model:
         return np.bincount(w, self.table[s] * v, len(vocabulary)) + self.bias if len(vocabulary) else np.empty(0)
 
     def worst(self, texts: list[str | None]) -> np.ndarray:
-        """(highest, second highest) word score of each text; -2 where there is no word."""
+        """(highest, second highest) word score of each text, and the logarithm of its number of distinct words."""
         bags = [set(words(t)) for t in texts]
         new = list({w for bag in bags for w in bag if w not in self.cache})
         if len(self.cache) + len(new) > CACHE:
@@ -143,62 +163,80 @@ class Model:
         for a in range(0, len(new), 50_000):
             part = new[a : a + 50_000]
             self.cache.update(zip(part, self.word_scores(part).tolist()))
-        out = np.full((len(texts), 2), -2.0)
+        out = np.full((len(texts), 3), LOWEST)
         for i, bag in enumerate(bags):
             top = sorted((self.cache[w] for w in bag), reverse=True)[:2] if bag else []
             out[i, : len(top)] = top
-        return np.clip(out, -2, 2)
+        out = np.clip(out, LOWEST, HIGHEST)
+        out[:, 2] = [math.log1p(len(bag)) for bag in bags]
+        return out
 
     def probabilities(self, texts: list[str | None]) -> np.ndarray:
         if not self.scale:
             return np.zeros(len(texts))
-        a, b, c = self.scale
-        high = self.worst(texts)
-        return 1 / (1 + np.exp(-np.clip(a * high[:, 0] + b * high[:, 1] + c, -50, 50)))
+        *slopes, shift = self.scale
+        return 1 / (1 + np.exp(-np.clip(self.worst(texts) @ np.array(slopes) + shift, -50, 50)))
+
+
+def _sentence_words(text: str) -> set[str]:
+    """The distinct words of a document's sentences that the kernel can read."""
+    return {w for s in SENTENCE.split(text) for w in words(s) if codes(w)}
+
+
+def variants(word: str) -> Iterator[str]:
+    """The word with one more character at each inner place: a letter twice, or a foreign one."""
+    for i in range(1, len(word)):
+        yield word[:i] + word[i - 1] + word[i:]
+        yield word[:i] + "x" + word[i:]
 
 
 def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, turns: int = 4) -> Model:
     """Train on the sentences of toxic and clean documents."""
     if not toxic or not clean:
         return Model(np.zeros(ALPHABET**3), 0.0, ())
-    sentences = [[set(words(s)) for s in SENTENCE.split(t)] for t in toxic]
-    bags = [sorted({w for s in doc for w in s if codes(w)}) for doc in sentences]
-    bad = Counter(w for bag in bags for w in bag)
-    good = Counter(w for t in clean for w in {x for x in words(t) if codes(x)})
-    ratio = {w: math.log((n + 0.1) / len(toxic) / ((good[w] + 0.5) / len(clean))) * math.sqrt(min(n, 9)) for w, n in bad.items()}
-    ranked = sorted(ratio, key=lambda w: (-ratio[w], w))
-    half = landmarks // 2
+    bad = Counter(w for t in toxic for w in _sentence_words(t))
+    good = Counter(w for t in clean for w in _sentence_words(t))
+    share = len(toxic) / (len(toxic) + len(clean))
+    pure = {w for w, n in bad.items() if n / len(toxic) >= PURITY * (n / len(toxic) + good[w] / len(clean))}
+    surprise = {w: (n - share * (n + good[w])) / math.sqrt(share * (1 - share) * (n + good[w])) for w, n in bad.items()}
+    ranked = sorted(surprise, key=lambda w: (-surprise[w], w))
+    first = [w for w in ranked if surprise[w] > SURPRISE and w in pure]
+    if not first:
+        return Model(np.zeros(ALPHABET**3), 0.0, ())
     common = sorted(good, key=lambda w: (-good[w], w))
-    negatives = common[:20_000] + common[20_000:: max(1, (len(common) - 20_000) // 20_000 or 1)][:20_000]
-    close = kernel(negatives, ranked[: half // 2]).max(axis=1) if ranked else np.zeros(len(negatives))
-    near = [negatives[i] for i in np.argsort(-close, kind="stable")[: landmarks - half - 32]]
-    marks = sorted({*ranked[:half], *near, *common[:32]})
+    half = landmarks // 2
+    close: list[tuple[float, str]] = []  # clean words most like the first witnesses
+    for a in range(0, len(common), 20_000):
+        part = common[a : a + 20_000]
+        close += zip((-kernel(part, first[:half]).max(axis=1)).tolist(), part)
+        close = sorted(close)[:NEGATIVES]
+    near = [w for _, w in close]
+    negatives = sorted({*common[:NEGATIVES], *near, *[w for w in ranked if good[w] and w not in pure][:NEGATIVES]})
+    marks = sorted({*first[:half], *near[: landmarks - half - 32], *common[:32]})
     values, vectors = np.linalg.eigh(kernel(marks, marks).astype(np.float64))
     keep = values > 1e-6
     root = vectors[:, keep] / np.sqrt(values[keep])
-    pool = sorted({w for bag in bags for w in bag})
-    index = {w: i for i, w in enumerate(pool)}
-    xp = kernel(pool, marks).astype(np.float64) @ root
     xn = kernel(negatives, marks).astype(np.float64) @ root
     wn = np.sqrt(np.array([good[w] for w in negatives], float))
-    score = np.array([ratio[w] for w in pool])
-    table, bias = np.zeros(ALPHABET**3), 0.0
-    for turn in range(turns):
-        witness: Counter[int] = Counter()
-        for bag in bags:
-            at = [index[w] for w in bag]
-            if at:
-                best = max(at, key=lambda i: (score[i], -i))
-                witness.update({best} | {i for i in at if turn and score[i] > 0 and good[pool[i]] == 0})
-        chosen = np.array(sorted(witness), int)
-        wp = np.sqrt(np.array([witness[i] for i in chosen], float))
-        weight = np.concatenate((wp / wp.sum(), wn / wn.sum()))
-        coefficients, bias = svm(np.vstack((xp[chosen], xn)), np.concatenate((np.ones(len(chosen)), -np.ones(len(xn)))),
-                                 weight, 1e-4)
-        score = xp @ coefficients + bias
-        w, s, v = features(marks)
-        table = np.bincount(s, v * (root @ coefficients)[w], ALPHABET**3)
-    model = Model(table, bias, ())
+    bent = sorted({v for w in first[:half] for v in variants(w)} - set(good))
+    xv = kernel(bent, marks).astype(np.float64) @ root
+    unseen = sorted(w for w, n in bad.items() if not good[w] and n > 1 and w not in set(first))
+    later: set[str] = set()
+    model = Model(np.zeros(ALPHABET**3), 0.0, ())
+    mw, ms, mv = features(marks)
+    for _ in range(turns):
+        chosen = [*first, *sorted(later)]
+        xp = kernel(chosen, marks).astype(np.float64) @ root
+        wp = np.sqrt(np.array([bad[w] for w in chosen], float))
+        weight = np.concatenate((wp / wp.sum(), np.full(len(bent), BENT / max(1, len(bent))), wn / wn.sum()))
+        margin = np.repeat([1.0, LATER, LATER, 1.0], [len(first), len(later), len(bent), len(negatives)])
+        y = np.repeat([1.0, -1.0], [len(chosen) + len(bent), len(negatives)])
+        coefficients, bias = svm(np.vstack((xp, xv, xn)), y, margin, weight, REG)
+        model = Model(np.bincount(ms, mv * (root @ coefficients)[mw], ALPHABET**3), bias, ())
+        # words that no clean document has and the SVM finds toxic are witnesses too, with less of a margin
+        for a in range(0, len(unseen), 50_000):
+            part = unseen[a : a + 50_000]
+            later.update(w for w, f in zip(part, model.word_scores(part)) if f > SURE)
     x = np.vstack((model.worst(toxic), model.worst(clean)))
     y = np.concatenate((np.ones(len(toxic)), -np.ones(len(clean))))
     model.scale = _logistic(x, y)
