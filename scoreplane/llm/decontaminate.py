@@ -37,7 +37,8 @@ def myers(pattern: str, text: str, most: int) -> tuple[int, int] | None:
     for i, c in enumerate(pattern):
         peq[c] = peq.get(c, 0) | 1 << i
     full, top = (1 << m) - 1, 1 << (m - 1)
-    pv, mv, score, best, end = full, 0, m, most + 1, -1
+    pv, mv, score = full, 0, m
+    best, end = (m, 0) if m <= most else (most + 1, -1)
     for j, c in enumerate(text):
         eq = peq.get(c, 0)
         xv = eq | mv
