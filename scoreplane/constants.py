@@ -35,6 +35,12 @@ ERR_EMPTY_RESPONSE = "Resposta do modelo vazia."
 ERR_NO_JSON = "Nenhum padrão JSON (bloco ou chaves) encontrado."
 ERR_PARSE_PREFIX = "Falha parse JSON (limpa)"
 
+# --- fixed values: evaluation and generation notes ----------------------------
+ERR_NO_PAIRS = "Listas de entrada vazias."
+NOTE_NO_LABELS = "Todas as listas de benfeitorias estavam vazias ou resultaram em vetores vazios."
+ERR_NO_IMAGES = "Nenhuma imagem codificada para API."
+ERR_DIR_MISSING = ("Diretório para '", "' não encontrado.")
+
 # --- fixed values: report layout --------------------------------------------
 OVERALL_CATEGORY = "MÉDIA GERAL (Categorias)"
 AVERAGES_KEY_PREFIX = "Metricas_Medias_Gerais_Do_Modelo_"

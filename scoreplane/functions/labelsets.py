@@ -33,6 +33,6 @@ def label_set(items) -> Column:
 
 
 def multi_hot(items, vocab) -> Column:
-    """0/1 per vocabulary entry; OOV items are ignored."""
+    """0/1 per entry of the normalised, sorted vocabulary; OOV items are ignored."""
     s = label_set(items)
-    return F.transform(_col(vocab), lambda v: F.array_contains(s, v).cast("int"))
+    return F.transform(label_set(_col(vocab)), lambda v: F.array_contains(s, v).cast("int"))

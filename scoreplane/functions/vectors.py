@@ -26,7 +26,16 @@ def cosine_similarity(a, b) -> Column:
     return F.when(ok, dot(a, b) / denom)
 
 
-def argmax(a, n: int | None = None) -> Column:
-    """Zero-based position of the largest element (first on ties) of the first n."""
-    arr = _col(a) if n is None else F.slice(_col(a), 1, n)
-    return F.array_position(arr, F.array_max(arr)) - 1
+def class_scores(a, classes: int) -> Column:
+    """One score per class from the whole vector: dimension i counts towards class i % classes."""
+    arr = _col(a)
+    return F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda c: F.aggregate(
+        F.filter(F.transform(arr, lambda x, i: F.struct(x.cast("double").alias("x"), i.alias("i"))),
+                 lambda e: e["i"] % classes == c),
+        F.lit(0.0), lambda acc, e: acc + e["x"]))
+
+
+def argmax(a) -> Column:
+    """Zero-based position of the largest element, the first on ties; null for an empty or null vector."""
+    arr = _col(a)
+    return F.when(F.size(arr) > 0, F.array_position(arr, F.array_max(arr)) - 1)

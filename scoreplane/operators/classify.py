@@ -2,8 +2,9 @@
 
 Everything derives from one aggregation, the confusion counts (A1).  That is the
 only shuffle that sees raw pairs; map-side partial aggregation shrinks each task
-to at most runs x fields x |labels|^2 rows, so a run or field holding a third of
-all pairs costs nothing extra.  Later steps work on that small table.
+to its distinct (run, field, truth, answer) combinations, so a run, field or label holding a
+third of all pairs costs nothing extra.  Answers are open text, so this table is bounded by the
+distinct answers; the label table after it folds answers outside the vocabulary into one bucket.
 
 Two label universes (Q5): accuracy uses every pair, precision / recall / F1 and
 supports only labels of the field vocabulary; empty denominators give 0.0 (Q6).
@@ -17,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreplane import constants as K
+from scoreplane.functions.sqltext import ident, lit
+from scoreplane.operators.pairs import FieldSpec
 
 RUN = ("model", "temperature")
 
@@ -26,29 +29,34 @@ def confusion_counts(pairs: DataFrame, by: Sequence[str] = RUN) -> DataFrame:
     return pairs.groupBy(*by, "field", "y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
 
 
-def label_table(counts: DataFrame, dim: DataFrame, by: Sequence[str] = RUN) -> DataFrame:
+def label_table(counts: DataFrame, dim: DataFrame, by: Sequence[str] = RUN, expected: DataFrame | None = None) -> DataFrame:
     """Per (by, field, label): truth support, predicted support, true positives and
     vocabulary membership, zero-filled for every vocabulary label (A3, J5).
 
-    The counts meet the field dimension in a broadcast hash join (the dimension is
-    bounded by the configuration), then one Generate emits, per count row, its
-    truth-side row, its prediction-side row and a zero row per vocabulary label;
-    one aggregation folds them.  No distinct, no full outer join: the whole
-    derivation after A1 is a single shuffle of a table of at most
-    runs x fields x labels rows."""
-    d = F.broadcast(dim.select("field", "vocab"))
-    c = counts.join(d, "field", "left")
-    rows = ("explode(concat(array("
-            "named_struct('label', y_true, 't', CAST(n AS BIGINT), "
-            "'tp', CAST(CASE WHEN y_true = y_pred THEN n ELSE 0 END AS BIGINT), 'p', CAST(0 AS BIGINT)), "
-            "named_struct('label', y_pred, 't', CAST(0 AS BIGINT), 'tp', CAST(0 AS BIGINT), 'p', CAST(n AS BIGINT))), "
-            "transform(coalesce(vocab, CAST(array() AS ARRAY<STRING>)), v -> named_struct('label', v, "
-            "'t', CAST(0 AS BIGINT), 'tp', CAST(0 AS BIGINT), 'p', CAST(0 AS BIGINT))))) AS s")
-    e = c.selectExpr(*[f"`{b}`" for b in by], "field", "coalesce(vocab, CAST(array() AS ARRAY<STRING>)) AS vocab", rows)
-    g = e.groupBy(*by, "field", F.col("s.label").alias("label")).agg(
-        F.sum("s.t").alias("support_true"), F.sum("s.tp").alias("tp"), F.sum("s.p").alias("support_pred"),
-        F.expr("max(array_contains(vocab, s.label))").alias("in_vocab"))
-    return _class_scores(g)
+    A field without a vocabulary (absent from the dimension, or an empty list) is scored over its
+    observed labels (A6).  Open-text answers outside the vocabulary fold into one bucket
+    (label null), so the table holds at most the vocabulary and one row more per (by, field), however many
+    different answers there are.  The vocabulary meets the counts once per label of a (by, field), not once per count
+    row.  ``expected`` lists the (by, field) that must appear even without a pair (F9).
+
+    No side is forced to be broadcast: the dimension is the caller's, and the runtime sizes decide."""
+    vocab = dim.selectExpr("field", "explode(vocab) AS label").filter("label NOT IN "
+                                                                      f"({', '.join(map(lit, K.VOCAB_PLACEHOLDERS))})")
+    listed = vocab.select("field").distinct().withColumn("closed", F.lit(True))
+    known = dim.selectExpr("field", "explode(vocab) AS label").join(listed, "field", "left_semi").withColumn("in_vocab", F.lit(True))
+    keys = [ident(b) for b in by]
+    sides = counts.selectExpr(*keys, "field", "inline(array(named_struct('label', y_true, 't', n, "
+                              "'tp', CASE WHEN y_true = y_pred THEN n ELSE 0L END, 'p', 0L), "
+                              "named_struct('label', y_pred, 't', 0L, 'tp', 0L, 'p', n)))")
+    told = sides.join(known, ["field", "label"], "left").join(listed, "field", "left").selectExpr(
+        *keys, "field", "CASE WHEN in_vocab OR closed IS NULL THEN label END AS label", "t", "tp", "p")
+    groups = counts.select(*by, "field").distinct()
+    if expected is not None:
+        groups = groups.unionByName(expected.select(*by, "field")).distinct()
+    zero = groups.join(known, "field", "left").selectExpr(*keys, "field", "label", "0L AS t", "0L AS tp", "0L AS p")
+    g = told.unionByName(zero).groupBy(*by, "field", "label").agg(
+        F.sum("t").alias("support_true"), F.sum("tp").alias("tp"), F.sum("p").alias("support_pred"))
+    return _class_scores(g.withColumn("in_vocab", F.col("label").isNotNull()))
 
 
 def ratio_sql(num: str, den: str) -> str:
@@ -72,8 +80,8 @@ def per_class(counts: DataFrame, dim: DataFrame, by: Sequence[str] = RUN) -> Dat
 
 
 def summary_from_labels(lt: DataFrame, by: Sequence[str] = RUN) -> DataFrame:
-    """Summary from a label table; a group without pairs carries an ``error`` text
-    instead of raising (F9).  Length mismatches cannot arise once pairs are rows."""
+    """Summary from a label table; an expected group without pairs carries an ``error`` text
+    instead of raising or vanishing (F9).  Length mismatches cannot arise once pairs are rows."""
     w = "CASE WHEN in_vocab THEN support_true ELSE 0 END"
     agg = lt.groupBy(*by, "field").agg(
         F.expr(f"{ratio_sql('sum(tp)', 'sum(support_true)')}").alias("accuracy"),
@@ -83,16 +91,16 @@ def summary_from_labels(lt: DataFrame, by: Sequence[str] = RUN) -> DataFrame:
         F.expr("sum(support_true)").alias("n_items"),
         F.expr("sum(CASE WHEN NOT in_vocab THEN support_pred ELSE 0 END)").alias("n_oov_pred"),
     )
-    return agg.selectExpr("*", "CAST(CASE WHEN n_items = 0 THEN 'Listas de entrada vazias.' END AS STRING) AS error")
+    return agg.selectExpr("*", f"CAST(CASE WHEN n_items = 0 THEN {lit(K.ERR_NO_PAIRS)} END AS STRING) AS error")
 
 
-def summary(counts: DataFrame, dim: DataFrame, by: Sequence[str] = RUN) -> DataFrame:
+def summary(counts: DataFrame, dim: DataFrame, by: Sequence[str] = RUN, expected: DataFrame | None = None) -> DataFrame:
     """(by, field, accuracy, precision_weighted, recall_weighted, f1_score_weighted,
     n_items, n_oov_pred, error) (A2, A5, A7).
 
     Weighted = truth-support-weighted mean over the vocabulary; accuracy over all
     pairs; both from the same small label table in one aggregation."""
-    return summary_from_labels(label_table(counts, dim, by), by)
+    return summary_from_labels(label_table(counts, dim, by, expected), by)
 
 
 def evaluate(pairs: DataFrame, dim: DataFrame, by: Sequence[str] = RUN):
@@ -128,20 +136,18 @@ def summary_with_overall(summ: DataFrame, by: Sequence[str] = RUN) -> DataFrame:
     )
 
 
-def confusion_matrix(counts: DataFrame, dim: DataFrame, field: str, labels: Sequence[str],
-                     by: Sequence[str] = RUN) -> DataFrame:
+def confusion_matrix(pairs: DataFrame, spec: FieldSpec, by: Sequence[str] = RUN) -> DataFrame:
     """Dense matrix for one field: a row per vocabulary truth label, a column per
-    vocabulary predicted label (P5).  Pairs with an out-of-vocabulary side are dropped
-    (Q18); the pivot gets its value list up front, so no extra job and a fixed schema."""
-    c = counts.filter(F.col("field") == field)
-    c = c.filter(F.col("y_true").isin(list(labels)) & F.col("y_pred").isin(list(labels)))
-    d = F.broadcast(dim.filter(F.col("field") == field).select("field", "vocab"))
-    rows = (counts.filter(F.col("field") == field).select(*by, "field").distinct().join(d, "field")
-            .select(*by, F.explode("vocab").alias("y_true")))
-    piv = c.groupBy(*by, "y_true").pivot("y_pred", list(labels)).agg(F.sum("n"))
-    out = rows.join(piv, [*by, "y_true"], "left")
-    return out.select(*by, F.lit(field).alias("field"), "y_true",
-                      *[F.coalesce(F.col(f"`{l}`"), F.lit(0).cast("long")).alias(l) for l in labels])
+    vocabulary predicted label (P5), both from the field's own vocabulary.  Pairs with an
+    out-of-vocabulary side are dropped (Q18); the pivot gets its value list up front, so no extra job and a
+    fixed schema, and the field is filtered before anything is counted."""
+    labels = spec.labels()
+    mine = pairs.filter(F.col("field") == spec.name)
+    cells = mine.groupBy(*by, "y_true").pivot("y_pred", labels).agg(F.count(F.lit(1)))
+    rows = mine.select(*by).distinct().select(*by, F.explode(F.array(*[F.lit(v) for v in labels])).alias("y_true"))
+    out = rows.join(cells, [*by, "y_true"], "left")
+    return out.select(*by, F.lit(spec.name).alias("field"), "y_true",
+                      *[F.coalesce(F.col(f"`{v}`"), F.lit(0).cast("long")).alias(v) for v in labels])
 
 
 def per_class_map(pc: DataFrame, by: Sequence[str] = RUN) -> DataFrame:

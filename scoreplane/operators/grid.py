@@ -3,19 +3,26 @@
 
 from __future__ import annotations
 
+import re
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scoreplane.functions.media import is_image_name
+from scoreplane import constants as K
+from scoreplane.functions.media import data_url, is_image_name
+
+
+def wanted_models(names: Sequence[str], pattern: str = "") -> list[str]:
+    """Requested model names without blanks, and only those that match ``pattern`` where one is given."""
+    return [m for m in names if m and m.strip() and re.search(pattern, m)]
 
 
 def experiment_grid(items: DataFrame, models: Sequence[str], temperatures: Sequence[float]) -> DataFrame:
     """items x models x temperatures (J2) as a Generate over a literal config array:
     linear in the items, no join, nothing broadcast that grows with data."""
-    models = [m for m in models if m and m.strip()]  # blank names dropped
+    models = wanted_models(models)
     grid = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(float(t)).alias("temperature"))
                      for m in models for t in temperatures])
     return items.select("*", F.explode(grid).alias("_g")).select("*", "_g.model", "_g.temperature").drop("_g")
@@ -68,17 +75,29 @@ def match_directories(entities: DataFrame, dirs: DataFrame, entity_col: str = "e
     )
 
 
+def _images(files: DataFrame, path_col: str) -> DataFrame:
+    """Direct children of a directory with an image extension: the directory's own name and the file's."""
+    f = files.withColumn("dir", F.element_at(F.split(path_col, "/"), -2)).withColumn(
+        "name", F.element_at(F.split(path_col, "/"), -1))
+    return f.filter(is_image_name(F.col("name")))
+
+
 def images_per_directory(files: DataFrame, path_col: str = "path") -> DataFrame:
-    """(dir, images) from a file listing: direct children with an image extension."""
-    f = files.select(F.regexp_extract(path_col, r"^(.*)/[^/]+$", 1).alias("dir"),
-                     F.element_at(F.split(path_col, "/"), -1).alias("name"))
-    f = f.filter(is_image_name(F.col("name")))
-    return f.groupBy("dir").agg(F.array_sort(F.collect_list("name")).alias("images"))
+    """(dir, images) from a file listing (S6, F8): the image names of each directory, sorted.
+
+    One request carries all images of its directory, so the list is bounded by what a request can hold."""
+    return _images(files, path_col).groupBy("dir").agg(F.array_sort(F.collect_list("name")).alias("images"))
+
+
+def encoded_images(files: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
+    """(dir, images) with every image of the directory as a data URL, by name."""
+    f = _images(files, path_col).select("dir", F.struct("name", data_url(F.col(content_col), "name").alias("url")).alias("f"))
+    return f.groupBy("dir").agg(F.transform(F.array_sort(F.collect_list("f")), lambda x: x["url"]).alias("images"))
 
 
 def image_check(images_col: str = "images") -> Column:
     """Error text for a missing or empty image list, null otherwise (F8); the item is kept."""
-    return F.when(F.coalesce(F.size(images_col), F.lit(0)) == 0, F.lit("Nenhuma imagem codificada para API."))
+    return F.when(F.coalesce(F.size(images_col), F.lit(0)) == 0, F.lit(K.ERR_NO_IMAGES))
 
 
 def assemble_prompts(turns: DataFrame, conv_col: str = "conv_id", order_col: str = "turn",
@@ -105,9 +124,3 @@ def request_struct(model: Column, temperature: Column, system: Column, prompt: C
     return F.struct(model.alias("model"), system.alias("system"), prompt.alias("prompt"),
                     F.create_map(F.lit("temperature"), temperature.cast("string")).alias("options"),
                     imgs.alias("images"))
-
-
-PREFLIGHT_SCHEMA = T.StructType([
-    T.StructField("item_id", T.LongType()), T.StructField("check", T.StringType()),
-    T.StructField("ok", T.BooleanType()),
-])

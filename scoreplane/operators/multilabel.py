@@ -13,15 +13,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreplane.functions.labelsets import label_set, label_set_sql
-from scoreplane.functions.sqltext import ident, lit
+from scoreplane import constants as K
+from scoreplane.functions.sqltext import ident, let, lit
 
 
 def _ratio(num, den) -> Column:
     return F.coalesce(F.try_divide(num.cast("double"), den.cast("double")), F.lit(0.0))
 
 
-def _vocab_sql(vocab: Sequence[str]) -> str:
-    return "array(" + ", ".join(lit(v) for v in vocab) + ")"
+def vocab_sql(vocab: Sequence[str]) -> str:
+    """The vocabulary as SQL: normalised like the items, de-duplicated and sorted; a constant that is folded once."""
+    return label_set_sql("array(" + ", ".join(lit(v) for v in vocab) + ")" if vocab else "CAST(array() AS ARRAY<STRING>)")
 
 
 def label_flags(items: DataFrame, vocab: Sequence[str], true_col: str = "y_true", pred_col: str = "y_pred",
@@ -29,7 +31,7 @@ def label_flags(items: DataFrame, vocab: Sequence[str], true_col: str = "y_true"
     """(by, label, t, p, tp) per item and vocabulary label; OOV labels are ignored."""
     keys = [ident(b) for b in by]
     sets = items.selectExpr(*keys, f"{label_set_sql(ident(true_col))} AS _t", f"{label_set_sql(ident(pred_col))} AS _p")
-    flags = sets.selectExpr(*keys, f"explode(transform({_vocab_sql(vocab)}, lab -> named_struct('label', lab, "
+    flags = sets.selectExpr(*keys, f"explode(transform({vocab_sql(vocab)}, lab -> named_struct('label', lab, "
                                    "'t', CAST(array_contains(_t, lab) AS BIGINT), "
                                    "'p', CAST(array_contains(_p, lab) AS BIGINT)))) AS f")
     return flags.selectExpr(*keys, "f.label AS label", "f.t AS t", "f.p AS p", "f.t * f.p AS tp")
@@ -71,7 +73,7 @@ def micro_macro(items: DataFrame, vocab: Sequence[str], by: Sequence[str] = (),
 def subset_accuracy(items: DataFrame, vocab: Sequence[str], true_col: str = "y_true", pred_col: str = "y_pred",
                     by: Sequence[str] = ()) -> DataFrame:
     """Share of items whose in-vocabulary label sets are equal."""
-    v = F.array(*[F.lit(x) for x in vocab])
+    v = F.expr(vocab_sql(vocab))
     t = F.array_sort(F.array_intersect(label_set(true_col), v))
     p = F.array_sort(F.array_intersect(label_set(pred_col), v))
     return items.groupBy(*by).agg(F.avg((t == p).cast("double")).alias("accuracy_subset"),
@@ -80,18 +82,19 @@ def subset_accuracy(items: DataFrame, vocab: Sequence[str], true_col: str = "y_t
 
 def score_row(items: DataFrame, vocab: Sequence[str], true_col: str = "y_true",
               pred_col: str = "y_pred") -> DataFrame:
-    """One row with micro, macro and subset scores.  With no items every score is
+    """One row with micro, macro and subset scores over a vocabulary of at least one label.  With no items every score is
     1.0 and ``note`` says so (A15).  Two aggregations, no join: the per-item subset
     match rides along on the first vocabulary label."""
-    v = _vocab_sql(vocab)
+    v = vocab_sql(vocab)
     t, p = label_set_sql(ident(true_col)), label_set_sql(ident(pred_col))
-    eq = f"array_sort(array_intersect({t}, {v})) = array_sort(array_intersect({p}, {v}))"
-    rows = items.selectExpr(f"{t} AS _t", f"{p} AS _p", f"CAST({eq} AS BIGINT) AS _eq").selectExpr(
-        f"posexplode(transform({v}, lab -> named_struct('t', CAST(array_contains(_t, lab) AS BIGINT), "
-        "'p', CAST(array_contains(_p, lab) AS BIGINT)))) AS (pos, f)", "_eq")
+    same = f"array_sort(array_intersect(s.t, {v})) = array_sort(array_intersect(s.p, {v}))"
+    flags = (f"transform({v}, lab -> named_struct('t', CAST(array_contains(s.t, lab) AS BIGINT), "
+             f"'p', CAST(array_contains(s.p, lab) AS BIGINT), 'eq', q))")
+    # both label sets are normalised once per item and bound to s
+    rows = items.selectExpr(f"posexplode({let(f"named_struct('t', {t}, 'p', {p})", 's', let(f'CAST({same} AS BIGINT)', 'q', flags))}) AS (pos, f)")
     per = rows.groupBy("pos").agg(
         F.sum(F.col("f.t") * F.col("f.p")).alias("tp"), F.sum("f.t").alias("st"), F.sum("f.p").alias("sp"),
-        F.sum(F.when(F.col("pos") == 0, F.col("_eq"))).alias("eq"),
+        F.sum(F.when(F.col("pos") == 0, F.col("f.eq"))).alias("eq"),
         F.sum(F.when(F.col("pos") == 0, F.lit(1))).alias("n"))
     per = per.select("*", _ratio(F.col("tp"), F.col("sp")).alias("pr"), _ratio(F.col("tp"), F.col("st")).alias("rc"),
                      _ratio(F.col("tp") * 2, F.col("sp") + F.col("st")).alias("f1"))
@@ -111,6 +114,6 @@ def score_row(items: DataFrame, vocab: Sequence[str], true_col: str = "y_true",
         pick(F.col("fm")).alias("f1_score_macro"),
         pick(_ratio(F.col("eq"), F.col("n_items"))).alias("accuracy_subset"),
         F.col("n_items").cast("long").alias("n_items"),
-        F.when(empty, F.lit("Todas as listas de benfeitorias estavam vazias ou resultaram em vetores vazios."))
+        F.when(empty, F.lit(K.NOTE_NO_LABELS))
         .cast("string").alias("note"),
     )

@@ -31,6 +31,10 @@ class FieldSpec:
     gt_col: str
     vocab: Sequence[str] = dc_field(default_factory=list)
 
+    def labels(self) -> list[str]:
+        """The vocabulary as it appears in canonical labels: normalised, with the placeholders, sorted."""
+        return sorted({" ".join(v.lower().split()) for v in self.vocab} | set(K.VOCAB_PLACEHOLDERS))
+
 
 def field_dimension(spark: SparkSession, fields: Sequence[FieldSpec], dataset: str = "default") -> DataFrame:
     """(dataset, field, field_slug, gt_col, vocab) with the vocabulary normalised,

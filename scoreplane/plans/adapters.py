@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreplane.operators.pairs import FieldSpec
-from scoreplane.sources.tables import abspath, materialize
+from scoreplane.sources.tables import materialize, plan_fingerprint
 
 # ---------------------------------------------------------------- configuration
 FIELDS = [
@@ -116,7 +116,8 @@ GENERATION_COLUMNS = ["model", "temperature", "property_id", "dataset_idx", "sta
 
 
 # ---------------------------------------------------------------- T4 multi-label
-MULTILABEL_VOCAB = ["view", "click", "signup", "purchase", "error", "refund"]
+# capitalised, unsorted and repeated on purpose: operators normalise and sort it
+MULTILABEL_VOCAB = ["View", " Click", "signup", "Purchase", "ERROR", "refund", "view "]
 
 # ---------------------------------------------------------------- Spark side
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -151,7 +152,7 @@ PARSED_COLUMNS = ["parsed", "json_parsing_error_msg", "status_json_parsing", "st
 
 
 def generation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T2/T3 as stored generation output: written once per session folder,
+    """T2/T3 as stored generation output: written once for the given input files,
     partitioned by run, with the raw answer *and* its parse (map, error, status),
     as the generation stage stores them (I2 -> K1).
 
@@ -161,15 +162,8 @@ def generation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     the stored raw text again."""
     from scoreplane.operators.generate import parse_answers
 
-    from scoreplane.sources.sinks import spread_by_run
-
-    def build() -> DataFrame:
-        parsed = parse_answers(build_generation_records(spark, sf_dir))
-        files = max(1, spark.sparkContext.defaultParallelism // 2)
-        return spread_by_run(parsed, ("model", "temperature"), ("property_id",), files)
-
-    key = abspath(sf_dir) + "\nparsed-v2\n" + GENERATION_SQL
-    df = materialize(spark, "generation", key, build, partition_by=("model", "temperature"))
+    parsed = parse_answers(build_generation_records(spark, sf_dir)).hint("rebalance", "model", "temperature")
+    df = materialize(parsed, "generation", partition_by=("model", "temperature"), max_records_per_file=2_000_000)
     return df.select(*GENERATION_COLUMNS, *PARSED_COLUMNS)
 
 
@@ -193,12 +187,9 @@ _GRID_SQL = ("SELECT * FROM (" + TRUTH_SQL + ") CROSS JOIN (SELECT m, t FROM ran
 GENERATION_SQL = sql_stages(_GRID_SQL, GENERATION_STAGES, GENERATION_COLUMNS)
 
 
-def cached_generation(spark: SparkSession, sf_dir: str, name: str, requests, generate) -> DataFrame:
-    """Run the batch generator once and keep its output as a table (calls are never
-    repeated by a later recomputation)."""
-    from scoreplane.operators.generate import batch_generate
-
+def cached_generation(name: str, requests: DataFrame, generate, run) -> DataFrame:
+    """Run ``run(requests, generate)`` once and keep its output as a table (calls are never
+    repeated by a later recomputation); other requests, input files or code make another table."""
     code = getattr(generate, "__code__", None)
-    fingerprint = repr((code.co_code, code.co_consts)) if code else repr(generate)
-    key = abspath(sf_dir) + "\n" + name + "\n" + fingerprint
-    return materialize(spark, f"generated-{name}", key, lambda: batch_generate(requests(), generate))
+    told = repr((code.co_code, code.co_consts)) if code else repr(generate)
+    return materialize(run(requests, generate), f"generated-{name}", key=f"{plan_fingerprint(requests)}\n{told}")

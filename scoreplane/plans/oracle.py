@@ -269,11 +269,12 @@ oracle("suspicious_paths",
 oracle("path_basename", f"SELECT page_id, {BASENAME} AS basename, {EXT} AS extension, "
        f"{EXT} IN ({', '.join(repr(e) for e in K.IMAGE_EXTENSIONS)}) AS is_image FROM pages", base=False)
 
+ML_LABELS = ["click", "error", "purchase", "refund", "signup", "view"]  # what the vocabulary of the queries must come to
 ML_ITEMS = ("days AS (SELECT user_id, CAST(ts AS DATE) AS day, list_distinct(list(lower(trim(event_type)))) AS y_true "
             "FROM events GROUP BY ALL), "
             "items AS (SELECT user_id, day, y_true, coalesce(lag(y_true) OVER (PARTITION BY user_id ORDER BY day), "
             "CAST([] AS VARCHAR[])) AS y_pred FROM days), "
-            f"vocab AS (SELECT unnest({_lit_list(A.MULTILABEL_VOCAB)}) AS label), "
+            f"vocab AS (SELECT unnest({_lit_list(ML_LABELS)}) AS label), "
             "flags AS (SELECT i.user_id, i.day, v.label, CASE WHEN list_contains(i.y_true, v.label) THEN 1 ELSE 0 END AS t, "
             "CASE WHEN list_contains(i.y_pred, v.label) THEN 1 ELSE 0 END AS p FROM items i CROSS JOIN vocab v), "
             "perl AS (SELECT label, sum(t * p) AS tp, sum(t) AS st, sum(p) AS sp, count(*) AS n FROM flags GROUP BY label), "
@@ -283,7 +284,7 @@ ML_ITEMS = ("days AS (SELECT user_id, CAST(ts AS DATE) AS day, list_distinct(lis
 
 
 def _hot_sql(col: str) -> str:
-    return " || ".join(f"CASE WHEN list_contains({col}, '{v}') THEN '1' ELSE '0' END" for v in A.MULTILABEL_VOCAB)
+    return " || ".join(f"CASE WHEN list_contains({col}, '{v}') THEN '1' ELSE '0' END" for v in ML_LABELS)
 
 
 oracle("multihot", "WITH " + ML_ITEMS + f" SELECT user_id, day, {_hot_sql('y_true')} AS true_hot, "
@@ -295,7 +296,7 @@ oracle("multilabel_micro", "WITH " + ML_ITEMS +
 oracle("multilabel_macro", "WITH " + ML_ITEMS +
        " SELECT round(avg(precision), 6) AS precision_macro, round(avg(recall), 6) AS recall_macro, "
        "round(avg(f1), 6) AS f1_score_macro FROM perls", base=False)
-VOC = _lit_list(A.MULTILABEL_VOCAB)
+VOC = _lit_list(ML_LABELS)
 oracle("subset_accuracy", "WITH " + ML_ITEMS +
        f" SELECT round(avg(CASE WHEN list_sort(list_intersect(y_true, {VOC})) = list_sort(list_intersect(y_pred, {VOC})) "
        "THEN 1.0 ELSE 0.0 END), 6) AS accuracy_subset, count(*) AS n_items FROM items", base=False)
@@ -303,6 +304,10 @@ oracle("label_2x2", "WITH " + ML_ITEMS +
        " SELECT label, CAST(n - sp - st + tp AS BIGINT) AS tn, CAST(sp - tp AS BIGINT) AS fp, CAST(st - tp AS BIGINT) AS fn, "
        "CAST(tp AS BIGINT) AS tp, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 "
        "FROM perls", base=False)
+oracle("multilabel_empty", "SELECT 1.0 AS precision_micro, 1.0 AS recall_micro, 1.0 AS f1_score_micro, 1.0 AS precision_macro, "
+       "1.0 AS recall_macro, 1.0 AS f1_score_macro, 1.0 AS accuracy_subset, count(*) AS n_items, "
+       "'Todas as listas de benfeitorias estavam vazias ou resultaram em vetores vazios.' AS note "
+       "FROM events WHERE event_type = 'no such type'", base=False)
 oracle("multilabel_by_user_activity", "WITH " + ML_ITEMS +
        ", band AS (SELECT user_id, CASE WHEN count(*) >= 25 THEN 'high' ELSE 'low' END AS band FROM items GROUP BY user_id), "
        "bl AS (SELECT b.band, f.label, sum(t * p) AS tp, sum(t) AS st, sum(p) AS sp FROM flags f JOIN band b USING (user_id) "
@@ -324,25 +329,24 @@ oracle("cosine_pairs",
        "sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))) END, 6) AS cosine "
        "FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1", base=False)
 
-_VC = [str(i) for i in range(10)]
-oracle("vector_class_metrics", f"""WITH
-prs AS (SELECT CAST(label AS VARCHAR) AS y_true,
-               CAST(list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS VARCHAR) AS y_pred FROM embeddings),
-cnt AS (SELECT y_true, y_pred, count(*) AS n FROM prs GROUP BY ALL),
-voc AS (SELECT unnest(list_sort(list_distinct(list_concat({_lit_list(_VC)}, {PLACEHOLDERS})))) AS label),
-ts AS (SELECT y_true AS label, sum(n) AS st, sum(CASE WHEN y_true = y_pred THEN n ELSE 0 END) AS tp FROM cnt GROUP BY 1),
-ps AS (SELECT y_pred AS label, sum(n) AS sp FROM cnt GROUP BY 1),
-pc AS (SELECT v.label, coalesce(st, 0) AS st, coalesce(sp, 0) AS sp, coalesce(tp, 0) AS tp
-       FROM voc v LEFT JOIN ts USING (label) LEFT JOIN ps USING (label)),
+oracle("vector_class_metrics", """WITH
+scored AS (SELECT label, list_transform(range(10), lambda c: coalesce(list_sum(list_filter(embedding::DOUBLE[], lambda x, i: (i - 1) % 10 = c)), 0))
+           AS s FROM embeddings),
+preds AS (SELECT label, list_position(s, list_max(s)) - 1 AS c FROM scored),
+prs AS (SELECT 'class' AS field, label::VARCHAR AS y_true, c::VARCHAR AS y_pred FROM preds UNION ALL
+        SELECT 'half', CASE WHEN label < 5 THEN 'low' ELSE 'high' END, CASE WHEN c < 5 THEN 'low' ELSE 'high' END FROM preds),
+voc AS (SELECT 'class' AS field, unnest(range(10))::VARCHAR AS label UNION ALL SELECT 'half', unnest(['low', 'high'])),
+pc AS (SELECT v.field, v.label, count(*) FILTER (y_true = v.label) AS st, count(*) FILTER (y_pred = v.label) AS sp,
+              count(*) FILTER (y_true = v.label AND y_pred = v.label) AS tp
+       FROM voc v JOIN prs p ON v.field = p.field GROUP BY ALL),
 pcs AS (SELECT *, CASE WHEN sp > 0 THEN tp / sp ELSE 0.0 END AS pr, CASE WHEN st > 0 THEN tp / st ELSE 0.0 END AS rc,
-        CASE WHEN sp + st > 0 THEN 2 * tp / (sp + st) ELSE 0.0 END AS f1 FROM pc)
-SELECT 'argmax10' AS model, 'class' AS field,
-  round((SELECT sum(CASE WHEN y_true = y_pred THEN n ELSE 0 END) / sum(n) FROM cnt), 6) AS accuracy,
+        CASE WHEN sp + st > 0 THEN 2 * tp / (sp + st) ELSE 0.0 END AS f1 FROM pc),
+acc AS (SELECT field, avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END) AS accuracy, count(*) AS n_items FROM prs GROUP BY field)
+SELECT 'class-sums' AS model, a.field, round(any_value(accuracy), 6) AS accuracy,
   round(CASE WHEN sum(st) > 0 THEN sum(pr * st) / sum(st) ELSE 0.0 END, 6) AS precision_weighted,
   round(CASE WHEN sum(st) > 0 THEN sum(rc * st) / sum(st) ELSE 0.0 END, 6) AS recall_weighted,
-  round(CASE WHEN sum(st) > 0 THEN sum(f1 * st) / sum(st) ELSE 0.0 END, 6) AS f1_score_weighted,
-  (SELECT sum(n) FROM cnt)::BIGINT AS n_items
-FROM pcs""", base=False)
+  round(CASE WHEN sum(st) > 0 THEN sum(f1 * st) / sum(st) ELSE 0.0 END, 6) AS f1_score_weighted, any_value(n_items) AS n_items
+FROM acc a JOIN pcs USING (field) GROUP BY a.field""", base=False)
 
 _MODELS_SQL = " UNION ALL ".join(f"SELECT '{m}' AS model, {i} AS m" for i, m in enumerate(A.MODELS))
 _TEMPS_SQL = " UNION ALL ".join(f"SELECT CAST({t} AS DOUBLE) AS temperature" for t in A.TEMPERATURES)
@@ -373,25 +377,34 @@ RESP = ("CASE WHEN prompt = '' THEN NULL ELSE 'Result:' || chr(10) || '```json'
 oracle("batch_generate", f"SELECT conv_id AS request_id, 'alpha-vl:7b' AS model, "
        f"CASE WHEN prompt = '' THEN 'falha' ELSE 'sucesso' END AS status_api_call, {RESP} AS raw_answer FROM ({PROMPTS})",
        base=False)
-_GRID2 = (f"SELECT p.*, g.model, t.temperature FROM ({PROMPTS}) p CROSS JOIN (SELECT '{A.MODELS[0]}' AS model UNION ALL "
-          f"SELECT '{A.MODELS[1]}') g CROSS JOIN (SELECT 0.0::DOUBLE AS temperature UNION ALL SELECT 0.5::DOUBLE) t")
-oracle("grid_generation", f"SELECT conv_id AS request_id, model, temperature, CASE WHEN prompt = '' THEN '{K.STATUS_API_ERROR}' "
-       f"ELSE '{K.STATUS_OK}' END AS status_geracao, CASE WHEN prompt <> '' THEN CAST(length(prompt) AS BIGINT) END AS n_chars "
-       f"FROM ({_GRID2})", base=False)
-oracle("usage_totals", "SELECT model, CAST(sum(CASE WHEN prompt <> '' THEN length(prompt) END) AS BIGINT) AS prompt_chars, "
-       f"CAST(sum(length({RESP})) AS BIGINT) AS response_chars, count(*) AS n_calls FROM ({_GRID2}) GROUP BY model",
-       base=False)
+_ITEMS = (f"SELECT p.*, p.conv_id % 7 <> 3 AS found, CASE WHEN p.conv_id % 7 <> 3 AND p.conv_id % 5 <> 4 AND "
+          f"p.conv_id IN (SELECT page_id FROM pages) THEN 1 + CASE WHEN p.conv_id % 3 = 0 THEN 1 ELSE 0 END ELSE 0 END AS n_images "
+          f"FROM ({PROMPTS}) p")
+_GRID2 = (f"SELECT p.*, g.model, t.temperature, found AND n_images > 0 AND prompt <> '' AS ok FROM ({_ITEMS}) p "
+          f"CROSS JOIN (SELECT '{A.MODELS[0]}' AS model UNION ALL SELECT '{A.MODELS[1]}') g "
+          f"CROSS JOIN (SELECT 0.0::DOUBLE AS temperature UNION ALL SELECT 0.5::DOUBLE) t")
+_NO_DIR = "'Diretório para ''' || conv_id::VARCHAR || ''' não encontrado.'"
+_MESSAGE = (f"CASE WHEN NOT found THEN {_NO_DIR} "
+            "WHEN n_images = 0 THEN 'Nenhuma imagem codificada para API.' WHEN prompt = '' THEN 'empty prompt' END")
+oracle("grid_generation", "SELECT conv_id AS request_id, model, temperature, CASE WHEN NOT found THEN 'erro_diretorio_nao_encontrado' "
+       "WHEN NOT ok THEN 'erro_api' ELSE 'processado_com_sucesso' END AS status_geracao, "
+       "CASE WHEN ok THEN CAST(length(prompt) AS BIGINT) END AS n_chars, CAST(n_images AS INTEGER) AS n_images, "
+       "CASE WHEN ok THEN CAST(n_images AS BIGINT) END AS n_images_seen, "
+       f"{_MESSAGE} AS error_message FROM ({_GRID2})", base=False)
+RESP2 = RESP.replace("\"n_images\": 0}'", "\"n_images\": ' || CAST(n_images AS VARCHAR) || '}'")
+oracle("usage_totals", "SELECT model, CAST(sum(CASE WHEN ok THEN length(prompt) END) AS BIGINT) AS prompt_chars, "
+       f"CAST(sum(CASE WHEN ok THEN length({RESP2}) END) AS BIGINT) AS response_chars, count(*) AS n_calls FROM ({_GRID2}) "
+       "GROUP BY model", base=False)
 
 oracle("first_n", _ctes(f"truth AS ({A.TRUTH_SQL})") + "SELECT * FROM truth ORDER BY item_id LIMIT 10", base=False)
 oracle("first_valid", _GENP + f"SELECT model, temperature, min(dataset_idx) AS first_valid_idx FROM parsed "
-       f"WHERE status_geracao = '{K.STATUS_OK}' GROUP BY ALL", base=False)
-oracle("preflight_checks", _GENP +
-       ", items AS (SELECT * FROM truth ORDER BY item_id LIMIT 5), "
-       f"rec AS (SELECT dataset_idx, count(*) AS n_rec, count(*) FILTER (WHERE status_geracao = '{K.STATUS_OK}') AS n_ok "
-       "FROM parsed GROUP BY dataset_idx), j AS (SELECT * FROM items i LEFT JOIN rec r ON i.item_id = r.dataset_idx) "
-       "SELECT item_id, 'truth_complete' AS check, coalesce(gt_quality IS NOT NULL AND gt_toxicity IS NOT NULL, false) AS ok FROM j "
-       "UNION ALL SELECT item_id, 'records_found', coalesce(n_rec > 0, false) FROM j "
-       "UNION ALL SELECT item_id, 'all_parsed', coalesce(n_ok = n_rec, false) FROM j", base=False)
+       f"WHERE status_geracao = '{K.STATUS_OK}' AND dataset_idx IN (SELECT item_id FROM truth) GROUP BY ALL", base=False)
+_FIVE = f"WITH five AS (SELECT * FROM ({_ITEMS}) ORDER BY conv_id LIMIT 5) "
+oracle("preflight_checks", _FIVE + "SELECT conv_id AS request_id, 'directory_found' AS check, found AS ok, "
+       f"CASE WHEN NOT found THEN {_NO_DIR} END AS detail FROM five "
+       "UNION ALL SELECT conv_id, 'images_found', n_images > 0, n_images::VARCHAR FROM five "
+       "UNION ALL SELECT conv_id, 'item_processed', prompt <> '', CASE WHEN prompt = '' THEN 'erro_api' ELSE "
+       "'processado_com_sucesso' END FROM (SELECT * FROM five WHERE n_images > 0 ORDER BY conv_id LIMIT 1)", base=False)
 
 REP = ("rep AS (SELECT replace(model, ':', '_') AS Modelo, CAST(temperature AS VARCHAR) AS Temperatura, field AS Categoria, "
        "translate(field, ' çãáé', '_caae') AS category_key, accuracy AS \"Accuracy\", f1_score_weighted AS \"F1-Score\", "

@@ -75,12 +75,9 @@ def summary_with_overall(spark, sf):
                     "is_overall")
 
 
-LANGUAGE_LABELS = ["de", "en", "es", "fr", "na", "na_falha_geracao_ou_parse", "na_item_invalido_ou_pulado", "pt"]
-
-
 @query
 def confusion_matrix_pivot(spark, sf):
-    return classify.confusion_matrix(E.counts(spark, sf), E.dimension(spark), "Language", LANGUAGE_LABELS, RUN)
+    return classify.confusion_matrix(E.pairs(spark, sf), A.FIELDS[0], RUN)
 
 
 @query
@@ -155,7 +152,7 @@ from scoreplane.functions import jsonx as JX  # noqa: E402
 from scoreplane.functions import media as MD  # noqa: E402
 from scoreplane.functions import text as TX  # noqa: E402
 from scoreplane.functions import timefmt as TF  # noqa: E402
-from scoreplane.functions.vectors import argmax  # noqa: E402
+from scoreplane.functions.vectors import argmax, class_scores  # noqa: E402
 from scoreplane.operators import grid as G  # noqa: E402
 from scoreplane.operators import multilabel as ML  # noqa: E402
 from scoreplane.operators import reports as R  # noqa: E402
@@ -371,6 +368,14 @@ def label_2x2(spark, sf):
                      r6("recall").alias("recall"), r6("f1").alias("f1"))
 
 
+@query
+def multilabel_empty(spark, sf):
+    """The score row of no items (A15): every score 1.0 and a note."""
+    none = read_table(spark, sf, "events").filter("event_type = 'no such type'").select(
+        F.array("event_type").alias("y_true"), F.array("event_type").alias("y_pred"))
+    return ML.score_row(none, A.MULTILABEL_VOCAB)
+
+
 @query
 def multilabel_by_user_activity(spark, sf):
     """Scores per activity band of the user (number of active days), one group per band."""
@@ -391,16 +396,24 @@ def cosine_pairs(spark, sf):
     return c.select("left_id", "right_id", r6("cosine").alias("cosine"))
 
 
+VECTOR_FIELDS = [P.FieldSpec("class", "label", [str(i) for i in range(10)]), P.FieldSpec("half", "label", ["low", "high"])]
+
+
 @query
 def vector_class_metrics(spark, sf):
-    """10-class task: truth = label, prediction = argmax of the first 10 dims, scored by
-    the same evaluator as the categorical fields."""
-    v = read_table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
-    prs = v.select(F.lit("argmax10").alias("model"), F.lit("class").alias("field"),
-                   F.col("label").cast("string").alias("y_true"),
-                   argmax("embedding", 10).cast("string").alias("y_pred"))
-    dim = P.field_dimension(spark, [P.FieldSpec("class", "label", [str(i) for i in range(10)])])
-    s = classify.summary(classify.confusion_counts(prs, ["model"]), dim, ["model"])
+    """Truth = label, prediction = the class with the largest sum over the whole vector; scored as
+    the class itself and as its half by the same evaluator as the categorical fields."""
+    v = read_table(spark, sf, "embeddings").select("label", argmax(class_scores("embedding", 10)).alias("c"))
+
+    def half(c):
+        return F.when(F.col(c) < 5, F.lit("low")).otherwise(F.lit("high"))
+
+    def entry(name, true, pred):
+        return F.struct(F.lit(name).alias("field"), true.alias("y_true"), pred.alias("y_pred"))
+    prs = v.select(F.lit("class-sums").alias("model"), F.explode(F.array(
+        entry("class", F.col("label").cast("string"), F.col("c").cast("string")),
+        entry("half", half("label"), half("c")))).alias("e")).select("model", "e.*")
+    s = classify.summary(classify.confusion_counts(prs, ["model"]), P.field_dimension(spark, VECTOR_FIELDS), ["model"])
     return s.select("model", "field", r6("accuracy").alias("accuracy"),
                     r6("precision_weighted").alias("precision_weighted"),
                     r6("recall_weighted").alias("recall_weighted"),
@@ -462,37 +475,59 @@ def stub_generate(req: dict) -> dict:
             "usage": {"prompt_chars": len(prompt), "response_chars": len(resp)}}
 
 
-def _requests(spark, sf, models=("alpha-vl:7b",), temps=(0.0,)):
+def _prompts(spark, sf):
     turns = read_table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
-    p = G.assemble_prompts(turns)
-    p = p.select(F.col("conv_id").alias("request_id"), "system", "prompt",
-                 F.array().cast("array<string>").alias("images"))
-    return G.experiment_grid(p, list(models), list(temps))
+    return G.assemble_prompts(turns).withColumnRenamed("conv_id", "request_id")
+
+
+def _work(spark, sf):
+    """(items, directories, files): one entity per conversation, its images from the page of the same number."""
+    items = _prompts(spark, sf).select("request_id", F.col("request_id").cast("string").alias("entity_id"), "system", "prompt")
+    name = F.when(F.col("request_id") % 2 == 0, F.col("entity_id")).otherwise(F.concat("entity_id", F.lit("_home")))
+    dirs = items.filter("request_id % 7 <> 3").select("request_id", name.alias("dir_name"))
+    pages = read_table(spark, sf, "pages").select(F.col("page_id").alias("request_id"), "url", "html")
+    listing = dirs.join(pages, "request_id").select("request_id", "dir_name", F.explode(F.array(
+        F.struct(F.lit("notes.txt").alias("name"), F.encode("url", "UTF-8").alias("content")),
+        F.when(F.col("request_id") % 5 != 4, F.struct(F.lit("front.png").alias("name"), F.encode("url", "UTF-8").alias("content"))),
+        F.when((F.col("request_id") % 5 != 4) & (F.col("request_id") % 3 == 0),
+               F.struct(F.lit("Back.JPG").alias("name"), F.encode("html", "UTF-8").alias("content"))))).alias("f"))
+    files = listing.filter("f IS NOT NULL").select(
+        F.concat(F.lit("/data/"), "dir_name", F.lit("/"), "f.name").alias("path"), "f.content")
+    return items, dirs.select("dir_name"), files
+
+
+CALL_TASKS = 16
 
 
 @query
 def batch_generate(spark, sf):
-    out = A.cached_generation(spark, sf, "batch", lambda: _requests(spark, sf), stub_generate)
+    from scoreplane.operators.generate import batch_generate as call
+    requests = G.experiment_grid(_prompts(spark, sf), A.MODELS[:1], [0.0]).select(
+        "request_id", "model", G.request_struct(F.col("model"), F.col("temperature"), F.col("system"), F.col("prompt"))
+        .alias("request"))
+    out = A.cached_generation("batch", requests, stub_generate, lambda r, g: call(r, g, CALL_TASKS))
     return out.select("request_id", "model", "status_api_call", "raw_answer")
 
 
+def _grid_output(spark, sf):
+    from scoreplane.operators.generate import run_grid
+    items, dirs, files = _work(spark, sf)
+    return A.cached_generation("grid", items, stub_generate, lambda r, g: run_grid(
+        r, A.MODELS[:2], A.TEMPERATURES[:2], g, CALL_TASKS, dirs, files))
+
+
 @query
 def grid_generation(spark, sf):
-    """Grid x requests -> model calls -> strict parse -> status."""
-    from scoreplane.operators.generate import parse_answers
-    out = A.cached_generation(spark, sf, "grid", lambda: _requests(spark, sf, A.MODELS[:2], A.TEMPERATURES[:2]),
-                              stub_generate)
-    p = parse_answers(out)
-    return p.select("request_id", *RUN, "status_geracao",
-                    JX.field_value("parsed", "n_chars").try_cast("long").alias("n_chars"))
+    """Grid x items -> directories -> images -> model calls -> strict parse -> status."""
+    return _grid_output(spark, sf).select(
+        "request_id", *RUN, "status_geracao", JX.field_value("parsed", "n_chars").try_cast("long").alias("n_chars"),
+        "n_images", JX.field_value("parsed", "n_images").try_cast("long").alias("n_images_seen"), "error_message")
 
 
 @query
 def usage_totals(spark, sf):
     from scoreplane.operators.generate import usage_totals as ut
-    out = A.cached_generation(spark, sf, "grid", lambda: _requests(spark, sf, A.MODELS[:2], A.TEMPERATURES[:2]),
-                              stub_generate)
-    return ut(out, by=["model"])
+    return ut(_grid_output(spark, sf), by=["model"])
 
 
 # ------------------------------------------------------------ pre-flight and first-n
@@ -506,23 +541,16 @@ def first_n(spark, sf):
 def first_valid(spark, sf):
     """Per run, the first item whose answer parsed (O4) - an aggregated min, no sort."""
     r = E.parsed_records(spark, sf).filter(F.col("status_geracao") == K.STATUS_OK)
+    r = r.join(A.truth(spark, sf).select(F.col("item_id").alias("dataset_idx")), "dataset_idx", "left_semi")
     return r.groupBy(*RUN).agg(F.min("dataset_idx").alias("first_valid_idx"))
 
 
 @query
 def preflight_checks(spark, sf):
-    """First 5 items: truth present, a record per run, every run parsed (I4)."""
-    items = A.truth(spark, sf).orderBy("item_id").limit(5)
-    rec = E.parsed_records(spark, sf).groupBy("dataset_idx").agg(
-        F.count(F.lit(1)).alias("n_rec"), F.count_if(F.col("status_geracao") == K.STATUS_OK).alias("n_ok"))
-    j = items.join(rec, items["item_id"] == rec["dataset_idx"], "left")
-    checks = F.array(
-        F.struct(F.lit("truth_complete").alias("check"),
-                 F.coalesce(F.col("gt_quality").isNotNull() & F.col("gt_toxicity").isNotNull(), F.lit(False)).alias("ok")),
-        F.struct(F.lit("records_found").alias("check"), F.coalesce(F.col("n_rec") > 0, F.lit(False)).alias("ok")),
-        F.struct(F.lit("all_parsed").alias("check"), F.coalesce(F.col("n_ok") == F.col("n_rec"), F.lit(False)).alias("ok")),
-    )
-    return j.select("item_id", F.explode(checks).alias("c")).select("item_id", "c.check", "c.ok")
+    """First 5 items: directory found, images found, one item processed (I4)."""
+    from scoreplane.operators.generate import preflight
+    items, dirs, files = _work(spark, sf)
+    return preflight(items, 5, stub_generate, dirs, files, A.MODELS[0])
 
 
 # ------------------------------------------------------------ reports

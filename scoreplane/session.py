@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "scoreplane") -> SparkSession:
@@ -48,9 +48,12 @@ def _context_dir(spark: SparkSession):
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session names none (local tests) is a scratch folder created."""
+    Only a local master that names none (tests) gets a scratch folder; on a cluster each
+    executor would write to a disk of its own, so there it is an error."""
     current = spark.conf.get("spark.checkpoint.dir", None) or _context_dir(spark)
     if not current:
+        if not spark.conf.get("spark.master", "").startswith("local") or "cluster" in spark.conf.get("spark.master"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="scoreplane-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     try:
@@ -59,14 +62,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     except Exception:
         pass
     return current
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder for intermediate tables."""
-    return os.path.join(ensure_checkpoint_dir(spark).replace("file:", ""), name)

@@ -3,72 +3,78 @@
 ``materialize`` writes a derived table once into the shared checkpoint folder
 (``spark.checkpoint.dir``) and reads it back: lineage is cut, the result
 survives executor loss, and later plans see a plain scan (filters and
-partition pruning reach the files)."""
+partition pruning reach the files).
+
+A stored table is served only while nothing it was made from has changed: its
+name holds a digest of every input file (path, length, modification time), of the
+normalised plan, and of the caller's key.  It is written under a name of its own
+and published by one rename, so two sessions never write the same files and a
+reader never sees half a table."""
 
 from __future__ import annotations
 
 import hashlib
 import os
-from typing import Callable, Sequence
+import re
+import uuid
+from typing import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 from scoreplane.session import ensure_checkpoint_dir
 
 
-_READS: dict[tuple, DataFrame] = {}
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _ctx_key(spark: SparkSession) -> str:
-    try:
-        return spark.sparkContext.applicationId
-    except Exception:  # sessions without a local SparkContext
-        return f"session-{id(spark)}"
+def _fs(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), target
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """``spark.read.parquet`` memoised per application: listing the files and
-    reading the footers is done once per path, not once per query."""
-    key = (_ctx_key(spark), path)
-    df = _READS.get(key)
-    if df is None:
-        df = spark.read.parquet(path)
-        _READS[key] = df
-    return df
+def input_fingerprint(df: DataFrame) -> str:
+    """Path, length and modification time of every file a plan reads, folded into one text.
 
+    Spark lists the files (in parallel beyond a few) and folds the rows; no file is opened."""
+    files = df.inputFiles()
+    if not files:
+        return "none"
+    listed = df.sparkSession.read.format("binaryFile").load(files).selectExpr(
+        "XXHASH64(path, length, modificationTime) AS a", "HASH(modificationTime, length, path) AS b")
+    row = listed.selectExpr("COUNT(*) AS n", "BIT_XOR(a) AS a", "BIT_XOR(b) AS b").first()
+    return f"{row.n}:{row.a}:{row.b}"
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_parquet(spark, f"{sf_dir}/{name}.parquet")
 
+def plan_fingerprint(df: DataFrame) -> str:
+    """Digest of the analysed plan without the expression ids that differ from run to run."""
+    plan = df._jdf.queryExecution().analyzed().toString()
+    return hashlib.sha256(re.sub(r"#\d+L?|lambda \w+", "", plan).encode()).hexdigest()
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Whether a completed write (``_SUCCESS`` marker) is at ``path``, on any Hadoop file system."""
-    try:
-        jvm = spark.sparkContext._jvm
-        hpath = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-        return bool(hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath))
-    except Exception:  # no JVM handle: fall back to a read of the marker
-        try:
-            return spark.read.text(path + "/_SUCCESS").limit(1).count() >= 0
-        except Exception:
-            return False
 
+def materialize(df: DataFrame, name: str, key: str = "", partition_by: Sequence[str] = (),
+                max_records_per_file: int | None = None) -> DataFrame:
+    """Write ``df`` once under the checkpoint folder and read it back with its own schema.
 
-def materialize(spark: SparkSession, name: str, key: str, build: Callable[[], DataFrame],
-                partition_by: Sequence[str] = ()) -> DataFrame:
-    """Write ``build()`` once under the checkpoint folder, keyed by ``key``; read it back."""
+    ``key`` names what the plan text does not show, such as the code of a model call."""
+    spark = df.sparkSession
     root = ensure_checkpoint_dir(spark).rstrip("/")
-    digest = hashlib.sha1(key.encode()).hexdigest()[:16]
-    path = f"{root}/scoreplane-tables/{name}-{digest}"
-    memo = _READS.get((_ctx_key(spark), path))
-    if memo is not None:
-        return memo
-    if not _exists(spark, path):
-        writer = build().write.mode("overwrite")
+    made_of = "\n".join([input_fingerprint(df), plan_fingerprint(df), key, df.schema.json(), *partition_by])
+    path = f"{root}/scoreplane-tables/{name}-{hashlib.sha256(made_of.encode()).hexdigest()[:24]}"
+    fs, target = _fs(spark, path)
+    if not fs.exists(target):
+        attempt = f"{path}.{uuid.uuid4().hex}"
+        writer = df.write
+        if max_records_per_file:
+            writer = writer.option("maxRecordsPerFile", max_records_per_file)
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        writer.parquet(path)
-    return read_parquet(spark, path)
+        writer.parquet(attempt)
+        _, made = _fs(spark, attempt)
+        # a rename into an existing folder would move the attempt inside it, so the loser of a race drops its own
+        if fs.exists(target) or not fs.rename(made, target):
+            fs.delete(made, True)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def abspath(p: str) -> str:

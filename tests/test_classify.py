@@ -101,7 +101,7 @@ def test_confusion_counts_sum_and_pivot(spark):
     dim = field_dimension(spark, [FieldSpec("F", "f", VOCAB)])
     counts = classify.confusion_counts(pairs)
     assert counts.agg(F.sum("n")).first()[0] == 4
-    m = {r["y_true"]: r for r in classify.confusion_matrix(counts, dim, "F", ["a", "b", "na"]).collect()}
+    m = {r["y_true"]: r for r in classify.confusion_matrix(pairs, FieldSpec("F", "f", VOCAB)).collect()}
     assert (m["a"]["a"], m["a"]["b"], m["b"]["b"], m["na"]["na"]) == (1, 1, 1, 0)
     assert set(m) == set(LABELS)  # zero-filled truth rows
 

@@ -134,12 +134,39 @@ def test_run_grid_end_to_end(spark):
     from scoreplane.operators.generate import run_grid
     from scoreplane.plans.queries import stub_generate
 
-    items = spark.createDataFrame([(1, "1", "sys", "hello", []), (2, "2", "sys", "", []), (3, "3", "sys", "x", [])],
-                                  "request_id long, entity_id string, system string, prompt string, images array<string>")
-    dirs = spark.createDataFrame([("1_house",), ("2",)], "dir_name string")
-    out = run_grid(items, ["m:1"], [0.0, 1.0], stub_generate, dirs=dirs)
-    st = {(r["request_id"], r["temperature"]): r["status_geracao"] for r in out.collect()}
+    items = spark.createDataFrame([(1, "1", "sys", "hello"), (2, "2", "sys", ""), (3, "3", "sys", "x"), (4, "4", "sys", "x")],
+                                  "request_id long, entity_id string, system string, prompt string")
+    dirs = spark.createDataFrame([("1_house",), ("2",), ("4",)], "dir_name string")
+    names = ["/d/1_house/b.png", "/d/1_house/a.JPG", "/d/1_house/x.txt", "/d/2/a.png", "/d/4/readme.md"]
+    files = spark.createDataFrame([(n, bytearray(b"x")) for n in names], "path string, content binary")
+    seen = spark.sparkContext.accumulator(0)
+
+    def generate(request):
+        seen.add(1)
+        assert request["options"]["temperature"] in ("0.0", "1.0") and request["images"][0].startswith("data:image/")
+        return stub_generate(request)
+
+    out = {(r["request_id"], r["temperature"]): r
+           for r in run_grid(items, ["m:1", " "], [0.0, 1.0], generate, 4, dirs=dirs, files=files).collect()}
+    st = {k: r["status_geracao"] for k, r in out.items()}
     assert st[(1, 0.0)] == "processado_com_sucesso"
+    assert out[(1, 0.0)]["parsed"]["n_images"] == "2"
     assert st[(2, 1.0)] == "erro_api"
     assert st[(3, 0.0)] == "erro_diretorio_nao_encontrado"
-    assert len(st) == 6
+    assert out[(3, 0.0)]["error_message"] == "Diretório para '3' não encontrado."
+    assert st[(4, 0.0)] == "erro_api" and out[(4, 0.0)]["error_message"] == "Nenhuma imagem codificada para API."
+    assert len(st) == 8 and seen.value == 4  # items without a directory or images are never sent
+
+
+def test_calls_spread_over_the_requested_tasks(spark):
+    import os
+
+    from pyspark import TaskContext
+
+    from scoreplane.operators.generate import batch_generate
+    from scoreplane.operators.grid import request_struct
+    from pyspark.sql import functions as F
+
+    rows = spark.range(64).withColumn("request", request_struct(F.lit("m"), F.lit(0.0), F.lit("s"), F.lit("p")))
+    out = batch_generate(rows, lambda r: {"response": f"{TaskContext.get().partitionId()}", "usage": {"pid": os.getpid()}}, 7)
+    assert out.select("raw_answer").distinct().count() == 7 and out.count() == 64

@@ -6,12 +6,9 @@ import io
 import pytest
 
 import __spark_entry__ as entry
+from scoreplane.plans.queries import REGISTRY
 
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"]
-# The one query whose only field is a literal: Catalyst folds its equi-join to the
-# one-row field dimension into a nested-loop join against that broadcast single row.
-ALLOWED = {"vector_class_metrics": {"BroadcastNestedLoopJoin"}}
-
 
 def _explain(df, mode="formatted") -> str:
     buf = io.StringIO()
@@ -20,12 +17,10 @@ def _explain(df, mode="formatted") -> str:
     return buf.getvalue()
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_no_cartesian_or_row_udf(spark, sf_small, name):
     plan = _explain(entry.queries()[name](spark, sf_small), "simple")
     for op in FORBIDDEN:
-        if op in ALLOWED.get(name, set()):
-            continue
         assert op not in plan, f"{name} plans {op}"
 
 
