@@ -1,10 +1,12 @@
 """Extract and strictly parse a JSON object out of free model text.
 
-All native expressions: no Python per row.  The strict parse wraps the
-candidate in ``[...]`` and parses it as ``array<map<string,string>>``; the
-answer is valid iff exactly one object comes back.  This rejects trailing text,
-two objects, single quotes, raw control characters inside strings, leading
-zeros and trailing commas, like a strict JSON reader does.
+All native expressions: no Python per row.  A parser stops behind the first complete value
+and does not look at what follows, so the candidate is parsed twice: as the element of
+``[...]`` and as the member of ``{"v":...}``.  Text behind it that closes the one wrapper early is
+an error inside the other; the answer is valid iff the first gives exactly one object and the second exactly
+one member.  This rejects trailing text, two objects, single quotes, raw control
+characters inside strings, leading zeros and trailing commas, like a strict JSON
+reader does; ``NaN`` and ``Infinity`` are accepted, as there.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ CONTROL_CHARS = r"[\x{00}-\x{07}\x{0b}\x{0e}-\x{1f}\x{7f}]"
 _STRICT_OPTIONS = {
     "allowSingleQuotes": "false",
     "allowNumericLeadingZeros": "false",
-    "allowNonNumericNumbers": "false",
+    "allowNonNumericNumbers": "true",
     "allowUnquotedFieldNames": "false",
     "allowComments": "false",
     "allowUnquotedControlChars": "false",
@@ -48,71 +50,19 @@ def clean_json(c) -> Column:
     return F.regexp_replace(_col(c), CONTROL_CHARS, "")
 
 
-def _last_wins(m: Column) -> Column:
-    """Keep the last value of a duplicated key, as a JSON reader does.
-
-    One left fold over the reversed entries with no reference to outer arrays,
-    so the map is evaluated once per row, not once per element."""
-    entries = F.reverse(F.map_entries(m))
-    init = F.struct(F.array().cast("array<string>").alias("k"),
-                    F.array().cast("array<struct<key:string,value:string>>").alias("e"))
-    folded = F.aggregate(
-        entries, init,
-        lambda acc, x: F.when(F.array_contains(acc["k"], x["key"]), acc).otherwise(
-            F.struct(F.array_append(acc["k"], x["key"]).alias("k"),
-                     F.array_append(acc["e"], x).alias("e"))))
-    return F.map_from_entries(F.reverse(folded["e"]))
-
-
-def let(value: Column, fn) -> Column:
-    """Bind ``value`` once and use it many times inside ``fn`` (a one-element transform).
-
-    Without it, an optimizer that substitutes aliases into pushed-down filters
-    copies an expression once per reference, and chains of such steps grow
-    exponentially."""
-    return F.transform(F.array(value), fn)[0]
-
-
-def wrapped_parse(c) -> Column:
-    """``[candidate]`` parsed as an array of objects; valid iff exactly one element."""
-    return F.from_json(F.concat(F.lit("["), _col(c), F.lit("]")), "array<map<string,string>>", _STRICT_OPTIONS)
-
-
-def single_object(wrapped) -> Column:
-    return let(_col(wrapped), lambda w: F.when(F.size(w) == 1, F.element_at(w, 1)))
-
-
-def dedupe_keys(m) -> Column:
-    """The map itself when its keys are unique (the usual case), else last-wins."""
-    def pick(x):
-        unique = F.size(F.array_distinct(F.map_keys(x))) == F.size(x)
-        return F.when(x.isNull(), x).when(unique, x).otherwise(_last_wins(x))
-    return let(_col(m), pick)
-
-
-def strict_parse(c) -> Column:
-    """Map of the object's top-level members (values as JSON text), null if invalid."""
-    return dedupe_keys(single_object(wrapped_parse(c)))
-
-
-def extraction_error(raw, cand, cleaned, parsed) -> Column:
-    raw, cand, cleaned, parsed = map(_col, (raw, cand, cleaned, parsed))
-    return (
-        F.when(raw.isNull() | (raw == ""), F.lit(K.ERR_EMPTY_RESPONSE))
-        .when(cand.isNull(), F.lit(K.ERR_NO_JSON))
-        .when(parsed.isNull(), F.concat(F.lit(K.ERR_PARSE_PREFIX + ". Str: '"),
-                                        F.substring(cleaned, 1, 200), F.lit("...'")))
-    )
-
-
 def extract_json_sql(raw: str) -> str:
-    """SQL text of :func:`extract_json` over the SQL expression ``raw``."""
+    """struct<parsed: map<string,string>, error: string> for the raw answer in the SQL expression ``raw``.
+
+    Every intermediate (candidate, cleaned text, parsed map) is bound once: without that, an optimizer that
+    substitutes aliases into pushed-down filters copies an expression once per reference, and chains of
+    such steps grow exponentially."""
     opts = ", ".join(f"{lit(k)}, {lit(v)}" for k, v in _STRICT_OPTIONS.items())
     cand = (f"coalesce(nullif(regexp_extract({raw}, {lit(FENCED_BLOCK)}, 1), ''), "
             f"nullif(regexp_extract({raw}, {lit(OUTER_BRACES)}, 0), ''))")
     clean = f"regexp_replace(jx_cand, {lit(CONTROL_CHARS)}, '')"
     wrapped = f"from_json(concat('[', jx_clean, ']'), 'array<map<string,string>>', map({opts}))"
-    one = "CASE WHEN size(jx_w) = 1 THEN element_at(jx_w, 1) END"
+    member = f"size(from_json(concat('{{\"v\":', jx_clean, '}}'), 'map<string,string>', map({opts}))) = 1"
+    one = f"CASE WHEN size(jx_w) = 1 THEN CASE WHEN {member} THEN element_at(jx_w, 1) END END"
     fold = ("map_from_entries(reverse(aggregate(reverse(map_entries(jx_one)), "
             "named_struct('k', cast(array() AS array<string>), 'e', cast(array() AS array<struct<key:string,value:string>>)), "
             "(acc, x) -> CASE WHEN array_contains(acc.k, x.key) THEN acc "
@@ -133,23 +83,10 @@ def extract_json_sql(raw: str) -> str:
     return slet(cand, "jx_cand", inner)
 
 
-def extract_json(raw) -> Column:
-    """struct<parsed: map<string,string>, error: string> for a raw answer.
-
-    Every intermediate (candidate, cleaned text, parsed map) is bound once."""
-    if isinstance(raw, str):
-        return F.expr(extract_json_sql(ident(raw)))
-    raw = _col(raw)
-    return let(json_candidate(raw), lambda cand: let(clean_json(cand), lambda cleaned: let(
-        strict_parse(cleaned), lambda parsed: let(
-            extraction_error(raw, cand, cleaned, parsed), lambda err: F.struct(
-                F.when(err.isNull(), parsed).alias("parsed"), err.alias("error"))))))
-
-
 def with_extracted_json(df: DataFrame, raw_col: str, parsed_col: str = "parsed",
                         error_col: str = "json_parsing_error_msg") -> DataFrame:
     """Adds the parsed object and the error text of a raw answer column."""
-    out = df.withColumn("_jx", extract_json(raw_col))
+    out = df.withColumn("_jx", F.expr(extract_json_sql(ident(raw_col))))
     return out.select("*", F.col("_jx.parsed").alias(parsed_col), F.col("_jx.error").alias(error_col)).drop("_jx")
 
 

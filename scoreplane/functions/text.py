@@ -121,15 +121,6 @@ def _sql(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def fixed_sql(x: str, places: int = 2, stabilize: bool = True) -> str:
-    """SQL text of :func:`fixed` over the SQL expression ``x``."""
-    pattern = "0." + "0" * places if places > 0 else "0"
-    v = f"CAST({x} AS DOUBLE)"
-    if stabilize:
-        v = f"round({v}, 9)"
-    return f"format_number({v}, {lit(pattern)})"
-
-
 def escape_sql(x: str, model_name: bool = False) -> str:
     """SQL text of :func:`escape_special` over the SQL expression ``x``."""
     out = f"CAST({x} AS STRING)"
@@ -140,20 +131,21 @@ def escape_sql(x: str, model_name: bool = False) -> str:
     return out
 
 
-def fixed(c, places: int = 2, stabilize: bool = True) -> Column:
-    """Fixed-point text with round-half-even on the binary value, no grouping.
+def settled(c) -> Column:
+    """A metric as reports print it: rounded to 9 places, once.
 
-    ``stabilize`` first rounds to 9 places: a sum of doubles taken in a different
-    order (another partitioning, another engine) differs in the last bits, and
-    near a decimal tie that flips the printed digit.  Rounding collapses such
-    neighbours onto one double; exact values (0.125, 0.615) print as before."""
-    if isinstance(c, str):
-        return F.expr(fixed_sql(ident(c), places, stabilize))
-    pattern = "0." + "0" * places if places > 0 else "0"
-    x = c.cast("double")
-    if stabilize:
-        x = F.round(x, 9)
-    return F.call_function("format_number", x, F.lit(pattern))
+    A sum of doubles taken in a different order (another partitioning, another engine) differs in the
+    last bits, and near a decimal tie that flips the printed digit; rounding collapses such neighbours."""
+    return F.round(F.col(c) if isinstance(c, str) else c, 9)
+
+
+def fixed(c, places: int = 2) -> Column:
+    """Fixed-point text, half-even on the binary value, no grouping (E8); the number is taken as it is.
+
+    Known residue: a number whose only printed digit would be its rounded half (0.00005 at 4 places)
+    counts as an exact tie and prints as zero."""
+    x = F.col(c) if isinstance(c, str) else c
+    return F.call_function("format_number", x.cast("double"), F.lit("0." + "0" * places if places > 0 else "0"))
 
 
 def escape_special(c, model_name: bool = False) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreplane import constants as K
-from scoreplane.functions.text import escape_special, fixed, safe_model_name, slug
+from scoreplane.functions.text import escape_special, fixed, safe_model_name, settled, slug
 
 METRICS = ["accuracy", "precision_weighted", "recall_weighted", "f1_score_weighted"]
 RUN = ("model", "temperature")
@@ -152,7 +152,7 @@ def report_rows(report: DataFrame, metric_cols: Sequence[str], group_col: str =
         cells.append(F.when(t.isNotNull(), fixed(t, places)).otherwise(escape_special(temp_col)))
         out_cols.append(F.col(temp_col))
     for m in metric_cols:
-        cells.append(F.coalesce(fixed(m, places), F.lit("nan")))
+        cells.append(F.coalesce(fixed(settled(F.col(f"`{m}`")), places), F.lit("nan")))
     # the report has one row per (run, category): a bounded table, so one ordered window is fine
     prev = F.lag(group_col).over(w_all)
     rule = prev.isNotNull() & (prev != F.col(group_col))

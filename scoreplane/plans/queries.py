@@ -233,9 +233,9 @@ def coerce_temperature(spark, sf):
 @query
 def fixed_format(spark, sf):
     s = E.summary(spark, sf)
-    return s.select(*RUN, "field", TX.fixed("accuracy", 2).alias("accuracy_2"),
-                    TX.fixed("f1_score_weighted", 4).alias("f1_4"),
-                    TX.fixed(F.col("n_items") / 8, 2).alias("eighths_2"))
+    return s.select(*RUN, "field", TX.fixed(TX.settled("accuracy"), 2).alias("accuracy_2"),
+                    TX.fixed(TX.settled("f1_score_weighted"), 4).alias("f1_4"),
+                    TX.fixed(TX.settled(F.col("n_items") / 8), 2).alias("eighths_2"))
 
 
 @query
@@ -676,13 +676,13 @@ def run_summary_rows(spark, sf):
     s = classify.summary_with_overall(E.summary(spark, sf), RUN)
     names = K.RUN_SUMMARY_COLUMNS
     return s.select(*RUN, F.col("category").alias(names[0]),
-                    TX.fixed("accuracy", 4).alias(names[1]), TX.fixed("f1_score_weighted", 4).alias(names[2]),
-                    TX.fixed("precision_weighted", 4).alias(names[3]), TX.fixed("recall_weighted", 4).alias(names[4]))
+                    TX.fixed(TX.settled("accuracy"), 4).alias(names[1]), TX.fixed(TX.settled("f1_score_weighted"), 4).alias(names[2]),
+                    TX.fixed(TX.settled("precision_weighted"), 4).alias(names[3]), TX.fixed(TX.settled("recall_weighted"), 4).alias(names[4]))
 
 
 @query
 def report_csv_rows(spark, sf):
     """Rows of the by-category report file (K4): fixed column order, 4 decimals."""
     rep = R.existing_columns(_report(spark, sf), K.REPORT_BY_CATEGORY_COLUMNS)
-    return rep.select(*[TX.fixed(F.col(f"`{c}`"), 4).alias(c) if c in REPORT_METRICS else F.col(f"`{c}`")
+    return rep.select(*[TX.fixed(TX.settled(F.col(f"`{c}`")), 4).alias(c) if c in REPORT_METRICS else F.col(f"`{c}`")
                         for c in rep.columns])

@@ -8,7 +8,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreplane.functions.text import fixed
+from scoreplane.functions.text import fixed, settled
 
 
 def spread_by_run(items: DataFrame, run_cols: Sequence[str], key_cols: Sequence[str],
@@ -54,7 +54,7 @@ def write_summary_csv(summary: DataFrame, path: str, metric_cols: Sequence[str],
     """K3: per-run summary CSV with fixed decimals, header, one directory per run."""
     cols = [c for c in summary.columns if c not in metric_cols]
     out = summary.select(*[F.col(f"`{c}`") for c in cols],
-                         *[fixed(F.col(f"`{m}`"), places).alias(m) for m in metric_cols])
+                         *[fixed(settled(F.col(f"`{m}`")), places).alias(m) for m in metric_cols])
     w = out.write.mode("overwrite").option("header", True)
     if partition_cols:
         w = w.partitionBy(*partition_cols)
@@ -67,7 +67,7 @@ def write_report_csv(report: DataFrame, path: str, columns: Sequence[str], numbe
     if report.isEmpty():
         return False
     keep = [c for c in columns if c in report.columns]
-    out = report.select(*[fixed(F.col(f"`{c}`"), places).alias(c) if c in number_cols else F.col(f"`{c}`")
+    out = report.select(*[fixed(settled(F.col(f"`{c}`")), places).alias(c) if c in number_cols else F.col(f"`{c}`")
                           for c in keep])
     out.write.mode("overwrite").option("header", True).csv(path)
     return True

@@ -1,3 +1,6 @@
+import json
+
+import pytest
 from pyspark.sql import functions as F
 
 from scoreplane.functions import jsonx as JX
@@ -57,6 +60,12 @@ def test_fixed_is_half_even_on_binary_value(spark):
     assert one(spark, lambda c: TX.fixed(c, 2), vals, "x double") == ["%.2f" % v for v in vals]
 
 
+def test_fixed_prints_what_percent_f_prints(spark):
+    vals = [0.12344999999999, 0.12345, 0.5, 2.675, 1e-9, 0.99995, 0.00015, 123456.78905, 0.615]
+    assert one(spark, lambda c: TX.fixed(c, 4), vals, "x double") == ["%.4f" % v for v in vals]
+    assert one(spark, lambda c: TX.fixed(TX.settled(c), 2), [0.1 + 0.2, 0.115000000000001], "x double") == ["0.30", "0.12"]
+
+
 def test_escape_order(spark):
     got = one(spark, TX.escape_special, ["a & b % $ # _ { } ~ ^ \\"])[0]
     assert got == r"a \& b \% \$ \# \_ \{ \} \textasciitilde{} \^{} \textbackslash\{\}"
@@ -89,6 +98,24 @@ def test_strict_json_extraction(spark):
         assert (row["json_parsing_error_msg"] is None) == (want is not None), raw
 
 
+@pytest.mark.parametrize("raw", [
+    '{"a":1}]}', '{"a":1}]x{}', '{"a":1}] [{"b":2}', '{"a":1}]}]garbage}', '{"a":1}} x}', '{"a":1}}', '{"a":1},"w":{"b":1}', '{"a":1}, {}',
+    '{"a":{"b":[1,2,{"c":null}]}}', '{"a":NaN}', '{"a":Infinity,"b":-Infinity}', '{"a":1}\n', '{"a":"]}"}', '{"a":[1}', '{"a":1e5}', '{"a":.5}',
+    '{"a":+1}', '{"a":tru}', '{"a" 1}', '{"a":1;}', '{"a":"\\u00e9"}', '{"a":"\\x"}', '{"a":/*c*/1}', '{a:1}', '{"a":1}]}, {"v":{"a":1}'])
+def test_strict_json_agrees_with_a_strict_reader(spark, raw):
+    """The expected values come from Python's own reader on the candidate."""
+    cand = raw[raw.index("{"): raw.rindex("}") + 1]
+    try:
+        want = json.loads(cand)
+        ok = isinstance(want, dict) and bool(want)
+    except ValueError:
+        want, ok = None, False
+    row = JX.with_extracted_json(spark.createDataFrame([(raw,)], "x string"), "x").first()
+    assert (row["parsed"] is not None and len(row["parsed"]) > 0) == ok
+    if ok:
+        assert set(row["parsed"]) == set(want)
+
+
 def test_empty_object_is_a_failure(spark):
     from scoreplane.operators.generate import parse_answers
     df = spark.createDataFrame([("{}", "sucesso"), ('{"a": "b"}', "sucesso"), (None, "falha")],
