@@ -58,6 +58,9 @@ RUN_SUMMARY_COLUMNS = [
     "Categoria", "Accuracy", "F1-Score (Weighted)", "Precision (Weighted)", "Recall (Weighted)",
 ]
 
+RULE_LINE = r"    \midrule"
+ERR_NO_CATEGORIES = "Nenhuma categoria com métricas válidas para calcular a média geral."
+
 # --- fixed values: slug folding (characters and replacements, in order) ----
 SLUG_FROM = " çãáé"
 SLUG_TO = "_caae"

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreplane import constants as K
@@ -29,32 +29,54 @@ def confusion_counts(pairs: DataFrame, by: Sequence[str] = RUN) -> DataFrame:
     return pairs.groupBy(*by, "field", "y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _keys_as_text(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Floating-point keys as text: grouping normalises such keys anew in every step, so no step would
+    recognise the partitioning of the one before."""
+    return df.withColumns({b: F.col(b).cast("string") for b in by if df.schema[b].dataType.typeName() in ("double", "float")})
+
+
+def _keys_typed(df: DataFrame, by: Sequence[str], like: DataFrame) -> DataFrame:
+    return df.withColumns({b: F.col(b).cast(like.schema[b].dataType) for b in by if df.schema[b].dataType != like.schema[b].dataType})
+
+
 def label_table(counts: DataFrame, dim: DataFrame, by: Sequence[str] = RUN, expected: DataFrame | None = None) -> DataFrame:
+    """Per (by, field, label): truth support, predicted support, true positives and vocabulary membership
+    (see :func:`_label_table`)."""
+    return _keys_typed(_label_table(counts, dim, by, expected), by, counts)
+
+
+def _label_table(counts: DataFrame, dim: DataFrame, by: Sequence[str], expected: DataFrame | None = None) -> DataFrame:
     """Per (by, field, label): truth support, predicted support, true positives and
     vocabulary membership, zero-filled for every vocabulary label (A3, J5).
 
     A field without a vocabulary (absent from the dimension, or an empty list) is scored over its
     observed labels (A6).  Open-text answers outside the vocabulary fold into one bucket
     (label null), so the table holds at most the vocabulary and one row more per (by, field), however many
-    different answers there are.  The vocabulary meets the counts once per label of a (by, field), not once per count
-    row.  ``expected`` lists the (by, field) that must appear even without a pair (F9).
+    different answers there are.  The vocabulary's zero rows are made once per (by, field), not once per count row.  ``expected`` lists the (by, field) that must appear even without a pair (F9).
 
     No side is forced to be broadcast: the dimension is the caller's, and the runtime sizes decide."""
-    vocab = dim.selectExpr("field", "explode(vocab) AS label").filter("label NOT IN "
-                                                                      f"({', '.join(map(lit, K.VOCAB_PLACEHOLDERS))})")
-    listed = vocab.select("field").distinct().withColumn("closed", F.lit(True))
-    known = dim.selectExpr("field", "explode(vocab) AS label").join(listed, "field", "left_semi").withColumn("in_vocab", F.lit(True))
+    placeholders = ", ".join(map(lit, K.VOCAB_PLACEHOLDERS))
+    closed = dim.filter(f"size(array_except(vocab, array({placeholders}))) > 0").select("field", "vocab")
+    known = closed.selectExpr("field", "explode(vocab) AS label", "true AS in_vocab")
+    listed = closed.selectExpr("field", "true AS closed")
     keys = [ident(b) for b in by]
+    counts = _keys_as_text(counts, by)
+    expected = None if expected is None else _keys_as_text(expected, by)
     sides = counts.selectExpr(*keys, "field", "inline(array(named_struct('label', y_true, 't', n, "
                               "'tp', CASE WHEN y_true = y_pred THEN n ELSE 0L END, 'p', 0L), "
                               "named_struct('label', y_pred, 't', 0L, 'tp', 0L, 'p', n)))")
     told = sides.join(known, ["field", "label"], "left").join(listed, "field", "left").selectExpr(
         *keys, "field", "CASE WHEN in_vocab OR closed IS NULL THEN label END AS label", "t", "tp", "p")
-    groups = counts.select(*by, "field").distinct()
+    g = told.groupBy(*by, "field", "label").agg(F.sum("t").alias("t"), F.sum("tp").alias("tp"), F.sum("p").alias("p"))
     if expected is not None:
-        groups = groups.unionByName(expected.select(*by, "field")).distinct()
-    zero = groups.join(known, "field", "left").selectExpr(*keys, "field", "label", "0L AS t", "0L AS tp", "0L AS p")
-    g = told.unionByName(zero).groupBy(*by, "field", "label").agg(
+        g = g.unionByName(expected.selectExpr(*keys, "field", "CAST(NULL AS STRING) AS label", "0L AS t", "0L AS tp", "0L AS p"))
+    # the first row of each (by, field) brings the zero rows; what follows keeps this partitioning
+    first = F.row_number().over(Window.partitionBy(*by, "field").orderBy("label")) == 1
+    row = "named_struct('label', label, 't', t, 'tp', tp, 'p', p)"
+    zero = "transform(coalesce(vocab, array()), v -> named_struct('label', v, 't', 0L, 'tp', 0L, 'p', 0L))"
+    g = g.withColumn("_first", first).join(closed, "field", "left").selectExpr(
+        *keys, "field", f"inline(CASE WHEN _first THEN concat(array({row}), {zero}) ELSE array({row}) END)")
+    g = g.groupBy(*by, "field", "label").agg(
         F.sum("t").alias("support_true"), F.sum("tp").alias("tp"), F.sum("p").alias("support_pred"))
     return _class_scores(g.withColumn("in_vocab", F.col("label").isNotNull()))
 
@@ -79,10 +101,20 @@ def per_class(counts: DataFrame, dim: DataFrame, by: Sequence[str] = RUN) -> Dat
     return label_table(counts, dim, by).filter("in_vocab").drop("in_vocab")
 
 
-def summary_from_labels(lt: DataFrame, by: Sequence[str] = RUN) -> DataFrame:
+CLASS_ENTRY = ("struct(label AS key, named_struct('precision', precision, 'recall', recall, 'f1-score', f1, "
+               "'support_ground_truth', support_true, 'support_predicted', support_pred) AS value)")
+
+
+def summary_from_labels(lt: DataFrame, by: Sequence[str] = RUN, with_classes: bool = False) -> DataFrame:
     """Summary from a label table; an expected group without pairs carries an ``error`` text
-    instead of raising or vanishing (F9).  Length mismatches cannot arise once pairs are rows."""
+    instead of raising or vanishing (F9).  Length mismatches cannot arise once pairs are rows.
+
+    ``with_classes`` adds the per-class map (P6) in the same aggregation, bounded by the vocabulary."""
     w = "CASE WHEN in_vocab THEN support_true ELSE 0 END"
+    classes = [
+        F.expr("array_sort(collect_list(CASE WHEN in_vocab THEN label END))").alias("labels_used_for_metrics"),
+        F.expr(f"map_from_entries(array_sort(collect_list(CASE WHEN in_vocab THEN {CLASS_ENTRY} END)))").alias("metrics_per_class"),
+    ] if with_classes else []
     agg = lt.groupBy(*by, "field").agg(
         F.expr(f"{ratio_sql('sum(tp)', 'sum(support_true)')}").alias("accuracy"),
         F.expr(f"{ratio_sql(f'sum(precision * {w})', f'sum({w})')}").alias("precision_weighted"),
@@ -90,17 +122,19 @@ def summary_from_labels(lt: DataFrame, by: Sequence[str] = RUN) -> DataFrame:
         F.expr(f"{ratio_sql(f'sum(f1 * {w})', f'sum({w})')}").alias("f1_score_weighted"),
         F.expr("sum(support_true)").alias("n_items"),
         F.expr("sum(CASE WHEN NOT in_vocab THEN support_pred ELSE 0 END)").alias("n_oov_pred"),
+        *classes,
     )
     return agg.selectExpr("*", f"CAST(CASE WHEN n_items = 0 THEN {lit(K.ERR_NO_PAIRS)} END AS STRING) AS error")
 
 
-def summary(counts: DataFrame, dim: DataFrame, by: Sequence[str] = RUN, expected: DataFrame | None = None) -> DataFrame:
+def summary(counts: DataFrame, dim: DataFrame, by: Sequence[str] = RUN, expected: DataFrame | None = None,
+            with_classes: bool = False) -> DataFrame:
     """(by, field, accuracy, precision_weighted, recall_weighted, f1_score_weighted,
     n_items, n_oov_pred, error) (A2, A5, A7).
 
     Weighted = truth-support-weighted mean over the vocabulary; accuracy over all
     pairs; both from the same small label table in one aggregation."""
-    return summary_from_labels(label_table(counts, dim, by, expected), by)
+    return _keys_typed(summary_from_labels(_label_table(counts, dim, by, expected), by, with_classes), by, counts)
 
 
 def evaluate(pairs: DataFrame, dim: DataFrame, by: Sequence[str] = RUN):

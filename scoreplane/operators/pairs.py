@@ -11,7 +11,6 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from scoreplane import constants as K
 from scoreplane.functions.jsonx import field_value
@@ -41,14 +40,13 @@ def field_dimension(spark: SparkSession, fields: Sequence[FieldSpec], dataset: s
     extended with the placeholder labels, de-duplicated and sorted (U2, O5).
 
     The vocabulary is an input keyed by (dataset, field), never a constant (Q9).
-    Its size is bounded by the configuration, so it is safe to broadcast."""
-    schema = T.StructType([
-        T.StructField("dataset", T.StringType()),
-        T.StructField("field", T.StringType()),
-        T.StructField("gt_col", T.StringType()),
-        T.StructField("raw_vocab", T.ArrayType(T.StringType())),
-    ])
-    dim = spark.createDataFrame([(dataset, f.name, f.gt_col, list(f.vocab)) for f in fields], schema)
+    It is a literal of the plan, so its size is known and the planner broadcasts it where it is small."""
+    rows = ", ".join(
+        f"named_struct('dataset', {lit(dataset)}, 'field', {lit(f.name)}, 'gt_col', {lit(f.gt_col)}, "
+        f"'raw_vocab', CAST(array({', '.join(map(lit, f.vocab))}) AS ARRAY<STRING>))" for f in fields)
+    # a literal table, so that the planner knows how small it is
+    dim = spark.range(1).selectExpr(f"inline(array({rows}))") if fields else spark.range(0).selectExpr(
+        "'' AS dataset", "'' AS field", "'' AS gt_col", "CAST(array() AS ARRAY<STRING>) AS raw_vocab")
     placeholders = F.array(*[F.lit(p) for p in K.VOCAB_PLACEHOLDERS])
     vocab = F.array_sort(F.array_distinct(F.concat(
         F.transform("raw_vocab", lambda v: normalize_text(v)), placeholders)))
@@ -67,6 +65,18 @@ def failure_mask(status_col="status_geracao", api_col="status_api_call", parsed_
     return F.expr(failure_mask_sql(status_col, api_col, parsed_col))
 
 
+def _spread_key(key: str, identity: Sequence[str], extra: str = "") -> str:
+    """SQL for the join key (no valid index, value).
+
+    A null or negative index (the invalid-index sentinel) can never match, but all rows with one
+    would hash into one partition, and a third of the records may lack an index.  Such rows get a deterministic
+    hash of their identity instead: they still match nothing but land in different partitions."""
+    k = ident(key)
+    told = ", ".join([*[ident(c) for c in identity], *([extra] if extra else [])])
+    bad = f"coalesce({k} < 0, true)"
+    return f"named_struct('n', {bad}, 'k', CASE WHEN {bad} THEN xxhash64({told}) ELSE CAST({k} AS BIGINT) END)"
+
+
 def align_pairs(
     predictions: DataFrame,
     truth: DataFrame,
@@ -91,23 +101,16 @@ def align_pairs(
                          *[f"{canonical_sql(ident(f.gt_col))} AS _t{i}" for i, f in enumerate(fields)])
     failed = failure_mask_sql(parsed_col=parsed_col)
     fail_label = lit(K.FAILURE_LABEL.lower())
-    # A null key can never match, but null keys would all hash into one partition
-    # (a third of the records may lack an index).  Join on (is_null, key) and give
-    # null-key records a spread value instead: a hash of the record's identity
-    # (run, record id, answer), computed only for those rows.  They still match
-    # nothing but land in different partitions; the hash is deterministic, so
-    # retries and filter pushdown are unaffected, and only small columns are read.
-    # A hot non-null key is left to AQE's skew-join split.
+    # rows without a valid index never match: spread them (a hot valid key is left to AQE's skew-join split)
     ids = [c for c in RECORD_ID_COLUMNS if c in predictions.columns]
-    hashable = ", ".join([*[ident(c) for c in (*run_cols, *ids)], f"map_entries({ident(parsed_col)})"])
     key = ident(pred_key)
     p = predictions.selectExpr(
         *[ident(c) for c in run_cols], key, f"{failed} AS is_failure",
-        f"named_struct('n', {key} IS NULL, 'k', coalesce({key}, xxhash64({hashable}))) AS _jk",
+        f"{_spread_key(pred_key, [*run_cols, *ids], f'map_entries({ident(parsed_col)})')} AS _jk",
         *[f"CASE WHEN {failed} THEN {fail_label} ELSE "
           f"{canonical_sql(f'try_element_at({ident(parsed_col)}, {lit(f.name)})')} END AS _p{i}"
           for i, f in enumerate(fields)])
-    t = t.withColumn("_tk", F.struct(F.lit(False).alias("n"), F.col("_tkey").alias("k")))
+    t = t.withColumn("_tk", F.struct(F.lit(False).alias("n"), F.col("_tkey").cast("bigint").alias("k")))
     joined = p.join(t, p["_jk"] == t["_tk"], "left")
 
     skip_label = lit(K.SKIPPED_LABEL.lower())
@@ -126,15 +129,18 @@ def align_pairs(
 
 def skipped_counts(predictions: DataFrame, truth: DataFrame, run_cols=("model", "temperature"),
                    pred_key: str = "dataset_idx", truth_key: str = "item_id") -> DataFrame:
-    """Items per run whose index has no truth row (F1): left-anti join, then count."""
-    keys = truth.select(F.col(truth_key).alias(pred_key))
-    missing = predictions.join(keys, pred_key, "left_anti")
-    return missing.groupBy(*run_cols).agg(F.count(F.lit(1)).alias("n_skipped"))
+    """Items per run whose index has no truth row (F1): left-anti join, then count.
+
+    Rows without a valid index are spread over the join as in :func:`align_pairs`."""
+    ids = [c for c in RECORD_ID_COLUMNS if c in predictions.columns]
+    p = predictions.selectExpr(*[ident(c) for c in run_cols], f"{_spread_key(pred_key, [*run_cols, *ids])} AS _jk")
+    t = truth.selectExpr(f"named_struct('n', false, 'k', CAST({ident(truth_key)} AS BIGINT)) AS _jk")
+    return p.join(t, "_jk", "left_anti").groupBy(*run_cols).agg(F.count(F.lit(1)).alias("n_skipped"))
 
 
 def with_vocab_flags(pairs: DataFrame, dim: DataFrame) -> DataFrame:
-    """Adds ``true_in_vocab`` / ``pred_in_vocab`` (F4) via the broadcast dimension."""
-    d = F.broadcast(dim.select("field", "vocab"))
+    """Adds ``true_in_vocab`` / ``pred_in_vocab`` (F4) to pairs or their counts via the dimension."""
+    d = dim.select("field", "vocab")
     return (pairs.join(d, "field", "left")
             .withColumn("true_in_vocab", F.coalesce(F.array_contains("vocab", F.col("y_true")), F.lit(False)))
             .withColumn("pred_in_vocab", F.coalesce(F.array_contains("vocab", F.col("y_pred")), F.lit(False)))

@@ -11,77 +11,121 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreplane import constants as K
-from scoreplane.functions.text import escape_special, fixed, safe_model_name, settled, slug
+from scoreplane.functions.text import (
+    escape_special, evaluation_file_name, first_present, fixed, model_from_file_name, safe_model_name, settled, slug,
+    temperature_from_file_name,
+)
 
 METRICS = ["accuracy", "precision_weighted", "recall_weighted", "f1_score_weighted"]
 RUN = ("model", "temperature")
 
 
-def evaluation_documents(summ: DataFrame, per_class_map: DataFrame, macro: DataFrame,
-                         meta: DataFrame | None = None, by: Sequence[str] = RUN) -> DataFrame:
-    """One nested document per run (K2): metadata + map(field slug -> metrics struct)
-    + the averages keyed by ``<metric>_<safe model>``.  Collects are per run and
-    bounded by the number of fields."""
-    s = summ.join(per_class_map, [*by, "field"], "left")
-    entry = F.struct(
-        slug(F.col("field")).alias("key"),
-        F.struct(*[F.col(m) for m in METRICS], F.col("error"), F.col("labels_used_for_metrics"),
-                 F.col("metrics_per_class")).alias("value"))
-    docs = s.groupBy(*by).agg(
-        F.map_from_entries(F.collect_list(entry)).alias("Metricas_Agregadas_Por_Categoria"),
-        F.sum("n_items").alias("total_pairs"))
+def shown_model(model: Column) -> Column:
+    return F.translate(model, ":", "_")
+
+
+def category_report(summ: DataFrame) -> DataFrame:
+    """(Modelo, Temperatura, category_key, Categoria, metrics) straight from a summary (P2, J7): what the
+    documents would give back, without building them.  Error rows are skipped."""
+    valid = summ.filter(F.col("error").isNull())
+    return valid.select(
+        shown_model(F.col("model")).alias("Modelo"), F.col("temperature").cast("string").alias("Temperatura"),
+        slug(F.col("field")).alias("category_key"), F.col("field").alias("Categoria"),
+        F.col("accuracy").alias("Accuracy"), F.col("f1_score_weighted").alias("F1-Score"),
+        F.col("precision_weighted").alias("Precision"), F.col("recall_weighted").alias("Recall"))
+
+
+def averages_report(macro: DataFrame, meta: DataFrame | None = None, by: Sequence[str] = RUN,
+                    latency_col: str = "latencia_total_resposta_modelo_s") -> DataFrame:
+    """One averages row per run with its run time (P3), straight from the macro averages."""
+    joined = macro if meta is None else macro.join(meta, list(by), "left")
+    return joined.select(
+        shown_model(F.col("model")).alias("Modelo"), F.col("temperature").cast("string").alias("Temperatura"),
+        F.col("accuracy").alias("Accuracy"), F.col("f1_score_weighted").alias("F1-Score"),
+        F.col("precision_weighted").alias("Precision"), F.col("recall_weighted").alias("Recall"),
+        *([] if meta is None else [F.col(latency_col).alias("Tempo de Execucao Total (s)")]))
+
+
+def evaluation_documents(summ: DataFrame, meta: DataFrame | None = None, by: Sequence[str] = RUN) -> DataFrame:
+    """One document per run (K2): its file name and its JSON text in the layout that the report job reads:
+    ``metadata_avaliacao``, then one block per category and one of averages keyed by ``<metric>_<safe model>``.
+
+    ``summ`` carries the per-class map (``summary_from_labels(..., with_classes=True)``).  ``meta`` adds any of
+    ``timestamp_avaliacao``, ``arquivo_resultados_gerados_avaliado``, ``dataset_ground_truth_usado`` and
+    ``latencia_total_resposta_modelo_s`` per run.  Collects are per run and bounded by the number of fields."""
     safe = safe_model_name(F.col("model"))
-    avg_map = F.map_from_arrays(
-        F.array(*[F.concat(F.lit(m + "_"), safe) for m in ["accuracy", "f1_score_weighted",
-                                                           "precision_weighted", "recall_weighted"]],
-                F.concat(F.lit("num_categories_in_"), safe)),
-        F.array(F.col("a.accuracy"), F.col("a.f1_score_weighted"), F.col("a.precision_weighted"),
-                F.col("a.recall_weighted"), F.col("a.n_categories").cast("double")))
-    m = macro.alias("a")
-    docs = docs.join(m, list(by), "left").select(
-        *by, "Metricas_Agregadas_Por_Categoria",
-        F.concat(F.lit(K.AVERAGES_KEY_PREFIX), safe).alias("averages_key"),
-        avg_map.alias("averages"), "total_pairs")
+    block = F.when(F.col("error").isNull(), F.to_json(F.struct(
+        *[F.col(m) for m in METRICS], F.col("labels_used_for_metrics"), F.col("metrics_per_class")))).otherwise(
+        F.to_json(F.struct("error")))
+    valid = F.col("error").isNull() & F.col("accuracy").isNotNull()
+    docs = summ.groupBy(*by).agg(
+        F.array_sort(F.collect_list(F.struct(slug(F.col("field")).alias("k"), block.alias("v")))).alias("blocks"),
+        *[F.avg(F.when(valid, F.col(m))).alias(f"avg_{m}") for m in METRICS],
+        F.count_if(valid).alias("n_valid"), F.max("n_items").alias("total_itens_avaliados"))
     if meta is not None:
         docs = docs.join(meta, list(by), "left")
-    return docs
+    told = {c: F.col(c) if c in docs.columns else F.lit(None) for c in (
+        "timestamp_avaliacao", "arquivo_resultados_gerados_avaliado", "dataset_ground_truth_usado",
+        "latencia_total_resposta_modelo_s")}
+    head = F.to_json(F.struct(
+        told["timestamp_avaliacao"].cast("string").alias("timestamp_avaliacao"),
+        told["arquivo_resultados_gerados_avaliado"].cast("string").alias("arquivo_resultados_gerados_avaliado"),
+        told["dataset_ground_truth_usado"].cast("string").alias("dataset_ground_truth_usado"),
+        F.col("model").alias("modelo_avaliado"), F.col("temperature").alias("temperatura"),
+        told["latencia_total_resposta_modelo_s"].cast("double").alias("latencia_total_resposta_modelo_s"),
+        "total_itens_avaliados", F.col("n_valid").alias("total_categorias_com_media_calculada")))
+    names = [*METRICS, "num_categories_in"]
+    averages = F.when(F.col("n_valid") > 0, F.to_json(F.map_from_arrays(
+        F.array(*[F.concat(F.lit(f"{n}_"), safe) for n in names]),
+        F.array(*[F.col(f"avg_{m}") for m in METRICS], F.col("n_valid").cast("double"))))).otherwise(
+        F.to_json(F.struct(F.lit(K.ERR_NO_CATEGORIES).alias("error"))))
+    entries = F.array_append("blocks", F.struct(F.concat(F.lit(K.AVERAGES_KEY_PREFIX), safe).alias("k"), averages.alias("v")))
+
+    def key(x: Column) -> Column:  # the key as a JSON string
+        text = F.to_json(F.create_map(x, F.lit(0)))
+        return F.substr(text, F.lit(2), F.length(text) - 4)
+    body = F.array_join(F.transform(entries, lambda e: F.concat(key(e["k"]), F.lit(": "), e["v"])), ", ")
+    return docs.select(*by, evaluation_file_name(F.col("model"), F.col("temperature")).alias("file_name"), F.concat(
+        F.lit('{"metadata_avaliacao": '), head, F.lit(', "Metricas_Agregadas_Por_Categoria": {'), body, F.lit("}}")).alias("document"))
+
+
+def run_identity(docs: DataFrame) -> DataFrame:
+    """Adds Modelo and Temperatura to documents read back: metadata, else the file name, else the constants."""
+    m = F.col("metadata_avaliacao")
+    name_temp = F.regexp_replace(temperature_from_file_name("file_name"), r"_\d{8}_\d{6}$", "")
+    return docs.withColumns({
+        "Modelo": shown_model(first_present(F.nullif(m["modelo_avaliado"], F.lit("")), model_from_file_name("file_name"),
+                                            F.lit(K.UNKNOWN_MODEL))),
+        "Temperatura": first_present(m["temperatura"].cast("string"), name_temp, F.lit(K.TEMPERATURE_UNKNOWN))})
 
 
 def flatten_categories(docs: DataFrame, field_names: DataFrame | None = None) -> DataFrame:
-    """(Modelo, Temperatura, category_key, Categoria, metrics) from documents.
-
-    Error blocks and the averages key are skipped; the averages key is detected by
-    prefix, so models with '/' keep their row (Q14 fixed)."""
-    e = docs.select(
-        F.translate(F.col("model"), ":", "_").alias("Modelo"),
-        F.col("temperature").cast("string").alias("Temperatura"),
-        F.explode("Metricas_Agregadas_Por_Categoria").alias("category_key", "v"))
-    e = e.filter(F.col("v.error").isNull() & ~F.startswith("category_key", F.lit(K.AVERAGES_KEY_PREFIX)))
+    """(Modelo, Temperatura, category_key, Categoria, metrics) from documents read back.
+
+    Error blocks are skipped; the averages block was split off by the reader by its prefix, so models
+    with '/' keep their row (Q14 fixed)."""
+    e = run_identity(docs).select("Modelo", "Temperatura", F.explode("Metricas_Agregadas_Por_Categoria").alias("category_key", "v"))
+    e = e.filter(F.col("v.error").isNull())
+    cat = F.col("category_key")
     if field_names is not None:
-        names = F.broadcast(field_names.select(slug(F.col("field")).alias("category_key"),
-                                               F.col("field").alias("_display")))
+        names = field_names.select(slug(F.col("field")).alias("category_key"), F.col("field").alias("_display"))
         e = e.join(names, "category_key", "left")
         cat = F.coalesce("_display", "category_key")
-    else:
-        cat = F.col("category_key")
     return e.select("Modelo", "Temperatura", "category_key", cat.alias("Categoria"),
                     F.col("v.accuracy").alias("Accuracy"), F.col("v.f1_score_weighted").alias("F1-Score"),
                     F.col("v.precision_weighted").alias("Precision"), F.col("v.recall_weighted").alias("Recall"))
 
 
-def overall_rows(docs: DataFrame, latency_col: str = "latencia_total_resposta_modelo_s") -> DataFrame:
-    """One averages row per run with the run time."""
-    safe = safe_model_name(F.col("model"))
+def overall_rows(docs: DataFrame) -> DataFrame:
+    """One averages row per document read back, with the run time (P3); a document without averages has none."""
+    d = run_identity(docs).filter(F.col("averages").isNotNull() & (F.size("averages") > 0))
 
-    def get(metric: str) -> Column:
-        return F.try_element_at("averages", F.concat(F.lit(metric + "_"), safe))
-    cols = [F.translate(F.col("model"), ":", "_").alias("Modelo"),
-            F.col("temperature").cast("string").alias("Temperatura"),
-            get("accuracy").alias("Accuracy"), get("f1_score_weighted").alias("F1-Score"),
-            get("precision_weighted").alias("Precision"), get("recall_weighted").alias("Recall")]
-    if latency_col in docs.columns:
-        cols.append(F.col(latency_col).alias("Tempo de Execucao Total (s)"))
-    return docs.filter(F.col("averages").isNotNull()).select(*cols)
+    def get(metric: str) -> Column:  # the keys end in the model's name, whatever its spelling
+        found = F.filter(F.map_entries("averages"), lambda e: F.startswith(e["key"], F.lit(metric + "_")))
+        return F.try_element_at(found, F.lit(1))["value"]
+    return d.select("Modelo", "Temperatura", get("accuracy").alias("Accuracy"), get("f1_score_weighted").alias("F1-Score"),
+                    get("precision_weighted").alias("Precision"), get("recall_weighted").alias("Recall"),
+                    F.col("metadata_avaliacao.latencia_total_resposta_modelo_s").alias("Tempo de Execucao Total (s)"))
 
 
 def metrics_long(report: DataFrame, ids: Sequence[str], metrics: Sequence[str]) -> DataFrame:
@@ -129,10 +173,11 @@ def report_rows(report: DataFrame, metric_cols: Sequence[str], group_col: str =
                 sub_col: str | None = "Categoria", temp_col: str | None = "Temperatura",
                 places: int = 2) -> DataFrame:
     """Table rows with grouped-cell suppression (W1, W2), span counts (A16), a rule
-    before each new group but the first (W4), escaped text (E9) and fixed numbers (E8)."""
+    before each new group but the first (W4), escaped text (E9) and fixed numbers (E8).
+
+    Windows stay inside a group; the order of the lines is the sink's matter."""
     order = [F.col(group_col)] + ([F.col(sub_col)] if sub_col else []) + \
         ([numeric_temperature(temp_col).asc_nulls_last(), F.col(temp_col)] if temp_col else [])
-    w_all = Window.orderBy(*order)
     w_g = Window.partitionBy(group_col).orderBy(*order[1:] or [F.lit(1)])
     cells = []
     rn_g = F.row_number().over(w_g)
@@ -153,9 +198,8 @@ def report_rows(report: DataFrame, metric_cols: Sequence[str], group_col: str =
         out_cols.append(F.col(temp_col))
     for m in metric_cols:
         cells.append(F.coalesce(fixed(settled(F.col(f"`{m}`")), places), F.lit("nan")))
-    # the report has one row per (run, category): a bounded table, so one ordered window is fine
-    prev = F.lag(group_col).over(w_all)
-    rule = prev.isNotNull() & (prev != F.col(group_col))
+    # a rule stands before the first row of every group but the first one in the order
+    rule = (rn_g == 1) & (F.col(group_col) != report.agg(F.min(group_col)).scalar())
     text = F.concat(F.lit("    "), F.concat_ws(" & ", *cells), F.lit(" \\\\"))
     return report.select(*out_cols, rule.alias("rule_before"), text.alias("row_text"))
 
@@ -172,11 +216,16 @@ def best_per_group(report: DataFrame, group_col: str, metric: str, tie_cols: Seq
                        F.col("b.m").alias(metric))
 
 
-def latest_per_key(docs: DataFrame, keys: Sequence[str], stamp_col: str) -> DataFrame:
-    """Latest document per key (W5) via ``max_by`` - aggregated, no window."""
+def latest_per_key(docs: DataFrame, keys: Sequence[str], stamp_col: str, tie_cols: Sequence[str] = ()) -> DataFrame:
+    """Latest document per key (W5) via ``max_by`` - aggregated, no window.
+
+    Equal stamps go by ``tie_cols`` (largest first), then by a hash of the whole row, so the answer does
+    not depend on the order of the input."""
     others = [c for c in docs.columns if c not in keys]
     packed = F.struct(*[F.col(c) for c in others])
-    return docs.groupBy(*keys).agg(F.max_by(packed, F.col(stamp_col)).alias("d")).select(*keys, "d.*")
+    order = F.struct(F.col(stamp_col).alias("s"), *[F.col(c).alias(f"t{i}") for i, c in enumerate(tie_cols)],
+                     F.xxhash64(F.to_json(packed)).alias("h"))
+    return docs.groupBy(*keys).agg(F.max_by(packed, order).alias("d")).select(*keys, "d.*")
 
 
 def unify_generators(a: DataFrame, b: DataFrame) -> DataFrame:

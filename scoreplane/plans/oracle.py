@@ -479,3 +479,30 @@ ORACLE["report_csv_rows"] = with_rep(
     "SELECT Modelo, Temperatura, Categoria, printf('%.4f', round(\"Accuracy\", 9)) AS \"Accuracy\", "
     "printf('%.4f', round(\"F1-Score\", 9)) AS \"F1-Score\", printf('%.4f', round(\"Precision\", 9)) AS \"Precision\", "
     "printf('%.4f', round(\"Recall\", 9)) AS \"Recall\" FROM rep")
+
+ORACLE["display_report"] = with_rep('SELECT Modelo, Temperatura AS "Temp.", round("Accuracy", 6) AS "Accuracy", '
+                                    'round("Tempo de Execucao Total (s)", 6) AS "Tempo (s)" FROM ovr')
+ORACLE["document_report"] = ORACLE["flatten_reports"]
+ORACLE["overall_csv_rows"] = with_rep("SELECT Modelo, Temperatura, " + ", ".join(
+    f"printf('%.4f', round(\"{c}\", 9)) AS \"{c}\"" for c in
+    ["Accuracy", "F1-Score", "Precision", "Recall", "Tempo de Execucao Total (s)"]) + " FROM ovr")
+oracle("no_vocab_metrics", f"""
+, lab AS (SELECT DISTINCT model, temperature, field, unnest([y_true, y_pred]) AS label FROM counts),
+obs AS (SELECT l.model, l.temperature, l.field, l.label, sum(CASE WHEN y_true = l.label THEN n ELSE 0 END) AS st,
+        sum(CASE WHEN y_pred = l.label THEN n ELSE 0 END) AS sp,
+        sum(CASE WHEN y_true = l.label AND y_pred = l.label THEN n ELSE 0 END) AS tp
+        FROM lab l JOIN counts c USING (model, temperature, field) GROUP BY ALL)
+SELECT model, temperature, field, round(sum(tp) / sum(st), 6) AS accuracy,
+  round(sum(st * CASE WHEN sp > 0 THEN tp / sp ELSE 0 END) / sum(st), 6) AS precision_weighted,
+  round(sum(tp) / sum(st), 6) AS recall_weighted,
+  round(sum(st * CASE WHEN st + sp > 0 THEN 2 * tp / (st + sp) ELSE 0 END) / sum(st), 6) AS f1_score_weighted,
+  CAST(NULL AS VARCHAR) AS error
+FROM obs GROUP BY ALL""")
+oracle("empty_field", """SELECT model, temperature, field, n_items, CAST(NULL AS VARCHAR) AS error FROM summ UNION ALL
+SELECT DISTINCT model, temperature, 'Unseen', 0, 'Listas de entrada vazias.' FROM counts""")
+_VEC = "[length({0}), length({0}) - length(replace({0}, 'a', '')), length({0}) - length(replace({0}, 'e', '')), length({0}) - length(replace({0}, 'n', ''))]::DOUBLE[]"
+oracle("text_similarity", f"""WITH t AS (SELECT conv_id, turn, role, {norm('text')} AS x FROM conversations),
+v AS (SELECT conv_id, turn, role, CASE WHEN x <> '' THEN {_VEC.format('x')} END AS e FROM t)
+SELECT a.conv_id, a.turn, round(CASE WHEN list_dot_product(a.e, a.e) > 0 AND list_dot_product(b.e, b.e) > 0 THEN
+  list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) END, 6) AS cosine
+FROM v a JOIN v b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user'""", base=False)

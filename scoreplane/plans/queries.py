@@ -106,16 +106,35 @@ def vocab_with_placeholders(spark, sf):
 
 @query
 def oov_rate(spark, sf):
-    p = P.with_vocab_flags(E.pairs(spark, sf), E.dimension(spark))
-    return p.groupBy(*RUN, "field").agg(
-        F.count_if(~F.col("pred_in_vocab")).alias("n_oov"),
-        r6(F.avg((~F.col("pred_in_vocab")).cast("double"))).alias("oov_rate"))
+    """From the confusion counts: one vocabulary test per distinct answer, not per pair."""
+    c = P.with_vocab_flags(E.counts(spark, sf), E.dimension(spark))
+    out = F.sum(F.when(~F.col("pred_in_vocab"), F.col("n")).otherwise(0))
+    return c.groupBy(*RUN, "field").agg(out.alias("n_oov"), r6(out / F.sum("n")).alias("oov_rate"))
+
+
+@query
+def no_vocab_metrics(spark, sf):
+    """Fields without a vocabulary are scored over their observed labels."""
+    dim = P.field_dimension(spark, [P.FieldSpec(f.name, f.gt_col) for f in A.FIELDS[:2]])
+    s = classify.summary(E.counts(spark, sf), dim, RUN)
+    return s.select(*RUN, "field", r6("accuracy").alias("accuracy"), r6("precision_weighted").alias("precision_weighted"),
+                    r6("recall_weighted").alias("recall_weighted"), r6("f1_score_weighted").alias("f1_score_weighted"), "error")
+
+
+@query
+def empty_field(spark, sf):
+    """A field that is expected and has no pair gives an error row in every run."""
+    extra = [*A.FIELDS, P.FieldSpec("Unseen", "gt_unseen", ["a", "b"])]
+    counts = E.counts(spark, sf)
+    expected = counts.select(*RUN).distinct().select(*RUN, F.explode(F.array(*[F.lit(f.name) for f in extra])).alias("field"))
+    s = classify.summary(counts, P.field_dimension(spark, extra), RUN, expected)
+    return s.select(*RUN, "field", "n_items", "error")
 
 
 @query
 def oov_values(spark, sf):
     """Out-of-vocabulary predictions (left anti join against the exploded vocabulary)."""
-    vocab = F.broadcast(E.dimension(spark).select("field", F.explode("vocab").alias("y_pred")))
+    vocab = E.dimension(spark).select("field", F.explode("vocab").alias("y_pred"))
     c = E.counts(spark, sf).join(vocab, ["field", "y_pred"], "left_anti")
     return c.groupBy("field", "y_pred").agg(F.sum("n").alias("n"))
 
@@ -389,6 +408,22 @@ def multilabel_by_user_activity(spark, sf):
 
 
 # ------------------------------------------------------------ vectors
+def _letter_counts():
+    """A stand-in encoder: length and counts of three letters."""
+    import numpy as np
+    return lambda texts: np.array([[len(t), t.count("a"), t.count("e"), t.count("n")] for t in texts], float)
+
+
+@query
+def text_similarity(spark, sf):
+    """Cosine of every user turn and the turn after it, through an injected encoder."""
+    t = read_table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    e = SIM.embed_texts(t, "text", _letter_counts)
+    a = e.filter("role = 'user'").select("conv_id", "turn", F.col("embedding").alias("left_vec"))
+    b = e.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("embedding").alias("right_vec"))
+    return SIM.cosine_pairs(a.join(b, ["conv_id", "turn"])).select("conv_id", "turn", r6("cosine").alias("cosine"))
+
+
 @query
 def cosine_pairs(spark, sf):
     v = read_table(spark, sf, "embeddings").select("vec_id", "embedding")
@@ -554,15 +589,9 @@ def preflight_checks(spark, sf):
 
 
 # ------------------------------------------------------------ reports
-def _docs(spark, sf):
-    cnt = E.counts(spark, sf)
-    dim = E.dimension(spark)
-    summ = classify.summary(cnt, dim, RUN)
-    pcm = classify.per_class_map(classify.per_class(cnt, dim, RUN), RUN)
-    macro = classify.macro_average(summ, RUN)
-    meta = A.generation_records(spark, sf).groupBy(*RUN).agg(
+def _meta(spark, sf):
+    return A.generation_records(spark, sf).groupBy(*RUN).agg(
         F.sum("latency_s").alias("latencia_total_resposta_modelo_s"))
-    return R.evaluation_documents(summ, pcm, macro, meta)
 
 
 def _field_names(spark):
@@ -570,7 +599,11 @@ def _field_names(spark):
 
 
 def _report(spark, sf):
-    return R.flatten_categories(_docs(spark, sf), _field_names(spark))
+    return R.category_report(E.summary(spark, sf))
+
+
+def _overall(spark, sf):
+    return R.averages_report(classify.macro_average(E.summary(spark, sf), RUN), _meta(spark, sf))
 
 
 REPORT_METRICS = ["Accuracy", "F1-Score", "Precision", "Recall"]
@@ -589,7 +622,7 @@ def display_category(spark, sf):
 
 @query
 def overall_rows(spark, sf):
-    o = R.overall_rows(_docs(spark, sf))
+    o = _overall(spark, sf)
     return o.select("Modelo", "Temperatura", *[r6(F.col(f"`{m}`")).alias(m) for m in REPORT_METRICS],
                     r6(F.col("`Tempo de Execucao Total (s)`")).alias("Tempo de Execucao Total (s)"))
 
@@ -623,7 +656,7 @@ def sorted_report(spark, sf):
 
 @query
 def best_config(spark, sf):
-    o = R.overall_rows(_docs(spark, sf))
+    o = _overall(spark, sf)
     b = R.best_per_group(o, "Modelo", "F1-Score", ["Temperatura"])
     return b.select("Modelo", "Temperatura", r6(F.col("`F1-Score`")).alias("F1-Score"))
 
@@ -631,11 +664,45 @@ def best_config(spark, sf):
 @query
 def topk_models(spark, sf):
     """Top 3 runs by accuracy (the limit is the feature); ties by model, temperature."""
-    o = R.overall_rows(_docs(spark, sf))
+    o = _overall(spark, sf)
     return o.orderBy(F.col("Accuracy").desc(), "Modelo", "Temperatura").limit(3).select(
         "Modelo", "Temperatura", r6("Accuracy").alias("Accuracy"))
 
 
+@query
+def display_report(spark, sf):
+    """The overall report under its display headings."""
+    return R.display_names(_overall(spark, sf).select("Modelo", "Temperatura", r6("Accuracy").alias("Accuracy"),
+                                                      r6(F.col("`Tempo de Execucao Total (s)`")).alias("Tempo de Execucao Total (s)")))
+
+
+def _read_back(spark, sf):
+    """The run documents written as named files and scanned again (K2 -> S4)."""
+    from scoreplane.session import ensure_checkpoint_dir
+    from scoreplane.sources import files, sinks
+    import uuid
+    summ = classify.summary(E.counts(spark, sf), E.dimension(spark), RUN, with_classes=True)
+    docs = R.evaluation_documents(summ, _meta(spark, sf))
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/documents-{uuid.uuid4().hex}"
+    sinks.write_evaluation_documents(docs, root)
+    return files.read_evaluation_documents(spark, root)
+
+
+@query
+def document_report(spark, sf):
+    """Write -> scan -> flatten of the evaluation documents."""
+    rep = R.flatten_categories(_read_back(spark, sf), _field_names(spark))
+    return rep.select("Modelo", "Temperatura", "Categoria", *[r6(F.col(f"`{m}`")).alias(m) for m in REPORT_METRICS])
+
+
+@query
+def overall_csv_rows(spark, sf):
+    """Rows of the overall report file (K4) from the scanned documents."""
+    o = R.overall_rows(_read_back(spark, sf))
+    return o.select(*[TX.fixed(TX.settled(F.col(f"`{c}`")), 4).alias(c) if c not in ("Modelo", "Temperatura") else F.col(c)
+                      for c in K.REPORT_OVERALL_COLUMNS])
+
+
 @query
 def unified_runs(spark, sf):
     rec = A.generation_records(spark, sf)
@@ -665,7 +732,7 @@ def latest_run(spark, sf):
     # wall-clock UTC without the session time zone: epoch + interval on TIMESTAMP_NTZ
     ntz = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, CAST(stamp AS DECIMAL(18, 6)))")
     docs = docs.withColumn("timestamp_avaliacao", TF.iso_utc(ntz))
-    lt = R.latest_per_key(docs, RUN, "stamp")
+    lt = R.latest_per_key(docs, RUN, "stamp", ["mode"])
     return lt.select(*RUN, "mode", "timestamp_avaliacao", r6("accuracy").alias("accuracy"))
 
 

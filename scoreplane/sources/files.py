@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scoreplane import constants as K
 from scoreplane.functions.media import extension
 from scoreplane.functions.text import missing_token_to_null
+from scoreplane.sources.tables import has_files, write_once
 
 S = T.StringType()
 D = T.DoubleType()
@@ -63,18 +64,22 @@ EVAL_META = T.StructType([
 def read_ground_truth_csv(spark: SparkSession, path: str, columns: Sequence[str],
                           index_col: str = "dataset_idx") -> DataFrame:
     """S1 + S2: header CSV, all columns as text, quoted commas and multi-line cells,
-    missing-value tokens -> null, plus a 0-based row-position key.
+    missing-value tokens -> null, plus a 0-based row-position key (consecutive, file order).
 
-    The position is assigned once with ``zipWithIndex`` (consecutive across
-    partitions, file order); cut the lineage (checkpoint / write) before reuse so
-    it is never recomputed differently."""
+    The rows are written once with their place in their partition, so a position never changes; the
+    partitions' sizes then give the offsets.  No row passes through Python."""
     schema = T.StructType([T.StructField(c, S) for c in columns])
     df = (spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"')
           .option("multiLine", True).option("encoding", "UTF-8").option("enforceSchema", False).csv(path))
-    df = df.select(*[missing_token_to_null(F.col(f"`{c}`")).alias(c) for c in columns])
-    out_schema = T.StructType(schema.fields + [T.StructField(index_col, L, False)])
-    rdd = df.rdd.zipWithIndex().map(lambda ri: (*ri[0], ri[1]))
-    return spark.createDataFrame(rdd, out_schema)
+    df = df.select(*[missing_token_to_null(F.col(f"`{c}`")).alias(c) for c in columns],
+                   F.spark_partition_id().alias("_part"),
+                   F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"))
+    placed = write_once(df, "ground-truth")
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))  # one row per partition
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))
+    return placed.join(offsets, "_part").select(*[F.col(f"`{c}`") for c in columns],
+                                                (F.col("_offset") + F.col("_place")).alias(index_col))
 
 
 def read_generation_runs(spark: SparkSession, path: str) -> DataFrame:
@@ -93,36 +98,36 @@ def read_generation_runs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_evaluation_documents(spark: SparkSession, root: str, pattern: str = "evaluation_metrics_*.json") -> DataFrame:
-    """Every evaluation document under ``root`` (recursive), unreadable files
-    skipped, with the file name kept for lineage and fallbacks (E5)."""
+    """Every evaluation document under ``root`` (recursive), unreadable files skipped: its metadata, the
+    categories as a typed map, the averages (keys suffixed by the model name) as a map of numbers, and the file
+    name for lineage and fallbacks (E5).  Every file is read once."""
     schema = T.StructType([
         T.StructField("metadata_avaliacao", EVAL_META),
-        T.StructField("Metricas_Agregadas_Por_Categoria", T.MapType(S, CATEGORY_METRICS)),
+        T.StructField("Metricas_Agregadas_Por_Categoria", T.MapType(S, S)),
         T.StructField("_corrupt_record", S),
     ])
     df = (spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True)
           .option("pathGlobFilter", pattern).option("mode", "PERMISSIVE")
           .option("columnNameOfCorruptRecord", "_corrupt_record").json(root))
     df = df.select("*", F.col("_metadata.file_name").alias("file_name"))
-    return df.filter(F.col("_corrupt_record").isNull() & F.col("Metricas_Agregadas_Por_Categoria").isNotNull()) \
-        .drop("_corrupt_record")
+    df = df.filter(F.col("_corrupt_record").isNull() & F.col("Metricas_Agregadas_Por_Categoria").isNotNull())
+    blocks = F.map_entries("Metricas_Agregadas_Por_Categoria")
+
+    def is_average(e):
+        return F.startswith(e["key"], F.lit(K.AVERAGES_KEY_PREFIX))
+    typed = F.transform(F.filter(blocks, lambda e: ~is_average(e)), lambda e: F.struct(
+        e["key"].alias("key"), F.from_json(e["value"], CATEGORY_METRICS).alias("value")))
+    average = F.try_element_at(F.filter(blocks, is_average), F.lit(1))["value"]
+    numbers = F.map_filter(F.transform_values(F.from_json(average, T.MapType(S, S)), lambda k, v: v.try_cast("double")),
+                           lambda k, v: v.isNotNull())
+    return df.select("file_name", "metadata_avaliacao", F.map_from_entries(typed).alias("Metricas_Agregadas_Por_Categoria"),
+                     numbers.alias("averages"))
 
 
 def read_evaluation_averages(spark: SparkSession, root: str, pattern: str = "evaluation_metrics_*.json") -> DataFrame:
-    """The averages block of each document (keys suffixed by the model name) as
-    ``(file_name, model, averages MAP<STRING, DOUBLE>)``."""
-    schema = T.StructType([
-        T.StructField("metadata_avaliacao", EVAL_META),
-        T.StructField("Metricas_Agregadas_Por_Categoria", T.MapType(S, T.MapType(S, S))),
-    ])
-    df = (spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True)
-          .option("pathGlobFilter", pattern).option("mode", "PERMISSIVE").json(root))
-    e = df.select(F.col("_metadata.file_name").alias("file_name"),
-                  F.col("metadata_avaliacao.modelo_avaliado").alias("model"),
-                  F.explode("Metricas_Agregadas_Por_Categoria").alias("key", "v"))
-    e = e.filter(F.startswith("key", F.lit(K.AVERAGES_KEY_PREFIX)))
-    return e.select("file_name", "model",
-                    F.transform_values("v", lambda k, x: x.try_cast("double")).alias("averages"))
+    """The averages block of each document as ``(file_name, model, averages MAP<STRING, DOUBLE>)``."""
+    d = read_evaluation_documents(spark, root, pattern).filter(F.col("averages").isNotNull())
+    return d.select("file_name", F.col("metadata_avaliacao.modelo_avaliado").alias("model"), "averages")
 
 
 def read_report_csv(spark: SparkSession, path: str, text_cols: Sequence[str], number_cols: Sequence[str]) -> DataFrame:
@@ -133,17 +138,28 @@ def read_report_csv(spark: SparkSession, path: str, text_cols: Sequence[str], nu
                      *[F.col(f"`{c}`").try_cast("double").alias(c) for c in number_cols])
 
 
-def list_images(spark: SparkSession, directory: str, with_content: bool = False) -> DataFrame:
-    """Direct children of a directory with an image extension (case-insensitive).
+IMAGE_FILE = T.StructType([T.StructField("path", S), T.StructField("modificationTime", T.TimestampType()),
+                           T.StructField("length", L), T.StructField("content", T.BinaryType())])
+
+
+def list_images(spark: SparkSession, directories: str | Sequence[str], with_content: bool = False) -> DataFrame:
+    """Direct children of the directories with an image extension (case-insensitive); none where a directory
+    is empty.
 
     ``binaryFile`` lists lazily; only ``path`` / ``length`` are read unless the
     bytes are asked for (column pruning skips the content)."""
-    base = directory.rstrip("/")
-    df = spark.read.format("binaryFile").load(base + "/*")
-    parent = F.regexp_extract("path", r"^(.*)/[^/]+$", 1)
-    df = df.filter(parent.endswith(base) & extension("path").isin(K.IMAGE_EXTENSIONS))
+    roots = [d.rstrip("/") for d in ([directories] if isinstance(directories, str) else directories)]
     cols = ["path", "modificationTime", "length"] + (["content"] if with_content else [])
-    return df.select(*cols)
+    filled = [d for d in roots if has_files(spark, d)]
+    if not filled:
+        return spark.createDataFrame([], IMAGE_FILE).select(*cols)
+    df = spark.read.format("binaryFile").load([f"{d}/*" for d in filled])
+    parent = F.regexp_extract("path", r"^(?:[a-z]+:/*(?=/))?(.*)/[^/]+$", 1)
+    bare = [d.split("://")[-1].removeprefix("file:") for d in filled]
+    keep = F.lit(False)
+    for d in bare:
+        keep = keep | parent.endswith(d)
+    return df.filter(keep & extension("path").isin(K.IMAGE_EXTENSIONS)).select(*cols)
 
 
 def read_prompt(spark: SparkSession, path: str) -> DataFrame:

@@ -3,12 +3,19 @@ through the driver."""
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime, timezone
 from typing import Sequence
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from scoreplane import constants as K
 from scoreplane.functions.text import fixed, settled
+from scoreplane.operators.reports import flatten_categories, overall_rows
+from scoreplane.sources.files import read_evaluation_documents
+from scoreplane.sources.tables import files_in, move, remove
 
 
 def spread_by_run(items: DataFrame, run_cols: Sequence[str], key_cols: Sequence[str],
@@ -34,27 +41,59 @@ def write_generation_items(items: DataFrame, path: str, run_cols: Sequence[str]
     items.write.mode("overwrite").partitionBy(*run_cols).format(fmt).save(path)
 
 
-def write_run_metadata(items: DataFrame, path: str, run_cols: Sequence[str] = ("model", "temperature"),
-                       status_col: str = "status_geracao") -> None:
-    """K1 metadata: per run counts and time (aggregated, one small row per run)."""
+def write_run_metadata(items: DataFrame, path: str, started: datetime, finished: datetime,
+                       run_cols: Sequence[str] = ("model", "temperature"), status_col: str = "status_geracao") -> None:
+    """K1 metadata: per run its counts, start and end stamps and the elapsed seconds between them.
+
+    Calls run in parallel, so the elapsed time is told by the job that made them and not summed from latencies."""
     meta = items.groupBy(*run_cols).agg(
         F.count(F.lit(1)).alias("total_itens_na_saida_run"),
-        F.count_if(F.col(status_col) == "processado_com_sucesso").alias("n_success"),
-        F.sum("latency_s").alias("timestamp_final_run"))
-    meta.coalesce(1).write.mode("overwrite").json(path)
+        F.count_if(F.col(status_col) == K.STATUS_OK).alias("n_success")).withColumns({
+            "timestamp_geracao_inicial_run": F.lit(started.isoformat()),
+            "timestamp_geracao_final_run": F.lit(finished.isoformat()),
+            "timestamp_final_run": F.lit((finished - started).total_seconds())})
+    meta.write.mode("overwrite").json(path)
+
+
+def write_generation_run(items: DataFrame, path: str, run_cols: Sequence[str] = ("model", "temperature"),
+                         files_per_run: int | None = None) -> DataFrame:
+    """K1: run the generation once, store its items and their metadata, and return the stored items.
+
+    The model is called while the items are written and never again."""
+    started = datetime.now(timezone.utc)
+    write_generation_items(items, f"{path}/items", run_cols, key_cols=("request_id", "dataset_idx", "property_id"),
+                           files_per_run=files_per_run)
+    finished = datetime.now(timezone.utc)
+    stored = items.sparkSession.read.schema(items.schema).parquet(f"{path}/items")
+    write_run_metadata(stored, f"{path}/metadata", started, finished, run_cols)
+    return stored
 
 
 def write_evaluation_documents(docs: DataFrame, path: str) -> None:
-    """K2: one JSON document per run (each bounded by the number of fields)."""
-    docs.write.mode("overwrite").json(path)
+    """K2: one named JSON file per run (file_name, document), as the report scan (S4) finds them.
+
+    Executors write every document into a folder of its own; the driver only renames the files, one per run."""
+    spark = docs.sparkSession
+    attempt = f"{path.rstrip('/')}/_attempt-{uuid.uuid4().hex}"
+    docs.select("file_name", "document").repartition("file_name").write.partitionBy("file_name").text(attempt)
+    for folder, file in files_in(spark, attempt):
+        move(spark, file, f"{path.rstrip('/')}/{unquote(folder.removeprefix('file_name='))}")
+    remove(spark, attempt)
 
 
 def write_summary_csv(summary: DataFrame, path: str, metric_cols: Sequence[str], places: int = 4,
-                      partition_cols: Sequence[str] = ()) -> None:
-    """K3: per-run summary CSV with fixed decimals, header, one directory per run."""
-    cols = [c for c in summary.columns if c not in metric_cols]
-    out = summary.select(*[F.col(f"`{c}`") for c in cols],
-                         *[fixed(settled(F.col(f"`{m}`")), places).alias(m) for m in metric_cols])
+                      partition_cols: Sequence[str] = (), order_cols: Sequence[str] = ()) -> None:
+    """K3: per-run summary CSV with fixed decimals, header, one directory per run; rows in the given order.
+
+    A run's rows are one per field, so each run is ordered inside one task."""
+    cols = [c for c in summary.columns if c not in metric_cols and c not in set(order_cols) - set(partition_cols) - {"category"}]
+    rows = summary
+    if partition_cols:
+        rows = rows.repartition(*[F.col(f"`{c}`") for c in partition_cols])
+    if order_cols or partition_cols:
+        rows = rows.sortWithinPartitions(*[F.col(f"`{c}`") for c in [*partition_cols, *order_cols]])
+    out = rows.select(*[F.col(f"`{c}`") for c in cols],
+                      *[fixed(settled(F.col(f"`{m}`")), places).alias(m) for m in metric_cols])
     w = out.write.mode("overwrite").option("header", True)
     if partition_cols:
         w = w.partitionBy(*partition_cols)
@@ -63,16 +102,42 @@ def write_summary_csv(summary: DataFrame, path: str, metric_cols: Sequence[str],
 
 def write_report_csv(report: DataFrame, path: str, columns: Sequence[str], number_cols: Sequence[str],
                      places: int = 4) -> bool:
-    """K4: fixed column order (existing columns only), 4 decimals; skipped when empty."""
-    if report.isEmpty():
-        return False
+    """K4: fixed column order (existing columns only), 4 decimals, rows in report order; no file when empty.
+
+    The rows are counted while they are written; the plan runs once."""
     keep = [c for c in columns if c in report.columns]
-    out = report.select(*[fixed(settled(F.col(f"`{c}`")), places).alias(c) if c in number_cols else F.col(f"`{c}`")
-                          for c in keep])
+    seen = Observation()
+    text = [F.col(f"`{c}`").asc_nulls_last() for c in keep if c not in number_cols]
+    ordered = report.observe(seen, F.count(F.lit(1)).alias("n")).orderBy(*text) if text else report.observe(
+        seen, F.count(F.lit(1)).alias("n"))
+    out = ordered.select(*[fixed(settled(F.col(f"`{c}`")), places).alias(c) if c in number_cols else F.col(f"`{c}`")
+                           for c in keep])
     out.write.mode("overwrite").option("header", True).csv(path)
-    return True
-
-
-def write_text_rows(rows: DataFrame, path: str, order_cols: Sequence[str], text_col: str = "row_text") -> None:
-    """K5: report rows as text lines in report order (range-partitioned sort)."""
-    rows.orderBy(*order_cols).select(text_col).write.mode("overwrite").text(path)
+    if seen.get["n"]:
+        return True
+    remove(report.sparkSession, path)
+    return False
+
+
+def write_text_rows(rows: DataFrame, path: str, order_cols: Sequence[str], text_col: str = "row_text",
+                    rule_col: str | None = "rule_before") -> None:
+    """K5: report rows as text lines in report order (range-partitioned sort), with a rule line before each new
+    group where the rows tell one."""
+    lines = F.array(F.col(text_col))
+    if rule_col and rule_col in rows.columns:
+        lines = F.when(F.col(rule_col), F.array(F.lit(K.RULE_LINE), F.col(text_col))).otherwise(lines)
+    out = rows.select(*[F.col(c) for c in order_cols], F.posexplode(lines).alias("_line", "_text"))
+    out.orderBy(*order_cols, "_line").select("_text").write.mode("overwrite").text(path)
+
+
+def write_reports(spark: SparkSession, root: str, out_dir: str, field_names: DataFrame | None = None) -> tuple[bool, bool]:
+    """Scan every evaluation document under ``root`` and write both report files (S4 -> E6 -> P2, P3 -> K4).
+
+    Returns whether the by-category and the overall report have rows."""
+    docs = read_evaluation_documents(spark, root)
+    metrics = ["Accuracy", "F1-Score", "Precision", "Recall"]
+    by_category = write_report_csv(flatten_categories(docs, field_names), f"{out_dir}/report_metrics_by_category",
+                                   K.REPORT_BY_CATEGORY_COLUMNS, metrics)
+    overall = write_report_csv(overall_rows(docs), f"{out_dir}/report_overall_model_averages", K.REPORT_OVERALL_COLUMNS,
+                               [*metrics, "Tempo de Execucao Total (s)"])
+    return by_category, overall

@@ -77,5 +77,43 @@ def materialize(df: DataFrame, name: str, key: str = "", partition_by: Sequence[
     return spark.read.schema(df.schema).parquet(path)
 
 
-def abspath(p: str) -> str:
-    return p if "://" in p else os.path.abspath(p)
+def write_once(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` under a name of its own in the checkpoint folder and read it back (cuts the lineage)."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/scoreplane-tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    fs, target = _fs(spark, path)
+    fs.deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def has_files(spark: SparkSession, directory: str) -> bool:
+    """Whether a directory exists and is not empty."""
+    fs, target = _fs(spark, directory)
+    return bool(fs.exists(target)) and len(fs.listStatus(target)) > 0
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a file to its final place, in place of an older one of that name."""
+    fs, old = _fs(spark, source)
+    _, new = _fs(spark, target)
+    fs.mkdirs(new.getParent())
+    fs.delete(new, False)
+    if not fs.rename(old, new):
+        raise OSError(f"could not move {source} to {target}")
+
+
+def files_in(spark: SparkSession, directory: str) -> list[tuple[str, str]]:
+    """(parent folder's name, path) of the data files one level below ``directory``."""
+    fs, target = _fs(spark, directory)
+    out = []
+    for folder in fs.listStatus(target):
+        if folder.isDirectory():
+            out += [(folder.getPath().getName(), f.getPath().toString()) for f in fs.listStatus(folder.getPath())
+                    if f.getPath().getName().startswith("part-")]
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, target = _fs(spark, path)
+    fs.delete(target, True)

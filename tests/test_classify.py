@@ -115,3 +115,43 @@ def test_macro_and_overall(spark):
     assert macro["n_categories"] == 2 and macro["accuracy"] == pytest.approx(0.5)
     ov = classify.summary_with_overall(summ).collect()
     assert sorted(r["category"] for r in ov) == sorted(["F", "G", "MÉDIA GERAL (Categorias)"])
+
+
+def _counts(spark, rows):
+    return spark.createDataFrame(rows, "model string, temperature double, field string, y_true string, y_pred string, n long")
+
+
+def test_many_answers_fold_into_one_bucket(spark):
+    """1e5 distinct answers and 100 labels: rows of counts + labels, not their product."""
+    labels = [f"l{i}" for i in range(100)]
+    one = spark.createDataFrame([("m", 0.0, "F")], "model string, temperature double, field string")
+    counts = one.select("*", F.explode(F.sequence(F.lit(0), F.lit(99_999))).alias("id")).selectExpr("model", "temperature", "field",
+                                             "concat('l', id % 100) AS y_true", "concat('open ', id) AS y_pred", "1L AS n")
+    dim = field_dimension(spark, [FieldSpec("F", "f", labels)])
+    lt = classify.label_table(counts, dim)
+    rows = lt.collect()
+    assert len(rows) == 100 + 2 + 1  # vocabulary, placeholders, one bucket
+    assert sum(r["support_pred"] for r in rows if not r["in_vocab"]) == 100_000
+    s = classify.summary_from_labels(lt).first()
+    assert s["n_oov_pred"] == 100_000 and s["accuracy"] == 0.0 and s["n_items"] == 100_000
+    plan = lt._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_no_vocabulary_falls_back_to_observed_labels(spark):
+    counts = _counts(spark, [("m", 0.0, "F", "a", "a", 2), ("m", 0.0, "F", "b", "a", 1), ("m", 0.0, "G", "x", "x", 1)])
+    for dim in ([FieldSpec("F", "f", [])], []):
+        d = field_dimension(spark, [*dim, FieldSpec("G", "g", ["x"])])
+        s = {r["field"]: r for r in classify.summary(counts, d).collect()}
+        assert s["F"]["accuracy"] == pytest.approx(2 / 3)
+        assert s["F"]["recall_weighted"] == pytest.approx(2 / 3) and s["F"]["precision_weighted"] == pytest.approx(4 / 9)
+        assert s["F"]["error"] is None and s["G"]["f1_score_weighted"] == 1.0
+
+
+def test_expected_field_without_pairs_gives_an_error_row(spark):
+    counts = _counts(spark, [("m", 0.0, "F", "a", "a", 2)])
+    dim = field_dimension(spark, [FieldSpec("F", "f", ["a"]), FieldSpec("G", "g", ["x"])])
+    expected = spark.createDataFrame([("m", 0.0, "F"), ("m", 0.0, "G")], "model string, temperature double, field string")
+    s = {r["field"]: r for r in classify.summary(counts, dim, expected=expected).collect()}
+    assert s["G"]["error"] == "Listas de entrada vazias." and s["G"]["n_items"] == 0 and s["F"]["error"] is None
+    assert classify.macro_average(classify.summary(counts, dim, expected=expected)).first()["n_categories"] == 1

@@ -30,3 +30,15 @@ def test_per_label_2x2(spark):
     assert (pl["q"]["tp"], pl["q"]["fn"], pl["r"]["fp"]) == (0, 2, 1)
     mm = ML.micro_macro(items(spark, [(["p", "q"], ["p", "r"]), (["q"], [])]), V).first()
     assert mm["precision_macro"] == pytest.approx((1.0 + 0.0 + 0.0) / 3)
+
+
+def test_capitalised_unsorted_vocabulary(spark):
+    from scoreplane.operators import multilabel as ML
+
+    items = spark.createDataFrame([(["piscina"], ["PISCINA "]), (["Sauna", "piscina"], ["sauna"])],
+                                  "y_true array<string>, y_pred array<string>")
+    for vocab in (["Sauna", "Piscina"], ["piscina", "sauna"], [" SAUNA", "Piscina", "sauna"]):
+        r = ML.score_row(items, vocab).first()
+        assert r["f1_score_micro"] == pytest.approx(0.8) and r["accuracy_subset"] == 0.5
+        assert ML.subset_accuracy(items, vocab).first()["accuracy_subset"] == 0.5
+        assert {x["label"]: (x["tp"], x["fn"]) for x in ML.per_label(items, vocab).collect()} == {"piscina": (1, 1), "sauna": (1, 0)}

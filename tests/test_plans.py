@@ -42,3 +42,21 @@ def test_run_filter_prunes_partitions(spark, sf_small):
     plan = _explain(E.pairs(spark, sf_small).filter("model = 'beta-vl:13b' AND temperature = 0.5"))
     assert "PartitionFilters: [isnotnull(model" in plan and "(model#" in plan
     assert "(temperature#" in plan
+
+
+def _ran(df) -> str:
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_report_is_flattened_from_the_summary(spark, sf_small):
+    plan = _ran(REGISTRY["flatten_reports"](spark, sf_small))
+    final = plan[plan.index("== Final Plan ==") if "== Final Plan ==" in plan else 0:].split("== Initial Plan ==")[0]
+    assert final.count("Exchange hashpartitioning") <= 5
+
+
+def test_report_rows_has_no_unpartitioned_window(spark, sf_small):
+    plan = _explain(REGISTRY["report_rows"](spark, sf_small), "simple")
+    main = plan.split("Subquery")[0]
+    assert "Exchange SinglePartition" not in main

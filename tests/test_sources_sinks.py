@@ -1,6 +1,7 @@
 import json
 import os
 import tempfile
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
 
@@ -53,26 +54,109 @@ def test_evaluation_documents_roundtrip_and_corrupt_skip(spark):
         "model string, temperature double, field string, y_true string, y_pred string")
     from scoreplane.operators.pairs import FieldSpec, field_dimension
     dim = field_dimension(spark, [FieldSpec("Size Band", "s", ["a", "b"])])
-    counts, pc, summ = classify.evaluate(pairs, dim)
-    docs = R.evaluation_documents(summ, classify.per_class_map(pc), classify.macro_average(summ))
+    lt = classify.label_table(classify.confusion_counts(pairs), dim)
+    docs = R.evaluation_documents(classify.summary_from_labels(lt, with_classes=True))
     root = tmpdir()
-    sub = os.path.join(root, "nested", "evaluation_metrics_m_x_1_temp_0p5")
-    sinks.write_evaluation_documents(docs.drop("averages_key"), sub)
-    # the writer emits part files; give them the expected names, plus a corrupt one
-    for i, name in enumerate(sorted(n for n in os.listdir(sub) if n.endswith(".json"))):
-        os.rename(os.path.join(sub, name), os.path.join(sub, f"evaluation_metrics_m_x_1_temp_0p5_{i}.json"))
+    sub = os.path.join(root, "nested")
+    sinks.write_evaluation_documents(docs, sub)
+    assert sorted(n for n in os.listdir(sub) if not n.startswith(".")) == ["evaluation_metrics_m_x_1_temp_0p5.json"]
+    with open(os.path.join(sub, "evaluation_metrics_m_x_1_temp_0p5.json"), encoding="utf-8") as f:
+        doc = json.load(f)
+    assert doc["metadata_avaliacao"]["modelo_avaliado"] == "m/x:1" and doc["metadata_avaliacao"]["temperatura"] == 0.5
+    block = doc["Metricas_Agregadas_Por_Categoria"]["Size_Band"]
+    assert block["accuracy"] == 0.5 and block["metrics_per_class"]["a"]["support_ground_truth"] == 1
+    assert doc["Metricas_Agregadas_Por_Categoria"]["Metricas_Medias_Gerais_Do_Modelo_m_x_1"]["accuracy_m_x_1"] == 0.5
     with open(os.path.join(root, "evaluation_metrics_bad_temp_0p0.json"), "w") as f:
         f.write("{not json")
-    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "evaluation_metrics_*.json") \
-        .json(root).filter(F.col("model").isNotNull())
+    read = files.read_evaluation_documents(spark, root)
     assert read.count() == 1
-    flat = R.flatten_categories(docs).collect()
+    flat = R.flatten_categories(read).collect()
     assert len(flat) == 1 and flat[0]["Categoria"] == "Size_Band" and flat[0]["Accuracy"] == 0.5
     assert flat[0]["Modelo"] == "m/x_1"  # '/' kept, its averages row is not lost
-    over = R.overall_rows(docs).collect()
+    over = R.overall_rows(read).collect()
     assert len(over) == 1 and over[0]["Accuracy"] == 0.5
 
 
+def test_scan_equals_the_report_in_memory_and_writes_both_files(spark, sf_small):
+    from scoreplane.plans import evaluation as E, queries as Q
+
+    lt = classify.label_table(E.counts(spark, sf_small), E.dimension(spark))
+    meta = Q._meta(spark, sf_small)
+    root, out = tmpdir(), tmpdir()
+    sinks.write_evaluation_documents(
+        R.evaluation_documents(classify.summary_from_labels(lt, with_classes=True), meta), root)
+    names = E.dimension(spark).select("field")
+    cols = ["Modelo", "Temperatura", "category_key", "Categoria", "Accuracy", "F1-Score", "Precision", "Recall"]
+
+    def bag(df, c):
+        return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(*c).collect())
+    docs = files.read_evaluation_documents(spark, root)
+    assert bag(R.flatten_categories(docs, names), cols) == bag(Q._report(spark, sf_small), cols)
+    whole = ["Modelo", "Temperatura", "Accuracy", "F1-Score", "Precision", "Recall", "Tempo de Execucao Total (s)"]
+    assert bag(R.overall_rows(docs), whole) == bag(Q._overall(spark, sf_small), whole)
+    assert sinks.write_reports(spark, root, out, names) == (True, True)
+    lines = []
+    folder = os.path.join(out, "report_metrics_by_category")
+    for n in sorted(x for x in os.listdir(folder) if x.startswith("part-")):
+        with open(os.path.join(folder, n), encoding="utf-8") as f:
+            lines += f.read().splitlines()[1:]
+    assert len(lines) == 36 and lines == sorted(lines)
+
+
+def test_identity_falls_back_to_the_file_name(spark):
+    root = tmpdir()
+    block = {"Metricas_Agregadas_Por_Categoria": {"Piso": {"accuracy": 0.5}}}
+    for name, head in (("evaluation_metrics_vision-2.5-pro_temp_0p5.json", {}), ("evaluation_metrics_x.json", {}),
+                       ("evaluation_metrics_a_7b_temp_0p1.json", {"modelo_avaliado": "b:7b", "temperatura": 1.0})):
+        with open(os.path.join(root, name), "w") as f:
+            json.dump({"metadata_avaliacao": head, **block}, f)
+    rows = R.flatten_categories(files.read_evaluation_documents(spark, root)).collect()
+    assert sorted((r["Modelo"], r["Temperatura"]) for r in rows) == [
+        ("b_7b", "1.0"), ("unknown_model", "N/A"), ("vision-2.5-pro", "0.5")]
+
+
+def test_text_rows_keep_order_and_rule_lines(spark):
+    d = tmpdir()
+    rep = spark.createDataFrame([(m, c, "0.5", 0.5) for m in ["b", "a", "c"] for c in ["y", "x"]],
+                                "Modelo string, Categoria string, Temperatura string, Accuracy double")
+    sinks.write_text_rows(R.report_rows(rep, ["Accuracy"]), os.path.join(d, "t"), ["Modelo", "Categoria", "Temperatura"])
+    lines = []
+    for n in sorted(x for x in os.listdir(os.path.join(d, "t")) if x.startswith("part-")):
+        with open(os.path.join(d, "t", n)) as f:
+            lines += f.read().splitlines()
+    assert [("midrule" in x) for x in lines] == [False, False, True, False, False, True, False, False]
+    assert "{a}" in lines[0] and "{b}" in lines[3] and "{c}" in lines[6]
+
+
+def test_list_images_of_empty_and_several_folders(spark):
+    a, b, c = tmpdir(), tmpdir(), tmpdir()
+    for d, n in ((a, "1.png"), (c, "2.JPG"), (c, "x.txt")):
+        with open(os.path.join(d, n), "wb") as f:
+            f.write(b"x")
+    assert files.list_images(spark, b).count() == 0
+    assert files.list_images(spark, os.path.join(b, "missing")).count() == 0
+    assert sorted(os.path.basename(r["path"]) for r in files.list_images(spark, [a, b, c]).collect()) == ["1.png", "2.JPG"]
+
+
+def test_generation_run_is_stored_once_with_typed_runs(spark):
+    from scoreplane.operators.generate import run_grid
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def generate(request):
+        seen.add(1)
+        return {"response": '{"a": 1}'}
+
+    items = spark.createDataFrame([(i, "s", "p", ["data:x"]) for i in range(6)],
+                                  "request_id long, system string, prompt string, images array<string>")
+    d = tmpdir()
+    stored = sinks.write_generation_run(run_grid(items, ["2024", "007"], [0.0], generate, 3), os.path.join(d, "run"))
+    assert sorted(r[0] for r in stored.select("model").distinct().collect()) == ["007", "2024"]
+    assert stored.count() == 12 and seen.value == 12
+    meta = spark.read.json(os.path.join(d, "run", "metadata")).collect()
+    assert len(meta) == 2 and all(0 < m["timestamp_final_run"] < 600 and m["n_success"] == 6 for m in meta)
+
+
 def test_read_evaluation_documents_skips_corrupt(spark):
     root = tmpdir()
     good = {"metadata_avaliacao": {"modelo_avaliado": "m", "temperatura": 0.0},
@@ -146,7 +230,8 @@ def test_generation_items_sink_partitioned_by_run(spark, sf_small):
     d = tmpdir()
     rec = A.generation_records(spark, sf_small)
     sinks.write_generation_items(rec, os.path.join(d, "items"), files_per_run=2)
-    sinks.write_run_metadata(rec, os.path.join(d, "meta"))
+    at = datetime(2025, 6, 19, 13, 0, 1, tzinfo=timezone.utc)
+    sinks.write_run_metadata(rec, os.path.join(d, "meta"), at, at + timedelta(seconds=90))
     runs = sorted(n for n in os.listdir(os.path.join(d, "items")) if n.startswith("model="))
     assert len(runs) == 3
     back = spark.read.parquet(os.path.join(d, "items"))
