@@ -117,3 +117,12 @@ def files_in(spark: SparkSession, directory: str) -> list[tuple[str, str]]:
 def remove(spark: SparkSession, path: str) -> None:
     fs, target = _fs(spark, path)
     fs.delete(target, True)
+
+
+def published(spark: SparkSession, directory: str) -> list[str]:
+    """Folders one level below ``directory`` whose write has succeeded, in order of their names."""
+    fs, target = _fs(spark, directory)
+    if not fs.exists(target):
+        return []
+    found = [f.getPath().toString() for f in fs.listStatus(target) if f.isDirectory()]
+    return sorted(f for f in found if fs.exists(_fs(spark, f"{f}/_SUCCESS")[1]))

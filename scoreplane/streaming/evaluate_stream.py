@@ -2,7 +2,7 @@
 landing in a folder) are parsed, aligned with the static truth table and folded
 into running confusion counts.
 
-State is the confusion-count table (bounded by runs x fields x labels), kept by
+State is the confusion-count table (one row per distinct run, field, truth and answer), kept by
 Spark's state store and restored from the checkpoint after a failure; the truth
 join is a stream-static join.  Every metric of ``operators.classify`` derives
 from the counts table, so a consumer reads it and calls ``classify.summary``."""
@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from scoreplane.operators import classify
 from scoreplane.operators.generate import parse_answers
 from scoreplane.operators.pairs import FieldSpec, align_pairs
+from scoreplane.sources.tables import published, remove
 
 RECORD_SCHEMA = T.StructType([
     T.StructField("model", T.StringType()), T.StructField("temperature", T.DoubleType()),
@@ -42,7 +43,10 @@ def streaming_counts(spark: SparkSession, records_dir: str, truth: DataFrame, fi
 def start_counts_stream(counts: DataFrame, checkpoint_location: str, sink_table: str | None = None,
                         sink_path: str | None = None, trigger_once: bool = False) -> StreamingQuery:
     """Run the count stream in ``complete`` mode into a memory table (tests) or,
-    via ``foreachBatch``, overwrite a parquet snapshot of the counts."""
+    via ``foreachBatch``, into one parquet snapshot of the counts per batch.
+
+    A snapshot is a folder of its own and counts once its write has succeeded, so a reader between two
+    batches still sees the last whole one (:func:`latest_snapshot`); only the newest two are kept."""
     w = counts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint_location)
     if trigger_once:
         w = w.trigger(availableNow=True)
@@ -50,6 +54,14 @@ def start_counts_stream(counts: DataFrame, checkpoint_location: str, sink_table:
         return w.format("memory").queryName(sink_table).start()
 
     def snapshot(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(sink_path)
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{sink_path}/batch={epoch_id:012d}")
+        for old in published(spark, sink_path)[:-2]:
+            remove(spark, old)
 
     return w.foreachBatch(snapshot).start()
+
+
+def latest_snapshot(spark: SparkSession, sink_path: str) -> DataFrame:
+    """The counts as of the last batch that was written whole."""
+    return spark.read.parquet(published(spark, sink_path)[-1])

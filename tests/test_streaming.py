@@ -50,3 +50,22 @@ def test_stream_restarts_from_checkpoint(spark, sf_small):
         q.stop()
     want = {tuple(r[:5]): r[5] for r in E.counts(spark, sf_small).collect()}
     assert got == want
+
+
+def test_snapshots_are_published_whole(spark, sf_small, tmp_path):
+    from scoreplane.streaming.evaluate_stream import latest_snapshot
+
+    src, ck, out = str(tmp_path / "in"), str(tmp_path / "ck"), str(tmp_path / "out")
+    records = A.build_generation_records(spark, sf_small)
+    truth = A.truth(spark, sf_small)
+    records.filter("model = 'alpha-vl:7b'").write.parquet(src)
+    want = 0
+    for step in range(3):
+        if step:
+            records.filter(f"model <> 'alpha-vl:7b' AND temperature = {step / 2}").write.mode("append").parquet(src)
+        q = start_counts_stream(streaming_counts(spark, src, truth, A.FIELDS), ck, sink_path=out, trigger_once=True)
+        q.awaitTermination(120)
+        now = latest_snapshot(spark, out).agg({"n": "sum"}).first()[0]
+        assert now > want and now % 4 == 0
+        want = now
+    assert len([n for n in (tmp_path / "out").iterdir() if n.name.startswith("batch=")]) == 2
