@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -58,8 +57,27 @@ def held_out(doc_id: str, mod: int, remainder: int) -> str:
     return f"COALESCE(CRC32(CAST(`{doc_id}` AS STRING)) % {mod} = {remainder}, FALSE)"
 
 
-def ddl(columns: Sequence[tuple[str, str]]) -> str:
-    return ", ".join(f"`{n}` {t}" for n, t in columns)
+def bounded_sample(rows: DataFrame, kind: str, key: str, most: int, slack: float = 2.0) -> DataFrame:
+    """At most ``most`` rows of every value of ``kind``: the first in the order of a hash of ``key``.
+
+    The rows of each kind are counted first; only those whose hash lies in the share that holds about
+    ``slack`` times the sample go on to the exact cut, so the work after the count is bounded however many
+    rows and partitions there are.  The counts are one row per kind, of which each becomes a part of a model."""
+    spark = rows.sparkSession
+    counts = rows.groupBy(kind).agg(F.count(F.lit(1)).alias("n")).collect()
+    if not counts:
+        return rows.withColumn("_rank", F.lit(1))
+    told = spark.createDataFrame([(r[0], r[1]) for r in counts], f"`{kind}` {rows.schema[kind].dataType.simpleString()}, `_n` bigint")
+    marked = rows.join(F.broadcast(told), kind).withColumn("_u", F.expr(f"PMOD(XXHASH64({key}), 1073741824)"))
+    near = marked.where(F.expr(f"_u < {slack * most} / _n * 1073741824"))
+    order = Window.partitionBy(kind).orderBy("_u", F.expr(key))
+    return near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).drop("_n", "_u")
+
+
+def excerpt(text: str, key: str, chars: int) -> str:
+    """SQL for a text of at most ``chars`` characters: the text itself, or a stretch of it placed by the key."""
+    return (f"IF(LENGTH({text}) <= {chars}, {text}, SUBSTRING({text},"
+            f" 1 + INT(PMOD(XXHASH64({key}), LENGTH({text}) - {chars})), {chars}))")
 
 
 def grouped(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
@@ -101,5 +119,4 @@ def pack(docs: DataFrame, **fields: str) -> DataFrame:
     return docs.select(*[F.expr(sql).alias(name) for name, sql in fields.items()])
 
 
-WORD = re.compile(r"[^\W_]+")
 Runner = Callable[[SparkSession, str], DataFrame]

@@ -17,10 +17,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreplane.llm.common import held_out
+from scoreplane.llm.common import bounded_sample, excerpt, held_out
 
 MOD, REMAINDER = 4, 2
 DICTIONARY_BYTES = 400_000  # training text held for each language
@@ -82,11 +82,9 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     The excerpt of a training document starts at a place that depends on its id."""
     rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("i"), F.col(f"`{lang}`").alias("lang"),
                        F.col(f"`{text}`").alias("t"), F.expr(held_out(doc_id, MOD, REMAINDER)).alias("out"))
-    rows = rows.where("NOT out AND i IS NOT NULL AND lang IS NOT NULL AND t RLIKE '\\\\p{L}'").selectExpr(
-        "lang", "MD5(CAST(i AS STRING)) AS o", "i",
-        f"SUBSTRING(t, 1 + INT(PMOD(XXHASH64(i), GREATEST(1, LENGTH(t) - {EXCERPT_CHARS}))), {EXCERPT_CHARS}) AS t")
-    first = Window.partitionBy("lang").orderBy("o", "i", "t")
-    found = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= EXCERPTS).collect()
+    rows = rows.where("NOT out AND i IS NOT NULL AND lang IS NOT NULL AND t <> ''").select("lang", "i", "t")
+    found = bounded_sample(rows, "lang", "i", EXCERPTS).selectExpr(
+        "lang", "_rank AS n", f"{excerpt('t', 'i', EXCERPT_CHARS)} AS t").where("t RLIKE '\\\\p{L}'").collect()
     texts: dict[str, list[tuple[int, str]]] = {}
     for r in found:
         texts.setdefault(r.lang, []).append((r.n, r.t))

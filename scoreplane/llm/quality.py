@@ -21,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreplane.llm.common import held_out
+from scoreplane.llm.common import bounded_sample, excerpt, held_out
 
 MOD, REMAINDER = 3, 1
-MAX_EACH = 1200  # labelled documents of each kind fitted on, taken in the order of a digest of the id
+MAX_EACH = 1200  # labelled documents of each kind fitted on, taken in the order of a hash of the id
+MAX_CHARS = 40_000  # a longer training document gives a stretch of this length
 CHUNK, OVERLAP, WIDTH, FILTERS = 512, 32, 5, 20
 SLAB = 24  # chunks convolved at a time
 TRAIN_CHUNKS = 5  # chunks of one training document seen in one epoch, drawn from all of it
@@ -116,10 +117,9 @@ def train(docs: DataFrame, labels: DataFrame, max_each: int = MAX_EACH) -> Netwo
     """Fit on at most ``max_each`` labelled documents of each kind, outside the held-out part."""
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(f"NOT {held_out('doc_id', MOD, REMAINDER)}")
     known = known.groupBy("doc_id").agg(F.min("quality").alias("y"))
-    order = F.expr("MD5(CAST(doc_id AS STRING))")
-    ids = known.where("y = 1").orderBy(order).limit(max_each).union(known.where("y = 0").orderBy(order).limit(max_each))
-    rows = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text AS t").join(F.broadcast(ids), "doc_id").select(
-        "doc_id", "y", "t").collect()
+    ids = bounded_sample(known, "y", "doc_id", max_each).select("doc_id", "y")
+    rows = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").join(F.broadcast(ids), "doc_id").selectExpr(
+        "doc_id", "y", f"{excerpt('text', 'doc_id', MAX_CHARS)} AS t").collect()
     rows = sorted((r.doc_id, r.y, r.t or "") for r in rows)
     y = np.array([r[1] for r in rows], np.float32)
     net = Network()

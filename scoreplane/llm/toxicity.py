@@ -29,15 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreplane.llm.common import held_out
+from scoreplane.llm.common import bounded_sample, excerpt, held_out
 
 MOD, REMAINDER = 4, 2
-MAX_TOXIC, MAX_CLEAN = 1500, 3000  # labelled documents fitted on, taken in the order of a digest of the id
-LANDMARKS = 256
+MAX_TOXIC, MAX_CLEAN = 800, 1600  # labelled documents fitted on, taken in the order of a hash of the id
+MAX_CHARS = 40_000  # a longer training document gives a stretch of this length
+LANDMARKS = 192
 SPAN, DECAY = 5, 0.5
 ACCEPT = 0.3
-CACHE = 400_000
-NEGATIVES = 6_000  # words of clean documents that the SVM sees: so many frequent, impure and look-alike ones each
+CACHE = 200_000
+NEGATIVES = 4_000  # words of clean documents that the SVM sees: so many frequent, impure and look-alike ones each
 SURPRISE = 5.5  # standard deviations above chance from which a word is a first witness
 PURITY = 0.98  # share of a first witness's rate that lies in toxic documents
 SURE, LATER = 0.5, 0.5  # SVM score from which a word that no clean document has is a later witness; its margin
@@ -97,25 +98,29 @@ def features(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def kernel(left: list[str], right: list[str]) -> np.ndarray:
-    """Kernel matrix of two lists of words."""
+    """Kernel matrix of two lists of words, by a table of the subsequences that the right one has."""
     w, s, v = features(left)
     rw, rs, rv = features(right)
-    table = np.zeros((ALPHABET**3, len(right)), np.float32) if len(right) <= 512 else None
-    if table is None:
-        return np.hstack([kernel(left, right[i : i + 512]) for i in range(0, len(right), 512)])
-    np.add.at(table, (rs, rw), rv)
+    known, place = np.unique(rs, return_inverse=True)
+    table = np.zeros((len(known), len(right)), np.float32)
+    table[place, rw] = rv
     out = np.zeros((len(left), len(right)), np.float32)
-    for a in range(0, len(w), 200_000):  # triples lie by word
-        part = w[a : a + 200_000]
+    if not len(known):
+        return out
+    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+    hit = known[at] == s
+    w, at, v = w[hit], at[hit], v[hit].astype(np.float32)
+    for a in range(0, len(w), 100_000):  # triples lie by word
+        part = w[a : a + 100_000]
         first = np.flatnonzero(np.diff(part, prepend=-1))
-        out[part[first]] += np.add.reduceat(table[s[a : a + 200_000]] * v[a : a + 200_000, None].astype(np.float32), first)
+        out[part[first]] += np.add.reduceat(table[at[a : a + 100_000]] * v[a : a + 100_000, None], first)
     return out
 
 
 def svm(x: np.ndarray, y: np.ndarray, margin: np.ndarray, weight: np.ndarray, reg: float, rounds: int = 40) -> tuple[np.ndarray, float]:
     """Linear SVM with squared hinge loss, a margin and a weight for each row, by Newton steps on the rows inside."""
     weight = weight / weight.sum()
-    z = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    z = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float32)
     ridge = np.diag(np.append(np.full(x.shape[1], reg), reg * 1e-3))
     w = np.zeros(z.shape[1])
 
@@ -126,7 +131,8 @@ def svm(x: np.ndarray, y: np.ndarray, margin: np.ndarray, weight: np.ndarray, re
     for _ in range(rounds):
         inside = y * (z @ w) < margin
         za, wa = z[inside], weight[inside]
-        step = np.linalg.solve((za * wa[:, None]).T @ za + ridge, za.T @ (wa * y[inside] * margin[inside])) - w
+        half = za * np.sqrt(wa)[:, None].astype(np.float32)
+        step = np.linalg.solve((half.T @ half).astype(np.float64) + ridge, za.T @ (wa * y[inside] * margin[inside])) - w
         size = 1.0
         while size > 1e-3 and loss(w + size * step) > now:
             size /= 2
@@ -160,8 +166,8 @@ class Model:
         if len(self.cache) + len(new) > CACHE:
             self.cache = {}
             new = list({w for bag in bags for w in bag})
-        for a in range(0, len(new), 50_000):
-            part = new[a : a + 50_000]
+        for a in range(0, len(new), 20_000):
+            part = new[a : a + 20_000]
             self.cache.update(zip(part, self.word_scores(part).tolist()))
         out = np.full((len(texts), 3), LOWEST)
         for i, bag in enumerate(bags):
@@ -178,9 +184,19 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.worst(texts) @ np.array(slopes) + shift, -50, 50)))
 
 
-def _sentence_words(text: str) -> set[str]:
-    """The distinct words of a document's sentences that the kernel can read."""
-    return {w for s in SENTENCE.split(text) for w in words(s) if codes(w)}
+def _fresh(texts: list[str], seen: set[int]) -> tuple[list[str], Counter[str]]:
+    """Documents that hold a sentence not in ``seen`` yet, and in how many of them each word of such sentences is.
+
+    Copies and passages that many documents share count once, so their words do not look telling."""
+    kept, counts = [], Counter()
+    for text in texts:
+        fresh = [s for s in SENTENCE.split(text) if s.strip() and hash(s) not in seen]
+        seen.update(map(hash, fresh))
+        bag = {w for s in fresh for w in words(s) if codes(w)}
+        if bag:
+            kept.append(text)
+            counts.update(bag)
+    return kept, counts
 
 
 def variants(word: str) -> Iterator[str]:
@@ -194,8 +210,11 @@ def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, turns: i
     """Train on the sentences of toxic and clean documents."""
     if not toxic or not clean:
         return Model(np.zeros(ALPHABET**3), 0.0, ())
-    bad = Counter(w for t in toxic for w in _sentence_words(t))
-    good = Counter(w for t in clean for w in _sentence_words(t))
+    seen: set[int] = set()
+    clean, good = _fresh(clean, seen)  # first, so a sentence of both kinds is clean
+    toxic, bad = _fresh(toxic, seen)
+    if not toxic or not clean:
+        return Model(np.zeros(ALPHABET**3), 0.0, ())
     share = len(toxic) / (len(toxic) + len(clean))
     pure = {w for w, n in bad.items() if n / len(toxic) >= PURITY * (n / len(toxic) + good[w] / len(clean))}
     surprise = {w: (n - share * (n + good[w])) / math.sqrt(share * (1 - share) * (n + good[w])) for w, n in bad.items()}
@@ -206,8 +225,8 @@ def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, turns: i
     common = sorted(good, key=lambda w: (-good[w], w))
     half = landmarks // 2
     close: list[tuple[float, str]] = []  # clean words most like the first witnesses
-    for a in range(0, len(common), 20_000):
-        part = common[a : a + 20_000]
+    for a in range(0, len(common), 10_000):
+        part = common[a : a + 10_000]
         close += zip((-kernel(part, first[:half]).max(axis=1)).tolist(), part)
         close = sorted(close)[:NEGATIVES]
     near = [w for _, w in close]
@@ -215,18 +234,18 @@ def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, turns: i
     marks = sorted({*first[:half], *near[: landmarks - half - 32], *common[:32]})
     values, vectors = np.linalg.eigh(kernel(marks, marks).astype(np.float64))
     keep = values > 1e-6
-    root = vectors[:, keep] / np.sqrt(values[keep])
-    xn = kernel(negatives, marks).astype(np.float64) @ root
+    root = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
+    xn = kernel(negatives, marks) @ root
     wn = np.sqrt(np.array([good[w] for w in negatives], float))
     bent = sorted({v for w in first[:half] for v in variants(w)} - set(good))
-    xv = kernel(bent, marks).astype(np.float64) @ root
+    xv = kernel(bent, marks) @ root
     unseen = sorted(w for w, n in bad.items() if not good[w] and n > 1 and w not in set(first))
     later: set[str] = set()
     model = Model(np.zeros(ALPHABET**3), 0.0, ())
     mw, ms, mv = features(marks)
     for _ in range(turns):
         chosen = [*first, *sorted(later)]
-        xp = kernel(chosen, marks).astype(np.float64) @ root
+        xp = kernel(chosen, marks) @ root
         wp = np.sqrt(np.array([bad[w] for w in chosen], float))
         weight = np.concatenate((wp / wp.sum(), np.full(len(bent), BENT / max(1, len(bent))), wn / wn.sum()))
         margin = np.repeat([1.0, LATER, LATER, 1.0], [len(first), len(later), len(bent), len(negatives)])
@@ -234,8 +253,8 @@ def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, turns: i
         coefficients, bias = svm(np.vstack((xp, xv, xn)), y, margin, weight, REG)
         model = Model(np.bincount(ms, mv * (root @ coefficients)[mw], ALPHABET**3), bias, ())
         # words that no clean document has and the SVM finds toxic are witnesses too, with less of a margin
-        for a in range(0, len(unseen), 50_000):
-            part = unseen[a : a + 50_000]
+        for a in range(0, len(unseen), 20_000):
+            part = unseen[a : a + 20_000]
             later.update(w for w, f in zip(part, model.word_scores(part)) if f > SURE)
     x = np.vstack((model.worst(toxic), model.worst(clean)))
     y = np.concatenate((np.ones(len(toxic)), -np.ones(len(clean))))
@@ -257,10 +276,10 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     """Fit on at most ``max_toxic`` and ``max_clean`` labelled documents outside the held-out part."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(f"NOT {held_out('doc_id', MOD, REMAINDER)}")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("y"))
-    order = F.expr("MD5(CAST(doc_id AS STRING))")
-    ids = known.where("y = 1").orderBy(order).limit(max_toxic).union(known.where("y = 0").orderBy(order).limit(max_clean))
-    rows = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text AS t").join(F.broadcast(ids), "doc_id").select(
-        "y", "t", "doc_id").collect()
+    ids = bounded_sample(known, "y", "doc_id", max(max_toxic, max_clean)).where(
+        f"_rank <= IF(y = 1, {max_toxic}, {max_clean})").select("doc_id", "y")
+    rows = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").join(F.broadcast(ids), "doc_id").selectExpr(
+        "doc_id", "y", f"{excerpt('text', 'doc_id', MAX_CHARS)} AS t").collect()
     rows = sorted((r.doc_id, r.y, r.t or "") for r in rows)
     return fit([t for _, y, t in rows if y == 1], [t for _, y, t in rows if y == 0])
 

@@ -12,7 +12,8 @@ def test_registered_queries_match_their_sql(spark, sf_small):
     from scoreplane.llm import oracle
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf_small}/documents.parquet')")
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_small}/{t}.parquet')")
     for name, sql in oracle.ORACLE.items():
         got, want = queries.REGISTRY[name](spark, sf_small).toPandas(), con.execute(sql).df()
         cols = sorted(want.columns)
