@@ -185,7 +185,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
         _needed, "t int, h bigint, lo int, hi int, cid bigint, side int"), "candidates")
 
     wanted = needed.select("cid").distinct().join(classes, "cid").selectExpr("rep.k AS k", "cid", "mult", "keys")
-    texts = pack(docs, k=row_key(doc_id, text), t=f"`{text}`").join(wanted, "k")
+    texts = pack(docs, k=row_key(doc_id, text), t=f"`{text}`").join(wanted.hint("merge"), "k")
     sets = texts.select("cid", "mult", "keys", "t").mapInPandas(
         _sets, "cid bigint, mult bigint, keys array<bigint>, members binary").dropDuplicates(["cid"])
     found = stored(_dealt(needed.join(sets, "cid")).select(*NODE, "cid", "side", "mult", "keys", "members").mapInPandas(
@@ -210,4 +210,4 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     kept = near_groups(docs, doc_id, text, **options).where("kept").select("k")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                        F.expr(row_key(doc_id, text)).alias("k"))
-    return rows.join(kept, "k", "left_semi").groupBy("k").agg(F.max("row").alias("row")).select("row.*")
+    return rows.join(kept.hint("merge"), "k", "left_semi").groupBy("k").agg(F.max("row").alias("row")).select("row.*")
