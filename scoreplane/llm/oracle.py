@@ -31,4 +31,36 @@ SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE
 FROM placed
 """
 
-ORACLE: dict[str, str] = {"op1_exact_dedup": EXACT_DEDUP, "op3_mixing": MIXING}
+#: All pairs that share a shingle, exact similarities, and the groups as the closure of the links.
+NEAR_DUPLICATES = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+spots AS (SELECT rid, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w),
+sh AS (SELECT DISTINCT rid, array_to_string(ws[i:i + 4], ' ') AS s FROM spots),
+n AS (SELECT rid, count(*) AS n FROM sh GROUP BY rid),
+met AS (SELECT a.rid AS l, b.rid AS r, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.rid <> b.rid GROUP BY ALL),
+links AS (SELECT l, r FROM met JOIN n a ON a.rid = l JOIN n b ON b.rid = r WHERE c / (a.n + b.n - c) >= 0.8),
+reach AS (SELECT rid AS a, rid AS b FROM w UNION SELECT reach.a, links.r FROM reach JOIN links ON reach.b = links.l),
+grp AS (SELECT a AS rid, max(doc_id) AS class_id, count(*) AS group_size FROM reach JOIN w ON w.rid = b GROUP BY a)
+SELECT w.doc_id, class_id, (SELECT count(*) FROM links WHERE l = w.rid) AS n_links, group_size, w.doc_id = class_id AS kept
+FROM w JOIN grp USING (rid)
+"""
+
+#: Digests straight from the turns; the formatted length from the template's marks and escapes.
+CHAT = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations UNION ALL
+  SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, t) AS k FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY k)) AS turns_sha256,
+  coalesce(sum(length(t)) FILTER (r = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY k) FILTER (r = 'assistant'), '')) AS loss_sha256,
+  sum(length('### ' || regexp_replace(r, '(\\|###|:|</turn>)', '\\\1', 'g') || ': '
+      || regexp_replace(t, '(\\|###|</turn>)', '\\\1', 'g') || ' </turn>' || chr(10)))::BIGINT AS formatted_chars,
+  regexp_full_match(string_agg(r || ',', '' ORDER BY k), '(system,)?(user,assistant,)+') AS valid
+FROM ordered GROUP BY conv_id
+"""
+
+ORACLE: dict[str, str] = {"op1_exact_dedup": EXACT_DEDUP, "op3_mixing": MIXING, "op5_near_duplicates": NEAR_DUPLICATES,
+                          "op6_chat": CHAT}
