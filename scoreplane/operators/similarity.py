@@ -11,17 +11,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scoreplane.functions.text import normalize_text
-from scoreplane.functions.vectors import cosine_similarity
+from scoreplane.functions.vectors import cosine_similarity, dot, norm
 
 
 def neighbour_pairs(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding", step: int = 1) -> DataFrame:
-    """Pairs (key, key + step) by an equi-join on the shifted key; AQE picks the strategy."""
-    a = vectors.select(F.col(key).alias("left_id"), F.col(vec).alias("left_vec"))
-    b = vectors.select(F.col(key).alias("right_id"), F.col(vec).alias("right_vec"))
+    """Pairs (key, key + step) by an equi-join on the shifted key; AQE picks the strategy.
+
+    Each vector's norm is taken once, before the join."""
+    v = vectors.select(F.col(key).alias("k"), F.col(vec).alias("v"), norm(vec).alias("n"))
+    a = v.select(F.col("k").alias("left_id"), F.col("v").alias("left_vec"), F.col("n").alias("left_norm"))
+    b = v.select(F.col("k").alias("right_id"), F.col("v").alias("right_vec"), F.col("n").alias("right_norm"))
     return a.join(b, b["right_id"] == a["left_id"] + step)
 
 
 def cosine_pairs(pairs: DataFrame, left: str = "left_vec", right: str = "right_vec") -> DataFrame:
+    """Adds the cosine of two vector columns, from ready norms where the pairs carry them."""
+    if {"left_norm", "right_norm"} <= set(pairs.columns):
+        product = F.col("left_norm") * F.col("right_norm")
+        return pairs.withColumn("cosine", F.when((F.size(left) > 0) & (F.size(right) > 0) & (product > 0), dot(left, right) / product))
     return pairs.withColumn("cosine", cosine_similarity(left, right))
 
 

@@ -506,3 +506,7 @@ v AS (SELECT conv_id, turn, role, CASE WHEN x <> '' THEN {_VEC.format('x')} END
 SELECT a.conv_id, a.turn, round(CASE WHEN list_dot_product(a.e, a.e) > 0 AND list_dot_product(b.e, b.e) > 0 THEN
   list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) END, 6) AS cosine
 FROM v a JOIN v b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user'""", base=False)
+oracle("api_seconds", _ctes(GEN) + "SELECT model, temperature, property_id, round(latency_s, 6) AS seconds FROM gen "
+       "WHERE latency_s IS NOT NULL", base=False)
+oracle("label_lists", "SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(list_transform("
+       "string_split(p_type, ' '), lambda x: lower(trim(x))), lambda x: x <> ''))), '|') AS labels FROM part", base=False)

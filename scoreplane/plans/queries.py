@@ -302,6 +302,14 @@ def latency_stats(spark, sf):
                     r6("min_s").alias("min_s"), r6("max_s").alias("max_s"))
 
 
+@query
+def api_seconds(spark, sf):
+    """Nanosecond durations as API reports give them, in seconds."""
+    rec = A.generation_records(spark, sf).filter("latency_s IS NOT NULL")
+    ns = F.round(F.col("latency_s") * 1000).cast("long") * 1_000_000
+    return rec.select(*RUN, "property_id", r6(TF.nanos_to_seconds(ns)).alias("seconds"))
+
+
 @query
 def iso_stamps(spark, sf):
     ev = read_table(spark, sf, "events").select("user_id", "ts")
@@ -356,6 +364,14 @@ def _hot(c):
     return F.array_join(F.transform(multi_hot(c, v), lambda x: x.cast("string")), "")
 
 
+@query
+def label_lists(spark, sf):
+    """Comma lists as normalised label sets."""
+    from scoreplane.functions.labelsets import label_set, split_list
+    p = read_table(spark, sf, "part").select("p_partkey", F.replace("p_type", F.lit(" "), F.lit(" , ")).alias("items"))
+    return p.select("p_partkey", F.array_join(label_set(split_list("items")), "|").alias("labels"))
+
+
 @query
 def multihot(spark, sf):
     it = _multilabel_items(spark, sf)

@@ -128,6 +128,35 @@ def test_text_rows_keep_order_and_rule_lines(spark):
     assert "{a}" in lines[0] and "{b}" in lines[3] and "{c}" in lines[6]
 
 
+def test_summary_file_ends_with_the_overall_row(spark):
+    d = tmpdir()
+    summ = spark.createDataFrame([("m", 0.0, f, v, v, v, v, None) for f, v in (("B", 0.5), ("A", 1.0), ("C", 0.0))],
+                                 "model string, temperature double, field string, accuracy double, f1_score_weighted double, "
+                                 "precision_weighted double, recall_weighted double, error string")
+    metrics = ["accuracy", "f1_score_weighted", "precision_weighted", "recall_weighted"]
+    sinks.write_summary_csv(classify.summary_with_overall(summ), d, metrics, partition_cols=["model", "temperature"],
+                            order_cols=["is_overall", "category"])
+    folder = os.path.join(d, "model=m", "temperature=0.0")
+    lines = [x for n in sorted(os.listdir(folder)) if n.endswith(".csv") for x in open(os.path.join(folder, n), encoding="utf-8")]
+    assert [x.split(",")[0] for x in lines] == ["category", "A", "B", "C", "MÉDIA GERAL (Categorias)"]
+    assert lines[-1].strip().endswith("0.5000,0.5000,0.5000,0.5000")
+
+
+def test_latest_document_does_not_depend_on_input_order(spark):
+    rows = [("m", "a", 5, {"x": 1}), ("m", "b", 5, {"x": 2}), ("m", "c", 4, {"x": 3}), ("n", "z", 1, None)]
+    schema = "model string, mode string, stamp long, extra map<string,int>"
+    got = {tuple(sorted((r["model"], r["mode"]) for r in R.latest_per_key(spark.createDataFrame(o, schema), ["model"], "stamp").collect()))
+           for o in (rows, rows[::-1], rows[2:] + rows[:2])}
+    assert len(got) == 1
+    tied = R.latest_per_key(spark.createDataFrame(rows, schema), ["model"], "stamp", ["mode"]).collect()
+    assert {r["model"]: r["mode"] for r in tied} == {"m": "b", "n": "z"}
+
+
+def test_latency_quantiles(spark):
+    rec = spark.range(1, 101).selectExpr("'m' AS model", "0D AS temperature", "double(id) AS latency_s")
+    assert R.latency_quantiles(rec).first()["q"] == [50.0, 90.0, 99.0]
+
+
 def test_list_images_of_empty_and_several_folders(spark):
     a, b, c = tmpdir(), tmpdir(), tmpdir()
     for d, n in ((a, "1.png"), (c, "2.JPG"), (c, "x.txt")):
