@@ -85,9 +85,10 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                  block_chars: int = BLOCK_CHARS, digest: str = DIGEST) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256; the largest id of equal texts stays."""
     named = stored(identities(docs, doc_id, text, block_chars, digest), "identities")
+    # written, so that the join deals both sides anew and may split a group that holds a third of all rows
     groups = named.groupBy("level", "name").agg(F.max(F.struct("id", "uid")).alias("keep"),
                                                 F.count(F.lit(1)).alias("group_size"))
-    return named.join(groups, ["level", "name"]).select(
+    return named.join(stored(groups, "groups"), ["level", "name"]).select(
         "id", F.col("keep.id").alias("keep_id"), "group_size", F.expr("uid = keep.uid").alias("kept"), "text_sha256")
 
 
@@ -101,6 +102,6 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"),
                        F.expr(f"CONCAT(IF(`{doc_id}` IS NULL, 'n', CONCAT('v', CAST(`{doc_id}` AS STRING))), ':',"
                               f" SHA2(COALESCE(`{text}`, ''), 256))").alias("k"))
-    return rows.join(kept, "k", "left_semi").groupBy("k").agg(F.max("row").alias("row")).select("row.*")
+    return rows.join(kept.hint("merge"), "k", "left_semi").groupBy("k").agg(F.max("row").alias("row")).select("row.*")
 
 
