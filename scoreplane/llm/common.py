@@ -19,7 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a scratch folder only on a local master that names none."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.conf.get("spark.master", "local").startswith("local["):
+        master = spark.conf.get("spark.master", "local")
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="scoreplane-llm-")
         spark.conf.set("spark.checkpoint.dir", path)

@@ -27,14 +27,20 @@ BLOCK_WORDS = 256
 CHUNK = 8192
 MAX_EPOCHS = 3
 WEIGHTS = (5, 2, 1)
-SIZE = r"SIZE(REGEXP_EXTRACT_ALL(COALESCE(`{}`, ''), '[^\\x20\\x09-\\x0D]+', 0))"
+
+
+def words_in(text: str) -> str:
+    """SQL for the number of words, without an array of them: a word and the gap behind it become one sign."""
+    gap, word = r"[\\x20\\x09-\\x0D]", r"[^\\x20\\x09-\\x0D]"
+    trimmed = f"REGEXP_REPLACE(COALESCE(`{text}`, ''), '^{gap}+', '')"
+    return f"LENGTH(REGEXP_REPLACE({trimmed}, '{word}++{gap}*+', 'x'))"
 
 
 def sized(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
     """uid, id, source, size and the shuffle order of every row, written once; whole texts are read here only."""
     return stored(docs.select(
         F.monotonically_increasing_id().alias("uid"), F.col(f"`{doc_id}`").cast("bigint").alias("id"),
-        F.col(f"`{source}`").cast("string").alias("source"), F.expr(SIZE.format(text)).cast("bigint").alias("size"),
+        F.col(f"`{source}`").cast("string").alias("source"), F.expr(words_in(text)).cast("bigint").alias("size"),
         F.expr(f"MD5(CONCAT('mix:', COALESCE(CAST(`{doc_id}` AS STRING), 'null')))").alias("ord")), "sized")
 
 

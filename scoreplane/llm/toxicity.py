@@ -52,14 +52,31 @@ EDGE = "%$&#*!?.,;:|()[]{}\"'-_"
 SENTENCE = re.compile(r"[.!?\n]+")
 SPACED = re.compile(r"(?<!\w)(?:\w[^\w\n]{1,2}){2,}\w(?!\w)")
 ALPHABET = 64
+PIECE, OVERLAP = 1 << 20, 200
 GAPS = [(i, j) for i in range(1, SPAN - 1) for j in range(i + 1, SPAN)]
 
 
-def words(text: str | None) -> list[str]:
-    """The words of a text as the kernel reads them, in order."""
-    text = (text or "").lower()
-    out = [w.strip(EDGE) for w in text.split()]
-    out += [re.sub(r"\W+", "", m) for m in SPACED.findall(text)]
+def pieces(text: str | None) -> Iterator[str]:
+    """The lower-cased text in overlapping pieces of bounded length, cut between words where there is a gap."""
+    text, a = (text or "").lower(), 0
+    while a < len(text):
+        b = min(len(text), a + PIECE)
+        if b < len(text):
+            gap = max(text.rfind(" ", a + PIECE // 2, b), text.rfind("\n", a + PIECE // 2, b))
+            b = gap if gap > 0 else b
+        yield text[a:b]
+        if b == len(text):
+            return
+        back = text.find(" ", max(a + 1, b - OVERLAP), b)  # spaced-out words across the cut are seen again
+        a = back if back > 0 else b
+
+
+def words(text: str | None) -> set[str]:
+    """The distinct words of a text as the kernel reads them."""
+    out: set[str] = set()
+    for piece in pieces(text):
+        out.update(w.strip(EDGE) for w in piece.split())
+        out.update(re.sub(r"\W+", "", m) for m in SPACED.findall(piece))
     return out
 
 
@@ -161,7 +178,7 @@ class Model:
 
     def worst(self, texts: list[str | None]) -> np.ndarray:
         """(highest, second highest) word score of each text, and the logarithm of its number of distinct words."""
-        bags = [set(words(t)) for t in texts]
+        bags = [words(t) for t in texts]
         new = list({w for bag in bags for w in bag if w not in self.cache})
         if len(self.cache) + len(new) > CACHE:
             self.cache = {}
