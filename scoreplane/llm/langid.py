@@ -5,6 +5,9 @@ encoded in chunks with every dictionary; the language that encodes the whole tex
 wins.  The margin to the runner-up, in bytes per chunk encoded, must not be narrow for the
 result to be accepted; the score is the winner's share under weights 2^(-saved bits per chunk).
 
+Every language keeps all its training text up to DICTIONARY_BYTES.  Shorter text is repeated to the length of the
+longest dictionary, so that all are searched with the same parameters and distances cost the same.
+
 Defined results: null texts and texts without a letter are ``und`` with score 0; ties go to the
 first language in order; a null id is not held out and not learnt from; without any training text all
 are ``und``; repeated rows get equal results; other columns are never read."""
@@ -24,6 +27,7 @@ from scoreplane.llm.common import bounded_sample, excerpt, held_out
 
 MOD, REMAINDER = 4, 2
 DICTIONARY_BYTES = 400_000  # training text held for each language
+LEAST_BYTES = 8  # zstandard takes no shorter dictionary
 EXCERPT_CHARS = 1024  # at most so much of one training document
 EXCERPTS = 400  # training documents for each language, in the order of a digest of the id
 CHUNK = 1024
@@ -44,15 +48,22 @@ class Model:
     def __setstate__(self, state):
         self.__init__(state)
 
+    def filled(self, lang: str) -> bytes:
+        """The language's dictionary, repeated to the length of the longest one."""
+        size = max(LEAST_BYTES, *(len(v) for v in self.dictionaries.values()))
+        own = self.dictionaries[lang]
+        return own if len(own) == size else ((own + b"\n") * (size // (len(own) + 1) + 1))[-size:]
+
     def sizes(self, data: bytes) -> np.ndarray:
         """Bytes of the whole text under each language's dictionary."""
         if self._ready is None:
             self._ready = []
             for lang in self.langs:
+                filled = self.filled(lang)
                 params = zstandard.ZstdCompressionParameters.from_level(
-                    LEVEL, source_size=CHUNK, dict_size=len(self.dictionaries[lang]),
+                    LEVEL, source_size=CHUNK, dict_size=len(filled),
                     write_content_size=False, write_checksum=False, write_dict_id=False)
-                content = zstandard.ZstdCompressionDict(self.dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                content = zstandard.ZstdCompressionDict(filled, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 content.precompute_compress(compression_params=params)
                 self._ready.append(zstandard.ZstdCompressor(dict_data=content, compression_params=params))
         out = np.zeros(len(self.langs), np.int64)
@@ -89,8 +100,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     for r in found:
         texts.setdefault(r.lang, []).append((r.n, r.t))
     joined = {k: "\n".join(t for _, t in sorted(v)).lower().encode("utf-8", "surrogatepass") for k, v in texts.items()}
-    least = min([DICTIONARY_BYTES, *(len(v) for v in joined.values())])
-    return Model({k: v[:max(8, least)] for k, v in joined.items() if len(v) >= 8})
+    return Model({k: v[:DICTIONARY_BYTES] for k, v in joined.items()})
 
 
 def predictions(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -46,6 +46,19 @@ def test_narrow_margins_are_rejected():
     assert model.predict("the same words here") == ("a", 0.5, False)
 
 
+def test_tiny_language_beside_large_ones(spark, make, sf_mid):
+    docs = table(spark, sf_mid, "documents").select("doc_id", "text", "lang")
+    lang = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+    tiny = next(i for i in range(10 ** 9, 10 ** 9 + 99) if not out(i, 4, 2))
+    model = langid.train(docs.unionByName(make([(tiny, "xyzzy p", "zz")], extra=False).select("doc_id", "text", "lang")))
+    assert model.langs == ["de", "en", "es", "fr", "zz"] and len(model.dictionaries["en"]) > 100_000
+    assert len({len(model.filled(k)) for k in model.langs}) == 1
+    held = langid.predictions(docs, model).where("held_out").collect()
+    right = sum(r.lang_pred == lang[r.doc_id] for r in held) / len(held)
+    assert right > 0.95, right
+    assert model.predict("xyzzy p and xyzzy p and more xyzzy p")[0] == "zz"
+
+
 # chat
 
 def turns_of(spark, rows):
