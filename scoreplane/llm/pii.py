@@ -1,7 +1,8 @@
 """Personal data: base patterns, extended by bootstrapped contextual extraction (DataFrame functions only).
 
 Base spans are the leftmost matches of four patterns that pass their checks.  They are the seeds
-of the bootstrap: the two words before a span are a lexical pattern.  Every word with a digit that is
+of the bootstrap: the two words before a span, whatever they are, form a lexical pattern, in which every number is
+``#``.  Every word with a digit that is
 no part of a base span is a candidate instance.  In the graph of patterns and instances, a
 pattern's confidence for a kind is the weight of the kind's known instances among all
 its instances (smoothed); an instance's weight is the noisy-or of its accepted patterns.
@@ -53,13 +54,19 @@ def _quoted(pattern: str) -> str:
 
 
 def _hits(kind: int) -> str:
-    """SQL for the matches of one pattern in ``t``: kind, number, length of the piece before, match, end of that piece."""
+    """SQL for the matches of one pattern in ``t``: kind, number, length of the piece before, match, end of the text before."""
     p = _quoted(PATTERNS[kind])
     none = "CAST(ARRAY() AS ARRAY<STRUCT<kind: INT, n: INT, gap: INT, v: STRING, l: STRING>>)"
-    one = (f"TRANSFORM(z.m, (x, i) -> NAMED_STRUCT('kind', {kind}, 'n', i, 'gap', LENGTH(z.g[i]), 'v', x,"
-           f" 'l', RIGHT(z.g[i], {CONTEXT_CHARS})))")
+    # the text before a match runs back over earlier pieces and matches; a match and its gap have two characters at least
+    pieces = CONTEXT_CHARS // 2
+    back = f"ARRAY_JOIN(SLICE(z.c, GREATEST(1, i + 1 - {pieces}), LEAST(i, {pieces})), '')"
+    one = (f"TRANSFORM(z.m, (x, i) -> NAMED_STRUCT('kind', {kind}, 'n', i, 'gap', LENGTH(z.g[i]), 'v', x, 'l',"
+           f" IF(i = 0 OR LENGTH(z.g[i]) >= {CONTEXT_CHARS}, RIGHT(z.g[i], {CONTEXT_CHARS}),"
+           f" RIGHT(CONCAT({back}, z.g[i]), {CONTEXT_CHARS}))))")
+    cut = f"TRANSFORM(y.m, (x, i) -> RIGHT(CONCAT(RIGHT(y.g[i], {CONTEXT_CHARS}), RIGHT(x, {CONTEXT_CHARS})), {CONTEXT_CHARS}))"
     return (f"IF({MAY_HOLD[kind]}, TRANSFORM(ARRAY(REGEXP_EXTRACT_ALL(t, {p}, 0)), m -> IF(SIZE(m) = 0, {none},"
-            f" TRANSFORM(ARRAY(NAMED_STRUCT('m', m, 'g', SPLIT(t, {p}, -1))), z -> {one})[0]))[0], {none})")
+            f" TRANSFORM(TRANSFORM(ARRAY(NAMED_STRUCT('m', m, 'g', SPLIT(t, {p}, -1))), y ->"
+            f" NAMED_STRUCT('m', y.m, 'g', y.g, 'c', {cut})), z -> {one})[0]))[0], {none})")
 
 
 def base_rows(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -75,7 +82,9 @@ def base_rows(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataF
     found = found.withColumn("e", F.sum(F.expr("gap + LENGTH(v)")).over(upto)).withColumn("s", F.expr("e - LENGTH(v)"))
     found = found.withColumn("d", F.expr("REGEXP_REPLACE(v, '[^0-9]', '')"))
     passes = "CASE kind " + " ".join(f"WHEN {k} THEN {sql}" for k, sql in PASSES.items()) + " ELSE TRUE END"
-    context = r"FILTER(SPLIT(LOWER(l), '\\s+'), w -> w <> '')"
+    # without the signs that touch the match, numbers as one sign: the same for base spans and candidates
+    context = (r"FILTER(SPLIT(REGEXP_REPLACE(REGEXP_REPLACE(LOWER(l), '[^\\p{L}\\p{M}\\p{N}\\s]++\\z', ''), '[0-9]+', '#'),"
+               r" '\\s+'), w -> w <> '')")
     found = found.where(passes).selectExpr("uid", "kind", "INT(s) AS s", "INT(e) AS e", "v", f"{context} AS l")
     # candidates: without the signs around them, and clear of every base span of the document
     lead = r"LENGTH(REGEXP_EXTRACT(v, '^([^\\p{L}\\p{N}]*)', 1))"

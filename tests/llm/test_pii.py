@@ -47,6 +47,16 @@ def test_bootstrap_finds_unseen_identifiers(make):
     assert all(got[i].n_added == 0 for i in (*range(12), 21, 22, 24))
 
 
+def test_context_runs_back_over_other_matches(make):
+    rows = [(n, f"you may call 24h phone +1 (202) 555-01{n:02d} or phone: +1 (202) 555-02{n:02d}, fax: +1 (202) 555-03{n:02d}")
+            for n in range(12)]
+    rows += [(20, "you may call 24h phone 555-0199"), (21, "12 or phone: 555-0100, fax: 555-0199"), (22, "call 24h line 555-0199")]
+    got = {r.doc_id: r for r in pii.find(make(rows)).collect()}
+    assert got[20].spans == "phone:23:31"
+    assert got[21].spans == "phone:13:21,phone:28:36"
+    assert all(got[i].n_added == 0 for i in (*range(12), 22))
+
+
 def test_odd_rows(make, odd):
     got = pii.find(make(odd)).collect()
     assert len(got) == len(odd)
