@@ -2,10 +2,11 @@
 
 Base spans are the leftmost matches of four patterns that pass their checks.  They are the seeds
 of the bootstrap: the two words before a span, whatever they are, form a lexical pattern, in which every number is
-``#``.  Every word with a digit that is
-no part of a base span is a candidate instance.  In the graph of patterns and instances, a
+``#``.  Candidate instances lie clear of all base spans: for e-mail, every word that holds a digit or a sign inside;
+for the other kinds, every maximal run of digit groups with blanks, dots, brackets and hyphens between,
+and every word with a digit that no run touches.  In the graph of patterns and instances, a
 pattern's confidence for a kind is the weight of the kind's known instances among all
-its instances (smoothed); an instance's weight is the noisy-or of its accepted patterns.
+its instances that the kind can have (smoothed); an instance's weight is the noisy-or of its accepted patterns.
 After a fixed number of rounds, candidates behind accepted patterns are spans of that kind.
 
 The patterns are written with possessive quantifiers and run starts, so a long run of digits or letters costs
@@ -17,7 +18,7 @@ without spans gets empty lists; a null id stays null; other columns are never re
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreplane.llm.common import stored
@@ -28,16 +29,24 @@ MIN_CONFIDENCE = 0.7
 ROUNDS = 3
 CONTEXT_CHARS = 64
 
-#: Base patterns, in the order of KINDS, then the candidates.
+RUN, WORD = 4, 5  # kinds of candidates
+LONG_VALUE = 64  # longer instances go by their digest
+
+SIGN = r"[^\p{L}\p{M}\p{N}\p{Z}\s]"
+#: Digits that no letter or further digit of the same word follows.
+GROUP = r"[0-9][0-9().\[\]-]*+(?!" + SIGN + r"*+[\p{L}\p{M}\p{N}])"
+#: Base patterns, in the order of KINDS, then the candidates: runs of digit groups, words with a digit or a sign inside.
 PATTERNS = (
     r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     r"[0-9](?:[ -]?+[0-9])++",
     r"\+[0-9][ ().0-9-]+[0-9]",
-    r"(?<!\S)[^\s0-9]*+[0-9]\S*+",
+    r"(?:(?<!\S)|(?<=[\p{L}\p{M}][:=]))" + SIGN + "*+" + GROUP + r"(?:[ \t][ \t().\[\]-]*+" + GROUP + ")*+",
+    r"(?<!\S)(?:[^\s0-9]*+[0-9]\S*+|" + SIGN + r"*+[\p{L}\p{M}\p{N}]++" + SIGN + r"++[\p{L}\p{N}]\S*+)",
 )
 #: A cheap test that a text can hold a match at all.
-MAY_HOLD = ("INSTR(t, '@') > 0", r"t RLIKE '[0-9]\\.[0-9]'", "t RLIKE '[0-9]'", "INSTR(t, '+') > 0", "t RLIKE '[0-9]'")
+MAY_HOLD = ("INSTR(t, '@') > 0", r"t RLIKE '[0-9]\\.[0-9]'", "t RLIKE '[0-9]'", "INSTR(t, '+') > 0", "t RLIKE '[0-9]'",
+            "t <> ''")
 LUHN = ("AGGREGATE(SEQUENCE(1, LENGTH(d)), 0L, (a, i) -> a + IF(i % 2 = 1, INT(SUBSTRING(d, -i, 1)),"
         " (2 * INT(SUBSTRING(d, -i, 1))) DIV 10 + (2 * INT(SUBSTRING(d, -i, 1))) % 10)) % 10 = 0")
 PASSES = {
@@ -69,11 +78,20 @@ def _hits(kind: int) -> str:
             f" NAMED_STRUCT('m', y.m, 'g', y.g, 'c', {cut})), z -> {one})[0]))[0], {none})")
 
 
+def _clear(others: str, exempt: str) -> Column:
+    """Whether a row is exempt or touches none of the others of its document, which are clear of each other."""
+    before = Window.partitionBy("uid").orderBy("s", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("uid").orderBy(F.desc("s"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
+    reach, following = F.max(F.expr(f"IF({others}, e, NULL)")).over(before), F.min(F.expr(f"IF({others}, s, NULL)")).over(after)
+    return F.expr(exempt) | (F.coalesce(reach <= F.col("s"), F.lit(True)) & F.coalesce(following >= F.col("e"), F.lit(True)))
+
+
 def base_rows(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans): rows has uid and id of every input row; spans uid, kind, s, e, v and the words before.
+    """(rows, spans): rows has uid and id of every input row; spans uid, kind, s, e, v, the words before, mail and other.
 
-    Kinds 0 to 3 are base spans that pass their checks; kind 4 are candidates outside all of these."""
-    hits = "CONCAT(" + ", ".join(_hits(k) for k in range(5)) + ")"
+    Kinds 0 to 3 are base spans that pass their checks; RUN and WORD are candidates outside all of these.  ``mail``
+    and ``other`` tell whether the row is an instance for e-mail and for the other kinds."""
+    hits = "CONCAT(" + ", ".join(_hits(k) for k in range(6)) + ")"
     raw = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{doc_id}`").cast("bigint").alias("id"),
                       F.expr(f"COALESCE(`{text}`, '')").alias("t"))
     raw = stored(raw.select("uid", "id", F.expr(hits).alias("hits")), "pii-hits")
@@ -89,32 +107,33 @@ def base_rows(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataF
     # candidates: without the signs around them, and clear of every base span of the document
     lead = r"LENGTH(REGEXP_EXTRACT(v, '^([^\\p{L}\\p{N}]*)', 1))"
     tail = r"LENGTH(REGEXP_EXTRACT(REVERSE(v), '^([^\\p{L}\\p{N}]*+)', 1))"
-    found = found.selectExpr("uid", "kind", f"IF(kind = 4, s + {lead}, s) AS s", f"IF(kind = 4, e - {tail}, e) AS e",
-                             f"IF(kind = 4, LOWER(SUBSTRING(v, 1 + {lead}, LENGTH(v) - {lead} - {tail})), LOWER(v)) AS v",
+    found = found.selectExpr("uid", "kind", f"IF(kind >= {RUN}, s + {lead}, s) AS s", f"IF(kind >= {RUN}, e - {tail}, e) AS e",
+                             f"IF(kind >= {RUN}, LOWER(SUBSTRING(v, 1 + {lead}, LENGTH(v) - {lead} - {tail})), LOWER(v)) AS v",
                              "IF(SIZE(l) < 2, NULL, CONCAT_WS(' ', SLICE(l, -2, 2))) AS l")
-    before = Window.partitionBy("uid").orderBy("s", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy("uid").orderBy(F.desc("s"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
-    found = found.withColumn("reach", F.max(F.expr("IF(kind < 4, e, NULL)")).over(before)).withColumn(
-        "next", F.min(F.expr("IF(kind < 4, s, NULL)")).over(after))
-    found = found.where("kind < 4 OR (COALESCE(reach <= s, TRUE) AND COALESCE(next >= e, TRUE))")
-    return raw.select("uid", "id"), stored(found.select("uid", "kind", "s", "e", "v", "l"), "pii-spans")
+    found = found.withColumn("clear", _clear(f"kind < {RUN}", f"kind < {RUN}")).where("clear")
+    found = found.withColumn("clear", _clear(f"kind = {RUN}", f"kind < {WORD}")).withColumn(
+        "other", F.expr(f"clear AND (kind < {WORD} OR v RLIKE '[0-9]')"))
+    return raw.select("uid", "id"), stored(found.selectExpr(
+        "uid", "kind", "s", "e", f"IF(LENGTH(v) > {LONG_VALUE}, MD5(v), v) AS v", "l", f"kind <> {RUN} AS mail", "other"), "pii-spans")
 
 
 def bootstrap(spans: DataFrame, rounds: int = ROUNDS, min_seeds: float = MIN_SEEDS,
               min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """(l, kind, confidence): the accepted patterns, at most one kind each."""
-    edges = stored(spans.where("l IS NOT NULL").select("l", "v").distinct(), "pii-edges")
-    sizes = stored(edges.groupBy("l").agg(F.count(F.lit(1)).alias("n")), "pii-patterns")
-    seeds = stored(spans.where("kind < 4").select("v", "kind").distinct().withColumn("w", F.lit(1.0)), "pii-seeds")
+    edges = spans.where("l IS NOT NULL").groupBy("l", "v").agg(F.max("mail").alias("mail"), F.max("other").alias("other"))
+    edges = stored(edges, "pii-edges")
+    sizes = stored(edges.groupBy("l").agg(F.count_if("mail").alias("n_mail"), F.count_if("other").alias("n_other")), "pii-patterns")
+    can = "IF(kind = 0, mail, other)"
+    seeds = stored(spans.where(f"kind < {RUN}").select("v", "kind").distinct().withColumn("w", F.lit(1.0)), "pii-seeds")
     known, accepted = seeds, None
     for number in range(rounds):
-        weight = edges.join(known, "v").groupBy("l", "kind").agg(F.sum("w").alias("w"))
-        scored = weight.join(sizes, "l").withColumn("confidence", F.expr("w / (n + 0.5)")).where(
+        weight = edges.join(known, "v").where(can).groupBy("l", "kind").agg(F.sum("w").alias("w"))
+        scored = weight.join(sizes, "l").withColumn("confidence", F.expr("w / (IF(kind = 0, n_mail, n_other) + 0.5)")).where(
             (F.col("w") >= min_seeds) & (F.col("confidence") >= min_confidence))
         accepted = stored(scored.groupBy("l").agg(F.max(F.struct("confidence", F.expr("-kind AS k"))).alias("best")).selectExpr(
             "l", "-best.k AS kind", "best.confidence AS confidence"), "pii-accepted")
         if number + 1 < rounds:
-            told = edges.join(accepted, "l").groupBy("v", "kind").agg(
+            told = edges.join(accepted, "l").where(can).groupBy("v", "kind").agg(
                 F.expr("1 - EXP(SUM(LN(GREATEST(1 - confidence, 1e-9))))").alias("w"))
             best = told.groupBy("v").agg(F.max(F.struct("w", F.expr("-kind AS k"))).alias("b")).selectExpr(
                 "v", "-b.k AS kind", "b.w AS w")
@@ -126,8 +145,9 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all spans), n_added."""
     rows, spans = base_rows(docs, doc_id, text)
     patterns = bootstrap(spans).selectExpr("l", "kind AS told")
-    base = spans.where("kind < 4").selectExpr("uid", "kind", "s", "e", "TRUE AS base")
-    added = spans.where("kind = 4 AND e > s").join(patterns, "l").selectExpr("uid", "told AS kind", "s", "e", "FALSE AS base")
+    base = spans.where(f"kind < {RUN}").selectExpr("uid", "kind", "s", "e", "TRUE AS base")
+    added = spans.where(f"kind >= {RUN} AND e > s").join(patterns, "l").where("IF(told = 0, mail, other)").selectExpr(
+        "uid", "told AS kind", "s", "e", "FALSE AS base")
     lists = base.unionByName(added).groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("kind", "s", "e", "base"))).alias("all"))
     names = "ELEMENT_AT(ARRAY('" + "', '".join(KINDS) + "'), x.kind + 1)"
     joined = f"CONCAT_WS(',', TRANSFORM({{}}, x -> CONCAT({names}, ':', x.s, ':', x.e)))"

@@ -47,6 +47,25 @@ def test_bootstrap_finds_unseen_identifiers(make):
     assert all(got[i].n_added == 0 for i in (*range(12), 21, 22, 24))
 
 
+def test_bootstrap_finds_whole_identifiers_of_any_characters(make):
+    cards = []
+    while len(cards) < 12:
+        card = f"4111 1111 {1000 + 37 * len(cards)} 111"
+        digits = card.replace(" ", "")
+        cards.append(card + next(x for x in "0123456789" if brute.luhn(digits + x)))
+    rows = [(n, f"please send an email to user{n}@corp{n}.com or my card no {c} or my phone is +1 (202) 555-01{n:02d}")
+            for n, c in enumerate(cards)]
+    texts = {20: ("send an email to jane(at)corp.com today", "email", "jane(at)corp.com"),
+             21: ("send an email to <jane@localhost>, it's well-known", "email", "jane@localhost"),
+             22: ("my phone is 0171 234 5678, thanks", "phone", "0171 234 5678"),
+             23: ("my phone is (0171) 234-5678 24h a day", "phone", "0171) 234-5678"),
+             24: ("my card no 4111 1111 1111 1112 is lost", "card", "4111 1111 1111 1112")}
+    got = {r.doc_id: r for r in pii.find(make(rows + [(i, t) for i, (t, _, _) in texts.items()])).collect()}
+    for i, (t, kind, v) in texts.items():
+        assert got[i].spans == f"{kind}:{t.index(v)}:{t.index(v) + len(v)}", (t, got[i].spans)
+    assert all(got[i].n_added == 0 for i in range(12))
+
+
 def test_context_runs_back_over_other_matches(make):
     rows = [(n, f"you may call 24h phone +1 (202) 555-01{n:02d} or phone: +1 (202) 555-02{n:02d}, fax: +1 (202) 555-03{n:02d}")
             for n in range(12)]
