@@ -7,8 +7,9 @@ is as confident.  A rule is indexed under its rarest token; a URL meets only the
 of its own tokens and fires those of which it has all tokens.  A fixed rule, where one fits, decides
 before the mined ones; without any the URL is allowed.
 
-Tokens that occur in exactly the same labelled URLs are mined as one, so long runs of tokens that always
-come together do not multiply the combinations.  The rules are few by construction: their number is
+Tokens that occur in exactly the same labelled URLs are mined as one class, so long runs of tokens that always
+come together do not multiply the combinations.  A rule needs any one token of each of its classes, as if a rule
+had been mined for every member, and is indexed under all members of its rarest class.  The rules are few by construction: their number is
 bounded by the support; no broadcast is forced.
 
 Defined results: null or non-URL strings have empty host and path and no tokens, so they are allowed unless
@@ -61,12 +62,15 @@ def fixed_rule(rules: Sequence[Rule]) -> str:
 
 
 def mined_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """(rule_id, tokens, confidence, rarest) from labelled rows (tokens, blocked)."""
+    """(rule_id, tokens, confidence, rarest, classes) from labelled rows (tokens, blocked).
+
+    ``tokens`` are the first ones of their classes; ``classes`` hold all tokens of each, in the order of ``tokens``."""
     spark = labelled.sparkSession
     rows = stored(labelled.where("blocked IS NOT NULL").select(F.monotonically_increasing_id().alias("u"), "tokens", "blocked"),
                   "labelled-urls")
     n = rows.count()
-    empty = spark.createDataFrame([], "rule_id bigint, tokens array<string>, confidence double, rarest string")
+    empty = spark.createDataFrame([], "rule_id bigint, tokens array<string>, confidence double, rarest string,"
+                                  " classes array<array<string>>")
     if not n:
         return empty
     least = max(MIN_ROWS, min_support * n)
@@ -74,7 +78,8 @@ def mined_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confi
         F.count(F.lit(1)).alias("n"), F.expr("BIT_XOR(XXHASH64(u))").alias("x"), F.expr("BIT_XOR(HASH(u))").alias("y"))
     seen = seen.where(F.col("n") >= least)
     same = Window.partitionBy("n", "x", "y")  # tokens of exactly the same URLs
-    kept = stored(seen.withColumn("first", F.min("token").over(same)).where("token = first").select("token", "n"), "url-tokens")
+    classed = stored(seen.select("token", "n", F.min("token").over(same).alias("first")), "url-classes")
+    kept = stored(classed.where("token = first").select("token", "n"), "url-tokens")
     baskets = rows.selectExpr("u", "blocked", "EXPLODE(tokens) AS token").join(kept.select("token"), "token", "left_semi").groupBy(
         "u").agg(F.collect_set("token").alias("items"), F.max("blocked").alias("blocked"))
     baskets = stored(baskets.selectExpr(f"IF(blocked, CONCAT(items, ARRAY('{BLOCK}')), items) AS items"), "baskets")
@@ -100,7 +105,19 @@ def mined_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confi
     covered = whole.selectExpr("*", "EXPLODE(big_tokens) AS token").join(rules.withColumnRenamed("rarest", "token"), "token").where(
         "big <> rule_id AND SIZE(tokens) < SIZE(big_tokens) AND SIZE(ARRAY_EXCEPT(tokens, big_tokens)) = 0"
         " AND confidence >= big_confidence").select(F.col("big").alias("rule_id")).distinct()
-    return stored(rules.join(covered, "rule_id", "left_anti").select("rule_id", "tokens", "confidence", "rarest"), "url-pruned")
+    rules = stored(rules.join(covered, "rule_id", "left_anti").select("rule_id", "tokens", "confidence", "rarest"), "url-pruned")
+    members = classed.groupBy("first").agg(F.array_sort(F.collect_list("token")).alias("members"))
+    classes = rules.selectExpr("rule_id", "EXPLODE(tokens) AS first").join(members, "first").groupBy("rule_id").agg(
+        F.array_sort(F.collect_list(F.struct("first", "members"))).alias("c")).selectExpr("rule_id", "c.members AS classes")
+    return stored(rules.join(classes, "rule_id"), "url-rule-classes")
+
+
+def fire_classes(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """(key, confidence, mined) for every rule of which a URL has a token of each class; mined are the URL's own tokens."""
+    entries = rules.selectExpr("classes", "confidence", "EXPLODE(classes[ARRAY_POSITION(tokens, rarest) - 1]) AS token")
+    met = urls.selectExpr("key", "tokens", "EXPLODE(tokens) AS token").join(entries, "token")
+    return met.where("FORALL(classes, c -> ARRAYS_OVERLAP(c, tokens))").selectExpr(
+        "key", "confidence", "TRANSFORM(classes, c -> ARRAY_MIN(ARRAY_INTERSECT(c, tokens))) AS mined")
 
 
 def fire(urls: DataFrame, index: DataFrame) -> DataFrame:
@@ -121,9 +138,9 @@ def verdicts(pages: DataFrame, labels: DataFrame, rules: Sequence[Rule], key: st
     labelled = rows.join(known, "key", "left").selectExpr(
         "tokens", "COALESCE(fixed.verdict = 'block', told) AS blocked")
     index = mined_rules(labelled, min_support, min_confidence)
-    hits = fire(rows.where("fixed IS NULL").selectExpr("u AS key", "tokens"), index.select("rule_id", "tokens", "confidence", "rarest"))
+    hits = fire_classes(rows.where("fixed IS NULL").selectExpr("u AS key", "tokens"), index)
     best = hits.groupBy(F.col("key").alias("u")).agg(F.max(F.struct(
-        "confidence", F.expr("SIZE(rule_tokens) AS n"), F.expr("ARRAY_JOIN(rule_tokens, ' ') AS mined"))).alias("best"))
+        "confidence", F.expr("SIZE(mined) AS n"), F.expr("ARRAY_JOIN(mined, ' ') AS mined"))).alias("best"))
     return rows.join(best, "u", "left").selectExpr(
         "key", "host", "path", "fixed.rule AS rule",
         "COALESCE(fixed.verdict, IF(best IS NULL, 'allow', 'block')) AS verdict", "best.mined AS mined",

@@ -328,6 +328,18 @@ def test_mined_verdicts_match_all_combinations(spark, monkeypatch):
         assert not fired or abs(got[n].confidence - max(fired)) < 1e-9
 
 
+def test_rules_fire_on_every_token_of_a_class(spark):
+    rows = [(n, f"http://blog.spam.org/offer/win/{n}") for n in range(30)] + [(100 + n, f"http://a.org/page/{n}") for n in range(30)]
+    unseen = {200: ("http://m.spam.org/x", "block", "h:spam.org"), 201: ("http://spam.org/", "block", "h:spam.org"),
+              202: ("http://b.net/win", "block", "p:win"), 203: ("http://b.net/x", "allow", None),
+              204: ("http://blog.spam.org/offer", "block", "h:blog.spam.org")}
+    pages = spark.createDataFrame(rows + [(k, v[0]) for k, v in unseen.items()], "page_id bigint, url string")
+    labels = spark.createDataFrame([(k, k < 100) for k, _ in rows], "key bigint, blocked boolean")
+    got = {r.key: r for r in urls.verdicts(pages, labels, ()).collect()}
+    assert {k: (got[k].verdict, got[k].mined) for k in unseen} == {k: v[1:] for k, v in unseen.items()}
+    assert all(got[k].verdict == ("block" if k < 100 else "allow") for k, _ in rows)
+
+
 def test_url_labels_null_and_repeated(spark):
     pages = spark.createDataFrame([(1, "http://a.org/x"), (1, "http://a.org/x"), (None, None)], "page_id bigint, url string")
     labels = spark.createDataFrame([(1, True), (1, None), (None, True)], "key bigint, blocked boolean")
