@@ -1,11 +1,11 @@
-"""N-gram Jaccard self-join with a MinHash LSH forest and exact verification.
-
-Texts with the same shingle set form one class.  Each class has ``TREES`` signatures, sorted
-prefix tries in which two classes meet if they share a prefix; a pair of similarity s meets in some tree at
-prefix length d with probability 1 - (1 - s^d)^TREES.  From the full length the
-matched prefix is shortened until that reaches the target recall at the threshold;
-the candidates of longer prefixes are among those of the shorter ones, so one pass at the
-last length finds them all.
+"""N-gram Jaccard self-join with MinHash LSH (a forest of one fixed prefix length) and exact verification.
+
+Texts with the same shingle set form one class.  Each class has ``TREES`` signatures; a pair of similarity s shares
+a prefix of length d in some tree with probability 1 - (1 - s^d)^TREES.  An LSH forest sorts whole signatures
+as tries and shortens the matched prefix from ``FULL_DEPTH`` until that reaches the target recall at the threshold.
+Here threshold and recall are known beforehand, so the length is computed once (3 for 0.8 and 0.9999) and the
+candidates of longer prefixes are among those of that length: only its values are made and named, no trie is
+sorted, and the forest collapses to ``TREES`` bands of that many values.
 
 Candidates are verified on whole shingle sets, in blocks: a trie node of any size is dealt
 into chunks of bounded size and every pair of chunks is a small task of its own, so a node that holds a third of
