@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from scoreplane.llm import (
-    chat, decontaminate, exact_dedup, langid, mixing, near_dup, pii, quality, toxicity, urls,
+    bpe, chat, decontaminate, exact_dedup, langid, mixing, near_dup, pii, quality, toxicity, urls,
 )
 from scoreplane.llm.common import Runner, table
 
@@ -70,6 +70,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bpe.round_trips(table(spark, sf_dir, "documents"), bpe.Codec(ranks, public_tokenizers.PATTERN))
+
+
 REGISTRY: dict[str, Runner] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_url_filters": op2_url_filters,
@@ -81,4 +88,5 @@ REGISTRY: dict[str, Runner] = {
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
+    "op13_byte_bpe": op13_byte_bpe,
 }
