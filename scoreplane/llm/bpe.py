@@ -34,11 +34,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAF = 16  # bytes merged directly
+LEAF = 8  # bytes merged directly
 RUN = 1 << 16  # matches of a long text in memory at once
 LONG_TEXT = 1 << 20  # characters from which a text goes through in runs
-KNOWN_MATCHES, KNOWN_CHARS = 200_000, 64  # encoded matches that a task remembers, and their longest
-KNOWN_EDGES = 1_000_000
+KNOWN_MATCHES, KNOWN_CHARS = 500_000, 64  # encoded matches that a task remembers, and their longest
+KNOWN_EDGES = KNOWN_LEAVES = 500_000
 MAX_VOCABULARY = 256 << 20
 
 # --- fixed values: letters and numbers newer than Unicode 16, which the public encoder's split does not know as such
@@ -92,7 +92,7 @@ class Codec:
         self.ranks, self.pattern = ranks, pattern
         self.split = regex.compile(pattern)
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.known, self.edges = _Known(self), {}
+        self.known, self.edges, self.leaves = _Known(self), {}, {}
 
     def __reduce__(self):
         return Codec, (self.ranks, self.pattern)
@@ -148,14 +148,22 @@ class Codec:
     def encode_bytes(self, data: bytes) -> list[int]:
         """The tokens of one match, by the tree.  The left half ends at a power of two, so equal halves recur."""
         if len(data) <= LEAF:
-            return self.merged(data)
+            if (known := self.leaves.get(data)) is None:
+                if len(self.leaves) >= KNOWN_LEAVES:
+                    self.leaves.clear()
+                known = self.leaves[data] = self.merged(data)
+            return known
         half = 1 << (len(data) - 1).bit_length() - 1
         return self.joined(self.encode_bytes(data[:half]), self.encode_bytes(data[half:]))
 
     def matches(self, text: str) -> Iterator[list[str]]:
         """The matches of the split pattern, in runs."""
-        seen = text if _NEWER.search(text) is None else _NEWER.sub(_NEITHER, text)
-        if seen is text and len(text) < LONG_TEXT:
+        seen = text
+        try:
+            text.encode("latin-1")  # the common case, told fast
+        except UnicodeEncodeError:
+            seen = _NEWER.sub(_NEITHER, text)
+        if seen == text and len(text) < LONG_TEXT:
             yield self.split.findall(text)
             return
         found = self.split.finditer(seen)
