@@ -62,5 +62,30 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(
 FROM ordered GROUP BY conv_id
 """
 
+#: Every document's score for every item, straight from the terms.
+RANKED = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+s AS (SELECT (count(*) FILTER (len(ts) > 0))::BIGINT AS nd, sum(len(ts))::BIGINT AS nt FROM d),
+q AS (
+  SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM benchmark),
+qt AS (SELECT q, item_id, term, count(*)::BIGINT AS r FROM (SELECT q, item_id, unnest(ts) AS term FROM q) GROUP BY ALL),
+p AS (
+  SELECT rid, doc_id, n, term, count(*)::BIGINT AS tf
+  FROM (SELECT rid, doc_id, len(ts)::BIGINT AS n, unnest(ts) AS term FROM d) GROUP BY ALL),
+w AS (
+  SELECT term, floor(1000 * ln((2 * nd::DOUBLE + 2) / (2 * count(*)::DOUBLE + 1)))::BIGINT AS w
+  FROM p, s WHERE term IN (SELECT term FROM qt) GROUP BY term, nd),
+scored AS (
+  SELECT q, item_id, rid, doc_id,
+         sum(r * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nd) // nt))))::BIGINT AS score
+  FROM p JOIN w USING (term) JOIN qt USING (term), s GROUP BY ALL),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 20
+"""
+
 ORACLE: dict[str, str] = {"op1_exact_dedup": EXACT_DEDUP, "op3_mixing": MIXING, "op5_near_duplicates": NEAR_DUPLICATES,
-                          "op6_chat": CHAT}
+                          "op6_chat": CHAT, "op12_ranked_search": RANKED}
