@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from scoreplane.llm import (
-    bpe, chat, decontaminate, exact_dedup, langid, mixing, near_dup, pii, quality, ranked, toxicity, urls,
+    bpe, chat, decontaminate, exact_dedup, langid, mixing, near_dup, pii, quality, ranked, spelling, toxicity, urls,
 )
 from scoreplane.llm.common import Runner, table
 
@@ -70,6 +70,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.groups(table(spark, sf_dir, "documents"))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -92,6 +96,7 @@ REGISTRY: dict[str, Runner] = {
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
+    "op11_spelling": op11_spelling,
     "op12_ranked_search": op12_ranked_search,
     "op13_byte_bpe": op13_byte_bpe,
 }
