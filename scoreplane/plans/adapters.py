@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreplane.operators.pairs import FieldSpec
-from scoreplane.sources.tables import materialize, plan_fingerprint
+from scoreplane.sources.tables import code_fingerprint, materialize, plan_fingerprint
 
 # ---------------------------------------------------------------- configuration
 FIELDS = [
@@ -189,7 +189,7 @@ GENERATION_SQL = sql_stages(_GRID_SQL, GENERATION_STAGES, GENERATION_COLUMNS)
 
 def cached_generation(name: str, requests: DataFrame, generate, run) -> DataFrame:
     """Run ``run(requests, generate)`` once and keep its output as a table (calls are never
-    repeated by a later recomputation); other requests, input files or code make another table."""
-    code = getattr(generate, "__code__", None)
-    told = repr((code.co_code, code.co_consts)) if code else repr(generate)
-    return materialize(run(requests, generate), f"generated-{name}", key=f"{plan_fingerprint(requests)}\n{told}")
+    repeated by a later recomputation); other requests, input files or code, called helpers and closed-over values included,
+    make another table."""
+    told = [plan_fingerprint(requests), code_fingerprint(generate), code_fingerprint(run)]
+    return materialize(run(requests, generate), f"generated-{name}", key=None if None in told else "\n".join(told))

@@ -38,6 +38,10 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "sco
     return spark
 
 
+#: Scratch folder of each application that names no shared one (local masters only); Spark refuses to set the key at run time.
+_SCRATCH: dict[str, str] = {}
+
+
 def _context_dir(spark: SparkSession):
     try:
         return spark.sparkContext.getCheckpointDir()
@@ -45,17 +49,26 @@ def _context_dir(spark: SparkSession):
         return None
 
 
+def _scratch(spark: SparkSession) -> str | None:
+    try:
+        return _SCRATCH.get(spark.sparkContext.applicationId)
+    except Exception:  # as above
+        return None
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
     Only a local master that names none (tests) gets a scratch folder; on a cluster each
     executor would write to a disk of its own, so there it is an error."""
-    current = spark.conf.get("spark.checkpoint.dir", None) or _context_dir(spark)
+    current = spark.conf.get("spark.checkpoint.dir", None) or _scratch(spark) or _context_dir(spark)
     if not current:
         if not spark.conf.get("spark.master", "").startswith("local") or "cluster" in spark.conf.get("spark.master"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        current = tempfile.mkdtemp(prefix="scoreplane-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
+        app = spark.sparkContext.applicationId
+        if app not in _SCRATCH:
+            _SCRATCH[app] = tempfile.mkdtemp(prefix="scoreplane-ckpt-")
+        current = _SCRATCH[app]
     try:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(current)
