@@ -22,6 +22,10 @@ OUTER_BRACES = r"(?s)\{.*\}"
 # Characters a strict reader refuses; kept: \b \t \n \f \r, printable ASCII, > 127.
 CONTROL_CHARS = r"[\x{00}-\x{07}\x{0b}\x{0e}-\x{1f}\x{7f}]"
 
+# Outside strings a plus sign stands in exponents only, and infinity has one spelling; the parser takes more.
+STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+LOOSE_NUMBERS = r"(?<![eE])\+|INF"
+
 _STRICT_OPTIONS = {
     "allowSingleQuotes": "false",
     "allowNumericLeadingZeros": "false",
@@ -62,7 +66,9 @@ def extract_json_sql(raw: str) -> str:
     clean = f"regexp_replace(jx_cand, {lit(CONTROL_CHARS)}, '')"
     wrapped = f"from_json(concat('[', jx_clean, ']'), 'array<map<string,string>>', map({opts}))"
     member = f"size(from_json(concat('{{\"v\":', jx_clean, '}}'), 'map<string,string>', map({opts}))) = 1"
-    one = f"CASE WHEN size(jx_w) = 1 THEN CASE WHEN {member} THEN element_at(jx_w, 1) END END"
+    loose = (f"(contains(jx_clean, '+Inf') OR contains(jx_clean, 'INF')) AND "
+             f"regexp_like(regexp_replace(jx_clean, {lit(STRING)}, '0'), {lit(LOOSE_NUMBERS)})")
+    one = f"CASE WHEN size(jx_w) = 1 AND NOT ({loose}) THEN CASE WHEN {member} THEN element_at(jx_w, 1) END END"
     fold = ("map_from_entries(reverse(aggregate(reverse(map_entries(jx_one)), "
             "named_struct('k', cast(array() AS array<string>), 'e', cast(array() AS array<struct<key:string,value:string>>)), "
             "(acc, x) -> CASE WHEN array_contains(acc.k, x.key) THEN acc "

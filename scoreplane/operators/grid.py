@@ -19,10 +19,10 @@ def wanted_models(names: Sequence[str], pattern: str = "") -> list[str]:
     return [m for m in names if m and m.strip() and re.search(pattern, m)]
 
 
-def experiment_grid(items: DataFrame, models: Sequence[str], temperatures: Sequence[float]) -> DataFrame:
+def experiment_grid(items: DataFrame, models: Sequence[str], temperatures: Sequence[float], pattern: str = "") -> DataFrame:
     """items x models x temperatures (J2) as a Generate over a literal config array:
-    linear in the items, no join, nothing broadcast that grows with data."""
-    models = wanted_models(models)
+    linear in the items, no join, nothing broadcast that grows with data.  Only models whose names match ``pattern`` (F6)."""
+    models = wanted_models(models, pattern)
     grid = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(float(t)).alias("temperature"))
                      for m in models for t in temperatures])
     return items.select("*", F.explode(grid).alias("_g")).select("*", "_g.model", "_g.temperature").drop("_g")

@@ -65,7 +65,7 @@ def failure_mask(status_col="status_geracao", api_col="status_api_call", parsed_
     return F.expr(failure_mask_sql(status_col, api_col, parsed_col))
 
 
-def _spread_key(key: str, identity: Sequence[str], extra: str = "") -> str:
+def spread_key(key: str, identity: Sequence[str], extra: str = "") -> str:
     """SQL for the join key (no valid index, value).
 
     A null or negative index (the invalid-index sentinel) can never match, but all rows with one
@@ -106,7 +106,7 @@ def align_pairs(
     key = ident(pred_key)
     p = predictions.selectExpr(
         *[ident(c) for c in run_cols], key, f"{failed} AS is_failure",
-        f"{_spread_key(pred_key, [*run_cols, *ids], f'map_entries({ident(parsed_col)})')} AS _jk",
+        f"{spread_key(pred_key, [*run_cols, *ids], f'map_entries({ident(parsed_col)})')} AS _jk",
         *[f"CASE WHEN {failed} THEN {fail_label} ELSE "
           f"{canonical_sql(f'try_element_at({ident(parsed_col)}, {lit(f.name)})')} END AS _p{i}"
           for i, f in enumerate(fields)])
@@ -133,7 +133,7 @@ def skipped_counts(predictions: DataFrame, truth: DataFrame, run_cols=("model",
 
     Rows without a valid index are spread over the join as in :func:`align_pairs`."""
     ids = [c for c in RECORD_ID_COLUMNS if c in predictions.columns]
-    p = predictions.selectExpr(*[ident(c) for c in run_cols], f"{_spread_key(pred_key, [*run_cols, *ids])} AS _jk")
+    p = predictions.selectExpr(*[ident(c) for c in run_cols], f"{spread_key(pred_key, [*run_cols, *ids])} AS _jk")
     t = truth.selectExpr(f"named_struct('n', false, 'k', CAST({ident(truth_key)} AS BIGINT)) AS _jk")
     return p.join(t, "_jk", "left_anti").groupBy(*run_cols).agg(F.count(F.lit(1)).alias("n_skipped"))
 

@@ -247,3 +247,33 @@ def latency_quantiles(records: DataFrame, by: Sequence[str] = RUN, col: str = "l
     """Approximate p50 / p90 / p99 (bounded-memory sketches, fine for a hot run)."""
     return records.groupBy(*by).agg(
         F.percentile_approx(col, [0.5, 0.9, 0.99], accuracy).alias("q"))
+
+
+def latency_sketch(records: DataFrame, by: Sequence[str] = RUN, col: str = "latency_s", error: float = 0.01) -> DataFrame:
+    """Mergeable quantile sketch (A17): counts of values per logarithmic bucket, (by, bucket, n).
+
+    Bucket i holds the values in (g^(i-1), g^i] with g = (1 + error) / (1 - error), so every value in it is within the relative
+    ``error`` of the bucket's middle: the bound holds for every quantile and input.  Its size grows with the logarithm of the
+    range of the values, not with their number.  Values of 0 or less are in bucket null and count as 0."""
+    width = F.log(F.lit((1 + error) / (1 - error)))
+    timed = records.filter(F.col(col).isNotNull())
+    bucket = F.when(F.col(col) > 0, F.ceil(F.log(F.col(col)) / width).cast("long"))
+    return timed.groupBy(*by, bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def merge_sketches(sketches: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Sketches of parts added up into those of the whole: the same as the sketch of all values."""
+    return sketches.groupBy(*by, "bucket").agg(F.sum("n").alias("n"))
+
+
+def sketch_quantiles(sketches: DataFrame, quantiles: Sequence[float], by: Sequence[str] = RUN, error: float = 0.01) -> DataFrame:
+    """(by, quantile, n, value): the value of rank ceil(quantile * n) within the relative ``error``."""
+    g = (1 + error) / (1 - error)
+    whole = Window.partitionBy(*by)
+    upto = whole.orderBy(F.col("bucket").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = sketches.select(*by, "bucket", F.sum("n").over(upto).alias("_upto"), F.sum("n").over(whole).alias("n"))
+    asked = F.explode(F.array(*[F.lit(float(q)) for q in quantiles])).alias("quantile")
+    reached = ranked.select(*by, "bucket", "_upto", "n", asked).filter(F.col("_upto") >= F.ceil(F.col("quantile") * F.col("n")))
+    first = reached.groupBy(*by, "quantile").agg(F.min_by("bucket", "_upto").alias("_b"), F.min("n").alias("n"))
+    return first.select(*by, "quantile", "n", F.coalesce(
+        F.pow(F.lit(g), F.col("_b").cast("double")) * F.lit(2 / (g + 1)), F.lit(0.0)).alias("value"))

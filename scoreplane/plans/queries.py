@@ -590,9 +590,10 @@ def first_n(spark, sf):
 
 @query
 def first_valid(spark, sf):
-    """Per run, the first item whose answer parsed (O4) - an aggregated min, no sort."""
+    """Per run, the first item whose answer parsed (O4) - an aggregated min, no sort; records without a valid index are spread."""
     r = E.parsed_records(spark, sf).filter(F.col("status_geracao") == K.STATUS_OK)
-    r = r.join(A.truth(spark, sf).select(F.col("item_id").alias("dataset_idx")), "dataset_idx", "left_semi")
+    r = r.withColumn("_key", F.expr(P.spread_key("dataset_idx", [*RUN, "property_id"])))
+    r = r.join(A.truth(spark, sf).select(F.expr("named_struct('n', false, 'k', item_id)").alias("_key")), "_key", "left_semi")
     return r.groupBy(*RUN).agg(F.min("dataset_idx").alias("first_valid_idx"))
 
 

@@ -61,42 +61,114 @@ EVAL_META = T.StructType([
 ])
 
 
-def read_ground_truth_csv(spark: SparkSession, path: str, columns: Sequence[str],
-                          index_col: str = "dataset_idx") -> DataFrame:
+def in_file_order(rows: DataFrame, columns: Sequence[str], index_col: str, name: str) -> DataFrame:
+    """The columns and a 0-based position (S2): rows of a file source by path, block and place in the block.
+
+    The rows are written once with their place, so a position never changes; the blocks' sizes then give
+    the offsets (one row per file block).  No row passes through Python."""
+    spots = rows.select(*[F.col(f"`{c}`") for c in columns], F.col("_metadata.file_path").alias("_file"),
+                        F.col("_metadata.file_block_start").alias("_block"),
+                        F.monotonically_increasing_id().alias("_place"))
+    placed = write_once(spots, name)
+    sizes = placed.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("n"), F.min("_place").alias("_first"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_file", "_block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("_first")).alias("_offset"))
+    return placed.join(offsets, ["_file", "_block"]).select(*[F.col(f"`{c}`") for c in columns],
+                                                            (F.col("_offset") + F.col("_place")).alias(index_col))
+
+
+def read_ground_truth_csv(spark: SparkSession, path: str | Sequence[str], columns: Sequence[str],
+                          index_col: str = "dataset_idx", multi_line: bool = True,
+                          malformed_col: str | None = None) -> DataFrame:
     """S1 + S2: header CSV, all columns as text, quoted commas and multi-line cells,
-    missing-value tokens -> null, plus a 0-based row-position key (consecutive, file order).
-
-    The rows are written once with their place in their partition, so a position never changes; the
-    partitions' sizes then give the offsets.  No row passes through Python."""
-    schema = T.StructType([T.StructField(c, S) for c in columns])
-    df = (spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"')
-          .option("multiLine", True).option("encoding", "UTF-8").option("enforceSchema", False).csv(path))
-    df = df.select(*[missing_token_to_null(F.col(f"`{c}`")).alias(c) for c in columns],
-                   F.spark_partition_id().alias("_part"),
-                   F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"))
-    placed = write_once(df, "ground-truth")
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))  # one row per partition
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))
-    return placed.join(offsets, "_part").select(*[F.col(f"`{c}`") for c in columns],
-                                                (F.col("_offset") + F.col("_place")).alias(index_col))
+    missing-value tokens -> null, plus a 0-based row-position key (consecutive, in the order of the paths).
 
+    Where no cell spans lines, ``multi_line=False`` lets several tasks read one file.  A row with too few or too many
+    cells keeps its place; ``malformed_col`` holds its text, null for a good row."""
+    kept = [*columns, *([malformed_col] if malformed_col else [])]
+    schema = T.StructType([T.StructField(c, S) for c in kept])
+    reader = (spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"')
+              .option("multiLine", multi_line).option("encoding", "UTF-8").option("enforceSchema", False))
+    if malformed_col:
+        reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", malformed_col)
+    told = in_file_order(reader.csv(path if isinstance(path, str) else list(path)), kept, index_col, "ground-truth")
+    return told.select(*[missing_token_to_null(F.col(f"`{c}`")).alias(c) for c in columns],
+                       *([F.col(f"`{malformed_col}`")] if malformed_col else []), index_col)
 
-def read_generation_runs(spark: SparkSession, path: str) -> DataFrame:
-    """S3 + U3: nested run documents -> one row per item with run metadata; both
-    generator schemas land in one shape (twin columns coalesced)."""
-    docs = spark.read.schema(GENERATION_DOC).option("multiLine", True).json(path)
-    items = docs.select("metadata_geracao_run", F.explode("resultados_gerados_run").alias("it"))
-    m = F.col("metadata_geracao_run")
-    return items.select(
+
+def _generation_items(docs: DataFrame, item: str = "it", meta: str = "metadata_geracao_run") -> DataFrame:
+    m = F.col(meta)
+    return docs.select(
         m["modelo_usado"].alias("model"), m["temperatura_usada"].alias("temperature"),
         F.coalesce(m["timestamp_final_run"], m["timestamp_total_run"]).alias("run_time_s"),
-        "it.*",
+        f"{item}.*",
     ).withColumn("latency_s", F.coalesce("latencia_total_api_s", "latencia_api_s")) \
      .withColumnRenamed("resposta_modelo_parsed_dict", "parsed") \
      .withColumnRenamed("resposta_modelo_raw_str", "raw_answer")
 
 
+def _whole_documents(spark: SparkSession, path: str) -> DataFrame:
+    schema = T.StructType([*GENERATION_DOC.fields, T.StructField("_corrupt_record", S)])
+    return (spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
+
+
+def read_generation_runs(spark: SparkSession, path: str) -> DataFrame:
+    """S3 + U3: nested run documents -> one row per item with run metadata; both
+    generator schemas land in one shape (twin columns coalesced).  A broken document is skipped.
+
+    Each document is one record here, whatever its layout; :func:`scan_generation_runs` reads large ones item by item."""
+    docs = _whole_documents(spark, path).filter(F.col("_corrupt_record").isNull())
+    return _generation_items(docs.select("metadata_geracao_run", F.explode("resultados_gerados_run").alias("it")))
+
+
+#: Where the next item of an indented run document begins: a line break is escaped inside JSON strings, so only an
+#: object of the item list starts a line at this depth.
+ITEM_BREAK = "\n    {"
+
+
+def scan_generation_runs(spark: SparkSession, path: str, pattern: str = "*.json") -> tuple[DataFrame, DataFrame]:
+    """S3 for indented run documents of any size: (items, documents).
+
+    A file is read as one record per item, by several tasks where it is large, and never as a whole.  documents has a row per file:
+    file_name, n_items, broken.  A document is broken if its metadata or one of its items doesn't parse or its end is
+    missing; none of its items is returned, and the other documents are not touched."""
+    chunks = (spark.read.option("lineSep", ITEM_BREAK).option("pathGlobFilter", pattern).text(path)
+              .select("value", F.col("_metadata.file_path").alias("file")))
+    end = r"\n  \]\s*\}\s*$"
+    head = F.col("value").rlike(r"^\s*\{")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+
+    def parsed(text, schema: T.StructType):
+        return F.from_json(text, T.StructType([*schema.fields, T.StructField("_corrupt_record", S)]), options)
+
+    item = F.concat(F.lit("{"), F.regexp_replace(F.regexp_replace("value", end, ""), r",\s*$", ""))
+    whole_head = F.regexp_replace("value", r'"resultados_gerados_run":\s*\[\s*$', '"resultados_gerados_run": []}')
+    told = chunks.select(
+        "file", head.alias("head"), F.when(head, F.col("value").rlike(r"\[\s*\]\s*\}\s*$")).otherwise(
+            F.col("value").rlike(end)).alias("last"),
+        F.when(head, parsed(whole_head, GENERATION_DOC)).alias("doc"), F.when(~head, parsed(item, GENERATION_ITEM)).alias("it"))
+    bad = F.when(F.col("head"), F.col("doc._corrupt_record").isNotNull() | F.col("doc.metadata_geracao_run").isNull()).otherwise(
+        F.col("it._corrupt_record").isNotNull() | F.col("it").isNull())
+    documents = told.groupBy("file").agg(
+        F.max("doc.metadata_geracao_run").alias("meta"), F.count_if(~F.col("head")).alias("n_items"),
+        (F.count_if(bad) + F.abs(F.count_if("head") - 1) + F.abs(F.count_if("last") - 1) > 0).alias("broken"))
+    good = documents.filter("NOT broken").select("file", F.col("meta").alias("metadata_geracao_run"))
+    items = _generation_items(told.filter("NOT head").select("file", "it").join(good, "file")).drop("_corrupt_record")
+    return items, documents.select(F.element_at(F.split("file", "/"), -1).alias("file_name"), "n_items", "broken")
+
+
+def read_committed_runs(spark: SparkSession, path: str, schema: T.StructType,
+                        run_cols: Sequence[str] = ("model", "temperature")) -> DataFrame:
+    """The items of the attempts that the runs' metadata name (K1): a run that is being written again shows its former items
+    until the new ones are committed.  ``attempt`` prunes partitions."""
+    items = spark.read.schema(T.StructType([*schema.fields, T.StructField("attempt", S)])).parquet(f"{path}/items")
+    runs = T.StructType([*[schema[c] for c in run_cols], T.StructField("attempt", S)])
+    committed = spark.read.schema(runs).json(f"{path}/metadata").select(*[F.col(c).alias(f"_{c}") for c in runs.names])
+    same = [items[c].eqNullSafe(committed[f"_{c}"]) for c in run_cols]
+    return items.join(committed, [items["attempt"] == committed["_attempt"], *same], "left_semi").drop("attempt")
+
+
 def read_evaluation_documents(spark: SparkSession, root: str, pattern: str = "evaluation_metrics_*.json") -> DataFrame:
     """Every evaluation document under ``root`` (recursive), unreadable files skipped: its metadata, the
     categories as a typed map, the averages (keys suffixed by the model name) as a map of numbers, and the file
@@ -162,6 +234,25 @@ def list_images(spark: SparkSession, directories: str | Sequence[str], with_cont
     return df.filter(keep & extension("path").isin(K.IMAGE_EXTENSIONS)).select(*cols)
 
 
+def read_image_tree(spark: SparkSession, base: str, chosen: DataFrame | None = None, dir_col: str = "dir",
+                    with_content: bool = False) -> DataFrame:
+    """S6 below folders named ``<dir_col>=<name>``: (dir, path, length[, content]) of the image files in them.
+
+    The folder is a partition column, so a filter on it, or the join with ``chosen`` (a table with the folders wanted), prunes
+    the listing; content is read only where it is asked for."""
+    schema = T.StructType([*IMAGE_FILE.fields, T.StructField(dir_col, S)])
+    df = spark.read.format("binaryFile").schema(schema).option("basePath", base).load(base)
+    df = df.filter(extension("path").isin(K.IMAGE_EXTENSIONS))
+    if chosen is not None:
+        df = df.join(chosen.select(dir_col), dir_col, "left_semi")
+    return df.select(dir_col, "path", "length", *(["content"] if with_content else []))
+
+
+def read_text_rows(spark: SparkSession, path: str, index_col: str = "line_no") -> DataFrame:
+    """The lines of a text report (K5) with their place in the whole, across its files."""
+    return in_file_order(spark.read.text(path), ["value"], index_col, "text-rows")
+
+
 def read_prompt(spark: SparkSession, path: str) -> DataFrame:
     """Whole file as one text value; empty files are dropped."""
     df = spark.read.text(path, wholetext=True)

@@ -272,6 +272,12 @@ def files_in(spark: SparkSession, directory: str) -> list[tuple[str, str]]:
     return out
 
 
+def folders(spark: SparkSession, pattern: str) -> list[str]:
+    """The folders that a path pattern fits."""
+    fs, target = _fs(spark, pattern)
+    return [f.getPath().toString() for f in fs.globStatus(target) or () if f.isDirectory()]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     fs, target = _fs(spark, path)
     fs.delete(target, True)

@@ -288,3 +288,152 @@ def test_files_per_run(spark, sf_small):
     run_dir = os.path.join(d, "items", model_dir, "temperature=0.5")
     files = [n for n in os.listdir(run_dir) if n.endswith(".parquet")]
     assert 1 <= len(files) <= 2
+
+
+def _items(spark, rows):
+    return spark.createDataFrame(rows, "model string, temperature double, request_id long, status_geracao string")
+
+
+def test_writing_one_run_leaves_the_others(spark):
+    d = tmpdir()
+    a = _items(spark, [("a", 0.0, i, "processado_com_sucesso") for i in range(4)])
+    sinks.write_generation_items(a, os.path.join(d, "plain"))
+    sinks.write_generation_items(_items(spark, [("b", 0.5, 9, "erro_api")]), os.path.join(d, "plain"))
+    assert spark.read.parquet(os.path.join(d, "plain")).count() == 5
+    path = os.path.join(d, "runs")
+    sinks.write_generation_run(a, path)
+    assert sinks.write_generation_run(_items(spark, [("b", 0.5, 9, "erro_api"), (None, 0.5, 1, "x")]), path).count() == 2
+    sinks.write_generation_run(_items(spark, [("a", 0.0, 7, "erro_api")]), path)  # run a again
+    back = files.read_committed_runs(spark, path, a.schema)
+    want = [("a", 0.0, 7), ("b", 0.5, 9), (None, 0.5, 1)]
+    assert sorted(((r.model, r.temperature, r.request_id) for r in back.collect()), key=str) == sorted(want, key=str)
+    assert spark.read.json(os.path.join(path, "metadata")).count() == 3
+    assert sinks.drop_replaced_attempts(spark, path, a.schema) == 1
+    assert files.read_committed_runs(spark, path, a.schema).count() == 3
+    assert spark.read.parquet(os.path.join(path, "items")).count() == 3
+
+
+def test_a_failed_attempt_is_never_read(spark):
+    path = os.path.join(tmpdir(), "runs")
+    a = _items(spark, [("a:1", 0.0, i, "processado_com_sucesso") for i in range(4)])
+    sinks.write_generation_run(a, path)
+    a.withColumn("attempt", F.lit("broken")).write.mode("append").partitionBy("model", "temperature", "attempt").parquet(f"{path}/items")
+    assert files.read_committed_runs(spark, path, a.schema).count() == 4
+
+
+def test_runs_of_one_safe_name_keep_their_documents(spark):
+    root = tmpdir()
+
+    def docs(*models):
+        pairs = spark.createDataFrame([(m, 0.5, "F", "a", p) for m, p in models],
+                                      "model string, temperature double, field string, y_true string, y_pred string")
+        from scoreplane.operators.pairs import FieldSpec, field_dimension
+        dim = field_dimension(spark, [FieldSpec("F", "s", ["a", "b"])])
+        return R.evaluation_documents(classify.summary_from_labels(
+            classify.label_table(classify.confusion_counts(pairs), dim), with_classes=True))
+
+    def back():
+        return sorted((r.m, r.a) for r in files.read_evaluation_documents(spark, root).selectExpr(
+            "metadata_avaliacao.modelo_avaliado AS m", "Metricas_Agregadas_Por_Categoria['F'].accuracy AS a").collect())
+    sinks.write_evaluation_documents(docs(("org/model:7b", "a"), ("org:model/7b", "b"), ("x", "a")), root)
+    assert back() == [("org/model:7b", 1.0), ("org:model/7b", 0.0), ("x", 1.0)]
+    sinks.write_evaluation_documents(docs(("org_model_7b", "b"), ("x", "b")), root)  # later: another of that name, x again
+    assert back() == [("org/model:7b", 1.0), ("org:model/7b", 0.0), ("org_model_7b", 0.0), ("x", 0.0)]
+    sinks.write_evaluation_documents(docs(("x:1", "a"), ("org/model:7b", "b")), root)
+    sinks.write_evaluation_documents(docs(("x/1", "b")), root)  # the name is owned by another run
+    assert back() == [("org/model:7b", 0.0), ("org:model/7b", 0.0), ("org_model_7b", 0.0), ("x", 0.0), ("x/1", 0.0), ("x:1", 1.0)]
+
+
+def test_positions_follow_the_paths_and_malformed_rows_stay(spark):
+    d = tmpdir()
+    with open(os.path.join(d, "a.csv"), "w") as f:
+        f.write("k,v\n1,x\n2,y,extra\n")
+    with open(os.path.join(d, "b.csv"), "w") as f:
+        f.write("k,v\n" + "".join(f"{i},z\n" for i in range(50)))
+    with open(os.path.join(d, "c.csv"), "w") as f:
+        f.write('k,v\n8,"q, r"\n9\n')
+    for multi_line in (True, False):
+        rows = files.read_ground_truth_csv(spark, d, ["k", "v"], multi_line=multi_line, malformed_col="bad").orderBy(
+            "dataset_idx").collect()
+        assert [r.dataset_idx for r in rows] == list(range(54))
+        assert [r.k for r in rows] == ["1", "2", *map(str, range(50)), "8", "9"]
+        assert rows[52].v == "q, r" and {r.dataset_idx: r.bad for r in rows if r.bad is not None} == {1: "2,y,extra", 53: "9"}
+
+
+def test_split_files_keep_their_positions(spark):
+    d = tmpdir()
+    with open(os.path.join(d, "a.csv"), "w") as f:
+        f.write("k\n" + "".join(f"{i:09d}\n" for i in range(20000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = files.read_ground_truth_csv(spark, d, ["k"], multi_line=False)
+        assert rows.where("INT(k) <> dataset_idx").count() == 0 and rows.count() == 20000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_run_documents_are_scanned_item_by_item_and_broken_ones_skipped(spark):
+    d = tmpdir()
+    rows = spark.createDataFrame([(f"run{i % 3}.json", i, i * 0.5, f'raw {{\n    {{ "{i}" ] \\ end') for i in range(30)],
+                                 "file_name string, i long, latency double, raw string")
+    items = rows.select("file_name", "i", F.struct(
+        F.col("i").alias("dataset_idx"), F.col("latency").alias("latencia_api_s"), F.col("raw").alias("resposta_modelo_raw_str"),
+        F.create_map(F.lit("k"), F.col("raw")).alias("resposta_modelo_parsed_dict")).alias("item"))
+    meta = rows.select("file_name").distinct().select("file_name", F.struct(
+        F.col("file_name").alias("modelo_usado"), F.lit(0.5).alias("temperatura_usada"), F.lit(3.0).alias("timestamp_total_run")).alias("meta"))
+    sinks.write_run_documents(items, meta, d, "i")
+    with open(os.path.join(d, "run0.json"), encoding="utf-8") as f:
+        text = f.read()
+    doc = json.loads(text)
+    assert [x["dataset_idx"] for x in doc["resultados_gerados_run"]] == list(range(0, 30, 3))
+    for name, broken in (("cut.json", text[: len(text) // 2]), ("item.json", text.replace('"dataset_idx":3', '"dataset_idx":', 1)),
+                         ("head.json", text.replace('"modelo_usado"', "modelo", 1)), ("none.json", "")):
+        with open(os.path.join(d, name), "w", encoding="utf-8") as f:
+            f.write(broken)
+    with open(os.path.join(d, "own.json"), "w") as f:  # as the original tool writes it, and one without items
+        json.dump(doc, f, indent=2, ensure_ascii=False)
+    with open(os.path.join(d, "empty.json"), "w") as f:
+        json.dump(doc | {"resultados_gerados_run": []}, f, indent=2)
+    got, documents = files.scan_generation_runs(spark, d)
+    told = {r.file_name: (r.n_items, r.broken) for r in documents.collect()}
+    assert {n for n, (_, b) in told.items() if b} == {"cut.json", "item.json", "head.json"}
+    assert told["own.json"] == (10, False) and told["empty.json"] == (0, False)
+    want = {(r.file_name, r.i): r for r in rows.collect()}
+    found = got.collect()
+    assert len(found) == 40 and all(r.raw_answer == want[r.model, r.dataset_idx].raw == r.parsed["k"]
+                                    and r.latency_s == r.dataset_idx * 0.5 and r.run_time_s == 3.0 for r in found)
+    assert files.read_generation_runs(spark, d).count() == 40  # the whole-document reader skips the same files
+
+
+def test_image_trees_are_pruned_by_folder(spark):
+    d = tmpdir()
+    for folder, n in (("007", "1.png"), ("007", "2.JPG"), ("007", "x.txt"), ("b_c", "3.webp")):
+        os.makedirs(os.path.join(d, f"dir={folder}"), exist_ok=True)
+        with open(os.path.join(d, f"dir={folder}", n), "wb") as f:
+            f.write(b"abc")
+    every = files.read_image_tree(spark, d)
+    assert sorted((r["dir"], os.path.basename(r.path), r.length) for r in every.collect()) == [
+        ("007", "1.png", 3), ("007", "2.JPG", 3), ("b_c", "3.webp", 3)]
+    chosen = spark.createDataFrame([("007",)], "dir string")
+    assert files.read_image_tree(spark, d, chosen, with_content=True).select("dir", "content").distinct().count() == 1
+    plan = every.where("dir = 'b_c'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(dir" in plan
+
+
+def test_text_rows_read_back_in_order_over_many_files(spark):
+    d = tmpdir()
+    rows = spark.range(5000).select(F.col("id").alias("k"), F.concat(F.lit("line "), "id").alias("row_text")).repartition(7)
+    sinks.write_text_rows(rows, os.path.join(d, "t"), ["k"])
+    back = files.read_text_rows(spark, os.path.join(d, "t"))
+    assert back.where("value <> CONCAT('line ', line_no)").count() == 0 and back.count() == 5000
+
+
+def test_reports_are_replaced_whole(spark):
+    d = os.path.join(tmpdir(), "rep")
+    one = spark.createDataFrame([("m", 0.5)], "Modelo string, Accuracy double")
+    assert sinks.write_report_csv(one, d, ["Modelo", "Accuracy"], ["Accuracy"])
+    assert sinks.write_report_csv(one.unionByName(one), d, ["Modelo", "Accuracy"], ["Accuracy"])
+    assert spark.read.option("header", True).csv(d).count() == 2
+    assert sorted(n for n in os.listdir(os.path.dirname(d)) if not n.startswith(".")) == ["rep"]
+    assert not sinks.write_report_csv(one.limit(0), d, ["Modelo"], []) and not os.path.exists(d)
