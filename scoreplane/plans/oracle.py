@@ -510,3 +510,38 @@ oracle("api_seconds", _ctes(GEN) + "SELECT model, temperature, property_id, roun
        "WHERE latency_s IS NOT NULL", base=False)
 oracle("label_lists", "SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(list_transform("
        "string_split(p_type, ' '), lambda x: lower(trim(x))), lambda x: x <> ''))), '|') AS labels FROM part", base=False)
+
+# ------------------------------------------------------------ files written and scanned again
+oracle("rewritten_runs", _GENP + "SELECT model, temperature, count(*) AS n_items, count(DISTINCT property_id) AS n_properties, "
+       f"count(*) FILTER (status_geracao = '{K.STATUS_OK}') AS n_success FROM parsed "
+       f"WHERE model <> '{A.MODELS[0]}' OR status_geracao = '{K.STATUS_OK}' GROUP BY ALL", base=False)
+oracle("resumed_generation", f"SELECT conv_id AS request_id, model, temperature, CASE WHEN prompt = '' THEN 'falha' ELSE 'sucesso' END "
+       f"AS status_api_call, {RESP} AS raw_answer, CASE WHEN model = '{A.MODELS[0]}' THEN 'first' ELSE 'second' END AS job "
+       f"FROM ({PROMPTS}) CROSS JOIN ({_MODELS_SQL}) CROSS JOIN ({_TEMPS_SQL})", base=False)
+oracle("truth_positions", "SELECT p_partkey, row_number() OVER (ORDER BY CASE WHEN p_size < 5 THEN 1 WHEN p_size < 25 THEN 2 ELSE 3 END, "
+       "p_partkey) - 1 AS dataset_idx, p_name || ', ' || p_type AS name, p_size = 7 AS malformed FROM part", base=False)
+oracle("scanned_runs", _GENP + "SELECT model, temperature, count(*) AS n_items, count(*) FILTER (ok) AS n_parsed, "
+       "sum(length(raw_answer))::BIGINT AS raw_chars, round(sum(latency_s), 6) AS latency_s, 1.5::DOUBLE AS run_time_s "
+       "FROM parsed GROUP BY ALL UNION ALL SELECT 'broken.json', NULL, 1, NULL, NULL, NULL, NULL", base=False)
+oracle("image_tree", "SELECT dir, 2 AS n_images, sum(strlen(url) + 1 + 33)::BIGINT AS bytes, FROM "
+       "(SELECT *, 'site_' || (page_id // 100) AS dir FROM pages) GROUP BY dir "
+       "HAVING bool_or(page_id IN (SELECT doc_id FROM labels WHERE quality = 1))", base=False)
+oracle("prompt_requests", "SELECT c_custkey, prompt FROM customer JOIN nation ON n_nationkey = c_nationkey LEFT JOIN ("
+       "SELECT n_regionkey AS r, string_agg(n_name || chr(10), '' ORDER BY n_name) AS prompt FROM nation JOIN region "
+       "ON r_regionkey = n_regionkey WHERE r_name <> 'ASIA' GROUP BY n_regionkey) ON r = n_regionkey", base=False)
+ORACLE["text_report_lines"] = (
+    "SELECT row_number() OVER (ORDER BY Modelo, Categoria, Temperatura, k) - 1 AS line_no, line FROM ("
+    "SELECT *, unnest(CASE WHEN rule_before THEN [0, 1] ELSE [1] END) AS k, "
+    f"CASE k WHEN 0 THEN '{K.RULE_LINE}' ELSE row_text END AS line FROM (" + ORACLE["report_rows"] + "))")
+oracle("run_latencies", _ctes(GEN) + "SELECT model, quantile, n, "
+       "round(pow(1.01 / 0.99, ceil(ln(latency_s) / ln(1.01 / 0.99))) * (2 / (1.01 / 0.99 + 1)), 6) AS value FROM ("
+       "SELECT model, latency_s, row_number() OVER (PARTITION BY model ORDER BY latency_s) AS r, count(*) OVER (PARTITION BY model) AS n "
+       "FROM gen WHERE latency_s IS NOT NULL) JOIN (SELECT unnest([0.01, 0.5, 0.9, 0.99, 1.0])::DOUBLE AS quantile) "
+       "ON r = ceil(quantile * n)", base=False)
+oracle("named_documents", "SELECT model || unnest([':x', '/x']) AS model, temperature, "
+       "translate(field, ' çãáé', '_caae') AS category_key, round(accuracy, 6) AS accuracy FROM summ")
+ORACLE["report_csv_back"] = (
+    "SELECT Modelo, Temperatura, Categoria, " + ", ".join(f"\"{m}\"::DOUBLE AS \"{m}\"" for m in ["Accuracy", "F1-Score", "Precision", "Recall"])
+    + " FROM (" + ORACLE["report_csv_rows"] + ")")
+oracle("pattern_grid", f"SELECT model, temperature, count(*) AS n_items FROM documents CROSS JOIN (SELECT unnest("
+       f"['{A.MODELS[0]}', '{A.MODELS[1]}', 'delta-vl:70b']) AS model) CROSS JOIN ({_TEMPS_SQL}) GROUP BY ALL", base=False)

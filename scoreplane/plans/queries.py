@@ -770,3 +770,6 @@ def report_csv_rows(spark, sf):
     rep = R.existing_columns(_report(spark, sf), K.REPORT_BY_CATEGORY_COLUMNS)
     return rep.select(*[TX.fixed(TX.settled(F.col(f"`{c}`")), 4).alias(c) if c in REPORT_METRICS else F.col(f"`{c}`")
                         for c in rep.columns])
+
+
+from scoreplane.plans import file_queries  # noqa: E402, F401  registers the rows of sources and sinks

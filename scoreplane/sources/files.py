@@ -254,6 +254,6 @@ def read_text_rows(spark: SparkSession, path: str, index_col: str = "line_no") -
 
 
 def read_prompt(spark: SparkSession, path: str) -> DataFrame:
-    """Whole file as one text value; empty files are dropped."""
+    """Whole files as one text value each, with the partition columns of their folders; empty files are dropped."""
     df = spark.read.text(path, wholetext=True)
-    return df.filter(F.length("value") > 0).select(F.col("_metadata.file_name").alias("file_name"), "value")
+    return df.filter(F.length("value") > 0).select(F.col("_metadata.file_name").alias("file_name"), *df.columns)

@@ -272,6 +272,14 @@ def files_in(spark: SparkSession, directory: str) -> list[tuple[str, str]]:
     return out
 
 
+def touch(spark: SparkSession, path: str, text: str = "") -> None:
+    """A small file with the given text."""
+    fs, target = _fs(spark, path)
+    out = fs.create(target)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 def folders(spark: SparkSession, pattern: str) -> list[str]:
     """The folders that a path pattern fits."""
     fs, target = _fs(spark, pattern)

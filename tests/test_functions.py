@@ -197,3 +197,43 @@ def test_calls_spread_over_the_requested_tasks(spark):
     rows = spark.range(64).withColumn("request", request_struct(F.lit("m"), F.lit(0.0), F.lit("s"), F.lit("p")))
     out = batch_generate(rows, lambda r: {"response": f"{TaskContext.get().partitionId()}", "usage": {"pid": os.getpid()}}, 7)
     assert out.select("raw_answer").distinct().count() == 7 and out.count() == 64
+
+
+def test_infinity_has_one_spelling_and_strings_may_hold_any(spark):
+    import json
+
+    from scoreplane.functions.jsonx import with_extracted_json
+    texts = ['{"a":+Infinity}', '{"a":Infinity}', '{"a":-Infinity}', '{"a":INF}', '{"a":-INF}', '{"a":+INF}', '{"a":"+Infinity INF"}',
+             '{"a \\" INF":1e+5}', '{"a":[1,+Infinity]}', '{"a":NaN}', '{"b":"\\\\","a":+Infinity}', '{"+Inf":2E+3,"k":"x"}']
+
+    def strict(t):
+        try:
+            return isinstance(json.loads(t), dict)
+        except ValueError:
+            return False
+    rows = with_extracted_json(spark.createDataFrame([(t,) for t in texts], "raw string"), "raw").collect()
+    assert {r.raw: r.parsed is not None for r in rows} == {t: strict(t) for t in texts}
+
+
+def test_latency_sketches_merge_and_keep_their_bound(spark):
+    import math
+    import random
+
+    from scoreplane.operators import reports as R
+    rng = random.Random(4)
+    values = [rng.lognormvariate(0, 3) for _ in range(3000)] + [0.0, 0.0, 1.0]
+    df = spark.createDataFrame([(i % 3, v) for i, v in enumerate(values)] + [(0, None)], "run int, latency_s double")
+    merged = R.merge_sketches(R.latency_sketch(df, ["run"]), [])
+    got = {r["quantile"]: r for r in R.sketch_quantiles(merged, [0.0001, 0.1, 0.5, 0.99, 1.0], []).collect()}
+    for q, r in got.items():
+        exact = sorted(values)[max(1, math.ceil(q * len(values))) - 1]
+        assert r["n"] == len(values) and abs(r["value"] - exact) <= 0.0100001 * exact
+    assert merged.count() < 1000
+    whole = R.latency_sketch(df, [])
+    assert sorted(map(tuple, whole.collect()), key=str) == sorted(map(tuple, merged.collect()), key=str)
+
+
+def test_grid_of_models_that_fit_a_pattern(spark):
+    from scoreplane.operators.grid import experiment_grid
+    rows = experiment_grid(spark.range(2), ["a:7b", "", "b:7b", "a:70b"], [0.0], pattern="^a:").collect()
+    assert sorted({r.model for r in rows}) == ["a:70b", "a:7b"] and len(rows) == 4
