@@ -1,6 +1,6 @@
 """Mixing sources to target weights by a van der Corput schedule (DataFrame functions only).
 
-Every source's documents are shuffled (by a digest of the id) into one stream of words and
+Every source's documents are shuffled (by a digest of id and text) into one stream of words and
 cut into blocks of equal word counts.  The targets fix how many blocks each source gives;
 the blocks of all sources, laid end to end, are the cumulative weights in whole slots.
 The van der Corput point of a position (its bits reversed) says when that position is
@@ -10,7 +10,7 @@ stream, starting over at the end of the stream, and the last slot takes what is
 the target.  The schedule is joined with the blocks.
 
 No window sees a whole source: prefix sums and ranks run in chunks that grow in number
-with the data, plus one small table of chunk totals.
+with the data, plus one small table of chunk totals.  Only rows equal in id and text lie in one chunk whatever their number.
 
 Defined results: null texts have size 0 and are never taken; a null source is a source of
 its own, the last; documents of size 0 give taken 0; rows equal in id and text share their
@@ -37,11 +37,14 @@ def words_in(text: str) -> str:
 
 
 def sized(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
-    """uid, id, source, size and the shuffle order of every row, written once; whole texts are read here only."""
+    """uid, id, source, size and the shuffle order of every row, written once; whole texts are read here only.
+
+    The order goes by a digest of the id and the text, so rows without an id, or of one id, spread over the stream as others do."""
     return stored(docs.select(
         F.monotonically_increasing_id().alias("uid"), F.col(f"`{doc_id}`").cast("bigint").alias("id"),
         F.col(f"`{source}`").cast("string").alias("source"), F.expr(words_in(text)).cast("bigint").alias("size"),
-        F.expr(f"MD5(CONCAT('mix:', COALESCE(CAST(`{doc_id}` AS STRING), 'null')))").alias("ord")), "sized")
+        F.expr(f"MD5(CONCAT('mix:', COALESCE(CAST(`{doc_id}` AS STRING), 'null'), ':', MD5(COALESCE(`{text}`, ''))))")
+        .alias("ord")), "sized")
 
 
 def source_targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -88,7 +91,7 @@ def schedule(targets: DataFrame, block_words: int = BLOCK_WORDS, chunk: int = CH
     width = max(1, (1 << bits) // max(1, -(-n // chunk)))
     spans = quota.where("slots > 0").selectExpr(
         "*", f"EXPLODE(SEQUENCE(lo DIV {chunk}, (hi - 1) DIV {chunk})) AS c")
-    spans = spans.repartition(max(1, min(2000, -(-n // chunk))), "c")
+    spans = spans.repartition(max(1, -(-n // chunk)), "c")
     points = spans.selectExpr("sid", "source_size", "blocks", "quota", f"EXPLODE(SEQUENCE(GREATEST(lo, c * {chunk}),"
                               f" LEAST(hi, (c + 1) * {chunk}) - 1)) AS v")
     slots = points.selectExpr("*", f"CAST(CONV(REVERSE(LPAD(BIN(v), {bits}, '0')), 2, 10) AS BIGINT) AS slot")

@@ -83,3 +83,11 @@ def test_oracle_on_null_and_odd_sources(make):
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?)", rows)
     assert sorted(tuple(round(x, 6) for x in r) for r in con.execute(oracle.MIXING).fetchall()) == got
+
+
+def test_rows_without_or_of_one_id_spread_over_the_chunks(spark, make):
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i} of the many", "en", "s") for i in range(6000)]
+    sized = mixing.sized(make(rows), "doc_id", "text", "source")
+    assert sized.select("ord").distinct().count() == 6000
+    got = mixing.mix_totals(make(rows), chunk=100).collect()
+    assert len(got) == 6000 and sum(r.taken for r in got) == round(got[0].target)
