@@ -14,7 +14,9 @@ scores as its worst sentences do, mapped to a probability on the training docume
 
 Defined results: null and empty texts have no words and get the score of a document without
 any toxic word; a null id is not held out and not learnt from; if a document has several
-labels the largest counts; without labels of both kinds every score is 0; other columns are never read."""
+labels the largest counts; repeated rows are scored alike, and a repeated id is learnt from once; texts of any length are
+scored whole, and words beyond what training has seen do not dilute an insult; without labels of both kinds
+every score is 0; an empty table gives an empty result; other columns are never read."""
 
 from __future__ import annotations
 
@@ -32,18 +34,20 @@ from pyspark.sql import functions as F
 from scoreplane.llm.common import bounded_sample, excerpt, held_out
 
 MOD, REMAINDER = 4, 2
-MAX_TOXIC, MAX_CLEAN = 800, 1600  # labelled documents fitted on, taken in the order of a hash of the id
-MAX_CHARS = 40_000  # a longer training document gives a stretch of this length
-LANDMARKS = 192
+MAX_TOXIC, MAX_CLEAN = 1500, 3000  # labelled documents fitted on, taken in the order of a hash of the id
+MAX_CHARS = 40_000  # a longer clean training document gives a stretch of this length; a longer toxic one is not learnt from
+STEP = 20_000  # kernel terms multiplied at once
+LANDMARKS = 256
 SPAN, DECAY = 5, 0.5
 ACCEPT = 0.3
 CACHE = 200_000
-NEGATIVES = 4_000  # words of clean documents that the SVM sees: so many frequent, impure and look-alike ones each
-SURPRISE = 5.5  # standard deviations above chance from which a word is a first witness
+NEGATIVES = 6_000  # words of clean documents that the SVM sees: so many frequent, impure and look-alike ones each
+CHANCE = 0.5  # as many words of the same frequency may look as telling as a first witness by chance
 PURITY = 0.98  # share of a first witness's rate that lies in toxic documents
 SURE, LATER = 0.5, 0.5  # SVM score from which a word that no clean document has is a later witness; its margin
 BENT = 0.05  # weight of the first witnesses' variants with an inserted character
 REG = 1e-6
+LONGEST = 0.99  # quantile of the training documents' numbers of distinct words beyond which more words do not count
 LOWEST, HIGHEST = -1.5, 2.0  # word scores beyond say nothing more about the document
 
 #: Look-alike signs inside words.
@@ -127,10 +131,10 @@ def kernel(left: list[str], right: list[str]) -> np.ndarray:
     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
     hit = known[at] == s
     w, at, v = w[hit], at[hit], v[hit].astype(np.float32)
-    for a in range(0, len(w), 100_000):  # triples lie by word
-        part = w[a : a + 100_000]
+    for a in range(0, len(w), STEP):  # triples lie by word
+        part = w[a : a + STEP]
         first = np.flatnonzero(np.diff(part, prepend=-1))
-        out[part[first]] += np.add.reduceat(table[at[a : a + 100_000]] * v[a : a + 100_000, None], first)
+        out[part[first]] += np.add.reduceat(table[at[a : a + STEP]] * v[a : a + STEP, None], first)
     return out
 
 
@@ -160,14 +164,17 @@ def svm(x: np.ndarray, y: np.ndarray, margin: np.ndarray, weight: np.ndarray, re
 
 
 class Model:
-    """One weight per subsequence, a bias, and the map from a document's worst words to a probability."""
+    """One weight per subsequence, a bias, and the map from a document's worst words to a probability.
 
-    def __init__(self, table: np.ndarray, bias: float, scale: tuple[float, ...]):
-        self.table, self.bias, self.scale = table, bias, scale
+    ``longest`` is the largest number of distinct words that counts: what training has seen, so that a long clean text
+    around an insult cannot outweigh it."""
+
+    def __init__(self, table: np.ndarray, bias: float, scale: tuple[float, ...], longest: float = math.inf):
+        self.table, self.bias, self.scale, self.longest = table, bias, scale, longest
         self.cache: dict[str, float] = {}
 
     def __getstate__(self):
-        return self.table, self.bias, self.scale
+        return self.table, self.bias, self.scale, self.longest
 
     def __setstate__(self, state):
         self.__init__(*state)
@@ -191,7 +198,7 @@ class Model:
             top = sorted((self.cache[w] for w in bag), reverse=True)[:2] if bag else []
             out[i, : len(top)] = top
         out = np.clip(out, LOWEST, HIGHEST)
-        out[:, 2] = [math.log1p(len(bag)) for bag in bags]
+        out[:, 2] = [math.log1p(min(len(bag), self.longest)) for bag in bags]
         return out
 
     def probabilities(self, texts: list[str | None]) -> np.ndarray:
@@ -223,6 +230,19 @@ def variants(word: str) -> Iterator[str]:
         yield word[:i] + "x" + word[i:]
 
 
+def _tail(total: int, at_least: int, share: float) -> float:
+    """The chance that of ``total`` documents, each toxic by ``share``, so many or more are."""
+    if at_least <= share * total:
+        return 1.0
+    term = math.exp(math.lgamma(total + 1) - math.lgamma(at_least + 1) - math.lgamma(total - at_least + 1)
+                    + at_least * math.log(share) + (total - at_least) * math.log1p(-share))
+    out = 0.0
+    for n in range(at_least, total + 1):
+        out += term
+        term *= (total - n) / (n + 1) * share / (1 - share)
+    return out
+
+
 def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, turns: int = 4) -> Model:
     """Train on the sentences of toxic and clean documents."""
     if not toxic or not clean:
@@ -236,7 +256,8 @@ def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, turns: i
     pure = {w for w, n in bad.items() if n / len(toxic) >= PURITY * (n / len(toxic) + good[w] / len(clean))}
     surprise = {w: (n - share * (n + good[w])) / math.sqrt(share * (1 - share) * (n + good[w])) for w, n in bad.items()}
     ranked = sorted(surprise, key=lambda w: (-surprise[w], w))
-    first = [w for w in ranked if surprise[w] > SURPRISE and w in pure]
+    alike = Counter(n + good[w] for w, n in bad.items()) + Counter(n for w, n in good.items() if w not in bad)
+    first = [w for w in ranked if w in pure and alike[bad[w] + good[w]] * _tail(bad[w] + good[w], bad[w], share) < CHANCE]
     if not first:
         return Model(np.zeros(ALPHABET**3), 0.0, ())
     common = sorted(good, key=lambda w: (-good[w], w))
@@ -276,6 +297,7 @@ def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, turns: i
     x = np.vstack((model.worst(toxic), model.worst(clean)))
     y = np.concatenate((np.ones(len(toxic)), -np.ones(len(clean))))
     model.scale = _logistic(x, y)
+    model.longest = float(np.quantile(np.expm1(x[:, 2]), LONGEST))
     return model
 
 
@@ -290,13 +312,17 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model:
-    """Fit on at most ``max_toxic`` and ``max_clean`` labelled documents outside the held-out part."""
+    """Fit on at most ``max_toxic`` and ``max_clean`` labelled documents outside the held-out part.
+
+    One text of each id comes to the driver (of several the smallest); a toxic one beyond ``MAX_CHARS`` does not, as a
+    stretch of it need not hold what makes it toxic."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(f"NOT {held_out('doc_id', MOD, REMAINDER)}")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("y"))
     ids = bounded_sample(known, "y", "doc_id", max(max_toxic, max_clean)).where(
         f"_rank <= IF(y = 1, {max_toxic}, {max_clean})").select("doc_id", "y")
     rows = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").join(F.broadcast(ids), "doc_id").selectExpr(
-        "doc_id", "y", f"{excerpt('text', 'doc_id', MAX_CHARS)} AS t").collect()
+        "doc_id", "y", f"{excerpt('text', 'doc_id', MAX_CHARS)} AS t", f"LENGTH(text) > {MAX_CHARS} AS cut").where(
+        "y = 0 OR NOT COALESCE(cut, FALSE)").groupBy("doc_id", "y").agg(F.min("t").alias("t")).collect()
     rows = sorted((r.doc_id, r.y, r.t or "") for r in rows)
     return fit([t for _, y, t in rows if y == 1], [t for _, y, t in rows if y == 0])
 

@@ -156,6 +156,54 @@ def test_toxicity_held_out(spark, sf_mid):
     assert tp / (tp + fn) > 0.6 and tn / (tn + fp) > 0.9
 
 
+@pytest.fixture(scope="module")
+def large_model(spark):
+    sf = "/root/testdata/sf0.1"
+    return toxicity.train(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+def test_toxicity_held_out_by_language(spark, large_model):
+    sf = "/root/testdata/sf0.1"
+    told = {r.doc_id: r.toxic for r in table(spark, sf, "labels").collect()}
+    lang = {r.doc_id: r.lang for r in table(spark, sf, "documents").select("doc_id", "lang").collect()}
+    got = [r for r in toxicity.scores(table(spark, sf, "documents"), large_model).collect() if r.held_out and r.doc_id in told]
+    toxic = [r for r in got if told[r.doc_id] == 1]
+    assert sum(r.predicted for r in toxic) >= 0.9 * len(toxic)
+    for name in {lang[r.doc_id] for r in toxic}:
+        own = [r.predicted for r in toxic if lang[r.doc_id] == name]
+        assert len(own) < 10 or sum(own) > 0.5 * len(own), (name, sum(own), len(own))
+    clean = [r.predicted for r in got if told[r.doc_id] == 0]
+    assert sum(clean) <= 0.02 * len(clean)
+
+
+def test_an_insult_in_a_very_long_text_is_found(spark, make, large_model):
+    sf = "/root/testdata/sf0.1"
+    rows = table(spark, sf, "documents").join(table(spark, sf, "labels").where("toxic = 0"), "doc_id").where(
+        "lang = 'en'").orderBy("doc_id").select("text").collect()
+    text = " ".join(r.text or "" for r in rows)
+    text = (text * (1 + 1_000_000 // len(text)))[:1_000_000]
+    half = len(text) // 2
+    insult = text[:half] + " . You are a stupid worthless idiot . " + text[half:]
+    got = {r.doc_id: r for r in toxicity.scores(make([(1, text), (2, insult)]), large_model).collect()}
+    assert got[1].predicted == 0 and got[2].predicted == 1 and got[2].score > 0.8
+
+
+def test_toxicity_learns_from_one_row_of_an_id(spark, make):
+    labels = spark.createDataFrame([(i, 1, int(i < 20)) for i in range(60)], "doc_id bigint, quality int, toxic int")
+    once = [(i, f"word{i} some talk and " + ("vile brute" if i < 20 else "fine friend") + f" of day{i}") for i in range(60)]
+    a, b = (toxicity.train(make(rows), labels) for rows in (once, once + [once[3]] * 50 + [once[40]] * 50))
+    assert np.array_equal(a.table, b.table) and a.scale == b.scale
+    long_toxic = [(i, t + " x" * 30_000 if i < 20 else t) for i, t in once]
+    assert toxicity.scores(make(once), toxicity.train(make(long_toxic), labels)).where("score > 0").count() == 0
+
+
+def test_rare_pure_words_by_chance():
+    from math import comb
+    for total, n, share in ((5, 5, 0.2), (10, 7, 0.3), (40, 1, 0.5), (3, 0, 0.1)):
+        exact = sum(comb(total, k) * share**k * (1 - share)**(total - k) for k in range(n, total + 1))
+        assert abs(toxicity._tail(total, n, share) - (1.0 if n <= share * total else exact)) < 1e-12
+
+
 def kernel_by_hand(a, b):
     def phi(w):
         c, v = toxicity.codes(w), {}
