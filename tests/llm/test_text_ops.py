@@ -197,13 +197,6 @@ def test_toxicity_learns_from_one_row_of_an_id(spark, make):
     assert toxicity.scores(make(once), toxicity.train(make(long_toxic), labels)).where("score > 0").count() == 0
 
 
-def test_rare_pure_words_by_chance():
-    from math import comb
-    for total, n, share in ((5, 5, 0.2), (10, 7, 0.3), (40, 1, 0.5), (3, 0, 0.1)):
-        exact = sum(comb(total, k) * share**k * (1 - share)**(total - k) for k in range(n, total + 1))
-        assert abs(toxicity._tail(total, n, share) - (1.0 if n <= share * total else exact)) < 1e-12
-
-
 def kernel_by_hand(a, b):
     def phi(w):
         c, v = toxicity.codes(w), {}
