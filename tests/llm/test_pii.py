@@ -76,6 +76,37 @@ def test_context_runs_back_over_other_matches(make):
     assert all(got[i].n_added == 0 for i in (*range(12), 22))
 
 
+def test_backed_off_patterns(make):
+    fill = ["ona", "bel", "cor", "dun", "eft", "fag", "gim", "hol", "ist", "jaw", "kep", "lom"]
+    rows = [(n, f"{w} tel +1 (202) 555-01{n:02d} {w}") for n, w in enumerate(fill)]  # the word before that always differs
+    texts = {20: ("we said tel 555-0199 there", "phone:12:20"),  # by the one word
+             21: ("x" * 70 + " tel 555-0188 now", "phone:75:83"),  # the word before is a long one
+             22: ("x" * 70 + "tel 555-0177 now", ""),  # a cut word is no pattern
+             23: ("we said hotel 555-0166 there", "")}
+    got = {r.doc_id: r for r in pii.find(make(rows + [(i, t) for i, (t, _) in texts.items()])).collect()}
+    assert {i: got[i].spans for i in texts} == {i: want for i, (_, want) in texts.items()}
+
+
+def test_words_around_and_noise(make):
+    # "the" stands before all kinds and plain numbers: no pattern by itself, but with the word behind
+    rows = [(n, f"w{n}w uses the +1 (202) 555-01{n:02d} line") for n in range(8)]
+    rows += [(100 + n, f"in part w{n}w the {1000 + n} of it") for n in range(40)]
+    rows += [(20, "some call the 555-0199 line"), (21, "some call the 555-0188 house")]
+    got = {r.doc_id: r for r in pii.find(make(rows)).collect()}
+    assert got[20].spans == "phone:14:22" and got[21].spans == ""
+    assert all(got[100 + n].n_added == 0 for n in range(40))
+
+
+def test_later_rounds_go_by_shape(make, spark):
+    # round 1 learns local numbers behind "my phone is", whose shape behind "ring" is a pattern of round 2
+    rows = [(n, f"my phone is +1 (202) 555-01{n:02d} ok") for n in range(30)]
+    rows += [(100 + n, f"my phone is 555-02{n:02d} or w{n}w ring 555-02{n:02d} v{n}v") for n in range(6)]
+    rows += [(200, "you ring 555-0399 at noon"), (201, "you ring 12 times")] + [(300 + n, f"you ring a{n}b times") for n in range(12)]
+    got = {r.doc_id: r for r in pii.find(make(rows)).collect()}
+    assert got[200].spans == "phone:9:17" and got[201].spans == ""
+    assert all(got[300 + n].spans == "" for n in range(12))
+
+
 def test_odd_rows(make, odd):
     got = pii.find(make(odd)).collect()
     assert len(got) == len(odd)
