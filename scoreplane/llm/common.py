@@ -52,19 +52,23 @@ def held_out(doc_id: str, mod: int, remainder: int) -> str:
     return f"COALESCE(CRC32(CAST(`{doc_id}` AS STRING)) % {mod} = {remainder}, FALSE)"
 
 
-def bounded_sample(rows: DataFrame, kind: str, key: str, most: int, slack: float = 2.0) -> DataFrame:
+def bounded_sample(rows: DataFrame, kind: str, key: str, most: int, slack: float = 2.0, in_all: int | None = None) -> DataFrame:
     """At most ``most`` rows of every value of ``kind``: the first in the order of a hash of ``key``.
 
+    Where the kinds are so many that these would exceed ``in_all``, each has an equal share of it, one row at least.
+
     The rows of each kind are counted first; only those whose hash lies in the share that holds about
-    ``slack`` times the sample go on to the exact cut, so the work after the count is bounded however many
+    ``slack`` times the sample and 32 (so that a small one is full, too) go on to the exact cut, so the work after the count is bounded however many
     rows and partitions there are.  The counts are one row per kind, of which each becomes a part of a model."""
     spark = rows.sparkSession
     counts = rows.groupBy(kind).agg(F.count(F.lit(1)).alias("n")).collect()
     if not counts:
         return rows.withColumn("_rank", F.lit(1))
+    if in_all is not None:
+        most = max(1, min(most, in_all // len(counts)))
     told = spark.createDataFrame([(r[0], r[1]) for r in counts], f"`{kind}` {rows.schema[kind].dataType.simpleString()}, `_n` bigint")
     marked = rows.join(F.broadcast(told), kind).withColumn("_u", F.expr(f"PMOD(XXHASH64({key}), 1073741824)"))
-    near = marked.where(F.expr(f"_u < {slack * most} / _n * 1073741824"))
+    near = marked.where(F.expr(f"_u < {slack * most + 32} / _n * 1073741824"))
     order = Window.partitionBy(kind).orderBy("_u", F.expr(key))
     return near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).drop("_n", "_u")
 

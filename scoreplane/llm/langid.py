@@ -5,12 +5,17 @@ encoded in chunks with every dictionary; the language that encodes the whole tex
 wins.  The margin to the runner-up, in bytes per chunk encoded, must not be narrow for the
 result to be accepted; the score is the winner's share under weights 2^(-saved bits per chunk).
 
+The model is bounded: a language has at most EXCERPTS excerpts, and where there are so many languages that these
+would exceed ALL_EXCERPTS, each has an equal share, one at least.  The number of languages itself is that of the
+distinct non-null lang values, each of which is a class.
+
 Every language keeps all its training text up to DICTIONARY_BYTES.  Shorter text is repeated to the length of the
 longest dictionary, so that all are searched with the same parameters and distances cost the same.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; ties go to the
 first language in order; a null id is not held out and not learnt from; without any training text all
-are ``und``; repeated rows get equal results; other columns are never read."""
+are ``und``; a long text is encoded whole, a chunk at a time; an empty table gives no rows; repeated rows get equal
+results; other columns are never read."""
 
 from __future__ import annotations
 
@@ -30,6 +35,7 @@ DICTIONARY_BYTES = 400_000  # training text held for each language
 LEAST_BYTES = 8  # zstandard takes no shorter dictionary
 EXCERPT_CHARS = 1024  # at most so much of one training document
 EXCERPTS = 400  # training documents for each language, in the order of a digest of the id
+ALL_EXCERPTS = 80_000  # training documents in all: what the driver collects and the tasks hold
 CHUNK = 1024
 LEVEL = 6
 MARGIN = 0.02  # smallest accepted saving over the runner-up, as a share of the winner's bytes
@@ -88,13 +94,13 @@ class Model:
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Dictionaries from at most EXCERPTS excerpts for each language, outside the held-out part.
+    """Dictionaries from at most EXCERPTS excerpts for each language, ALL_EXCERPTS in all, outside the held-out part.
 
     The excerpt of a training document starts at a place that depends on its id."""
     rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("i"), F.col(f"`{lang}`").alias("lang"),
                        F.col(f"`{text}`").alias("t"), F.expr(held_out(doc_id, MOD, REMAINDER)).alias("out"))
     rows = rows.where("NOT out AND i IS NOT NULL AND lang IS NOT NULL AND t <> ''").select("lang", "i", "t")
-    found = bounded_sample(rows, "lang", "i", EXCERPTS).selectExpr(
+    found = bounded_sample(rows, "lang", "i", EXCERPTS, in_all=ALL_EXCERPTS).selectExpr(
         "lang", "_rank AS n", f"{excerpt('t', 'i', EXCERPT_CHARS)} AS t").where("t RLIKE '\\\\p{L}'").collect()
     texts: dict[str, list[tuple[int, str]]] = {}
     for r in found:

@@ -10,7 +10,8 @@ tasks over whole texts, a bounded number of chunks at a time.
 
 Defined results: null and empty texts are one chunk of padding; a null id is not held out and not
 learnt from; if a document has several labels the smallest counts; without labels of both kinds
-every score is 0.5; repeated rows get equal results; other columns are never read."""
+every score is 0.5; a score of exactly 0.5 is predicted 1; an empty table gives no rows; repeated rows get equal
+results; other columns are never read."""
 
 from __future__ import annotations
 
@@ -114,12 +115,14 @@ class Network:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_each: int = MAX_EACH) -> Network:
-    """Fit on at most ``max_each`` labelled documents of each kind, outside the held-out part."""
+    """Fit on at most ``max_each`` labelled documents of each kind, outside the held-out part.
+
+    One text of each id comes to the driver, of several the smallest."""
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(f"NOT {held_out('doc_id', MOD, REMAINDER)}")
     known = known.groupBy("doc_id").agg(F.min("quality").alias("y"))
     ids = bounded_sample(known, "y", "doc_id", max_each).select("doc_id", "y")
     rows = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").join(F.broadcast(ids), "doc_id").selectExpr(
-        "doc_id", "y", f"{excerpt('text', 'doc_id', MAX_CHARS)} AS t").collect()
+        "doc_id", "y", f"{excerpt('text', 'doc_id', MAX_CHARS)} AS t").groupBy("doc_id", "y").agg(F.min("t").alias("t")).collect()
     rows = sorted((r.doc_id, r.y, r.t or "") for r in rows)
     y = np.array([r[1] for r in rows], np.float32)
     net = Network()
