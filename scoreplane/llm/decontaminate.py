@@ -5,8 +5,9 @@ pieces, at least one piece of such an occurrence is untouched, so the exact hits
 pieces (one Aho-Corasick pass over the whole text) point at every place that can match.  The
 surroundings of the hits are verified with Myers' bit-parallel edit distance.
 
-Items go out in blocks of bounded size, one pass over the documents for each block, so a test
-set of any size is searched whole with bounded memory.
+Items go out in blocks of bounded size, one pass over the documents for each block.  With several blocks each
+pass's result is written before the next block is read, so the driver and a task hold one block at a
+time, and a test set of any size is searched whole with bounded memory.
 
 Both sides are compared as lower-cased runs of letters and digits with one blank between.
 Defined results: null or empty texts and items without a letter or digit match nothing; an
@@ -23,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scoreplane.llm.common import stored
+
 RATE = 0.08
 BLOCK_CHARS = 4_000_000
 NORMAL = r"TRIM(REGEXP_REPLACE(LOWER(COALESCE(`{}`, '')), '[^\\p{{L}}\\p{{N}}]+', ' '))"
@@ -125,14 +128,14 @@ def _merged(spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
     yield a, b
 
 
-def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_chars: int) -> Iterator[list[Item]]:
-    """The normalised items in blocks of about ``block_chars`` characters."""
+def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_chars: int) -> Iterator[tuple[list[Item], bool]]:
+    """The normalised items in blocks of about ``block_chars`` characters, and whether there are several."""
     items = benchmark.select(F.col(f"`{item_id}`").cast("bigint").alias("i"), F.expr(NORMAL.format(text)).alias("t")).where(
         "t <> ''")
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = -(-total // block_chars)
     for n in range(blocks):
-        yield [tuple(r) for r in items.where(f"PMOD(XXHASH64(i, t), {blocks}) = {n}").orderBy("i", "t").collect()]
+        yield [tuple(r) for r in items.where(f"PMOD(XXHASH64(i, t), {blocks}) = {n}").orderBy("i", "t").collect()], blocks > 1
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
@@ -141,7 +144,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
     rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("i"), F.expr(NORMAL.format(text)).alias("t")).where("t <> ''")
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("match_end", pa.int32())])
     out = None
-    for items in item_blocks(benchmark, item_id, item_text, block_chars):
+    for items, several in item_blocks(benchmark, item_id, item_text, block_chars):
 
         def search(batches: Iterator[pa.RecordBatch], items: list[Item] = items) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(items, rate)
@@ -151,6 +154,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
                     [pa.array([r[c] for r in found], schema.field(c).type) for c in range(4)], schema=schema)
 
         part = rows.mapInArrow(search, "doc_id bigint, item_id bigint, distance int, match_end int")
+        if several:
+            part = stored(part, "decontaminate-matches")
         out = part if out is None else out.unionByName(part)
     if out is None:
         return rows.where("FALSE").selectExpr("i AS doc_id", "i AS item_id", "0 AS distance", "0 AS match_end")
@@ -161,7 +166,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: st
           rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` in which no item occurs, all columns as they came; no shuffle."""
     columns, schema = docs.columns, docs.schema
-    for items in item_blocks(benchmark, item_id, item_text, block_chars):
+    for items, several in item_blocks(benchmark, item_id, item_text, block_chars):
 
         def keep(batches: Iterator[pa.RecordBatch], items: list[Item] = items) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(items, rate)
@@ -173,4 +178,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: st
                              F.expr(NORMAL.format(text)).alias("normal"))
         row = "row struct<" + ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in schema) + ">"
         docs = packed.mapInArrow(keep, row).select("row.*")
+        if several:
+            docs = stored(docs, "decontaminate-clean")
     return docs
