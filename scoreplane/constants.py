@@ -58,7 +58,13 @@ RUN_SUMMARY_COLUMNS = [
     "Categoria", "Accuracy", "F1-Score (Weighted)", "Precision (Weighted)", "Recall (Weighted)",
 ]
 
+# Report headings as they are displayed.
+DISPLAY_NAMES = {"Temperatura": "Temp.", "Tempo de Execucao Total (s)": "Tempo (s)"}
 RULE_LINE = r"    \midrule"
+# A group's first cell (rows, text), a subgroup's (rows, text), and the cell of a missing number.
+GROUP_CELL = r"\multirow{%d}{*}{\textbf{%s}}"
+SUBGROUP_CELL = r"\multirow{%d}{*}{%s}"
+NO_NUMBER = "nan"
 ERR_NO_CATEGORIES = "Nenhuma categoria com métricas válidas para calcular a média geral."
 
 # --- fixed values: slug folding (characters and replacements, in order) ----

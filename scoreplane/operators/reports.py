@@ -150,12 +150,9 @@ def report_columns(with_metrics: bool = True, with_temperature: bool = True, wit
     return cols
 
 
-DISPLAY_NAMES = {"Temperatura": "Temp.", "Tempo de Execucao Total (s)": "Tempo (s)"}
-
-
 def display_names(df: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
     """Rename columns for display (P9); names that are absent are ignored."""
-    names = DISPLAY_NAMES if names is None else names
+    names = K.DISPLAY_NAMES if names is None else names
     return df.withColumnsRenamed({k: v for k, v in names.items() if k in df.columns})
 
 
@@ -182,14 +179,14 @@ def report_rows(report: DataFrame, metric_cols: Sequence[str], group_col: str =
     cells = []
     rn_g = F.row_number().over(w_g)
     n_g = F.count(F.lit(1)).over(Window.partitionBy(group_col))
-    g_text = F.format_string("\\multirow{%d}{*}{\\textbf{%s}}", n_g, escape_special(group_col, True))
+    g_text = F.format_string(K.GROUP_CELL, n_g, escape_special(group_col, True))
     cells.append(F.when(rn_g == 1, g_text).otherwise(F.lit("")))
     out_cols = [F.col(group_col), (rn_g == 1).alias("show_group"), n_g.alias("group_rows")]
     if sub_col:
         w_s = Window.partitionBy(group_col, sub_col).orderBy(*order[2:] or [F.lit(1)])
         rn_s = F.row_number().over(w_s)
         n_s = F.count(F.lit(1)).over(Window.partitionBy(group_col, sub_col))
-        s_text = F.format_string("\\multirow{%d}{*}{%s}", n_s, escape_special(sub_col))
+        s_text = F.format_string(K.SUBGROUP_CELL, n_s, escape_special(sub_col))
         cells.append(F.when(rn_s == 1, s_text).otherwise(F.lit("")))
         out_cols += [F.col(sub_col), (rn_s == 1).alias("show_sub"), n_s.alias("sub_rows")]
     if temp_col:
@@ -197,7 +194,7 @@ def report_rows(report: DataFrame, metric_cols: Sequence[str], group_col: str =
         cells.append(F.when(t.isNotNull(), fixed(t, places)).otherwise(escape_special(temp_col)))
         out_cols.append(F.col(temp_col))
     for m in metric_cols:
-        cells.append(F.coalesce(fixed(settled(F.col(f"`{m}`")), places), F.lit("nan")))
+        cells.append(F.coalesce(fixed(settled(F.col(f"`{m}`")), places), F.lit(K.NO_NUMBER)))
     # a rule stands before the first row of every group but the first one in the order
     rule = (rn_g == 1) & (F.col(group_col) != report.agg(F.min(group_col)).scalar())
     text = F.concat(F.lit("    "), F.concat_ws(" & ", *cells), F.lit(" \\\\"))

@@ -20,6 +20,8 @@ from typing import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scoreplane import constants as K
+from scoreplane.functions.sqltext import lit
 from scoreplane.operators.pairs import FieldSpec
 from scoreplane.sources.tables import code_fingerprint, materialize, plan_fingerprint
 
@@ -92,7 +94,7 @@ GENERATION_STAGES: list[Stage] = [
     [
         ("dataset_idx", "CASE WHEN s = 4 THEN -1 WHEN s = 5 THEN NULL ELSE item_id END"),
         ("property_id", "item_id + 1"),
-        ("status_api_call", "CASE WHEN s = 2 THEN NULL WHEN s = 0 THEN 'falha' ELSE 'sucesso' END"),
+        ("status_api_call", "CASE WHEN s = 2 THEN NULL WHEN s = 0 THEN " + lit(K.CALL_FAILED) + " ELSE " + lit(K.CALL_OK) + " END"),
         ("latency_s", "CASE WHEN s = 2 THEN NULL ELSE "
                       "CAST((item_id * 37 + m * 101 + t * 53) % 5000 AS DOUBLE) / 1000 + 0.25 END"),
         ("n_images", "CASE WHEN s = 2 THEN 0 ELSE (item_id % 4) + 1 END"),

@@ -146,8 +146,11 @@ oracle("confusion_matrix_pivot",
          "AND c.field = g.field AND c.y_true = g.label AND c.y_pred IN (" + ", ".join(f"'{l}'" for l in _LANG) + ") "
          "WHERE g.field = 'Language' GROUP BY g.model, g.temperature, g.label")
 oracle("per_class_map",
+       "SELECT p.model, p.temperature, p.field, g.labels_used, g.n_labels, p.label, round(p.precision, 6) AS precision, "
+       "round(p.recall, 6) AS recall, round(p.f1, 6) AS f1_score, CAST(p.support_true AS BIGINT) AS support_ground_truth, "
+       "CAST(p.support_pred AS BIGINT) AS support_predicted FROM pcs p JOIN ("
        "SELECT model, temperature, field, string_agg(label, '|' ORDER BY label) AS labels_used, "
-       "CAST(count(*) AS INTEGER) AS n_labels, round(arg_min(f1, label), 6) AS first_label_f1 FROM pcs GROUP BY ALL")
+       "CAST(count(*) AS INTEGER) AS n_labels FROM pcs GROUP BY ALL) g USING (model, temperature, field)")
 oracle("observed_labels",
        "SELECT field, y_true AS label FROM counts UNION SELECT field, y_pred AS label FROM counts")
 oracle("vocab_with_placeholders",
@@ -374,15 +377,15 @@ PROMPTS = ("SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'system') A
 oracle("request_assembly", PROMPTS, base=False)
 RESP = ("CASE WHEN prompt = '' THEN NULL ELSE 'Result:' || chr(10) || '```json' || chr(10) || '{\"n_chars\": ' || "
         "CAST(length(prompt) AS VARCHAR) || ', \"n_images\": 0}' || chr(10) || '```' END")
-oracle("batch_generate", f"SELECT conv_id AS request_id, 'alpha-vl:7b' AS model, "
-       f"CASE WHEN prompt = '' THEN 'falha' ELSE 'sucesso' END AS status_api_call, {RESP} AS raw_answer FROM ({PROMPTS})",
-       base=False)
+_RUNS = ("(SELECT unnest([" + ", ".join(f"'{m}'" for m in A.MODELS) + "]) AS model) g CROSS JOIN (SELECT unnest(["
+         + ", ".join(f"{t}::DOUBLE" for t in A.TEMPERATURES) + "]) AS temperature) t")
+oracle("batch_generate", f"SELECT conv_id AS request_id, model, temperature, CASE WHEN prompt = '' THEN '{K.CALL_FAILED}' "
+       f"ELSE '{K.CALL_OK}' END AS status_api_call, {RESP} AS raw_answer FROM ({PROMPTS}) p CROSS JOIN {_RUNS}", base=False)
 _ITEMS = (f"SELECT p.*, p.conv_id % 7 <> 3 AS found, CASE WHEN p.conv_id % 7 <> 3 AND p.conv_id % 5 <> 4 AND "
           f"p.conv_id IN (SELECT page_id FROM pages) THEN 1 + CASE WHEN p.conv_id % 3 = 0 THEN 1 ELSE 0 END ELSE 0 END AS n_images "
           f"FROM ({PROMPTS}) p")
 _GRID2 = (f"SELECT p.*, g.model, t.temperature, found AND n_images > 0 AND prompt <> '' AS ok FROM ({_ITEMS}) p "
-          f"CROSS JOIN (SELECT '{A.MODELS[0]}' AS model UNION ALL SELECT '{A.MODELS[1]}') g "
-          f"CROSS JOIN (SELECT 0.0::DOUBLE AS temperature UNION ALL SELECT 0.5::DOUBLE) t")
+          f"CROSS JOIN {_RUNS}")
 _NO_DIR = "'Diretório para ''' || conv_id::VARCHAR || ''' não encontrado.'"
 _MESSAGE = (f"CASE WHEN NOT found THEN {_NO_DIR} "
             "WHEN n_images = 0 THEN 'Nenhuma imagem codificada para API.' WHEN prompt = '' THEN 'empty prompt' END")

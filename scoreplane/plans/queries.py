@@ -83,10 +83,11 @@ def confusion_matrix_pivot(spark, sf):
 @query
 def per_class_map(spark, sf):
     m = classify.per_class_map(E.per_class(spark, sf), RUN)
-    return m.select(*RUN, "field", F.array_join("labels_used_for_metrics", "|").alias("labels_used"),
-                    F.size("metrics_per_class").alias("n_labels"),
-                    r6(F.try_element_at("metrics_per_class", F.element_at("labels_used_for_metrics", 1))
-                       .getField("f1-score")).alias("first_label_f1"))
+    rows = m.select(*RUN, "field", F.array_join("labels_used_for_metrics", "|").alias("labels_used"),
+                    F.size("metrics_per_class").alias("n_labels"), F.explode("metrics_per_class").alias("label", "m"))
+    return rows.select(*RUN, "field", "labels_used", "n_labels", "label", *[
+        r6(F.col("m").getField(name)).alias(name.replace("-", "_")) for name in ("precision", "recall", "f1-score")],
+        *[F.col("m").getField(f"support_{side}").cast("long").alias(f"support_{side}") for side in ("ground_truth", "predicted")])
 
 
 @query
@@ -115,7 +116,7 @@ def oov_rate(spark, sf):
 @query
 def no_vocab_metrics(spark, sf):
     """Fields without a vocabulary are scored over their observed labels."""
-    dim = P.field_dimension(spark, [P.FieldSpec(f.name, f.gt_col) for f in A.FIELDS[:2]])
+    dim = P.field_dimension(spark, [P.FieldSpec(f.name, f.gt_col) for f in A.FIELDS])
     s = classify.summary(E.counts(spark, sf), dim, RUN)
     return s.select(*RUN, "field", r6("accuracy").alias("accuracy"), r6("precision_weighted").alias("precision_weighted"),
                     r6("recall_weighted").alias("recall_weighted"), r6("f1_score_weighted").alias("f1_score_weighted"), "error")
@@ -553,18 +554,18 @@ CALL_TASKS = 16
 @query
 def batch_generate(spark, sf):
     from scoreplane.operators.generate import batch_generate as call
-    requests = G.experiment_grid(_prompts(spark, sf), A.MODELS[:1], [0.0]).select(
-        "request_id", "model", G.request_struct(F.col("model"), F.col("temperature"), F.col("system"), F.col("prompt"))
+    requests = G.experiment_grid(_prompts(spark, sf), A.MODELS, A.TEMPERATURES).select(
+        "request_id", *RUN, G.request_struct(F.col("model"), F.col("temperature"), F.col("system"), F.col("prompt"))
         .alias("request"))
     out = A.cached_generation("batch", requests, stub_generate, lambda r, g: call(r, g, CALL_TASKS))
-    return out.select("request_id", "model", "status_api_call", "raw_answer")
+    return out.select("request_id", *RUN, "status_api_call", "raw_answer")
 
 
 def _grid_output(spark, sf):
     from scoreplane.operators.generate import run_grid
     items, dirs, files = _work(spark, sf)
     return A.cached_generation("grid", items, stub_generate, lambda r, g: run_grid(
-        r, A.MODELS[:2], A.TEMPERATURES[:2], g, CALL_TASKS, dirs, files))
+        r, A.MODELS, A.TEMPERATURES, g, CALL_TASKS, dirs, files))
 
 
 @query
