@@ -79,28 +79,6 @@ def excerpt(text: str, key: str, chars: int) -> str:
             f" 1 + INT(PMOD(XXHASH64({key}), LENGTH({text}) - {chars})), {chars}))")
 
 
-def grouped(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """Stream (key, rows) from batches in which the rows of a key lie together; holds one group at a time."""
-    parts: list[pd.DataFrame] = []
-    current: tuple | None = None
-    for batch in batches:
-        if not len(batch):
-            continue
-        change = (batch[list(keys)] != batch[list(keys)].shift()).any(axis=1).to_numpy()
-        change[0] = True
-        starts = [*change.nonzero()[0], len(batch)]
-        for a, b in zip(starts, starts[1:]):
-            piece = batch.iloc[a:b]
-            key = tuple(piece.iloc[0][list(keys)])
-            if key != current:
-                if parts:
-                    yield current, pd.concat(parts) if len(parts) > 1 else parts[0]
-                parts, current = [], key
-            parts.append(piece)
-    if parts:
-        yield current, pd.concat(parts) if len(parts) > 1 else parts[0]
-
-
 def batched(frame_rows: Iterator[tuple], columns: Sequence[str], size: int = 4096) -> Iterator[pd.DataFrame]:
     """Gather output tuples into data frames of ``size`` rows."""
     rows: list[tuple] = []

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 
 WORDS = 5
 _PRIME = np.uint64(0x100000001B3)
 _STEP = 1 << 22
+_COLUMNS = 512
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -58,13 +60,18 @@ def digest(values: np.ndarray) -> str:
     return hashlib.blake2b(values.tobytes(), digest_size=16).hexdigest()
 
 
-def tree_keys(values: np.ndarray, trees: int, depth: int, seed: int = 7) -> np.ndarray:
-    """For each tree, one 64-bit name of its prefix of ``depth`` MinHash values."""
+@lru_cache(maxsize=8)
+def _permutations(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
-    a = rng.integers(1, 2**63, trees * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    c = rng.integers(0, 2**63, trees * depth, dtype=np.uint64)
-    low = np.array([(values * x + y).min() for x, y in zip(a, c)], np.uint64).reshape(trees, depth)
-    key = np.zeros(trees, np.uint64)
-    for j in range(depth):
-        key = _mix(key + low[:, j] + np.uint64(j + 1))
-    return key.view(np.int64)
+    factor = rng.integers(0, 2**31, (count, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    return factor, rng.integers(0, 2**32, (count, 1), dtype=np.uint32)
+
+
+def minhash(values: np.ndarray, count: int, seed: int = 7) -> np.ndarray:
+    """The low 16 bits of ``count`` MinHash values of a whole set, which goes through in short steps."""
+    factor, shift = _permutations(count, seed)
+    high = (values >> np.uint64(32)).astype(np.uint32)
+    low = np.full(count, 2**32 - 1, np.uint32)
+    for a in range(0, len(high), _COLUMNS):
+        np.minimum(low, (high[a : a + _COLUMNS] * factor + shift).min(axis=1), out=low)
+    return low.astype(np.uint16)

@@ -1,6 +1,9 @@
 import hashlib
+import math
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
 import brute
@@ -134,6 +137,70 @@ def test_matched_depth_reaches_target():
         near_dup.matched_depth(0.1, 0.9999, 2, 6)
 
 
+def test_agreement_misses_a_hundredth_of_the_allowance():
+    least = near_dup.agreement(0.8, 0.9999, 96)
+
+    def below(n):
+        return sum(math.comb(96, i) * 0.8**i * 0.2 ** (96 - i) for i in range(n))
+
+    assert below(least) <= 1e-6 < below(least + 1)
+
+
+def test_equal_values_follow_the_similarity():
+    rng = np.random.default_rng(5)
+    for shared in (0, 300, 800, 1000):  # of 1,000 in all, the rest half and half
+        a = rng.integers(0, 2**64, 1000, dtype=np.uint64)
+        rest = (1000 - shared) // 2
+        one, two = np.sort(a[: shared + rest]), np.sort(np.concatenate((a[:shared], a[shared + rest :])))
+        equal = np.mean([shingles.minhash(one, 96, s) == shingles.minhash(two, 96, s) for s in range(40)])
+        assert abs(equal - shared / 1000) < 0.03
+
+
+def test_minhash_of_long_sets_in_steps(monkeypatch):
+    values = shingles.shingle_set(" ".join(f"w{i}" for i in range(3000)))
+    whole = shingles.minhash(values, 96)
+    monkeypatch.setattr(shingles, "_COLUMNS", 7)
+    assert (shingles.minhash(values, 96) == whole).all()
+
+
+def test_blocks_run_on_over_batches():
+    rows = pd.DataFrame({"t": 0, "h": [1, 2, 2, 2, 2, 3, 4, 4], "lo": 0, "hi": 0, "cid": range(8)})
+    for size in (1, 2, 3, 8):
+        batches = (rows.iloc[a : a + size] for a in range(0, 8, size))
+        assert [(k[1], b["cid"].tolist()) for k, b in near_dup._blocks(batches)] == [(2, [1, 2, 3, 4]), (4, [6, 7])]
+
+
+def test_open_pairs_by_hand():
+    rng = np.random.default_rng(3)
+    for n in (2, 9):
+        for _ in range(60):
+            labels = rng.integers(0, 2, (n, 4, near_dup.FULL_DEPTH)).astype(np.uint16)
+            rows = {"labels": [x.tobytes() for x in labels], "side": rng.integers(0, 2, n)}
+            for t in range(4):
+                for lo, hi in ((0, 0), (0, 1)):
+                    want = []
+                    for a in range(n):
+                        for b in range(a + 1, n):
+                            met = [(labels[a, u, :2] == labels[b, u, :2]).all() for u in range(4)]
+                            if (met[t] and not any(met[:t]) and (labels[a] == labels[b]).sum() >= 12
+                                    and (lo == hi or rows["side"][a] != rows["side"][b])):
+                                want.append((a, b))
+                    left, right = near_dup._open_pairs((t, 0, lo, hi), rows, 4, 2, 12)
+                    assert sorted(zip(left.tolist(), right.tolist())) == want
+
+
+def test_pairs_at_the_threshold_are_found(make):
+    """Pairs of similarity just above 0.8, each in a vocabulary of its own."""
+    rows = []
+    for p in range(150):
+        words = [f"p{p}w{i}" for i in range(104)]  # 100 shingles, 89 of which are shared
+        rows += [(2 * p, " ".join(words)), (2 * p + 1, " ".join([*words[:93], *[f"p{p}x{i}" for i in range(11)]]))]
+    sets = [brute.shingles(t) for _, t in rows[:2]]
+    assert 0.8 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.81
+    got = near_dup.near_groups(make(rows)).collect()
+    assert all(r.n_links == 1 and r.class_id == r.id | 1 for r in got) and len(got) == 300
+
+
 def test_components_on_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(0, 40)]
     star = [(100, i) for i in range(101, 140)]
