@@ -11,7 +11,7 @@ its current turn and sorts on disk where it must.
 
 Defined results: null roles and texts are empty; null conversation ids form one conversation; turns go by (turn, role,
 text), nulls first; unknown roles and illegal steps are formatted and marked invalid, never
-dropped; repeated rows are turns of their own; other columns are never read."""
+dropped; repeated rows are turns of their own; a very long text is escaped and read back whole; an empty table gives no rows; other columns are never read."""
 
 from __future__ import annotations
 

@@ -12,7 +12,7 @@ time, and a test set of any size is searched whole with bounded memory.
 Both sides are compared as lower-cased runs of letters and digits with one blank between.
 Defined results: null or empty texts and items without a letter or digit match nothing; an
 item too short for an edit must occur as whole words; equal items match each under its own
-id; repeated rows each get their matches; a null item or document id is passed on as null; empty tables give empty results;
+id; repeated rows each get their matches; a very long text is searched whole; a null item or document id is passed on as null; empty tables give empty results;
 all other columns pass through untouched."""
 
 from __future__ import annotations

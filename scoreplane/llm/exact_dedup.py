@@ -12,7 +12,7 @@ whole step along the blocks themselves.  Copies meet in map-side aggregation bef
 shuffle, so a text that holds a third of all rows costs one row a task.
 
 Defined results: a null text counts as empty; a null id is the smallest id; of rows equal
-in id and text exactly one stays; an empty table gives an empty result; columns of the
+in id and text exactly one stays; a very long text is cut into as many blocks as it needs and named whole; an empty table gives an empty result; columns of the
 input are never looked up beyond the id and the text, so extra names cannot clash."""
 
 from __future__ import annotations

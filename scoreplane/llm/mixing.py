@@ -13,7 +13,7 @@ No window sees a whole source: prefix sums and ranks run in chunks that grow in
 with the data, plus one small table of chunk totals.  Only rows equal in id and text lie in one chunk whatever their number.
 
 Defined results: null texts have size 0 and are never taken; a null source is a source of
-its own, the last; documents of size 0 give taken 0; rows equal in id and text share their
+its own, the last; documents of size 0 give taken 0; a very long text is counted whole and spans many blocks; rows equal in id and text share their
 words by position; an empty table gives an empty result; a clashing extra column is never read."""
 
 from __future__ import annotations

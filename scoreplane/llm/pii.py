@@ -16,7 +16,7 @@ The patterns are written with possessive quantifiers and run starts, so a long r
 linear time and no recursion.  Places come from the lengths of the pieces between matches.  Pattern and instance
 counts are pre-aggregated before each shuffle, so a pattern before a third of all identifiers is one row a task.
 
-Defined results: a null text is empty; an empty table gives no rows; of kinds equally sure the first counts; rows equal in id and text are reported each; a document
+Defined results: a null or empty text has no spans; a very long text is searched whole; an empty table gives no rows; of kinds equally sure the first counts; rows equal in id and text are reported each; a document
 without spans gets empty lists; a null id stays null; other columns are never read."""
 
 from __future__ import annotations

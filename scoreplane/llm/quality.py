@@ -8,7 +8,7 @@ the chunks of the document feed one logistic output.
 The network is trained on the driver on a bounded sample of labelled documents; scoring runs in
 tasks over whole texts, a bounded number of chunks at a time.
 
-Defined results: null and empty texts are one chunk of padding; a null id is not held out and not
+Defined results: null and empty texts are one chunk of padding; a very long text gives all its chunks, a bounded number at a time; a null id is not held out and not
 learnt from; if a document has several labels the smallest counts; without labels of both kinds
 every score is 0.5; a score of exactly 0.5 is predicted 1; an empty table gives no rows; repeated rows get equal
 results; other columns are never read."""

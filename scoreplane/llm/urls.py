@@ -13,8 +13,9 @@ had been mined for every member, and is indexed under all members of its rarest
 bounded by the support; no broadcast is forced.
 
 Defined results: null or non-URL strings have empty host and path and no tokens, so they are allowed unless
-a fixed rule fits; without blocked labels there are no mined rules; repeated rows each get
-their verdict; other columns are never read."""
+a fixed rule fits; a URL of any length is read whole; of equally sure mined rules the one of more tokens is reported, then the
+last in the order of its tokens (the verdict is the same); without blocked labels there are no mined rules; repeated rows each get
+their verdict; an empty table gives no rows; other columns are never read."""
 
 from __future__ import annotations
 
